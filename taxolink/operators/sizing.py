@@ -1,0 +1,20 @@
+"""Broadcast only behind a size check.
+
+The class catalogue, class vectors and dense-index maps are small by nature,
+but "small" is checked, not assumed: the side is counted and hinted for
+broadcast only under the bound; above it the join stays a shuffle join (and AQE
+may still convert it from runtime statistics).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
