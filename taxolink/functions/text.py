@@ -23,8 +23,8 @@ def first_int(col) -> Column:
 def relation_ids(col, pattern: str = r"ChildOf:CWE ID:(\d+)") -> Column:
     """All ids captured by ``pattern``, distinct in first-seen order, ``[-1]`` if none."""
     ids = F.array_distinct(
-        F.transform(F.regexp_extract_all(_c(col), F.lit(pattern), 1), lambda x: x.cast("int")))
-    return F.when(F.coalesce(F.size(ids), F.lit(0)) > 0, ids).otherwise(F.array(F.lit(-1)))
+        F.transform(F.regexp_extract_all(_c(col), F.lit(pattern), 1), lambda x: x.cast("long")))
+    return F.when(F.coalesce(F.size(ids), F.lit(0)) > 0, ids).otherwise(F.array(F.lit(-1).cast("long")))
 
 
 def parse_list_text(col, strip_items: bool = False) -> Column:

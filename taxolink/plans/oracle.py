@@ -101,5 +101,93 @@ SELECT row_id FROM (SELECT DISTINCT row_id FROM lab)
 ORDER BY {_md5('row_id')}, row_id LIMIT {S.SAMPLE_N}"""
 
 
+# ---------------------------------------------------------------- hierarchy
+
+_REL_PARSE = """WITH r AS (
+  SELECT p_partkey, p_brand, CASE WHEN p_size <= 5 THEN 'no relation' ELSE
+    '::NATURE:ChildOf:CWE ID:' || CAST(p_size // 10 AS VARCHAR) || ':VIEW ID:1000::NATURE:ChildOf:CWE ID:' ||
+    CAST(p_size // 3 AS VARCHAR) || ':VIEW ID:1003::NATURE:ChildOf:CWE ID:' || CAST(p_size // 10 AS VARCHAR) ||
+    ':VIEW ID:1003::' END AS rel FROM part),
+ids AS (SELECT p_partkey, p_brand,
+          list_transform(regexp_extract_all(rel, 'ChildOf:CWE ID:(\\d+)', 1), lambda x: CAST(x AS BIGINT)) AS l FROM r),
+dd AS (SELECT p_partkey, p_brand, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM ids),
+f AS (SELECT p_partkey, p_brand, CASE WHEN len(l) > 0 THEN l ELSE [CAST(-1 AS BIGINT)] END AS l FROM dd)
+SELECT p_partkey, CAST(TRY_CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS BIGINT) AS brand_num,
+       array_to_string(l, ',') AS parents, CAST(len(l) AS BIGINT) AS n_parents FROM f"""
+ORACLE["parse_relations"] = _REL_PARSE
+
+_SENT_IDS = ", ".join(str(i) for i in S.SENTINEL_NODE_IDS)
+DAG = f"""b AS (
+  SELECT p_partkey, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS brand, p_type,
+         CAST({S.BAND_ID_BASE} + p_size // 10 AS BIGINT) AS band FROM part),
+t AS (SELECT p_type, CAST({S.TYPE_ID_BASE} + dense_rank() OVER (ORDER BY p_type) - 1 AS BIGINT) AS tid
+      FROM (SELECT DISTINCT p_type FROM part)),
+tb AS (SELECT DISTINCT p_type, band FROM b),
+edges AS (
+  SELECT {S.PART_ID_BASE} + p_partkey AS child, 0 AS pos, brand AS parent FROM b WHERE brand NOT IN ({_SENT_IDS})
+  UNION ALL
+  SELECT {S.PART_ID_BASE} + b.p_partkey, CASE WHEN b.brand IN ({_SENT_IDS}) THEN 0 ELSE 1 END, t.tid
+  FROM b JOIN t USING (p_type)
+  UNION ALL
+  SELECT t.tid, row_number() OVER (PARTITION BY t.tid ORDER BY tb.band) - 1, tb.band FROM tb JOIN t USING (p_type)
+  UNION ALL
+  SELECT DISTINCT brand, 0, -1 FROM b WHERE brand NOT IN ({_SENT_IDS})
+  UNION ALL
+  SELECT DISTINCT band, 0, -1 FROM b)"""
+PATHS = """pe AS (SELECT DISTINCT child, parent FROM edges
+       WHERE parent <> -1 AND child NOT IN (SELECT child FROM edges WHERE parent = -1)),
+roots AS (SELECT DISTINCT child AS node FROM edges WHERE parent = -1),
+rec(node, depth) AS (
+  SELECT node, 0 FROM roots
+  UNION ALL
+  SELECT pe.child, rec.depth + 1 FROM rec JOIN pe ON pe.parent = rec.node)"""
+
+ORACLE["edges_valid"] = _with(DAG) + """
+SELECT CAST(child AS BIGINT) AS child, CAST(pos AS BIGINT) AS pos, CAST(parent AS BIGINT) AS parent FROM edges"""
+
+ORACLE["edges_indexed"] = _with(DAG) + """
+, ix AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS ix FROM (SELECT DISTINCT child AS node FROM edges)),
+rt AS (SELECT DISTINCT child FROM edges WHERE parent = -1),
+m AS (SELECT e.child, e.pos, e.parent, c.ix AS cix, CASE WHEN e.parent = -1 THEN -1 ELSE p.ix END AS pix,
+             e.child IN (SELECT child FROM rt) AS is_root
+      FROM edges e JOIN ix c ON c.node = e.child LEFT JOIN ix p ON p.node = e.parent)
+SELECT 'child_parent' AS form, CAST(cix AS BIGINT) AS src, CAST(pos AS BIGINT) AS pos,
+       CAST(CASE WHEN is_root THEN -1 ELSE pix END AS BIGINT) AS dst FROM m
+UNION ALL
+SELECT 'parent_child' AS form, CAST(pix AS BIGINT) AS src, CAST(pos AS BIGINT) AS pos, CAST(cix AS BIGINT) AS dst FROM m"""
+
+ORACLE["depth_paths"] = "WITH RECURSIVE " + DAG + ",\n" + PATHS + """
+SELECT CAST(node AS BIGINT) AS node, CAST(depth AS BIGINT) AS depth, CAST(count(*) AS BIGINT) AS n_paths
+FROM rec GROUP BY node, depth"""
+
+ORACLE["levels"] = "WITH RECURSIVE " + DAG + ",\n" + PATHS + """
+SELECT DISTINCT CAST(depth AS BIGINT) AS depth, CAST(node AS BIGINT) AS node FROM rec"""
+
+TREE = """te AS (
+  SELECT CAST(1000 + s_suppkey AS BIGINT) AS child, CAST(100 + s_nationkey AS BIGINT) AS parent FROM supplier
+  UNION ALL SELECT CAST(100 + n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation),
+clo(node, ancestor) AS (
+  SELECT child, parent FROM te
+  UNION
+  SELECT clo.node, te.parent FROM clo JOIN te ON te.child = clo.ancestor)"""
+
+ORACLE["ancestors"] = "WITH RECURSIVE " + TREE + """
+SELECT node, ancestor FROM clo"""
+
+ORACLE["expand_labels"] = "WITH RECURSIVE " + TREE + """,
+lab AS (SELECT DISTINCT l_orderkey AS row_id, CAST(1000 + l_suppkey AS BIGINT) AS label FROM lineitem)
+SELECT row_id, label FROM lab
+UNION
+SELECT lab.row_id, clo.ancestor FROM lab JOIN clo ON clo.node = lab.label"""
+
+ORACLE["graph_listing"] = """
+SELECT 'node' AS kind, CAST(100 + n_nationkey AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst,
+       'CWE-ID ' || CAST(100 + n_nationkey AS VARCHAR) || ':' || n_name AS label FROM nation
+UNION ALL SELECT 'node', CAST(r_regionkey AS BIGINT), NULL, 'CWE-ID ' || CAST(r_regionkey AS VARCHAR) || ':' || r_name FROM region
+UNION ALL SELECT 'node', 1003, NULL, 'CWE-ID 1003:Root Node'
+UNION ALL SELECT 'edge', CAST(100 + n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT), NULL FROM nation
+UNION ALL SELECT 'edge', CAST(r_regionkey AS BIGINT), 1003, NULL FROM region"""
+
+
 def all_oracles() -> dict[str, str]:
     return dict(ORACLE)

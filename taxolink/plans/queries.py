@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxolink.functions.arrays import sorted_int_list_text
+from taxolink.functions.text import first_int, relation_ids
 from taxolink.operators import labels as L
 from taxolink.operators import splits as SP
+from taxolink.operators import taxonomy as H
+from taxolink.operators.ranking import exact_row_number
 from taxolink.plans import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,5 +116,73 @@ def sample_n(spark, d):
     return SP.take_sample(lab_ids, "row_id", S.SAMPLE_N, S.SEED)
 
 
+# ---------------------------------------------------------------- hierarchy
+
+@query("parse_relations")
+def parse_relations(spark, d):
+    """Parent ids parsed out of a relation text built from the part size."""
+    part = S.read(spark, d, "part")
+    size = F.col("p_size")
+    rel = F.when(size <= 5, F.lit("no relation")).otherwise(F.concat(
+        F.lit("::NATURE:ChildOf:CWE ID:"), F.floor(size / 10).cast("string"),
+        F.lit(":VIEW ID:1000::NATURE:ChildOf:CWE ID:"), F.floor(size / 3).cast("string"),
+        F.lit(":VIEW ID:1003::NATURE:ChildOf:CWE ID:"), F.floor(size / 10).cast("string"),
+        F.lit(":VIEW ID:1003::")))
+    parents = relation_ids(rel)
+    return part.select("p_partkey", first_int("p_brand").alias("brand_num"),
+                       F.array_join(F.transform(parents, lambda x: x.cast("string")), ",").alias("parents"),
+                       F.size(parents).alias("n_parents"))
+
+
+@query("edges_valid")
+def edges_valid(spark, d):
+    """Parsed parents restricted to valid ids, as a long edge table."""
+    return H.edges_of(S.dag_parents(spark, d))
+
+
+@query("edges_indexed")
+def edges_indexed(spark, d):
+    """Both edge forms in dense-index space."""
+    parents = S.dag_parents(spark, d)
+    index = exact_row_number(parents.select("node"), [], ["node"], out_col="rn")
+    index = index.select("node", (F.col("rn") - 1).alias("class_idx"))
+    return H.index_edges(parents, index)
+
+
+@query("depth_paths")
+def depth_paths(spark, d):
+    """H4: number of root paths per node and depth."""
+    return H.depth_paths(S.dag_parents(spark, d))
+
+
+@query("levels")
+def levels(spark, d):
+    """H8: nodes per hierarchy level."""
+    return H.levels(H.depth_paths(S.dag_parents(spark, d)))
+
+
+@query("ancestors")
+def ancestors(spark, d):
+    """Ancestor closure of the supplier → nation → region tree."""
+    return H.ancestors(S.tree_parents(spark, d))
+
+
+@query("expand_labels")
+def expand_labels(spark, d):
+    """Order labels (its suppliers) expanded with every ancestor (nation, region)."""
+    li = S.read(spark, d, "lineitem")
+    lab = li.select(F.col("l_orderkey").alias("row_id"),
+                    (F.col("l_suppkey") + 1000).alias("class_idx")).distinct()
+    out = H.expand_labels(lab, H.ancestors(S.tree_parents(spark, d)))
+    return out.select("row_id", F.col("class_idx").alias("label"))
+
+
+@query("graph_listing")
+def graph_listing(spark, d):
+    """Node labels and child → parent edges of the nation → region tree."""
+    parents = S.tree_parents(spark, d).filter(F.col("node") < 1000)
+    return H.graph_listing(parents, S.tree_names(spark, d))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

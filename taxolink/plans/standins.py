@@ -70,3 +70,65 @@ def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = labels(spark, sf_dir).select("row_id").distinct().withColumn("is_labelled", F.lit(True))
     return (records(spark, sf_dir).join(ids, "row_id", "left")
               .withColumn("is_labelled", F.coalesce("is_labelled", F.lit(False))))
+
+
+# ---------------------------------------------------------------- hierarchy stand-ins
+# Node ids: brand n -> n, size band b -> 100 + b, type -> 200 + rank of the type name,
+# part k -> 1000 + k.  Tree: region r -> r, nation n -> 100 + n, supplier s -> 1000 + s.
+SENTINEL_NODE_IDS = (24, 25)
+PART_ID_BASE, TYPE_ID_BASE, BAND_ID_BASE = 1000, 200, 100
+
+
+def _rel(ids_col) -> F.Column:
+    """Relation text in the catalogue's ``::NATURE:ChildOf:CWE ID:<id>:VIEW ID:1000`` form."""
+    return F.array_join(F.transform(ids_col, lambda i: F.concat(
+        F.lit("::NATURE:ChildOf:CWE ID:"), i.cast("string"), F.lit(":VIEW ID:1000"))), "")
+
+
+def dag_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue rows ``(node, name, relation)`` for parts, brands, types and size bands."""
+    from pyspark.sql import Window
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    types = (part.select("p_type").distinct()
+                 .withColumn("tid", (F.dense_rank().over(Window.orderBy("p_type")) - 1 + TYPE_ID_BASE).cast("long")))
+    p = part.join(F.broadcast(types), "p_type")
+    brand_id = first_int("p_brand").cast("long")
+    band_id = (F.floor(F.col("p_size") / 10) + BAND_ID_BASE).cast("long")
+    parts = p.select((F.col("p_partkey") + PART_ID_BASE).alias("node"), F.col("p_partkey").cast("string").alias("name"),
+                     _rel(F.array(brand_id, F.col("tid"), brand_id)).alias("relation"))
+    type_rows = (p.groupBy("tid", "p_type").agg(F.sort_array(F.collect_set(band_id)).alias("bands"))
+                  .select(F.col("tid").alias("node"), F.col("p_type").alias("name"), _rel(F.col("bands")).alias("relation")))
+    brands = (part.select("p_brand").distinct()
+                  .select(brand_id.alias("node"), F.col("p_brand").alias("name"), F.lit("").alias("relation")))
+    bands = (part.select(band_id.alias("node")).distinct()
+                 .select("node", F.concat(F.lit("S"), (F.col("node") - BAND_ID_BASE).cast("string")).alias("name"),
+                         F.lit("").alias("relation")))
+    return parts.unionByName(type_rows).unionByName(brands).unionByName(bands)
+
+
+def dag_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6 pipeline on the stand-in catalogue: parse relations, keep valid ids (sentinel brands
+    are not valid), ``[-1]`` where nothing is left."""
+    from taxolink.operators import taxonomy as H
+    cat = dag_catalog(spark, sf_dir)
+    valid = cat.select("node").filter(~F.col("node").isin(*SENTINEL_NODE_IDS))
+    return H.keep_valid(H.parse_parents(cat, "node", "relation"), valid)
+
+
+def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier → nation → region as a parents table."""
+    sup = read(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") + 1000).alias("node"), F.array((F.col("s_nationkey") + 100).cast("long")).alias("parents"))
+    nat = read(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 100).cast("long").alias("node"), F.array(F.col("n_regionkey").cast("long")).alias("parents"))
+    reg = read(spark, sf_dir, "region").select(
+        F.col("r_regionkey").cast("long").alias("node"), F.array(F.lit(-1).cast("long")).alias("parents"))
+    return sup.unionByName(nat).unionByName(reg)
+
+
+def tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nat = read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("node"),
+                                               F.col("n_name").alias("name"))
+    reg = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("node"),
+                                               F.col("r_name").alias("name"))
+    return nat.unionByName(reg)
