@@ -16,10 +16,17 @@ def as_list(col) -> Column:
 
 
 def cyclic_repeat(arr, k: int) -> Column:
-    """F16: repeat a list cyclically to exactly ``k`` items (null for an empty list)."""
+    """F16: repeat a list cyclically to exactly ``k`` items (null for an empty list).
+
+    Built from ``array_repeat`` + ``flatten`` + ``slice`` rather than a per-element lambda
+    that indexes ``arr``: when the optimizer inlines an expensive ``arr`` expression (e.g.
+    through the filter it infers in front of an explode) it is then evaluated a constant
+    number of times per row, not k times.
+    """
     a = _c(arr)
-    rep = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(a, i % F.size(a)))
-    return F.when(F.size(a) > 0, rep)
+    n = F.size(a)
+    reps = (F.lit(k) / n).cast("int") + 1
+    return F.when(n > 0, F.slice(F.flatten(F.array_repeat(a, reps)), 1, k))
 
 
 def abs_diff_and_product(a, b) -> Column:

@@ -189,5 +189,181 @@ UNION ALL SELECT 'edge', CAST(100 + n_nationkey AS BIGINT), CAST(n_regionkey AS
 UNION ALL SELECT 'edge', CAST(r_regionkey AS BIGINT), 1003, NULL FROM region"""
 
 
+# ---------------------------------------------------------------- link candidates
+
+def _prime_of(c_expr: str) -> str:
+    return (f"(SELECT min(n) FROM range({c_expr}, 2 * {c_expr} + 3) t(n) WHERE n >= 2 AND NOT EXISTS "
+            f"(SELECT 1 FROM range(2, n) dv(q) WHERE n % q = 0 AND q * q <= n))")
+
+
+def _link_ctes(lab: str, c_expr: str, k: int) -> str:
+    """CTEs ``ll`` → ``fin(row_id, pos, neg)``: cyclic positives and permutation-drawn negatives."""
+    return f"""nc AS (SELECT {c_expr} AS c),
+np AS (SELECT {_prime_of('(SELECT c FROM nc)')} AS p),
+ll AS (SELECT row_id, list_sort(list(DISTINCT class_idx)) AS l FROM {lab} GROUP BY row_id),
+par AS (SELECT row_id, l, (SELECT c FROM nc) AS c, (SELECT p FROM np) AS p,
+               1 + {_u32("'a'", 'row_id')} % ((SELECT p FROM np) - 1) AS a,
+               {_u32("'b'", 'row_id')} % (SELECT p FROM np) AS b FROM ll),
+walk AS (SELECT row_id, l, list_filter(list_transform(range(least({k} + p - c + len(l), p)), lambda j: (a * j + b) % p),
+                                       lambda x: x < c AND NOT list_contains(l, x)) AS ok FROM par),
+lst AS (SELECT row_id, l, list_slice(ok, 1, {k}) AS ng FROM walk),
+fin AS (SELECT row_id, list_transform(range({k}), lambda i: l[(i % len(l)) + 1]) AS pos,
+               list_transform(range({k}), lambda i: ng[(i % len(ng)) + 1]) AS neg
+        FROM lst WHERE len(l) > 0 AND len(ng) > 0)"""
+
+
+_BRAND_LINKS = _with(CLS, CODES, LAB, _link_ctes("lab", "(SELECT count(*) FROM cls)", S.K_LINKS))
+ORACLE["pos_links"] = _BRAND_LINKS + "SELECT row_id, array_to_string(pos, ',') AS pos_links FROM fin"
+ORACLE["neg_links"] = _BRAND_LINKS + "SELECT row_id, array_to_string(neg, ',') AS neg_links FROM fin"
+ORACLE["links_flat"] = _BRAND_LINKS + f"""
+, flat AS (SELECT row_id, i AS slot, pos[i + 1] AS class_idx, 1 AS label FROM fin, range({S.K_LINKS}) r(i)
+           UNION ALL
+           SELECT row_id, i + {S.K_LINKS}, neg[i + 1], 0 FROM fin, range({S.K_LINKS}) r(i)),
+per AS (SELECT row_id, label, class_idx, count(*) AS n, min(slot) AS s0 FROM flat GROUP BY row_id, label, class_idx)
+SELECT row_id, CAST(label AS BIGINT) AS label, CAST(sum(n) AS BIGINT) AS n_links, CAST(min(s0) AS BIGINT) AS first_slot,
+       string_agg(CAST(class_idx AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY class_idx) AS class_counts
+FROM per GROUP BY row_id, label"""
+
+ORACLE["all_links"] = """
+SELECT e.vec_id AS row_id, CAST(c AS BIGINT) AS class_idx
+FROM embeddings e, range((SELECT count(DISTINCT label) FROM embeddings)) r(c)"""
+
+# ---------------------------------------------------------------- scoring
+
+_D = S.EMBED_DIM
+EMB = f"""elab AS (SELECT vec_id AS row_id, CAST(label AS BIGINT) AS class_idx FROM embeddings),
+emb AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cvp AS (SELECT label AS class_idx, i, avg(CAST(embedding[i + 1] AS DOUBLE)) AS m
+        FROM embeddings, range({_D}) r(i) GROUP BY label, i),
+cv AS (SELECT CAST(class_idx AS BIGINT) AS class_idx, list(m ORDER BY i) AS cvec FROM cvp GROUP BY class_idx)"""
+_EMB_LINKS = EMB + ",\n" + _link_ctes("elab", "(SELECT count(DISTINCT class_idx) FROM elab)", 1) + """,
+flat AS (SELECT row_id, 0 AS slot, pos[1] AS class_idx, 1 AS label FROM fin
+         UNION ALL SELECT row_id, 1, neg[1], 0 FROM fin),
+g AS (SELECT f.row_id, f.slot, f.class_idx, f.label, e.v, c.cvec
+      FROM flat f JOIN emb e USING (row_id) JOIN cv c ON c.class_idx = f.class_idx),
+ft AS (SELECT *, list_concat(list_transform(range(""" + str(_D) + """), lambda i: abs(v[i + 1] - cvec[i + 1])),
+                             list_transform(range(""" + str(_D) + """), lambda i: v[i + 1] * cvec[i + 1])) AS feat FROM g)"""
+
+ORACLE["pair_features"] = "WITH " + _EMB_LINKS + f"""
+SELECT row_id, CAST(slot AS BIGINT) AS slot, CAST(class_idx AS BIGINT) AS class_idx, CAST(label AS BIGINT) AS label,
+       CAST(len(feat) AS BIGINT) AS n_feat,
+       round(list_sum(list_slice(feat, 1, {_D})), 4) + 0.0 AS f_abs,
+       round(list_sum(list_slice(feat, {_D} + 1, {2 * _D})), 4) + 0.0 AS f_prod
+FROM ft"""
+
+_HEAD = f""",
+hd AS (SELECT *, list_transform(range({_D}), lambda i: tanh(list_sum(list_transform(range({2 * _D}),
+          lambda j: feat[j + 1] * (0.05 * sin(1 + {2 * _D} * i + j)))) + 0.01 * cos(i))) AS hid FROM ft),
+lg AS (SELECT *, list_sum(list_transform(range({_D}), lambda i: hid[i + 1] * (0.1 * sin(7 + i)))) AS l0,
+                 list_sum(list_transform(range({_D}), lambda i: hid[i + 1] * (0.1 * sin(7 + {_D} + i)))) AS l1 FROM hd),
+sc AS (SELECT row_id, slot, class_idx, label, 1.0 / (1.0 + exp(l0 - l1)) AS p FROM lg)"""
+
+ORACLE["link_scores"] = "WITH " + _EMB_LINKS + _HEAD + """
+SELECT row_id, CAST(slot AS BIGINT) AS slot, CAST(class_idx AS BIGINT) AS class_idx, CAST(label AS BIGINT) AS label,
+       round(p, 4) AS p FROM sc"""
+
+ORACLE["link_loss"] = "WITH " + _EMB_LINKS + _HEAD + f""",
+rb AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // {S.BATCH_SIZE} AS batch_id
+       FROM (SELECT DISTINCT row_id FROM sc)),
+ce AS (SELECT rb.batch_id, -ln(greatest(CASE WHEN label = 1 THEN p ELSE 1.0 - p END, 1e-12)) AS ce
+       FROM sc JOIN rb USING (row_id)),
+pb AS (SELECT batch_id, avg(ce) AS l, count(*) AS n FROM ce GROUP BY batch_id)
+SELECT CAST(count(*) AS BIGINT) AS n_batches, CAST(sum(n) AS BIGINT) AS n_links, round(avg(l), 6) AS loss FROM pb"""
+
+# ---------------------------------------------------------------- evaluation
+
+DOCPRED = """dp AS (
+  SELECT l.doc_id, l.quality, p1, 1.0 - p1 AS p0, CASE WHEN p1 > 1.0 - p1 THEN 1 ELSE 0 END AS pred
+  FROM labels l JOIN (SELECT doc_id, 1.0 / (1.0 + exp(-(n_chars - 2000.0) / 500.0)) AS p1 FROM documents) d USING (doc_id))"""
+
+
+def _f1_sql(src: str, truth: str, pred: str, group: str | None) -> str:
+    g = f"{group}, " if group else ""
+    gb = f"GROUP BY {group}" if group else ""
+    return f"""(SELECT {g}avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END) AS f1
+  FROM (SELECT {g}c, count(*) FILTER (WHERE t AND hit) AS tp, count(*) FILTER (WHERE t AND NOT hit) AS fn,
+               count(*) FILTER (WHERE NOT t AND NOT hit) AS fp
+        FROM (SELECT {g}{truth} AS c, {truth} = {pred} AS hit, true AS t FROM {src}
+              UNION ALL SELECT {g}{pred}, {truth} = {pred}, false FROM {src}) e
+        GROUP BY {g}c) pc {gb})"""
+
+
+ORACLE["macro_f1"] = _with(DOCPRED) + f"SELECT round(f1, 6) AS macro_f1 FROM {_f1_sql('dp', 'quality', 'pred', None)} x"
+
+ORACLE["batch_f1"] = _with(DOCPRED) + f""", bd AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // {S.BATCH_SIZE} AS batch_id FROM dp),
+bf AS {_f1_sql('bd', 'quality', 'pred', 'batch_id')},
+bn AS (SELECT batch_id, count(*) AS n FROM bd GROUP BY batch_id)
+SELECT CAST(count(*) AS BIGINT) AS n_batches, round(sum(f1 * n) / sum(n), 6) AS epoch_f1 FROM bf JOIN bn USING (batch_id)"""
+
+ORACLE["th_metrics"] = _with(DOCPRED) + f""", tp AS (SELECT *, CASE WHEN p1 >= {S.THRESHOLD} THEN 1 ELSE 0 END AS thp FROM dp)
+SELECT 'th_acc' AS metric, round(avg(CASE WHEN thp = quality THEN 1.0 ELSE 0.0 END), 6) AS value FROM tp
+UNION ALL
+SELECT 'th_f1' AS metric, round(f1, 6) AS value FROM {_f1_sql('tp', 'quality', 'thp', None)} x"""
+
+_TREE_VALUES = ", ".join(f"({c}, {p})" for c, p in S.CLASS_TREE)
+_TRIPLES = ", ".join(f"({a}, {b}, {c})" for a, b, c in S.BEAM_TRIPLES)
+BEAM = EMB + f""",
+sc AS (SELECT e.row_id, c.class_idx,
+              round(list_sum(list_transform(range({_D}), lambda i: e.v[i + 1] * c.cvec[i + 1])), 4) AS p
+       FROM emb e, cv c),
+tree(child, parent) AS (VALUES {_TREE_VALUES}),
+trip(k0, k1, k2) AS (VALUES {_TRIPLES}),
+l0 AS (SELECT row_id, k0, k1, k2, class_idx FROM (
+         SELECT s.row_id, t.k0, t.k1, t.k2, s.class_idx,
+                row_number() OVER (PARTITION BY s.row_id, t.k0, t.k1, t.k2 ORDER BY s.p DESC, s.class_idx) AS rn
+         FROM sc s JOIN tree r ON r.child = s.class_idx AND r.parent = -1, trip t) WHERE rn <= k0),
+"""
+
+
+def _beam_level(prev: str, name: str, k: str) -> str:
+    return f"""{name} AS (SELECT row_id, k0, k1, k2, class_idx FROM (
+         SELECT b.row_id, b.k0, b.k1, b.k2, s.class_idx,
+                row_number() OVER (PARTITION BY b.row_id, b.k0, b.k1, b.k2, b.class_idx ORDER BY s.p DESC, s.class_idx) AS rn
+         FROM {prev} b JOIN tree e ON e.parent = b.class_idx JOIN sc s ON s.row_id = b.row_id AND s.class_idx = e.child)
+       WHERE rn <= {k})"""
+
+
+BEAM += ",\n".join([_beam_level("l0", "l1", "k1"), _beam_level("l1", "l2", "k2"), _beam_level("l2", "l3", "k2")]) + """,
+vis AS (SELECT DISTINCT * FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3))
+"""
+
+ORACLE["beam_topk"] = "WITH " + BEAM + """
+SELECT row_id, CAST(k0 AS BIGINT) AS k0, CAST(k1 AS BIGINT) AS k1, CAST(k2 AS BIGINT) AS k2,
+       CAST(class_idx AS BIGINT) AS class_idx FROM vis"""
+
+ORACLE["topk_accuracy"] = "WITH " + BEAM + """,
+rec AS (SELECT DISTINCT row_id, k0, k1, k2 FROM vis),
+hit AS (SELECT DISTINCT v.row_id, v.k0, v.k1, v.k2 FROM vis v JOIN elab l ON l.row_id = v.row_id AND l.class_idx = v.class_idx)
+SELECT CAST(r.k0 AS BIGINT) AS k0, CAST(r.k1 AS BIGINT) AS k1, CAST(r.k2 AS BIGINT) AS k2,
+       round(avg(CASE WHEN h.row_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS accuracy
+FROM rec r LEFT JOIN hit h ON h.row_id = r.row_id AND h.k0 = r.k0 AND h.k1 = r.k1 AND h.k2 = r.k2
+GROUP BY r.k0, r.k1, r.k2"""
+
+EPOCHS = """h AS (SELECT event_type AS run_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch,
+              round(avg(value), 4) AS val_acc, round(1.0 / (1.0 + avg(value)), 6) AS loss
+       FROM events GROUP BY 1, 2)"""
+
+ORACLE["running_best"] = _with(EPOCHS) + """
+SELECT run_id, epoch, val_acc,
+       CAST(CASE WHEN val_acc > coalesce(max(val_acc) OVER (PARTITION BY run_id ORDER BY epoch
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0) THEN 1 ELSE 0 END AS BIGINT) AS saved
+FROM h"""
+
+ORACLE["history"] = _with(EPOCHS) + """
+SELECT run_id, CAST(count(*) AS BIGINT) AS n_epochs,
+       string_agg(CAST(CAST(round(val_acc * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY epoch) AS acc_hist
+FROM h GROUP BY run_id"""
+
+ORACLE["best_epoch"] = _with(EPOCHS) + """
+SELECT run_id, epoch AS best_epoch, loss AS best_loss FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY loss, epoch) AS rn FROM h) WHERE rn = 1"""
+
+# ---------------------------------------------------------------- text
+
+ORACLE["truncate_text"] = """
+SELECT doc_id, substr(coalesce(text, 'nan'), 1, 512) AS text512,
+       CAST(length(substr(coalesce(text, 'nan'), 1, 512)) AS BIGINT) AS n512 FROM documents"""
+
+
 def all_oracles() -> dict[str, str]:
     return dict(ORACLE)

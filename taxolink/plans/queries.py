@@ -16,10 +16,15 @@ from pyspark.sql import types as T
 
 from taxolink.functions.arrays import sorted_int_list_text
 from taxolink.functions.text import first_int, relation_ids
+from taxolink.functions.text import truncate_text as truncate_text_col
 from taxolink.operators import labels as L
+from taxolink.operators import links as LK
+from taxolink.operators import metrics as M
+from taxolink.operators import scoring as SC
 from taxolink.operators import splits as SP
 from taxolink.operators import taxonomy as H
 from taxolink.operators.ranking import exact_row_number
+from taxolink.operators.sizing import small_side
 from taxolink.plans import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,5 +189,202 @@ def graph_listing(spark, d):
     return H.graph_listing(parents, S.tree_names(spark, d))
 
 
+# ---------------------------------------------------------------- link candidates
+
+def _n_classes(spark, d) -> int:
+    """Size of the class catalogue (a small table; read once per query)."""
+    return S.classes(spark, d).count()
+
+
+def _brand_links(spark, d) -> DataFrame:
+    return LK.link_lists(S.labels(spark, d), _n_classes(spark, d), S.K_LINKS, S.SEED)
+
+
+@query("pos_links")
+def pos_links(spark, d):
+    """K1, F16: positives per record, ascending and repeated cyclically to k."""
+    return _brand_links(spark, d).select(
+        "row_id", F.array_join(F.transform("pos", lambda x: x.cast("string")), ",").alias("pos_links"))
+
+
+@query("neg_links")
+def neg_links(spark, d):
+    """Negatives per record drawn without replacement, repeated to k."""
+    return _brand_links(spark, d).select(
+        "row_id", F.array_join(F.transform("neg", lambda x: x.cast("string")), ",").alias("neg_links"))
+
+
+@query("links_flat")
+def links_flat(spark, d):
+    """K3, K4: flat (record, slot, class, label) links, positives first; reported per record and
+    side as every class with its number of links and the first slot of each side."""
+    flat = LK.flatten_links(_brand_links(spark, d), S.K_LINKS)
+    per = flat.groupBy("row_id", "label", "class_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.min("slot").alias("s0"))
+    counts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "n"))),
+                                      lambda x: F.concat(x["class_idx"].cast("string"), F.lit(":"),
+                                                         x["n"].cast("string"))), ",")
+    return per.groupBy("row_id", "label").agg(
+        F.sum("n").alias("n_links"), F.min("s0").alias("first_slot"), counts.alias("class_counts"))
+
+
+@query("all_links")
+def all_links(spark, d):
+    """Every embedding record with every class."""
+    lab = S.embedding_labels(spark, d)
+    n = len(M.bounded_ids(lab, "class_idx"))
+    return LK.all_links(lab.select("row_id"), n)
+
+
+# ---------------------------------------------------------------- scoring
+
+def _emb_links(spark, d) -> DataFrame:
+    """One positive and one sampled negative link per embedding record, with both vectors."""
+    lab = S.embedding_labels(spark, d)
+    n = len(M.bounded_ids(lab, "class_idx"))
+    flat = LK.flatten_links(LK.link_lists(lab, n, 1, S.SEED), 1)
+    cv = SC.class_vectors(S.read(spark, d, "embeddings"), "label", "embedding")
+    return SC.gather(flat, S.record_vectors(spark, d), cv)
+
+
+@query("pair_features")
+def pair_features(spark, d):
+    """Pair features [|a-b| ; a*b] summarised per link."""
+    dim = S.EMBED_DIM
+    feat = SC.pair_features()
+    add = lambda a, b: a + b
+    return _emb_links(spark, d).select(
+        "row_id", "slot", "class_idx", "label", F.size(feat).alias("n_feat"),
+        F.round(F.aggregate(F.slice(feat, 1, dim), F.lit(0.0), add), 4).alias("f_abs"),
+        F.round(F.aggregate(F.slice(feat, dim + 1, dim), F.lit(0.0), add), 4).alias("f_prod"))
+
+
+def _emb_scores(spark, d) -> DataFrame:
+    return SC.score_links(_emb_links(spark, d), S.EMBED_DIM)
+
+
+@query("link_scores")
+def link_scores(spark, d):
+    """Pair-head probability per link."""
+    return _emb_scores(spark, d).select("row_id", "slot", "class_idx", "label", F.round("p", 4).alias("p"))
+
+
+@query("link_loss")
+def link_loss(spark, d):
+    """A2, M8: mean link cross-entropy per batch of records, then mean over batches."""
+    sc = _emb_scores(spark, d)
+    recs = sc.select("row_id").distinct()
+    b = SP.batches(recs, "row_id", S.BATCH_SIZE, shuffle=False).select("row_id", "batch_id")
+    links = sc.join(b, "row_id").withColumn("ce", M.link_cross_entropy(F.col("p"), F.col("label")))
+    out = M.batch_mean_loss(links)
+    return out.select("n_batches", "n_links", F.round("loss", 6).alias("loss"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+def _doc_predictions(spark, d) -> DataFrame:
+    """Truth = ``labels.quality``; the predictor is a length rule on ``documents.n_chars``."""
+    docs = S.read(spark, d, "documents").select("doc_id", "n_chars")
+    lab = S.read(spark, d, "labels").select("doc_id", "quality")
+    j = lab.join(docs, "doc_id")
+    p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("n_chars") - F.lit(2000.0)) / F.lit(500.0)))
+    return (j.withColumn("p1", p1).withColumn("p0", F.lit(1.0) - F.col("p1"))
+             .withColumn("pred", M.predicted_class(F.col("p0"), F.col("p1"))))
+
+
+@query("macro_f1")
+def macro_f1(spark, d):
+    """Macro-F1 of the arg-max class (ties to class 0)."""
+    return M.macro_f1(_doc_predictions(spark, d), "quality", "pred").select(F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("batch_f1")
+def batch_f1(spark, d):
+    """A4: batch-weighted macro-F1 over batches of documents."""
+    pr = _doc_predictions(spark, d)
+    b = SP.batches(pr, "doc_id", S.BATCH_SIZE, shuffle=False)
+    out = M.batch_weighted_f1(b, "quality", "pred")
+    return out.select("n_batches", F.round("epoch_f1", 6).alias("epoch_f1"))
+
+
+@query("th_metrics")
+def th_metrics(spark, d):
+    """Threshold accuracy and threshold macro-F1 at 0.5."""
+    pr = _doc_predictions(spark, d)
+    acc = M.threshold_accuracy(pr, "p1", "quality", S.THRESHOLD).select(
+        F.lit("th_acc").alias("metric"), F.round("th_acc", 6).alias("value"))
+    f1 = M.threshold_f1(pr, "p1", "quality", S.THRESHOLD).select(
+        F.lit("th_f1").alias("metric"), F.round("th_f1", 6).alias("value"))
+    return acc.unionByName(f1)
+
+
+def _beam(spark, d) -> DataFrame:
+    rv = S.record_vectors(spark, d)
+    cv = SC.class_vectors(S.read(spark, d, "embeddings"), "label", "embedding")
+
+    def scorer(frontier):
+        j = frontier.join(rv, "row_id").join(small_side(cv), "class_idx")
+        dot = F.aggregate(F.zip_with("rvec", "cvec", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
+        return j.withColumn("p", F.round(dot, 4)).drop("rvec", "cvec")
+
+    tree = S.class_tree(spark)
+    roots = H.roots_of(tree)
+    edges = H.parent_child_edges(tree).filter(F.col("parent") != H.ROOT)
+    recs = rv.select("row_id")
+    return M.beam_search(recs, roots, edges, scorer, S.BEAM_TRIPLES, max_depth=3)
+
+
+@query("beam_topk")
+def beam_topk(spark, d):
+    """Nodes visited by the hierarchical beam, per beam triple."""
+    return _beam(spark, d)
+
+
+@query("topk_accuracy")
+def topk_accuracy(spark, d):
+    """Share of records whose beam hits an original label, per triple."""
+    acc = M.topk_accuracy(_beam(spark, d), S.embedding_labels(spark, d))
+    return acc.select("k0", "k1", "k2", F.round("accuracy", 6).alias("accuracy"))
+
+
+def _epoch_table(spark, d) -> DataFrame:
+    """Events as a metric history: run = event type, epoch = day number, val_acc and loss per day."""
+    ev = S.read(spark, d, "events")
+    epoch = F.datediff(F.to_date("ts"), F.to_date(F.lit("1970-01-01"))).cast("long")
+    return ev.groupBy(F.col("event_type").alias("run_id"), epoch.alias("epoch")).agg(
+        F.round(F.avg("value"), 4).alias("val_acc"),
+        F.round(F.lit(1.0) / (F.lit(1.0) + F.avg("value")), 6).alias("loss"))
+
+
+@query("running_best")
+def running_best(spark, d):
+    """An epoch is saved when its accuracy beats every earlier one."""
+    return M.running_best(_epoch_table(spark, d)).select("run_id", "epoch", "val_acc", "saved")
+
+
+@query("history")
+def history(spark, d):
+    """Per run the accuracy history in epoch order."""
+    h = M.epoch_history(_epoch_table(spark, d), "val_acc")
+    txt = F.array_join(F.transform("values", lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
+    return h.select("run_id", F.size("values").alias("n_epochs"), txt.alias("acc_hist"))
+
+
+@query("best_epoch")
+def best_epoch(spark, d):
+    """The epoch with the lowest loss per run."""
+    return M.best_epoch(_epoch_table(spark, d))
+
+
+# ---------------------------------------------------------------- text
+
+@query("truncate_text")
+def truncate_text(spark, d):
+    """Text as string (null → 'nan') cut at 512 characters."""
+    docs = S.read(spark, d, "documents")
+    t = truncate_text_col("text", 512)
+    return docs.select("doc_id", t.alias("text512"), F.length(t).alias("n512"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

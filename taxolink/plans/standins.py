@@ -132,3 +132,25 @@ def tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("node"),
                                                F.col("r_name").alias("name"))
     return nat.unionByName(reg)
+
+
+# ---------------------------------------------------------------- vector stand-ins
+
+EMBED_DIM = 64
+
+
+def embedding_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding row is a record whose one original label is its ``label`` (0..9)."""
+    emb = read(spark, sf_dir, "embeddings")
+    return emb.select(F.col("vec_id").alias("row_id"), F.col("label").alias("class_idx"))
+
+
+def record_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = read(spark, sf_dir, "embeddings")
+    return emb.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("rvec"))
+
+
+def class_tree(spark: SparkSession) -> DataFrame:
+    """The small class tree over the embedding labels, as a parents table."""
+    rows = [(c, [p]) for c, p in CLASS_TREE]
+    return spark.createDataFrame(rows, "node long, parents array<long>")
