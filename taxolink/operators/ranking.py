@@ -13,9 +13,9 @@ many tasks:
 4. row number = rows of the group in earlier partitions + position inside the
    partition + 1.
 
-The order columns must make the order total (add the key as a tie-break) so
-that a task recomputed after an executor loss reproduces the same numbers; the
-range exchange is reused by both branches of the final join.
+The order columns must make the order total (add the key as a tie-break). The
+numbered rows are written once to the shared checkpoint folder and read back,
+so the counts and the rows they offset come from the same materialisation.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolink.session import scratch_path
+
 _POS_BITS = 33
 
 
@@ -42,6 +44,13 @@ def exact_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .withColumn("_pid", F.shiftright("_mid", _POS_BITS))
                 .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
+    # The range bounds are sampled from the input; when the input order is not fixed (it comes
+    # out of a shuffle) two evaluations could cut different ranges. Write the numbered rows once
+    # to the shared checkpoint folder, so both uses below read one materialisation (this also
+    # cuts the lineage: a lost executor re-reads files instead of recomputing the sort).
+    path = scratch_path(spark, "ranked")
+    ranged.write.mode("overwrite").parquet(path)
+    ranged = spark.read.parquet(path)
 
     stats = (ranged.groupBy("_pid", *group_cols)
                    .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt")))

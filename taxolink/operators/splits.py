@@ -105,12 +105,15 @@ def take_sample(rows: DataFrame, id_col: str, n: int = 100, seed: int = 42) -> D
     return rows.orderBy(order_key(seed, F.col(id_col)), id_col).limit(n)
 
 
-def batches(rows: DataFrame, id_col: str, batch_size: int, shuffle: bool, seed: int = 42,
+def batches(rows: DataFrame, id_col: str, batch_size: int, shuffle, seed: int = 42,
             group_col: str | None = None) -> DataFrame:
     """``batch_id = floor(row_index / B)``; row index by id (sequential loaders) or by
-    seeded md5 order (the shuffled training loader). Computed with :func:`exact_row_number`, so
-    no single task numbers the whole split."""
-    keyed = rows.withColumn("_k", order_key(seed, F.col(id_col)) if shuffle else F.lit(""))
+    seeded md5 order (the shuffled training loader). ``shuffle`` is a bool or a boolean column
+    (e.g. true for the training split only). Computed with :func:`exact_row_number`, so no
+    single task numbers the whole split."""
+    if isinstance(shuffle, bool):
+        shuffle = F.lit(shuffle)
+    keyed = rows.withColumn("_k", F.when(shuffle, order_key(seed, F.col(id_col))).otherwise(F.lit("")))
     groups = [group_col] if group_col else []
     ranked = exact_row_number(keyed, groups, ["_k", id_col], out_col="_rn")
     return (ranked.withColumn("batch_id", F.floor((F.col("_rn") - 1) / F.lit(batch_size)).cast("long"))

@@ -367,3 +367,129 @@ SELECT doc_id, substr(coalesce(text, 'nan'), 1, 512) AS text512,
 
 def all_oracles() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# ---------------------------------------------------------------- records, shape, sources
+
+ORACLE["append_classes"] = _with(CLS, CODES) + r""", rc AS (SELECT row_id, list_sort(list(code)) AS l FROM codes GROUP BY row_id),
+cat AS (SELECT TRY_CAST(regexp_extract(p_brand, '(\d+)', 1) AS INTEGER) AS id,
+               arg_min(concat_ws(' ', coalesce(p_brand, 'nan'), coalesce(p_name, 'nan'), coalesce(p_type, 'nan'),
+                                 coalesce(CAST(p_size AS VARCHAR), 'nan')), p_partkey) AS ctext
+        FROM part GROUP BY 1)
+SELECT 'record' AS row_kind, o.o_orderkey AS row_id, concat_ws(' ', o.o_orderpriority, o.o_orderstatus) AS text,
+       array_to_string(coalesce(rc.l, ['NONE']), '|') AS labels, false AS is_class
+FROM orders o LEFT JOIN rc ON rc.row_id = o.o_orderkey
+UNION ALL
+SELECT 'class', CAST(c.class_idx AS BIGINT), coalesce(cat.ctext, ''), c.class_name, true
+FROM cls c LEFT JOIN cat ON cat.id = TRY_CAST(regexp_extract(c.class_name, '(\d+)', 1) AS INTEGER)"""
+
+ORACLE["reject_filter"] = f"""
+SELECT doc_id, CAST(length(split_part(text, chr(10), 1)) AS BIGINT) AS first_len FROM documents
+WHERE text IS NOT NULL AND NOT contains(split_part(text, chr(10), 1), '{S.WITHDRAWN_MARKER}')"""
+
+ORACLE["remap_unknown"] = _with(CODES) + f"""
+, rc AS (SELECT o.o_orderkey AS row_id, coalesce(c.code, 'NONE') AS code
+         FROM orders o LEFT JOIN codes c ON c.row_id = o.o_orderkey),
+m AS (SELECT row_id, CASE WHEN code IN ({_SENT}) THEN 'UNKNOWN' ELSE code END AS code FROM rc)
+SELECT row_id, code, CAST(CASE WHEN code IN ('UNKNOWN', 'NONE') THEN 0 ELSE 1 END AS BIGINT) AS kept FROM m"""
+
+ORACLE["drop_sentinels"] = _with(CLS) + "SELECT class_name, CAST(class_idx AS BIGINT) AS class_idx FROM cls"
+
+ORACLE["json_fields"] = """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%d %H:%M') AS ts_minute,
+       event_type FROM events"""
+
+ORACLE["nested_feed"] = f"""
+WITH f AS (SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, array_to_string(list_sort(list_distinct(list(role))), '|') AS labels
+      FROM conversations GROUP BY conv_id)
+SELECT 'CONV-' || CAST(conv_id AS VARCHAR) AS record_id, CAST(length(first_text) AS BIGINT) AS text_len, labels
+FROM f JOIN r USING (conv_id)
+WHERE first_text IS NOT NULL AND NOT contains(first_text, '{S.WITHDRAWN_MARKER}')"""
+
+_Q = "'"
+ORACLE["parse_label_list"] = _with(CODES) + f""", rc AS (SELECT row_id, list_sort(list(code)) AS l FROM codes GROUP BY row_id),
+t AS (SELECT row_id, CASE WHEN len(l) = 1 THEN l[1]
+                          ELSE '[{_Q}{_Q}' || array_to_string(l, '{_Q}{_Q}, {_Q}{_Q}') || '{_Q}{_Q}]' END AS txt FROM rc),
+p AS (SELECT row_id, txt, list_filter(string_split(trim(txt, '[]'), '{_Q}{_Q}'),
+                                      lambda x: x NOT IN (',', ', ', '')) AS pl FROM t)
+SELECT row_id, txt, CAST(len(pl) AS BIGINT) AS n, array_to_string(pl, '|') AS labels FROM p"""
+
+ORACLE["html_first_list"] = r"""
+WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<ul[^>]*>(.*?)</ul>', 1) AS blk FROM pages),
+r AS (SELECT page_id, regexp_extract_all(blk, '(?s)<li[^>]*>(.*?)</li>', 1) AS rws FROM b),
+x AS (SELECT page_id, rws, unnest(range(len(rws))) AS i FROM r)
+SELECT page_id, CAST(i AS BIGINT) AS pos, trim(regexp_replace(rws[i + 1], '<[^>]+>', '', 'g')) AS item FROM x"""
+
+ORACLE["batches"] = _with(CLS, CODES, LAB, SPLIT) + f"""
+SELECT row_id, split,
+       CAST((row_number() OVER (PARTITION BY split ORDER BY CASE WHEN split = 'train' THEN {_md5('row_id')} ELSE '' END,
+                                row_id) - 1) // {S.BATCH_SIZE} AS BIGINT) AS batch_id
+FROM spl WHERE split <> 'none'"""
+
+_PROFILE_COLS = {
+    "documents": (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                  ("n_chars", "bigint")),
+    "customer": (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
+                 ("c_mktsegment", "string")),
+}
+ORACLE["profile"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS tbl, '{c}' AS col, '{ty}' AS type, CAST(count(*) AS BIGINT) AS n_rows, "
+    f"CAST(count({c}) AS BIGINT) AS n_nonnull FROM {t}"
+    for t, cols in _PROFILE_COLS.items() for c, ty in cols)
+
+ORACLE["map_columns"] = """
+SELECT c_custkey, upper(c_name) AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
+       upper(c_mktsegment) AS c_mktsegment FROM customer"""
+
+_YEARS = ", ".join(f"({y})" for y in S.EXPECTED_YEARS)
+ORACLE["feed_gaps"] = f"""
+SELECT CAST(year AS BIGINT) AS year FROM (VALUES {_YEARS}) v(year)
+WHERE year NOT IN (SELECT DISTINCT year(o_orderdate) FROM orders)"""
+
+ORACLE["csv_roundtrip"] = """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"""
+
+ORACLE["bundle_roundtrip"] = _with(CLS, CODES, LAB) + "SELECT row_id, CAST(class_idx AS BIGINT) AS class_idx FROM lab"
+
+# ---------------------------------------------------------------- text
+
+VOCAB = r"""w AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS token FROM documents),
+wc AS (SELECT token, count(*) AS cnt FROM w GROUP BY token),
+voc AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) - 1 + 3 AS BIGINT) AS id,
+               CAST(cnt AS BIGINT) AS cnt FROM wc)"""
+ORACLE["vocab"] = _with(VOCAB) + """
+SELECT token, id, cnt FROM voc
+UNION ALL
+SELECT token, CAST(id AS BIGINT), CAST(cnt AS BIGINT) FROM (VALUES ('<pad>', 0, 0), ('<unk>', 1, 0), ('<mask>', 2, 0)) v(token, id, cnt)"""
+
+ENCODE = VOCAB + r""",
+tw AS (SELECT doc_id, regexp_extract_all(substr(coalesce(text, 'nan'), 1, 512), '[\p{L}\p{N}]+') AS tl FROM documents),
+tk AS (SELECT doc_id, i, tl[i + 1] AS token FROM (SELECT doc_id, tl, unnest(range(len(tl))) AS i FROM tw)),
+ti AS (SELECT tk.doc_id, tk.i, coalesce(v.id, 1) AS tid FROM tk LEFT JOIN voc v ON v.token = tk.token),
+il AS (SELECT doc_id, list(tid ORDER BY i) AS ids FROM ti GROUP BY doc_id),
+enc AS (SELECT d.doc_id, list_slice(coalesce(il.ids, []), 1, 512) AS ids FROM documents d LEFT JOIN il USING (doc_id))"""
+
+ORACLE["encode_pad"] = _with(ENCODE) + """, mx AS (SELECT max(len(ids)) AS L FROM enc)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(mx.L AS BIGINT) AS padded_len,
+       array_to_string(list_concat(ids, list_transform(range(mx.L - len(ids)), lambda x: 0)), ',') AS ids,
+       CAST(len(ids) AS BIGINT) AS mask_sum
+FROM enc, mx"""
+
+
+def _unit_in_lambda(tag, pos: str) -> str:
+    parts = ["'42'"] + ([f"'{tag}'"] if tag else []) + ["CAST(doc_id AS VARCHAR)", f"CAST({pos} AS VARCHAR)"]
+    return f"CAST(('0x' || substr(md5(concat_ws('#', {', '.join(parts)})), 1, 8)) AS BIGINT)"
+
+
+ORACLE["mask_tokens"] = _with(ENCODE) + f""", nv AS (SELECT count(*) AS nw FROM wc),
+mk AS (SELECT doc_id, ids, nv.nw,
+         list_transform(ids, lambda x, i: CASE WHEN {_unit_in_lambda(None, 'i - 1')} / 4294967296.0 < {S.MASK_RATE}
+              THEN (CASE WHEN {_unit_in_lambda('r', 'i - 1')} / 4294967296.0 < 0.8 THEN 2
+                         WHEN {_unit_in_lambda('r', 'i - 1')} / 4294967296.0 < 0.9 THEN 3 + {_unit_in_lambda('t', 'i - 1')} % nw
+                         ELSE x END)
+              ELSE x END) AS masked,
+         len(list_filter(list_transform(ids, lambda x, i: {_unit_in_lambda(None, 'i - 1')} / 4294967296.0 < {S.MASK_RATE}),
+                         lambda c: c)) AS n_chosen
+       FROM enc, nv)
+SELECT doc_id, CAST(n_chosen AS BIGINT) AS n_chosen, array_to_string(masked, ',') AS masked FROM mk"""

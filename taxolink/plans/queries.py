@@ -14,18 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxolink.functions.arrays import sorted_int_list_text
+from taxolink.functions.arrays import as_list, sorted_int_list_text
+from taxolink.functions.text import contains_marker, parse_list_text
+from taxolink.functions.time import parse_zoned_ts
 from taxolink.functions.text import first_int, relation_ids
 from taxolink.functions.text import truncate_text as truncate_text_col
 from taxolink.operators import labels as L
 from taxolink.operators import links as LK
 from taxolink.operators import metrics as M
 from taxolink.operators import scoring as SC
+from taxolink.operators import shape as SH
+from taxolink.operators import textprep as TX
 from taxolink.operators import splits as SP
 from taxolink.operators import taxonomy as H
 from taxolink.operators.ranking import exact_row_number
 from taxolink.operators.sizing import small_side
 from taxolink.plans import standins as S
+from taxolink.session import scratch_path
+from taxolink.sources import bundle as BD
+from taxolink.sources import catalog as CT
+from taxolink.sources import feeds as FD
+from taxolink.sources import pages as PG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -386,5 +395,228 @@ def truncate_text(spark, d):
     return docs.select("doc_id", t.alias("text512"), F.length(t).alias("n512"))
 
 
+# ---------------------------------------------------------------- records, shape, sources
+
+@query("append_classes")
+def append_classes(spark, d):
+    """Class rows (text from the first catalogue match) after records."""
+    recs = S.records(spark, d)
+    codes = S.record_codes(spark, d).groupBy("row_id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    rec = recs.join(codes, "row_id", "left").select(
+        "row_id", F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"),
+        F.coalesce("codes", F.array(F.lit("NONE"))).alias("labels"))
+    part = S.read(spark, d, "part")
+    cat = part.select(first_int("p_brand").alias("id"), F.col("p_partkey").alias("pos"),
+                      SH.class_text("p_brand", "p_name", "p_type", "p_size").alias("ctext"))
+    first = SH.first_match_text(cat, "id", "ctext", "pos")
+    cls = S.classes(spark, d).withColumn("id", first_int("class_name"))
+    crow = cls.join(first, "id", "left").select(
+        F.col("class_idx").cast("long").alias("row_id"), F.coalesce("ctext", F.lit("")).alias("text"),
+        as_list("class_name").alias("labels"))
+    out = SH.append_class_rows(rec.withColumn("row_kind", F.lit("record")),
+                               crow.withColumn("row_kind", F.lit("class")))
+    return out.select("row_kind", "row_id", "text", F.array_join("labels", "|").alias("labels"), "is_class")
+
+
+@query("reject_filter")
+def reject_filter(spark, d):
+    """Drop documents whose first line is missing or holds the withdrawn marker."""
+    docs = S.read(spark, d, "documents")
+    first = F.get(F.split("text", "\n"), 0)
+    kept = docs.filter(first.isNotNull() & ~contains_marker(first, S.WITHDRAWN_MARKER))
+    return kept.select("doc_id", F.length(F.coalesce(first, F.lit("NONE"))).alias("first_len"))
+
+
+@query("remap_unknown")
+def remap_unknown(spark, d):
+    """Sentinel codes become UNKNOWN, records without codes get NONE; both are flagged
+    as dropped."""
+    recs = S.records(spark, d).select("row_id")
+    rc = recs.join(S.record_codes(spark, d), "row_id", "left").withColumn("code", F.coalesce("code", F.lit("NONE")))
+    code = FD.remap_unknown("code", S.SENTINEL_CODES)
+    return rc.select("row_id", code.alias("code"), FD.known_code(code).cast("int").alias("kept"))
+
+
+@query("drop_sentinels")
+def drop_sentinels(spark, d):
+    """Catalogue A without the sentinel rows, dense index in catalogue order."""
+    return S.classes(spark, d)
+
+
+@query("json_fields")
+def json_fields(spark, d):
+    """JSON field of events and zone-suffixed timestamp text parsed back."""
+    ev = S.read(spark, d, "events")
+    k = F.from_json("props", "k long")["k"]
+    ts_text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm'Z'")
+    parsed = parse_zoned_ts(ts_text, FD.TS_FORMAT)
+    return ev.select("event_id", k.alias("k"), F.date_format(parsed, "yyyy-MM-dd HH:mm").alias("ts_minute"),
+                     "event_type")
+
+
+@query("nested_feed")
+def nested_feed(spark, d):
+    """S1 (JSON lines), P1–P5, P8, P9: conversations written as nested feed items and read back."""
+    conv = S.read(spark, d, "conversations")
+    per = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    lv = lambda v: F.struct(F.lit("en").alias("lang"), v.alias("value"))
+    item = per.select(
+        F.struct(
+            F.struct(F.concat(F.lit("CONV-"), F.col("conv_id").cast("string")).alias("ID")).alias("CVE_data_meta"),
+            F.struct(F.array(F.struct(
+                F.array_sort(F.array_distinct(F.transform("t", lambda x: lv(x["role"])))).alias("description")
+            )).alias("problemtype_data")).alias("problemtype"),
+            F.struct(F.transform("t", lambda x: lv(x["text"])).alias("description_data")).alias("description"),
+        ).alias("cve"),
+        F.lit("2024-01-01T00:00Z").alias("publishedDate"))
+    path = scratch_path(spark, "feed")
+    item.write.mode("overwrite").json(path)
+    recs = FD.process_feed(FD.read_feed(spark, [path], json_lines=True), marker=S.WITHDRAWN_MARKER)
+    return recs.select("record_id", F.length("text").alias("text_len"), F.array_join("labels", "|").alias("labels"))
+
+
+@query("parse_label_list")
+def parse_label_list(spark, d):
+    """Label lists printed as Python-literal text (single codes unquoted) and parsed."""
+    lists = S.record_codes(spark, d).groupBy("row_id").agg(F.sort_array(F.collect_set("code")).alias("l"))
+    txt = F.when(F.size("l") == 1, F.get("l", 0)).otherwise(
+        F.concat(F.lit("['"), F.array_join("l", "', '"), F.lit("']")))
+    parsed = parse_list_text(txt)
+    return lists.select("row_id", txt.alias("txt"), F.size(parsed).alias("n"),
+                        F.array_join(parsed, "|").alias("labels"))
+
+
+@query("html_first_list")
+def html_first_list(spark, d):
+    """Items of the first list of every page."""
+    return PG.first_block_rows(S.read(spark, d, "pages"), container="ul", row="li")
+
+
+@query("batches")
+def batches(spark, d):
+    """Batch ids per split; training rows shuffled (md5 order), others by id."""
+    split = _labelled_split(spark, d).withColumn("split", _split_name()).filter(F.col("split") != "none")
+    b = SP.batches(split.select("row_id", "split"), "row_id", S.BATCH_SIZE,
+                   shuffle=F.col("split") == "train", seed=S.SEED, group_col="split")
+    return b.select("row_id", "split", "batch_id")
+
+
+@query("profile")
+def profile(spark, d):
+    """Column profile of two tables."""
+    return SH.profile({"documents": S.read(spark, d, "documents"), "customer": S.read(spark, d, "customer")})
+
+
+@query("map_columns")
+def map_columns(spark, d):
+    """A function applied to the string columns only."""
+    cust = S.read(spark, d, "customer")
+    return SH.apply_columns(cust, F.upper, leaf_types=(T.StringType,))
+
+
+@query("feed_gaps")
+def feed_gaps(spark, d):
+    """Expected feed years that have no data."""
+    years = S.read(spark, d, "orders").select(F.year("o_orderdate").alias("year"))
+    return FD.feed_gaps(spark, years, S.EXPECTED_YEARS)
+
+
+@query("csv_roundtrip")
+def csv_roundtrip(spark, d):
+    """A table written as CSV and read back with its schema."""
+    cust = S.read(spark, d, "customer")
+    path = scratch_path(spark, "csv")
+    CT.write_csv(cust, path)
+    return CT.read_csv(spark, path, cust.schema, encoding="UTF-8")
+
+
+@query("bundle_roundtrip")
+def bundle_roundtrip(spark, d):
+    """The label table materialised as part of a bundle and loaded back."""
+    root = scratch_path(spark, "bundle")
+    BD.materialize(spark, f"{root}/labels", lambda: S.labels(spark, d), recompute=True)
+    BD.save_bundle({"classes": S.classes(spark, d)}, root)
+    return BD.load_bundle(spark, root, ["labels", "classes"])["labels"]
+
+
+# ---------------------------------------------------------------- text
+
+def _vocab_and_codes(spark, d):
+    docs = S.read(spark, d, "documents")
+    return docs, TX.build_vocab(docs)
+
+
+@query("vocab")
+def vocab(spark, d):
+    """Word vocabulary of the whole corpus, ids by frequency rank."""
+    return _vocab_and_codes(spark, d)[1]
+
+
+@query("encode_pad")
+def encode_pad(spark, d):
+    """Texts cut at 512 characters, encoded, padded to the longest with a mask."""
+    docs, voc = _vocab_and_codes(spark, d)
+    enc = TX.encode(docs, voc)
+    longest = enc.agg(F.max(F.size("ids"))).first()[0] or 0
+    padded, mask = TX.pad(F.col("ids"), int(longest))
+    return enc.select("doc_id", F.size("ids").alias("n_tokens"), F.size(padded).alias("padded_len"),
+                      F.array_join(F.transform(padded, lambda x: x.cast("string")), ",").alias("ids"),
+                      F.aggregate(mask, F.lit(0), lambda a, b: a + b).alias("mask_sum"))
+
+
+@query("mask_tokens")
+def mask_tokens(spark, d):
+    """Masked-text corpus (15 % of tokens; 80 / 10 / 10 mask, random, keep)."""
+    docs, voc = _vocab_and_codes(spark, d)
+    enc = TX.encode(docs, voc)
+    vsize = voc.count()
+    masked, target = TX.mask_tokens(F.col("ids"), F.col("doc_id"), vsize, S.MASK_RATE, S.SEED)
+    return enc.select("doc_id", F.size(F.filter(target, lambda x: x != TX.IGNORE)).alias("n_chosen"),
+                      F.array_join(F.transform(masked, lambda x: x.cast("string")), ",").alias("masked"))
+
+
+# ---------------------------------------------------------------- Spark ML re-aims (rows-only)
+
+@query("text_vectors")
+def text_vectors(spark, d):
+    """M6, M7: text model fitted on all record and class texts, applied to documents."""
+    docs = S.read(spark, d, "documents").select("doc_id", "text")
+    cls = S.read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    model = SC.fit_text_model(docs.unionByName(cls))
+    vec = SC.encode_texts(model, docs)
+    return vec.select("doc_id", F.size(vector_to_array_indices("tvec")).alias("nnz"))
+
+
+@query("pair_head_fit")
+def pair_head_fit(spark, d):
+    """M5: logistic-regression pair head fitted on labelled links, applied to them."""
+    links = _emb_links(spark, d)
+    model = SC.fit_pair_head(links)
+    out = SC.apply_pair_head(model, links)
+    return out.select("row_id", "slot", "class_idx", "label", F.round("p", 4).alias("p"))
+
+
+@query("evaluate_split")
+def evaluate_split(spark, d):
+    """A10: loss and batch-weighted F1 of the fitted head over batches of records."""
+    links = _emb_links(spark, d)
+    scored = SC.apply_pair_head(SC.fit_pair_head(links), links)
+    recs = scored.select("row_id").distinct()
+    b = SP.batches(recs, "row_id", S.BATCH_SIZE, shuffle=False).select("row_id", "batch_id")
+    j = (scored.join(b, "row_id")
+               .withColumn("ce", M.link_cross_entropy(F.col("p"), F.col("label")))
+               .withColumn("pred", M.predicted_class(F.lit(1.0) - F.col("p"), F.col("p"))))
+    loss = M.batch_mean_loss(j).select(F.lit("loss").alias("metric"), F.round("loss", 6).alias("value"))
+    f1 = M.batch_weighted_f1(j, "label", "pred").select(F.lit("epoch_f1").alias("metric"),
+                                                         F.round("epoch_f1", 6).alias("value"))
+    return loss.unionByName(f1)
+
+
+def vector_to_array_indices(col: str):
+    """Non-zero positions of an ML sparse vector column."""
+    from pyspark.ml.functions import vector_to_array
+    return F.filter(vector_to_array(F.col(col)), lambda x: x != 0.0)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

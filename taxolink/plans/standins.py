@@ -32,6 +32,8 @@ BEAM_TRIPLES = ((1, 1, 1), (3, 2, 1), (5, 2, 2))
 # Small class tree over the embedding labels 0..9: child -> parent (-1 = root).
 CLASS_TREE = ((0, -1), (1, -1), (2, -1), (3, 0), (4, 0), (5, 1), (6, 1), (7, 2), (8, 3), (9, 3))
 EXPECTED_YEARS = tuple(range(1993, 2003))
+WITHDRAWN_MARKER = "License"
+MASK_RATE = 0.15
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
