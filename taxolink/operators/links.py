@@ -75,8 +75,11 @@ def unlinkable(labels: DataFrame, n_classes: int, id_col: str = "row_id",
 def flatten_links(lists: DataFrame, k: int, id_col: str = "row_id") -> DataFrame:
     """K3 / K4: ``(id, slot, class_idx, label)``; positives first (slots 0..k-1, label 1),
     then negatives (slots k..2k-1, label 0)."""
-    pos = lists.select(id_col, F.posexplode("pos").alias("slot", "class_idx")).withColumn("label", F.lit(1))
-    neg = (lists.select(id_col, F.posexplode("neg").alias("slot", "class_idx"))
+    # ``posexplode_outer``: the lists are never empty here, and an outer explode gets no inferred
+    # ``size(list) > 0`` filter, which would be pushed below the projection and re-evaluate the
+    # seeded draw inside it.
+    pos = lists.select(id_col, F.posexplode_outer("pos").alias("slot", "class_idx")).withColumn("label", F.lit(1))
+    neg = (lists.select(id_col, F.posexplode_outer("neg").alias("slot", "class_idx"))
                 .withColumn("slot", F.col("slot") + F.lit(k)).withColumn("label", F.lit(0)))
     return pos.unionByName(neg)
 

@@ -583,8 +583,8 @@ def text_vectors(spark, d):
     docs = S.read(spark, d, "documents").select("doc_id", "text")
     cls = S.read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     model = SC.fit_text_model(docs.unionByName(cls))
-    vec = SC.encode_texts(model, docs)
-    return vec.select("doc_id", F.size(vector_to_array_indices("tvec")).alias("nnz"))
+    vec = model.transform(docs)
+    return vec.select("doc_id", F.size("_tok").alias("n_words"), "tvec")
 
 
 @query("pair_head_fit")
@@ -612,11 +612,5 @@ def evaluate_split(spark, d):
     return loss.unionByName(f1)
 
 
-def vector_to_array_indices(col: str):
-    """Non-zero positions of an ML sparse vector column."""
-    from pyspark.ml.functions import vector_to_array
-    return F.filter(vector_to_array(F.col(col)), lambda x: x != 0.0)
-
-
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
