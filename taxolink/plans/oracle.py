@@ -339,9 +339,11 @@ SELECT CAST(r.k0 AS BIGINT) AS k0, CAST(r.k1 AS BIGINT) AS k1, CAST(r.k2 AS BIGI
 FROM rec r LEFT JOIN hit h ON h.row_id = r.row_id AND h.k0 = r.k0 AND h.k1 = r.k1 AND h.k2 = r.k2
 GROUP BY r.k0, r.k1, r.k2"""
 
-EPOCHS = """h AS (SELECT event_type AS run_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch,
-              round(avg(value), 4) AS val_acc, round(1.0 / (1.0 + avg(value)), 6) AS loss
-       FROM events GROUP BY 1, 2)"""
+EPOCHS = """hs AS (SELECT event_type AS run_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS epoch,
+               sum(CAST(round(value * 100) AS BIGINT)) AS s, count(*) AS n
+        FROM events GROUP BY 1, 2),
+h AS (SELECT run_id, epoch, floor((200 * s + n) / (2.0 * n)) / 10000.0 AS val_acc,
+             floor((200000000 * n + (100 * n + s)) / (2.0 * (100 * n + s))) / 1000000.0 AS loss FROM hs)"""
 
 ORACLE["running_best"] = _with(EPOCHS) + """
 SELECT run_id, epoch, val_acc,

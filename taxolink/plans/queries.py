@@ -360,9 +360,15 @@ def _epoch_table(spark, d) -> DataFrame:
     """Events as a metric history: run = event type, epoch = day number, val_acc and loss per day."""
     ev = S.read(spark, d, "events")
     epoch = F.datediff(F.to_date("ts"), F.to_date(F.lit("1970-01-01"))).cast("long")
-    return ev.groupBy(F.col("event_type").alias("run_id"), epoch.alias("epoch")).agg(
-        F.round(F.avg("value"), 4).alias("val_acc"),
-        F.round(F.lit(1.0) / (F.lit(1.0) + F.avg("value")), 6).alias("loss"))
+    # values carry two decimals: sum them exactly in hundredths and round half-up by integer
+    # division, so the daily metrics have no ties that two engines could round differently
+    per = ev.groupBy(F.col("event_type").alias("run_id"), epoch.alias("epoch")).agg(
+        F.sum(F.round(F.col("value") * 100).cast("long")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    s_, n_ = F.col("_s"), F.col("_n")
+    acc_e4 = F.floor((F.lit(200) * s_ + n_) / (F.lit(2) * n_))
+    loss_e6 = F.floor((F.lit(200_000_000) * n_ + (F.lit(100) * n_ + s_)) / (F.lit(2) * (F.lit(100) * n_ + s_)))
+    return per.select("run_id", "epoch", (acc_e4 / F.lit(10000.0)).alias("val_acc"),
+                      (loss_e6 / F.lit(1000000.0)).alias("loss"))
 
 
 @query("running_best")
