@@ -44,8 +44,11 @@ def negative_draw(n_classes: int, k: int, seed: int, id_col: str = "row_id") ->
     b = hash_u32(seed, F.lit("b"), F.col(id_col)) % F.lit(p)
     m = F.least(F.lit(k + p - n_classes) + F.size("labels"), F.lit(p))
     walk = F.transform(F.sequence(F.lit(0), m - 1), lambda j: (a * j + b) % F.lit(p))
-    ok = F.filter(walk, lambda x: (x < F.lit(n_classes)) & ~F.array_contains(F.col("labels"), x.cast("int")))
-    return F.slice(ok, 1, k).cast("array<int>")
+    # drop the record's labels and the padding values n_classes..p-1 (order of the walk is kept)
+    excluded = F.col("labels").cast("array<long>")
+    if p > n_classes:
+        excluded = F.concat(excluded, F.sequence(F.lit(n_classes).cast("long"), F.lit(p - 1).cast("long")))
+    return F.slice(F.array_except(walk, excluded), 1, k).cast("array<int>")
 
 
 def complement(n_classes: int) -> Column:
@@ -60,9 +63,11 @@ def link_lists(labels: DataFrame, n_classes: int, k: int, seed: int,
     negatives cannot form both sides (the reference fails on them); they are dropped
     here and can be counted with :func:`unlinkable`."""
     lists = label_lists(labels, id_col, class_col)
+    # a negative exists iff the record does not carry every class: decided on the labels, so the
+    # filter never needs (or re-evaluates) the draw
+    lists = lists.filter((F.size("labels") > 0) & (F.size("labels") < n_classes))
     drawn = lists.withColumn("_neg", negative_draw(n_classes, k, seed, id_col))
-    return (drawn.filter((F.size("labels") > 0) & (F.size("_neg") > 0))
-                 .select(id_col, positives(drawn, k).alias("pos"), cyclic_repeat(F.col("_neg"), k).alias("neg")))
+    return drawn.select(id_col, positives(drawn, k).alias("pos"), cyclic_repeat(F.col("_neg"), k).alias("neg"))
 
 
 def unlinkable(labels: DataFrame, n_classes: int, id_col: str = "row_id",

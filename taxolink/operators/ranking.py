@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolink.session import scratch_path
+from taxolink.session import write_and_read
 
 _POS_BITS = 33
 
@@ -48,9 +48,7 @@ def exact_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     # out of a shuffle) two evaluations could cut different ranges. Write the numbered rows once
     # to the shared checkpoint folder, so both uses below read one materialisation (this also
     # cuts the lineage: a lost executor re-reads files instead of recomputing the sort).
-    path = scratch_path(spark, "ranked")
-    ranged.write.mode("overwrite").parquet(path)
-    ranged = spark.read.parquet(path)
+    ranged = write_and_read(ranged, "ranked")
 
     stats = (ranged.groupBy("_pid", *group_cols)
                    .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt")))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from taxolink.functions.text import relation_ids
 from taxolink.operators.sizing import small_side
+from taxolink.session import write_and_read
 
 ROOT = -1
 
@@ -84,8 +85,9 @@ def problems(parents: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- depth, levels, closure
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into spark.checkpoint.dir (never a machine-local copy)."""
-    return df.checkpoint(eager=True)
+    """Write once into the shared checkpoint folder and read back (never a machine-local copy;
+    unlike an eager RDD checkpoint the input is computed only once)."""
+    return write_and_read(df, "hierarchy")
 
 
 def depth_paths(parents: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -96,6 +98,7 @@ def depth_paths(parents: DataFrame, max_rounds: int | None = None) -> DataFrame:
     :func:`problems`). A cycle reachable from a root would never end; it raises after
     as many rounds as there are nodes.
     """
+    parents = _materialize(parents)
     edges = _materialize(path_edges(parents).filter(F.col("parent") != ROOT))
     frontier = _materialize(roots_of(parents).select(
         "node", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("n_paths")))
@@ -137,6 +140,7 @@ def ancestors(parents: DataFrame, fail_on_cycle: bool = True, max_rounds: int |
     closure of a finite graph is finite, so this ends on cycles too; with
     ``fail_on_cycle`` a node that becomes its own ancestor raises.
     """
+    parents = _materialize(parents)
     edges = _materialize(path_edges(parents).filter(F.col("parent") != ROOT))
     closure = _materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")))
     delta = closure

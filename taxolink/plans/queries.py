@@ -30,7 +30,7 @@ from taxolink.operators import taxonomy as H
 from taxolink.operators.ranking import exact_row_number
 from taxolink.operators.sizing import small_side
 from taxolink.plans import standins as S
-from taxolink.session import scratch_path
+from taxolink.session import scratch_path, write_and_read
 from taxolink.sources import bundle as BD
 from taxolink.sources import catalog as CT
 from taxolink.sources import feeds as FD
@@ -157,7 +157,7 @@ def edges_valid(spark, d):
 @query("edges_indexed")
 def edges_indexed(spark, d):
     """Both edge forms in dense-index space."""
-    parents = S.dag_parents(spark, d)
+    parents = write_and_read(S.dag_parents(spark, d), "dag_parents")
     index = exact_row_number(parents.select("node"), [], ["node"], out_col="rn")
     index = index.select("node", (F.col("rn") - 1).alias("class_idx"))
     return H.index_edges(parents, index)

@@ -63,3 +63,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def write_and_read(df, name: str):
+    """Write ``df`` once as Parquet under the shared scratch folder and read it back: one
+    computation, columnar storage, and lineage cut (a lost executor re-reads files)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
