@@ -64,10 +64,18 @@ def _split_name() -> F.Column:
              .when(F.col("is_test"), "test").otherwise("none"))
 
 
+def _labelled_rows(spark, d) -> DataFrame:
+    """Known labels of records with the records' temporal masks:
+    ``(row_id, class_idx, ts, is_train, is_val, is_test)``. One join of records with the label
+    table; a record is labelled exactly when it has a row here."""
+    recs = S.records(spark, d).select("row_id", "ts")
+    rows_ = recs.join(S.labels(spark, d), "row_id")
+    return SP.temporal_split(rows_, F.lit(True), "ts", S.TEMPORAL_WINDOWS, S.WINDOW_ZONE)
+
+
 def _labelled_split(spark, d) -> DataFrame:
-    """Labelled records with their temporal masks: ``(row_id, ts, is_train, is_val, is_test)``."""
-    recs = S.labelled_records(spark, d).filter("is_labelled")
-    return SP.temporal_split(recs, F.lit(True), "ts", S.TEMPORAL_WINDOWS, S.WINDOW_ZONE)
+    """Labelled records with their masks, one row per record."""
+    return _labelled_rows(spark, d).select("row_id", "is_train", "is_val", "is_test").distinct()
 
 
 # ---------------------------------------------------------------- labels
@@ -101,16 +109,14 @@ def class_membership(spark, d):
 @query("temporal_split")
 def temporal_split(spark, d):
     """Labelled records per temporal split and class."""
-    split = _labelled_split(spark, d).withColumn("split", _split_name())
-    return (split.join(S.labels(spark, d), "row_id")
-                 .groupBy("split", "class_idx")
-                 .agg(F.count(F.lit(1)).alias("n_records")))
+    split = _labelled_rows(spark, d).withColumn("split", _split_name())
+    return split.groupBy("split", "class_idx").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 @query("class_cap")
 def class_cap(spark, d):
     """Training rows capped per raw code (sentinel codes form groups too)."""
-    train = _labelled_split(spark, d).filter("is_train").select("row_id")
+    train = _labelled_rows(spark, d).filter("is_train").select("row_id").distinct()
     codes = S.record_codes(spark, d).join(train, "row_id", "left_semi")
     return SP.class_cap(codes, "row_id", "code", cap=S.CLASS_CAP, seed=S.SEED)
 
@@ -118,8 +124,7 @@ def class_cap(spark, d):
 @query("stratified_split")
 def stratified_split(spark, d):
     """Per-class random 0.70 / 0.10 / rest split of the pooled rows."""
-    pool_ids = _labelled_split(spark, d).filter(SP.any_mask()).select("row_id")
-    pool = S.labels(spark, d).join(pool_ids, "row_id", "left_semi")
+    pool = _labelled_rows(spark, d).filter(SP.any_mask()).select("row_id", "class_idx")
     return SP.stratified_split(pool, "row_id", "class_idx", S.TRAIN_FRAC, S.VAL_FRAC, S.SEED)
 
 
