@@ -124,3 +124,21 @@ def batches(rows: DataFrame, id_col: str, batch_size: int, shuffle, seed: int =
 def n_batches(n_rows: Column, batch_size: int) -> Column:
     """ceil(n / B)."""
     return F.ceil(n_rows / F.lit(batch_size)).cast("long")
+
+
+def dataset_variant(variant: str, records: DataFrame, labels: DataFrame,
+                    windows: dict[str, tuple[int, int]], ts_col: str = "ts", seed: int = 42,
+                    train_frac: float = 0.70, val_frac: float = 0.10) -> DataFrame:
+    """Masks of the chosen dataset variant, ``(row_id, is_train, is_val, is_test)``.
+
+    ``temporal``: labelled records by time window; ``random``: the stratified split of the rows
+    the temporal windows pool. (The ``dummy`` variant is :func:`taxolink.sources.fixtures.dummy_dataset`.)
+    """
+    rows_ = records.select("row_id", ts_col).join(labels, "row_id")
+    temporal = temporal_split(rows_, F.lit(True), ts_col, windows)
+    if variant == "temporal":
+        return temporal.select("row_id", *MASKS).distinct()
+    if variant == "random":
+        pool = temporal.filter(any_mask()).select("row_id", "class_idx")
+        return stratified_split(pool, "row_id", "class_idx", train_frac, val_frac, seed)
+    raise ValueError(f"unknown dataset variant {variant!r}")

@@ -120,3 +120,15 @@ def test_reset_masks(spark):
                                      "row_id long, is_train boolean, is_val boolean, is_test boolean")
     out = SP.reset_masks(rowsdf, assigned, "row_id")
     assert rows(out, "row_id", "is_train", "is_val", "is_test") == [(1, False, False, False), (2, False, True, False)]
+
+
+def test_dataset_variants(spark):
+    recs = spark.createDataFrame([(i, dt.datetime(2019 + i % 3, 6, 1)) for i in range(30)], "row_id long, ts timestamp")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(30)], "row_id long, class_idx int")
+    win = {"train": (2019, 2019), "val": (2020, 2020), "test": (2021, 2021)}
+    t = SP.dataset_variant("temporal", recs, lab, windows=win)
+    s = SP.split_sizes(t).first()
+    assert (s["n_train"], s["n_val"], s["n_test"]) == (10, 10, 10)
+    r = SP.dataset_variant("random", recs, lab, windows=win)
+    s = SP.split_sizes(r).first()
+    assert (s["n_train"], s["n_val"], s["n_test"]) == (20, 2, 8)

@@ -147,3 +147,24 @@ def test_running_best_and_best_epoch(spark):
     assert (b["best_epoch"], b["best_loss"]) == (1, 0.5)
     hist = M.epoch_history(h, "val_acc").first()["values"]
     assert hist == [0.2, 0.2, 0.5, 0.4]
+
+
+def test_class_side_score_matrix_and_total_loss(spark):
+    orig = spark.createDataFrame([(13, 0), (14, 1)], "row_id long, class_idx int")
+    exp = spark.createDataFrame([(13, 0), (13, 1), (14, 1)], "row_id long, class_idx int")
+    cls = spark.createDataFrame([(13,), (14,)], "row_id long")
+    got = {r["row_id"]: (r["o_labels"], r["h_labels"]) for r in LK.class_side(cls, orig, exp).collect()}
+    assert got == {13: ([0], [0, 1]), 14: ([1], [1])}
+    from taxolink.operators import scoring as SC
+    sc = _scores_g4(spark)
+    mat = {r["row_id"]: r["scores"] for r in SC.score_matrix(sc).collect()}
+    assert mat[1] == {0: 0.0, 1: 1.0, 2: 0.0, 3: 0.0}
+    df = spark.createDataFrame([(1.0, 0.5), (3.0, 1.5)], "ce double, tl double")
+    r = df.agg(SC.total_loss(F.col("ce"), F.col("tl"), lam=0.1).alias("l")).first()
+    assert math.isclose(r["l"], 2.0 + 0.1 * 1.0)
+
+
+def test_children_of(spark):
+    tree = spark.createDataFrame([(n, p) for n, p in CLASS_PARENTS], "node long, parents array<long>")
+    frontier = spark.createDataFrame([(7, 1)], "row_id long, node long")
+    assert rows(H.children_of(frontier, tree), "row_id", "node", "child") == [(7, 1, 0)]
