@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolink.functions.mathx import argmax2, threshold
+from taxolink.session import write_and_read
 
 EPS = 1e-12
 
@@ -91,29 +92,42 @@ def _top(df: DataFrame, part: Sequence[str], k_col: str, id_col: str) -> DataFra
 
 def beam_search(records: DataFrame, roots: DataFrame, edges: DataFrame, scorer: Scorer,
                 triples: Sequence[tuple[int, int, int]], max_depth: int,
-                id_col: str = "row_id") -> DataFrame:
+                id_col: str = "row_id", carry: Sequence[str] = ()) -> DataFrame:
     """Visited nodes ``(id, k0, k1, k2, class_idx)`` for each beam triple.
 
     Level 0: top k0 roots by score; level 1: top k1 children of each chosen root; deeper
     levels: top k2 children of each node chosen on the level above, down to the leaves.
     Only frontier pairs are scored; ties go to the lower class index. ``edges`` is the
-    parent → child table ``(parent, child)``; ``max_depth`` bounds the loop (hierarchy depth).
+    parent → child table ``(parent, child)`` (small, size-checked broadcast); ``max_depth``
+    bounds the loop (hierarchy depth).
+
+    ``carry`` columns of ``records`` (e.g. the record vector) travel with the frontier, so a
+    scorer only joins class-side data (broadcast) and the record table is never re-joined;
+    each level's top-k shuffles only the frontier. Levels end early when a level chooses nothing.
     """
+    from taxolink.operators.sizing import small_side
+    carry = list(carry)
     trip = F.explode(F.array(*[F.struct(F.lit(a).alias("k0"), F.lit(b).alias("k1"), F.lit(c).alias("k2"))
                                for a, b, c in triples])).alias("_t")
-    base = records.select(id_col, trip).select(id_col, "_t.k0", "_t.k1", "_t.k2")
     keys = [id_col, "k0", "k1", "k2"]
+    base = records.select(id_col, *carry, trip).select(id_col, "_t.k0", "_t.k1", "_t.k2", *carry)
     root_ids = bounded_ids(roots, "node")
-    frontier = scorer(base.select(*keys, F.explode(F.array(*[F.lit(r) for r in root_ids])).alias("class_idx")))
-    chosen = _top(frontier, keys, "k0", id_col).select(*keys, "class_idx")
-    visited = chosen
-    ch = edges.select(F.col("parent"), F.col("child"))
+    frontier = scorer(base.select(*keys, *carry, F.explode(F.array(*[F.lit(r) for r in root_ids])).alias("class_idx")))
+    chosen = write_and_read(_top(frontier, keys, "k0", id_col).select(*keys, *carry, "class_idx"), "beam")
+    visited = chosen.select(*keys, "class_idx")
+    ch = small_side(edges.select(F.col("parent"), F.col("child")))
     for level in range(1, max_depth + 1):
-        nxt = chosen.join(ch, chosen.class_idx == ch.parent).select(*keys, "parent", F.col("child").alias("class_idx"))
+        nxt = (chosen.join(ch, chosen.class_idx == ch.parent)
+                     .select(*keys, *carry, "parent", F.col("child").alias("class_idx")))
         scored = scorer(nxt)
         k_col = "k1" if level == 1 else "k2"
-        chosen = _top(scored, [*keys, "parent"], k_col, id_col).select(*keys, "class_idx")
-        visited = visited.unionByName(chosen)
+        # each level is written once (shared scratch folder): later levels and the final union
+        # read it instead of re-deriving every level above
+        chosen = write_and_read(_top(scored, [*keys, "parent"], k_col, id_col).select(*keys, *carry, "class_idx"),
+                                "beam")
+        visited = visited.unionByName(chosen.select(*keys, "class_idx"))
+        if chosen.limit(1).count() == 0:
+            break
     return visited.distinct()
 
 

@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolink.operators.sizing import small_side
 from taxolink.session import write_and_read
 
 _POS_BITS = 33
@@ -58,7 +59,8 @@ def exact_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
         F.coalesce(F.sum("_cnt").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     keys = ["_pid", *group_cols]
-    out = (ranged.join(stats.select(*keys, "_first", "_off"), keys, "inner")
+    # stats has at most #partitions + #groups rows: broadcast it when that is small (checked)
+    out = (ranged.join(small_side(stats.select(*keys, "_first", "_off")), keys, "inner")
                  .withColumn(out_col, F.col("_off") + F.col("_pos") - F.col("_first") + 1)
                  .drop("_mid", "_pid", "_pos", "_first", "_off"))
     return out

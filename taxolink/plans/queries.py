@@ -336,16 +336,18 @@ def _beam(spark, d) -> DataFrame:
     rv = S.record_vectors(spark, d)
     cv = SC.class_vectors(S.read(spark, d, "embeddings"), "label", "embedding")
 
+    cvb = small_side(cv)
+
     def scorer(frontier):
-        j = frontier.join(rv, "row_id").join(small_side(cv), "class_idx")
+        # the record vector travels with the frontier; only the class side is joined (broadcast)
+        j = frontier.join(cvb, "class_idx")
         dot = F.aggregate(F.zip_with("rvec", "cvec", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
-        return j.withColumn("p", F.round(dot, 4)).drop("rvec", "cvec")
+        return j.withColumn("p", F.round(dot, 4)).drop("cvec")
 
     tree = S.class_tree(spark)
     roots = H.roots_of(tree)
     edges = H.parent_child_edges(tree).filter(F.col("parent") != H.ROOT)
-    recs = rv.select("row_id")
-    return M.beam_search(recs, roots, edges, scorer, S.BEAM_TRIPLES, max_depth=3)
+    return M.beam_search(rv, roots, edges, scorer, S.BEAM_TRIPLES, max_depth=3, carry=["rvec"])
 
 
 @query("beam_topk")

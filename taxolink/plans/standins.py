@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from taxolink.functions.text import first_int
 from taxolink.operators import labels as L
+from taxolink.operators.sizing import small_side
 from taxolink.session import table_path
 
 # Fixed values of the stand-in set-up (shared with the SQL oracles).
@@ -93,7 +94,7 @@ def dag_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     types = (part.select("p_type").distinct()
                  .withColumn("tid", (F.dense_rank().over(Window.orderBy("p_type")) - 1 + TYPE_ID_BASE).cast("long")))
-    p = part.join(F.broadcast(types), "p_type")
+    p = part.join(small_side(types), "p_type")
     brand_id = first_int("p_brand").cast("long")
     band_id = (F.floor(F.col("p_size") / 10) + BAND_ID_BASE).cast("long")
     parts = p.select((F.col("p_partkey") + PART_ID_BASE).alias("node"), F.col("p_partkey").cast("string").alias("name"),
