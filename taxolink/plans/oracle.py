@@ -421,7 +421,9 @@ ORACLE["html_first_list"] = r"""
 WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<ul[^>]*>(.*?)</ul>', 1) AS blk FROM pages),
 r AS (SELECT page_id, regexp_extract_all(blk, '(?s)<li[^>]*>(.*?)</li>', 1) AS rws FROM b),
 x AS (SELECT page_id, rws, unnest(range(len(rws))) AS i FROM r)
-SELECT page_id, CAST(i AS BIGINT) AS pos, trim(regexp_replace(rws[i + 1], '<[^>]+>', '', 'g')) AS item FROM x"""
+SELECT page_id, CAST(i AS BIGINT) AS pos,
+       trim(replace(replace(replace(replace(replace(replace(regexp_replace(rws[i + 1], '<[^>]+>', '', 'g'),
+            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS item FROM x"""
 
 ORACLE["batches"] = _with(CLS, CODES, LAB, SPLIT) + f"""
 SELECT row_id, split,

@@ -14,4 +14,16 @@ def first_block_rows(pages: DataFrame, html_col: str = "html", id_col: str = "pa
     block = F.regexp_extract(F.col(html_col), rf"(?s)<{container}[^>]*>(.*?)</{container}>", 1)
     rows = F.regexp_extract_all(block, F.lit(rf"(?s)<{row}[^>]*>(.*?)</{row}>"), 1)
     ex = pages.select(id_col, F.posexplode(rows).alias("pos", "_raw"))
-    return ex.select(id_col, "pos", F.trim(F.regexp_replace("_raw", "<[^>]+>", "")).alias("item"))
+    return ex.select(id_col, "pos", F.trim(decode_entities(F.regexp_replace("_raw", "<[^>]+>", ""))).alias("item"))
+
+
+# The character entities decoded in cell text (``&amp;`` last).
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def decode_entities(col):
+    """Decode the common HTML character entities of cell text."""
+    out = col
+    for ent, ch in ENTITIES:
+        out = F.replace(out, F.lit(ent), F.lit(ch))
+    return out

@@ -71,3 +71,9 @@ def test_scans_are_pruned(spark):
     df = E.queries()["labelled_only"](spark, SMOKE_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
+
+
+def test_class_side_is_broadcast(spark):
+    df = E.queries()["label_table"](spark, SMOKE_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan

@@ -140,3 +140,10 @@ def test_profile_and_apply_columns(spark):
     up = SH.apply_columns(df, F.upper, leaf_types=(T.StringType,))
     assert rows(up.filter("id = 1"), "s", "l") == [("A", ["X", "Y"])]
     assert SH.move_first(df, "s").columns == ["s", "id", "l"]
+
+
+def test_first_list_decodes_entities(spark):
+    html = "<ul><li><a href='/x'>Fish &amp; chips</a></li><li>a &lt;b&gt;</li></ul><ul><li>no</li></ul>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    out = PG.first_block_rows(pages, container="ul", row="li")
+    assert rows(out, "pos", "item") == [(0, "Fish & chips"), (1, "a <b>")]
