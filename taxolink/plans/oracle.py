@@ -497,3 +497,9 @@ mk AS (SELECT doc_id, ids, nv.nw,
                          lambda c: c)) AS n_chosen
        FROM enc, nv)
 SELECT doc_id, CAST(n_chosen AS BIGINT) AS n_chosen, array_to_string(masked, ',') AS masked FROM mk"""
+
+ORACLE["run_log"] = _with(EPOCHS) + """,
+m AS (SELECT run_id, 'val_acc' AS key, epoch, val_acc AS value FROM h
+      UNION ALL SELECT run_id, 'loss', epoch, loss FROM h)
+SELECT run_id, key, key || ' :' || string_agg(CAST(value AS VARCHAR), ' ' ORDER BY epoch) AS line
+FROM m GROUP BY run_id, key"""

@@ -392,6 +392,20 @@ def history(spark, d):
     return h.select("run_id", F.size("values").alias("n_epochs"), txt.alias("acc_hist"))
 
 
+@query("run_log")
+def run_log(spark, d):
+    """Per-run metric lists appended to a run log and read back as ``key :v1 v2 …`` lines."""
+    from pyspark.sql import Window
+    h = _epoch_table(spark, d)
+    pos = F.row_number().over(Window.partitionBy("run_id").orderBy("epoch")) - 1
+    acc = h.select("run_id", F.lit("val_acc").alias("key"), pos.alias("pos"), F.col("val_acc").alias("value"))
+    loss = h.select("run_id", F.lit("loss").alias("key"), pos.alias("pos"), F.col("loss").alias("value"))
+    path = scratch_path(spark, "runlog")
+    BD.append_metrics(acc, path, append=False)
+    BD.append_metrics(loss, path, append=True)
+    return BD.read_metrics(spark, path)
+
+
 @query("best_epoch")
 def best_epoch(spark, d):
     """The epoch with the lowest loss per run."""

@@ -45,6 +45,13 @@ def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: dict[str,
     return spark.read.parquet(path)
 
 
+def append_metrics(rows: DataFrame, path: str, append: bool = True) -> None:
+    """S9 for metrics computed by Spark: ``(run_id, key, pos, value)`` rows appended (or written
+    over) without passing through the driver."""
+    rows.select("run_id", "key", F.col("pos").cast("int"), F.col("value").cast("double")) \
+        .write.mode("append" if append else "overwrite").parquet(path)
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """S9 read side: one ``key :v1 v2 …`` line per run and key, values in position order."""
     m = spark.read.parquet(path)
