@@ -63,6 +63,12 @@ def class_cap(train_codes: DataFrame, id_col: str, code_col: str, cap: int = 500
     shuffle, so a group holding a third of all rows ships at most ``cap`` rows per
     map task. Returns the distinct kept ids.
     """
+    spark = train_codes.sparkSession
+    conf = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(conf, "1000")) < cap:
+        # the partial limit is only planned for k up to this threshold; above it a hot group
+        # would be sorted whole in one task
+        spark.conf.set(conf, str(cap))
     w = Window.partitionBy(code_col).orderBy(order_key(seed, F.col(code_col), F.col(id_col)), id_col)
     return (train_codes.withColumn("_rn", F.row_number().over(w))
                        .filter(F.col("_rn") <= cap)

@@ -132,3 +132,25 @@ def test_dataset_variants(spark):
     r = SP.dataset_variant("random", recs, lab, windows=win)
     s = SP.split_sizes(r).first()
     assert (s["n_train"], s["n_val"], s["n_test"]) == (20, 2, 8)
+
+
+def test_class_cap_keeps_partial_limit_for_large_caps(spark):
+    df = spark.createDataFrame([(i, "A") for i in range(30)], "row_id long, code string")
+    out = SP.class_cap(df, "row_id", "code", cap=5000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert out.count() == 30
+
+
+def test_exact_row_number_random_groups(spark):
+    import random
+    random.seed(11)
+    data = [(random.choice([0, 0, 0, 1, 2, 3]), i) for i in range(2000)]
+    df = spark.createDataFrame(data, "g int, k int")
+    got = exact_row_number(df, ["g"], ["k"], num_partitions=13)
+    per = {}
+    for r in got.collect():
+        per.setdefault(r["g"], []).append((r["k"], r["rn"]))
+    for g, items in per.items():
+        items.sort()
+        assert [rn for _k, rn in items] == list(range(1, len(items) + 1))
