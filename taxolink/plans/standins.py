@@ -113,7 +113,10 @@ def dag_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6 pipeline on the stand-in catalogue: parse relations, keep valid ids (sentinel brands
     are not valid), ``[-1]`` where nothing is left."""
     from taxolink.operators import taxonomy as H
-    cat = dag_catalog(spark, sf_dir)
+    from taxolink.session import write_and_read
+    # the catalogue is referenced several times below: stage it once instead of re-deriving
+    # its four branches for every reference
+    cat = write_and_read(dag_catalog(spark, sf_dir), "dag_catalog")
     valid = cat.select("node").filter(~F.col("node").isin(*SENTINEL_NODE_IDS))
     return H.keep_valid(H.parse_parents(cat, "node", "relation"), valid)
 
