@@ -101,9 +101,10 @@ def beam_search(records: DataFrame, roots: DataFrame, edges: DataFrame, scorer:
     parent → child table ``(parent, child)`` (small, size-checked broadcast); ``max_depth``
     bounds the loop (hierarchy depth).
 
-    ``carry`` columns of ``records`` (e.g. the record vector) travel with the frontier, so a
-    scorer only joins class-side data (broadcast) and the record table is never re-joined;
-    each level's top-k shuffles only the frontier. Levels end early when a level chooses nothing.
+    Each level's choice (ids only) is written once to the shared scratch folder, so later
+    levels and the final union read it instead of re-deriving every level above; levels end
+    early when a level chooses nothing. ``carry`` columns of ``records`` travel with the
+    frontier for scorers that need them (keep them small: the frontier is records × triples × k).
     """
     from taxolink.operators.sizing import small_side
     carry = list(carry)

@@ -339,15 +339,16 @@ def _beam(spark, d) -> DataFrame:
     cvb = small_side(cv)
 
     def scorer(frontier):
-        # the record vector travels with the frontier; only the class side is joined (broadcast)
-        j = frontier.join(cvb, "class_idx")
+        # the frontier holds ids only (record × triple × chosen nodes); record vectors are joined
+        # by key once per level and class vectors come from a size-checked broadcast
+        j = frontier.join(rv, "row_id").join(cvb, "class_idx")
         dot = F.aggregate(F.zip_with("rvec", "cvec", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
-        return j.withColumn("p", F.round(dot, 4)).drop("cvec")
+        return j.withColumn("p", F.round(dot, 4)).drop("rvec", "cvec")
 
     tree = S.class_tree(spark)
     roots = H.roots_of(tree)
     edges = H.parent_child_edges(tree).filter(F.col("parent") != H.ROOT)
-    return M.beam_search(rv, roots, edges, scorer, S.BEAM_TRIPLES, max_depth=3, carry=["rvec"])
+    return M.beam_search(rv.select("row_id"), roots, edges, scorer, S.BEAM_TRIPLES, max_depth=3)
 
 
 @query("beam_topk")
