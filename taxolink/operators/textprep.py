@@ -40,13 +40,23 @@ def build_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           max_chars: int = 512, max_len: int = 512) -> DataFrame:
+           max_chars: int = 512, max_len: int = 512, hot_words: int = 50_000) -> DataFrame:
     """T1 + T2: text cut at ``max_chars`` characters, words → ids (unknown → 1), at most
-    ``max_len`` ids: ``(id, ids)``. The vocabulary is joined by word (a shuffle join when it is
-    large; Spark broadcasts it when its size allows)."""
+    ``max_len`` ids: ``(id, ids)``.
+
+    Word frequencies are heavily skewed (one word may be a third of all tokens), so the lookup
+    is split: ids are frequency ranks, hence the ``hot_words`` most frequent words are exactly
+    ``id < hot_words + 3`` – a side of proven size that is broadcast. Only tokens not found there
+    go through a shuffle join with the rest of the vocabulary, where no key is hot.
+    """
     toks = docs.select(id_col, F.posexplode(words(truncate_text(text_col, max_chars))).alias("pos", "token"))
-    v = vocab.filter(F.col("id") >= len(RESERVED)).select("token", F.col("id").alias("tid"))
-    j = toks.join(v, "token", "left").withColumn("tid", F.coalesce("tid", F.lit(UNK_ID).cast("long")))
+    words_only = vocab.filter(F.col("id") >= len(RESERVED)).select("token", F.col("id").alias("tid"))
+    hot = F.broadcast(words_only.filter(F.col("tid") < hot_words + len(RESERVED)))
+    cold = words_only.filter(F.col("tid") >= hot_words + len(RESERVED))
+    first = toks.join(hot, "token", "left")
+    found = first.filter(F.col("tid").isNotNull())
+    rest = first.filter(F.col("tid").isNull()).drop("tid").join(cold, "token", "left")
+    j = found.unionByName(rest).withColumn("tid", F.coalesce("tid", F.lit(UNK_ID).cast("long")))
     lists = j.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "tid"))), lambda s: s["tid"]).alias("ids"))
     return docs.select(id_col).join(lists, id_col, "left").select(

@@ -55,3 +55,12 @@ def test_mask_rate_and_targets(spark):
     assert all(r["m"][i] == ids[i] for i in range(len(ids)) if i not in set(chosen))
     n_mask = sum(1 for i in chosen if r["m"][i] == TX.MASK_ID)
     assert 0.7 < n_mask / len(chosen) < 0.9
+
+
+def test_encode_hot_and_cold_paths_agree(spark):
+    docs = spark.createDataFrame([(1, "b a b c d e"), (2, "a b zz"), (3, "e e e a")], "doc_id long, text string")
+    voc = TX.build_vocab(docs)
+    all_hot = {r["doc_id"]: r["ids"] for r in TX.encode(docs, voc).collect()}
+    mostly_cold = {r["doc_id"]: r["ids"] for r in TX.encode(docs, voc, hot_words=1).collect()}
+    none_hot = {r["doc_id"]: r["ids"] for r in TX.encode(docs, voc, hot_words=0).collect()}
+    assert all_hot == mostly_cold == none_hot
