@@ -11,6 +11,8 @@ files were already taken, so a restarted or failed run continues where it was.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,7 +25,9 @@ def start_feed_ingest(spark: SparkSession, staged_dir: str, out_path: str, check
                       available_now: bool = True) -> StreamingQuery:
     """Start the stream ``staged_dir`` (JSON lines of feed items) → processed records → ``out_path``."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    chk = checkpoint or f"{root}/streams/feed_ingest"
+    # one progress log per (source, sink) pair: two ingests never share their file bookkeeping
+    key = hashlib.sha1(f"{staged_dir}\n{out_path}".encode()).hexdigest()[:16]
+    chk = checkpoint or f"{root}/streams/feed_ingest-{key}"
     items = (spark.readStream.schema(ITEM_SCHEMA)
                   .option("maxFilesPerTrigger", max_files_per_trigger)
                   .json(staged_dir))

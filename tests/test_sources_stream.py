@@ -147,3 +147,15 @@ def test_first_list_decodes_entities(spark):
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
     out = PG.first_block_rows(pages, container="ul", row="li")
     assert rows(out, "pos", "item") == [(0, "Fish & chips"), (1, "a <b>")]
+
+
+def test_stream_default_checkpoint_is_per_source_and_sink(spark, tmp_path):
+    staged = tmp_path / "s"
+    staged.mkdir()
+    (staged / "a.json").write_text("\n".join(json.dumps(i) for i in FEED[:2]))
+    q1 = start_feed_ingest(spark, str(staged), str(tmp_path / "o1"))
+    q1.awaitTermination(120)
+    q2 = start_feed_ingest(spark, str(staged), str(tmp_path / "o2"))
+    q2.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "o1")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "o2")).count() == 2
