@@ -46,17 +46,22 @@ def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col:
 
     Word frequencies are heavily skewed (one word may be a third of all tokens), so the lookup
     is split: ids are frequency ranks, hence the ``hot_words`` most frequent words are exactly
-    ``id < hot_words + 3`` – a side of proven size that is broadcast. Only tokens not found there
-    go through a shuffle join with the rest of the vocabulary, where no key is hot.
+    ``id < hot_words + 3`` – a side of proven size that is broadcast and joined first. The one
+    shuffle join with the rest of the vocabulary then sees no hot key: tokens already found carry
+    a unique key instead of their word.
     """
     toks = docs.select(id_col, F.posexplode(words(truncate_text(text_col, max_chars))).alias("pos", "token"))
     words_only = vocab.filter(F.col("id") >= len(RESERVED)).select("token", F.col("id").alias("tid"))
     hot = F.broadcast(words_only.filter(F.col("tid") < hot_words + len(RESERVED)))
-    cold = words_only.filter(F.col("tid") >= hot_words + len(RESERVED))
+    cold = (words_only.filter(F.col("tid") >= hot_words + len(RESERVED))
+                      .select(F.col("token").alias("_ckey"), F.col("tid").alias("_ctid")))
     first = toks.join(hot, "token", "left")
-    found = first.filter(F.col("tid").isNotNull())
-    rest = first.filter(F.col("tid").isNull()).drop("tid").join(cold, "token", "left")
-    j = found.unionByName(rest).withColumn("tid", F.coalesce("tid", F.lit(UNK_ID).cast("long")))
+    # one pass over the tokens: a token already found gets a unique key that matches no word,
+    # so it spreads evenly in the second (shuffle) join instead of landing on one null-key task
+    key = F.when(F.col("tid").isNull(), F.col("token")).otherwise(
+        F.concat(F.lit("\u0000"), F.col(id_col).cast("string"), F.lit("#"), F.col("pos").cast("string")))
+    second = first.withColumn("_key", key).join(cold, F.col("_key") == F.col("_ckey"), "left")
+    j = second.withColumn("tid", F.coalesce("tid", "_ctid", F.lit(UNK_ID).cast("long")))
     lists = j.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "tid"))), lambda s: s["tid"]).alias("ids"))
     return docs.select(id_col).join(lists, id_col, "left").select(

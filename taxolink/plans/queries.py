@@ -570,21 +570,23 @@ def bundle_roundtrip(spark, d):
 # ---------------------------------------------------------------- text
 
 def _vocab_and_codes(spark, d):
+    """Documents and their vocabulary; the vocabulary is a fitted artifact used several times
+    by encoding and masking, so it is staged once."""
     docs = S.read(spark, d, "documents")
-    return docs, TX.build_vocab(docs)
+    return docs, write_and_read(TX.build_vocab(docs), "vocab")
 
 
 @query("vocab")
 def vocab(spark, d):
     """Word vocabulary of the whole corpus, ids by frequency rank."""
-    return _vocab_and_codes(spark, d)[1]
+    return TX.build_vocab(S.read(spark, d, "documents"))
 
 
 @query("encode_pad")
 def encode_pad(spark, d):
     """Texts cut at 512 characters, encoded, padded to the longest with a mask."""
     docs, voc = _vocab_and_codes(spark, d)
-    enc = TX.encode(docs, voc)
+    enc = write_and_read(TX.encode(docs, voc), "encoded")      # read twice below: encode once
     longest = enc.agg(F.max(F.size("ids"))).first()[0] or 0
     padded, mask = TX.pad(F.col("ids"), int(longest))
     return enc.select("doc_id", F.size("ids").alias("n_tokens"), F.size(padded).alias("padded_len"),
