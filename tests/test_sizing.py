@@ -1,0 +1,28 @@
+"""Size guards: broadcast only under a checked bound; small id lists have a hard bound."""
+
+import pytest
+
+from taxolink.operators.metrics import bounded_ids
+from taxolink.operators.sizing import small_side
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_side_broadcasts_only_under_bound(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # no size-based broadcast by Spark
+    try:
+        big = spark.range(10_000).withColumnRenamed("id", "k")
+        small = spark.range(50).withColumnRenamed("id", "k")
+        assert "BroadcastHashJoin" in _plan(big.join(small_side(small, max_rows=100), "k"))
+        assert "BroadcastHashJoin" not in _plan(big.join(small_side(small, max_rows=10), "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bounded_ids(spark):
+    df = spark.range(5).withColumnRenamed("id", "node")
+    assert bounded_ids(df, "node") == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        bounded_ids(df, "node", max_n=3)
