@@ -1,4 +1,4 @@
-"""Session helper: UTC clock, AQE on, ANSI left on, a reliable checkpoint folder."""
+"""Session helper: UTC clock, AQE on, ANSI left on; intermediate tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -7,15 +7,12 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_LOCAL_CHECKPOINT_DEFAULT = "/tmp/taxolink-checkpoints"
-
-
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "taxolink") -> SparkSession:
+                app_name: str = "taxolink", checkpoint_dir: str | None = None) -> SparkSession:
     """Build (or reuse) a session configured for the operators in this package.
 
-    On a cluster ``master`` stays ``None`` and the launcher decides; in tests and
-    the bench a ``local[N]`` master is passed.
+    On a cluster ``master`` and ``checkpoint_dir`` stay ``None`` and the launcher decides both;
+    tests and the bench pass a ``local[N]`` master and may pass a folder of their own.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -26,39 +23,47 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a local default is only set when the
-    session has none (tests, the bench on one machine).
+    Read only: the setting belongs to the launcher. Operators that write intermediate tables
+    need it; all others run without.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _LOCAL_CHECKPOINT_DEFAULT
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+        raise ValueError("this operator writes intermediate tables: start the session with "
+                         "spark.checkpoint.dir set to a folder that the driver and all executors share")
+    return root.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    root = checkpoint_root(spark)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return root
+def scratch_root(spark: SparkSession) -> str:
+    """The run folder of this application under the shared folder; all its written tables sit in it."""
+    return f"{checkpoint_root(spark)}/taxolink-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root for written tables."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder in the run folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release_scratch(spark: SparkSession) -> bool:
+    """Delete the run folder with every intermediate table of this application.
+
+    Call it when results that read those tables have been written. True if a folder was there.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -66,8 +71,8 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def write_and_read(df, name: str):
-    """Write ``df`` once as Parquet under the shared scratch folder and read it back: one
-    computation, columnar storage, and lineage cut (a lost executor re-reads files)."""
+    """Write ``df`` once as Parquet into the run folder and read it back: one computation,
+    columnar storage, and lineage cut (a lost executor re-reads files)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)

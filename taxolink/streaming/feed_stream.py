@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from taxolink.session import ensure_checkpoint_dir
+from taxolink.session import checkpoint_root
 from taxolink.sources.feeds import ITEM_SCHEMA, WITHDRAWN_MARKER, process_feed
 
 
@@ -24,10 +24,9 @@ def start_feed_ingest(spark: SparkSession, staged_dir: str, out_path: str, check
                       marker: str = WITHDRAWN_MARKER, max_files_per_trigger: int = 16,
                       available_now: bool = True) -> StreamingQuery:
     """Start the stream ``staged_dir`` (JSON lines of feed items) → processed records → ``out_path``."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
     # one progress log per (source, sink) pair: two ingests never share their file bookkeeping
     key = hashlib.sha1(f"{staged_dir}\n{out_path}".encode()).hexdigest()[:16]
-    chk = checkpoint or f"{root}/streams/feed_ingest-{key}"
+    chk = checkpoint or f"{checkpoint_root(spark)}/streams/feed_ingest-{key}"
     items = (spark.readStream.schema(ITEM_SCHEMA)
                   .option("maxFilesPerTrigger", max_files_per_trigger)
                   .json(staged_dir))

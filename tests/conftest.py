@@ -9,10 +9,12 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from taxolink.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8, app_name="taxolink-tests")
+def spark(tmp_path_factory):
+    from taxolink.session import get_session, release_scratch
+    s = get_session("local[4]", shuffle_partitions=8, app_name="taxolink-tests",
+                    checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield s
+    release_scratch(s)
 
 
 def rows(df, *cols):

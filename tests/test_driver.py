@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SMOKE_DIR
+from taxolink.plans.oracle import all_oracles
+from taxolink.plans.queries import all_queries
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -38,11 +40,11 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_ml():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    rows_only = set(all_queries()) - set(all_oracles())
     assert rows_only == {"text_vectors", "pair_head_fit", "evaluate_split"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SMOKE_DIR)
     s = _rows(df.columns, [tuple(r) for r in df.collect()])
@@ -52,7 +54,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert s == _rows(cols, res.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_plan_has_no_cartesian_or_row_udf(spark, name):
     df = E.queries()[name](spark, SMOKE_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
