@@ -129,12 +129,13 @@ def read_dictionary(folder: str) -> bytes:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, width: int = 2,
-                      spaced: bool = False, partitions: int | None = None, file_docs: int = 8192) -> DataFrame:
+                      spaced: bool = False, partitions: int | None = None, file_docs: int = 8192,
+                      file_tokens: int = 1 << 20) -> DataFrame:
     """Write documents ``(doc_id, text)`` as token files; returns the manifest.
 
     The manifest has ``file`` (URI), ``part``, ``chunk`` (their order), ``docs`` and ``tokens``. Texts are shuffled once, by
-    ranges of document ids; a task writes its range in files of ``file_docs`` documents, so it holds one file's
-    ids at a time.
+    ranges of document ids; a task writes its range in files of ``file_docs`` documents, or once they have ``file_tokens`` ids, so it
+    holds one file's ids at a time.
     """
     spark = docs.sparkSession
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -162,7 +163,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         from pyspark import TaskContext
         part, attempt, chunk = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
         encoder, shared = worker_encoder(tokenizer_path, spaced), read_dictionary(folder)
-        ids, arrays = [], []
+        ids, arrays, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             uri = f"{folder}/part-{part:05d}-{chunk:05d}-{attempt}.ztok"
@@ -180,9 +181,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             for i, a in encoded_rows(encoder, batch, end_id):
                 ids.append(names[i])
                 arrays.append(a)
-                if len(ids) >= file_docs or sum(map(len, arrays[-1:])) > 1 << 24:
+                held += len(a)
+                if len(ids) >= file_docs or held >= file_tokens:
                     yield flush()
                     chunk += 1
+                    held = 0
         if ids:
             yield flush()
 
@@ -192,46 +195,48 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     return write_and_read(manifest, "token-manifest")
 
 
-def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Read a data set back: ``(doc_id, start, ids)``; ``start`` counts the ids of all documents before."""
+def _spans(batches: Iterator[pa.RecordBatch], folder: str, docs: int = 512
+           ) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray]]]:
+    """Ids, starts and token arrays of the documents of manifest rows ``(file, before)``, some at a time."""
+    dictionary = read_dictionary(folder)
+    for batch in batches:
+        for row in batch.to_pylist():
+            f = TokenFile(row["file"], dictionary)
+            for lo in range(0, f.n, docs):
+                part = f.index[lo:lo + docs]
+                yield (pa.array(part["doc_id"], mask=part["null"].astype(bool)),
+                       pa.array(part["first"].astype(np.int64) + row["before"]),
+                       [f.get(k) for k in range(lo, lo + len(part))])
+            f.file.close()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dictionary = read_dictionary(folder)
-        for batch in batches:
-            for row in batch.to_pylist():
-                f = TokenFile(row["file"], dictionary)
-                for lo in range(0, f.n, 1024):
-                    span = range(lo, min(lo + 1024, f.n))
-                    part = f.index[span.start:span.stop]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part["doc_id"], mask=part["null"].astype(bool)),
-                         pa.array(part["first"].astype(np.int64) + row["before"]),
-                         pa.array([f.get(k) for k in span], pa.list_(pa.int64()))],
-                        names=["doc_id", "start", "ids"])
-                f.file.close()
-
-    # one row per file: the running token count over files is a sum over the manifest
+
+def _files(manifest: DataFrame) -> DataFrame:
+    """Manifest rows with the number of ids in all files before, dealt out over the cluster.
+
+    One row per file: the running count is a sum over the manifest, not over documents.
+    """
     order = Window.orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    files = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
-    return files.select("file", "before").mapInArrow(read, "doc_id long, start long, ids array<bigint>")
+    files = manifest.select("file", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))
+    return files.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
 
 
-def token_file_digests(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document of a data set: ``(doc_id, start, n_tokens, ids_crc32)``, from its files."""
+def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
+    """Read a data set back: ``(doc_id, start, ids)``; ``start`` counts the ids of all documents before."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, starts, arrays in _spans(batches, folder):
+            yield pa.RecordBatch.from_arrays([ids, starts, pa.array(arrays, pa.list_(pa.int64()))],
+                                             names=["doc_id", "start", "ids"])
+    return _files(manifest).mapInArrow(read, "doc_id long, start long, ids array<bigint>")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = batch.column(2)
-            values, offsets = col.flatten().to_numpy(zero_copy_only=False), np.asarray(col.offsets)
-            offsets = offsets - offsets[0]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)),
-                 pa.array([crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_token_files(spark, folder, manifest).mapInArrow(
-        digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def token_file_digests(folder: str, manifest: DataFrame) -> DataFrame:
+    """Per document of a data set: ``(doc_id, start, n_tokens, ids_crc32)``, read from its files."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, starts, arrays in _spans(batches, folder):
+            yield pa.RecordBatch.from_arrays(
+                [ids, starts, pa.array([len(a) for a in arrays], pa.int64()),
+                 pa.array([crc32(a) for a in arrays], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return _files(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -26,13 +26,16 @@ from taxolink.llm.words import span_hashes, text_chunks, word_spans
 #: Distinct pieces kept by a Python worker before it starts afresh.
 KEEP = 3 << 20
 #: Bytes of text handled at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: White space outside ASCII, as one class.
 _OTHER_SPACE = re.compile("[\u0085   -     　\x1c-\x1f]")
 
 
 class PieceEncoder:
-    """Encode Arrow texts with a ``tokenizers`` file; ``spaced`` if its pieces carry their white space."""
+    """Encode Arrow texts with a ``tokenizers`` file; ``spaced`` if its pieces carry their white space.
+
+    Pieces that differ in ASCII case only are one piece when the file's normalizer folds case.
+    """
 
     def __init__(self, path: str, spaced: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,6 +43,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings inside a text are ordinary text
         self.spaced = spaced
+        self.folded = "Lowercase" in repr(self.tokenizer.normalizer)
         self._reset()
 
     def _reset(self) -> None:
@@ -55,12 +59,15 @@ class PieceEncoder:
 
     def _learn(self, at: np.ndarray, hashes: np.ndarray, pieces: list[str]) -> None:
         """Encode new pieces; ``at`` is where their (ascending) hashes go among the known ones."""
-        ids = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        ids = []
+        for lo in range(0, len(pieces), 4096):  # the library's result objects are large
+            ids += [np.array(e.ids, np.uint32) for e in
+                    self.tokenizer.encode_batch(pieces[lo:lo + 4096], add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int32, len(ids))
         total = int(count.sum())
         if self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, max(self.used + total, 2 * len(self.flat)))
-        self.flat[self.used:self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.concatenate(ids)
         first = self.used + np.cumsum(count, dtype=np.int64) - count
         self.used += total
         odd = np.fromiter((_OTHER_SPACE.search(p) is not None for p in pieces), bool, len(pieces))
@@ -94,7 +101,7 @@ class PieceEncoder:
             starts = begins
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        hashes = span_hashes(buf, starts, ends)
+        hashes = span_hashes(buf, starts, ends, lower=self.folded)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) + len(distinct) > KEEP:
             self._reset()
