@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolink.llm import chat, html_text, mixing, packing, sharding, token_files
+from taxolink.llm import (
+    chat,
+    html_text,
+    mixing,
+    packing,
+    resampling,
+    set_join,
+    sharding,
+    token_files,
+    vector_dedup,
+    vector_search,
+)
 from taxolink.session import table_path
 
 
@@ -47,6 +58,25 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 3: all documents resampled towards the text labelled good; the rows are the documents kept."""
+    model, drawn = resampling.fit(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                  _table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return resampling.sampled_scores(drawn, model).withColumn("kept", F.lit(True))
+
+
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 4: the 5 nearest vectors of every vector whose id is divisible by 50, among all others."""
+    out = vector_search.nearest(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 5: all vectors linked from a cosine of 0.95, one kept per group."""
+    out = vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.95)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 6: all documents packed into sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -58,7 +88,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents", "doc_id", "text"),
                                              public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
-    return token_files.token_file_digests(spark, folder, manifest)
+    return token_files.token_file_digests(folder, manifest)
+
+
+def op8_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 8: all documents by 3-word shingles, linked from a Jaccard similarity of 0.9."""
+    return set_join.similar_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), n=3, num=90, den=100)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +132,11 @@ FROM g
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, applied to its whole table with production parameters."""
-    return {"op1_chat": op1_chat, "op2_mixing": op2_mixing, "op6_packing": op6_packing,
-            "op7_token_files": op7_token_files, "op9_sharding": op9_sharding, "op10_html": op10_html}
+    import corpus_pipeline
+    return {"pipeline": corpus_pipeline.run, "op1_chat": op1_chat, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_vector_search": op4_vector_search,
+            "op5_vector_dedup": op5_vector_dedup, "op6_packing": op6_packing,
+            "op7_token_files": op7_token_files, "op8_set_join": op8_set_join,
+            "op9_sharding": op9_sharding, "op10_html": op10_html}
 
 
 def llm_oracles() -> dict[str, str]:
