@@ -24,7 +24,7 @@ import pyarrow as pa
 from taxolink.llm.words import span_hashes, text_chunks, word_spans
 
 #: Distinct pieces kept by a Python worker before it starts afresh.
-KEEP = 3 << 20
+KEEP = 1 << 20
 #: Bytes of text handled at a time.
 CHUNK_BYTES = 2 << 20
 #: White space outside ASCII, as one class.
