@@ -177,7 +177,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     copies = (mix(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
               .filter("mix_copies > 0").withColumnRenamed("doc_id", "mix_doc_id"))
     copies = write_and_read(copies, "mix-copies")
-    cols = docs.columns
-    return (docs.join(copies, F.col("doc_id") == F.col("mix_doc_id"))
-            .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-            .select(*cols))
+    chosen = docs.join(copies, docs["doc_id"] == copies["mix_doc_id"])
+    return (chosen.select(*[docs[c] for c in docs.columns],
+                          F.explode(F.sequence(F.lit(1), copies["mix_copies"])).alias("_copy_of_document"))
+            .drop("_copy_of_document"))

@@ -7,8 +7,10 @@ class from the start. The steps:
    n tokens at most ``e = n - ceil(t n)`` can be missing in a similar set. So with the ``e + L`` smallest hashes kept on each
    side, similar sets share at least ``L`` kept tokens (each side's kept part of the intersection is a first part of it
    in hash order, at least L long). A class that shares fewer kept tokens with all others has no link.
-2. *Groups.* Classes whose smallest shared token is equal form a group (large ones are cut into groups of about
-   :data:`GROUP` members by hash).
+2. *Groups.* Classes with the same key token form a group; large ones are cut by hash into groups of about
+   :data:`GROUP` members. The key is the smallest of a class's shared tokens that are about as frequent as most of them
+   (within :data:`ALIKE` times their median): near copies share most of their tokens, so neither chance tokens of an edited
+   place nor passages that many documents share decide it. Any grouping gives the same links.
 3. *Token-group matrix*, in long form: the distinct (token, group) pairs, that is each group's token union.
 4. *Bound.* Each class queries the matrix: its number of tokens in a group's union bounds its overlap with any member.
    Tokens in more than :data:`HOT` groups (passages that many documents share) are left out of this join, and the
@@ -44,8 +46,9 @@ from taxolink.llm.components import connected_components
 from taxolink.llm.words import mix, ngram_hashes, span_hashes, text_chunks, word_spans
 from taxolink.session import write_and_read
 
-GROUP = 64
+GROUP, GROUP_SHINGLES = 512, 1 << 18
 HOT = 64
+ALIKE = 3
 #: Shingles of queries that meet a group's members in one block.
 BLOCK_SHINGLES = 1 << 20
 #: Class ids are sent to all executors up to this many rows (32 MB), else they are joined by a shuffle.
@@ -173,19 +176,25 @@ def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, n: int,
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     kept = some.select("set_id", "n_shingles", F.explode("kept").alias("token"))
     shared = write_and_read(
-        kept.groupBy("token").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x < y")
-        .select(F.col("token").alias("shared_token")), "join-shared")
+        kept.groupBy("token").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"), F.count(F.lit(1)).alias("df"))
+        .filter("x < y").select(F.col("token").alias("shared_token"), "df"), "join-shared")
     rows = write_and_read(
         kept.join(shared, F.col("token") == F.col("shared_token"))
-        .select("token", "set_id", "n_shingles").distinct(), "join-tokens")
+        .select("token", "set_id", "n_shingles", "df").distinct(), "join-tokens")
 
     # groups of the classes that share enough kept tokens
-    groups = (rows.groupBy("set_id").agg(F.min("token").alias("key"), F.first("n_shingles").alias("n"),
-                                         F.count(F.lit(1)).alias("n_shared"))
+    groups = (rows.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_shared"),
+                                         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"))
               .withColumn("required", sizes.required(F.col("n"))).filter("n_shared >= required"))
+    middle = F.element_at("by_df", F.floor((F.col("n_shared") + 1) / 2).cast("int"))["df"]
+    alike = F.filter("by_df", lambda x: (x["df"] * ALIKE >= F.col("middle")) & (x["df"] <= F.col("middle") * ALIKE))
+    groups = (groups.withColumn("middle", middle)
+              .withColumn("key", F.array_min(F.transform(alike, lambda x: x["token"])))
+              .select("set_id", "n", "required", "key"))
     groups = write_and_read(groups, "join-groups")
-    large = groups.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > GROUP)
-    cut = F.coalesce(F.ceil(F.col("members") / GROUP), F.lit(1))
+    large = groups.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_SHINGLES))
+                                      .alias("parts")).filter(F.col("parts") > 1)
+    cut = F.coalesce(F.col("parts"), F.lit(1))
     groups = (groups.join(large, "key", "left")
               .withColumn("gid", F.xxhash64("key", F.pmod(F.xxhash64("set_id"), cut)))
               .join(classes.select("set_id", "first_doc", "copies"), "set_id")
@@ -303,11 +312,12 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """
     first = similar_documents(docs, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     first = write_and_read(first.distinct(), "join-kept")
-    stay = docs.join(_side(first), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    twice = write_and_read(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-                           .filter("rows > 1").select(F.col("doc_id").alias("kept_id")), "join-twice")
-    single = stay.join(_side(twice), F.col("doc_id") == F.col("kept_id"), "left_anti")
-    several = stay.join(_side(twice), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    stay = docs.join(side := _side(first), docs["doc_id"] == side["kept_id"], "left_semi")
+    twice = write_and_read(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
+                           .filter("n_rows > 1").select(F.col("doc_id").alias("kept_id")), "join-twice")
+    twice = _side(twice)
+    single = stay.join(twice, stay["doc_id"] == twice["kept_id"], "left_anti")
+    several = stay.join(twice, stay["doc_id"] == twice["kept_id"], "left_semi")
     row = F.struct(*docs.columns)
     several = several.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
     return single.unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))
