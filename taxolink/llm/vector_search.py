@@ -7,9 +7,9 @@ center first, and so meets leaves in the order of their promise. How many leaves
 for :data:`PROBES` queries the exact neighbours among all vectors are found by blocked products, and the number of
 visits is widened until the leaves visited hold the wanted share of them.
 
-Equal vectors are one class with its smallest ids, so a vector that a third of the rows share is compared once. Leaves
-are cut into blocks of about :data:`BLOCK` classes; a task compares one block with the queries that visit its leaf and
-returns the best few per query.
+Equal vectors are one class with its smallest ids, so a vector that a third of the rows share is compared once.
+Neighbouring leaves are stored together in buckets of about :data:`BLOCK` classes (a larger leaf in several blocks). A visit to
+a leaf opens its bucket; a task compares one block with the queries that open it and returns the best few per query.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
 another length than most, nor rows with a null id; queries without candidates have no rows; repeated rows are candidates of
@@ -179,24 +179,32 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, recall: float = 0.98,
     indexed = write_and_read(classes.select("vector", "id", "ids").mapInArrow(
         index, "vector array<float>, id long, ids array<bigint>, leaf int"), "ann-index")
     asked = queries.select("vector", "id").mapInArrow(ask, "vector array<float>, id long, leaf int")
-    # a row per leaf: the tree bounds their number
+    # leaves in tree order fill buckets of about BLOCK classes; a larger leaf is a bucket of several blocks. The tree
+    # bounds the number of leaves, and so these tables.
+    leaves = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("members")).orderBy("leaf").collect()
+    buckets, bucket, held = [], 0, 0
+    for r in leaves:
+        if held and held + r["members"] > BLOCK:
+            bucket, held = bucket + 1, 0
+        held += r["members"]
+        buckets.append((r["leaf"], bucket))
+    buckets = F.broadcast(spark.createDataFrame(buckets, "leaf int, bucket int"))
+    indexed = indexed.join(buckets, "leaf").drop("leaf")
+    asked = write_and_read(asked.join(buckets, "leaf").drop("leaf").distinct(), "ann-asked")
     blocks = F.broadcast(write_and_read(
-        indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("members"))
-        .select("leaf", F.ceil(F.col("members") / BLOCK).alias("blocks")), "ann-blocks"))
-    members = (indexed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-               .select("leaf", "block", F.lit(0).cast("long").alias("part"), "id", "vector", "ids"))
-    # queries of a leaf in parts, so that no task meets all queries of a popular leaf
-    per_leaf = write_and_read(asked, "ann-asked")
+        indexed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "ann-blocks"))
+    # queries of a bucket in parts, so that no task meets all queries of a popular one
     parts = F.broadcast(write_and_read(
-        per_leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("asking"))
-        .select("leaf", F.ceil(F.col("asking") / BLOCK).alias("parts")), "ann-parts"))
-    members = (members.join(parts, "leaf")
-               .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts"))
-    asked = (per_leaf.join(blocks, "leaf").join(parts, "leaf")
+        asked.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "ann-parts"))
+    members = (indexed.join(blocks, "bucket").join(parts, "bucket")
+               .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+               .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+               .select("bucket", "block", "part", "id", "vector", "ids"))
+    asked = (asked.join(blocks, "bucket").join(parts, "bucket")
              .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("leaf", "block", "part", "id", "vector", F.lit(None).cast("array<bigint>").alias("ids")))
-    found = members.unionByName(asked).groupBy("leaf", "block", "part").applyInArrow(
+             .select("bucket", "block", "part", "id", "vector", F.lit(None).cast("array<bigint>").alias("ids")))
+    found = members.unionByName(asked).groupBy("bucket", "block", "part").applyInArrow(
         _compare(k, width), "query long, id long, score double")
     best = (found.withColumn("nth", F.row_number().over(
         Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("nth") <= k + 1))
