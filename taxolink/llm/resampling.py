@@ -38,7 +38,7 @@ from taxolink.session import write_and_read
 BUCKETS = 1 << 16  # per family
 FAMILIES = 4
 MAX_LABELS = 200_000
-#: Weight of the raw model in the target model's smoothing, in n-grams per bucket.
+#: Weight of the raw model in the target model's smoothing, in n-grams per bucket; never more than the target's own.
 SMOOTHING = 1.0
 
 _KIND = np.full(256, 8, np.uint8)  # other ASCII
@@ -102,8 +102,8 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
         r, t = raw[part].astype(float), target[part].astype(float)
         if not r.sum() or not t.sum():
             continue
-        p = r / r.sum()
-        q = (t + SMOOTHING * BUCKETS * p) / (t.sum() + SMOOTHING * BUCKETS)
+        p, weight = r / r.sum(), min(SMOOTHING * BUCKETS, t.sum())
+        q = (t + weight * p) / (t.sum() + weight)
         some = r > 0
         out[part][some] = np.log(q[some]) - np.log(p[some])
     return out
