@@ -31,6 +31,8 @@ def matrix(col: pa.Array, width: int) -> np.ndarray:
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one (extreme magnitudes first brought near one)."""
+    if not len(x):
+        return x
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
