@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolink.operators.sizing import small_side
-
 
 def class_index(catalog: DataFrame, name_col: str, order_col: str,
                 drop_names: tuple[str, ...] = ()) -> DataFrame:
@@ -40,7 +38,7 @@ def explode_codes(df: DataFrame, id_col: str, codes_col: str, out_col: str = "co
 def encode_labels(codes: DataFrame, classes: DataFrame, id_col: str = "row_id",
                   code_col: str = "code") -> DataFrame:
     """L3: keep codes that are catalogue classes → ``(row_id, class_idx)``; unknown codes are ignored."""
-    cls = small_side(classes.select(F.col("class_name").alias(code_col), "class_idx"))
+    cls = classes.select(F.col("class_name").alias(code_col), "class_idx")
     return (codes.join(cls, code_col, "inner")
                  .select(F.col(id_col).alias("row_id"), "class_idx")
                  .dropDuplicates(["row_id", "class_idx"]))
@@ -61,14 +59,9 @@ def decode_labels(labels: DataFrame, id_col: str = "row_id") -> DataFrame:
     return labels.groupBy(id_col).agg(F.sort_array(F.collect_list("class_idx")).alias("class_list"))
 
 
-def class_members(labels: DataFrame) -> DataFrame:
-    """Class → member rows, as the long table itself (a class may hold a third of all rows,
-    so members are never collected into one list)."""
-    return labels.select("class_idx", "row_id")
-
-
 def class_summary(labels: DataFrame) -> DataFrame:
-    """Per class the member count and first / last member id."""
+    """Per class the member count and first / last member id. (The class → members form of L7 is the
+    long label table itself: a class may hold a third of all rows, so members are never one list.)"""
     return labels.groupBy("class_idx").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min("row_id").alias("min_row"),

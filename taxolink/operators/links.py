@@ -37,36 +37,39 @@ def positives(lists: DataFrame, k: int) -> Column:
     return cyclic_repeat(F.col("labels"), k)
 
 
-def negative_draw(n_classes: int, k: int, seed: int, id_col: str = "row_id") -> Column:
-    """K2: up to ``min(k, #non-labels)`` distinct non-label classes in seeded permutation order."""
+def class_ids(classes: DataFrame, class_col: str = "class_idx") -> tuple[int, Column]:
+    """Number of classes and, as a scalar subquery, the array of their ids in ascending order.
+
+    The draw walks positions in that array, so ids need not be 0..n-1. A record's row holds at most all classes
+    anyway (its labels), so the array is of a size that a row has.
+    """
+    n = classes.agg(F.count_distinct(class_col)).first()[0]
+    return n, classes.agg(F.sort_array(F.collect_set(F.col(class_col).cast("int"))).alias("ids")).scalar()
+
+
+def negative_draw(ids: Column, n_classes: int, k: int, seed: int, id_col: str = "row_id") -> Column:
+    """Up to ``min(k, #non-labels)`` distinct non-label classes in seeded permutation order."""
     p = next_prime(n_classes)
     a = F.lit(1) + hash_u32(seed, F.lit("a"), F.col(id_col)) % F.lit(p - 1) if p > 2 else F.lit(1)
     b = hash_u32(seed, F.lit("b"), F.col(id_col)) % F.lit(p)
     m = F.least(F.lit(k + p - n_classes) + F.size("labels"), F.lit(p))
-    walk = F.transform(F.sequence(F.lit(0), m - 1), lambda j: (a * j + b) % F.lit(p))
-    # drop the record's labels and the padding values n_classes..p-1 (order of the walk is kept)
-    excluded = F.col("labels").cast("array<long>")
-    if p > n_classes:
-        excluded = F.concat(excluded, F.sequence(F.lit(n_classes).cast("long"), F.lit(p - 1).cast("long")))
-    return F.slice(F.array_except(walk, excluded), 1, k).cast("array<int>")
-
-
-def complement(n_classes: int) -> Column:
-    """All classes a record does not carry (size #classes − #labels)."""
-    return F.filter(F.sequence(F.lit(0), F.lit(n_classes - 1)),
-                    lambda x: ~F.array_contains(F.col("labels"), x))
+    walk = F.transform(F.sequence(F.lit(0), m - 1), lambda j: ((a * j + b) % F.lit(p)).cast("int"))
+    # positions n_classes..p-1 stand for no class; then the record's labels go (the walk's order is kept)
+    drawn = F.transform(F.filter(walk, lambda j: j < n_classes), lambda j: F.element_at(ids, j + 1))
+    return F.slice(F.array_except(drawn, F.col("labels").cast("array<int>")), 1, k)
 
 
-def link_lists(labels: DataFrame, n_classes: int, k: int, seed: int,
+def link_lists(labels: DataFrame, classes: DataFrame, k: int, seed: int,
                id_col: str = "row_id", class_col: str = "class_idx") -> DataFrame:
-    """K1–K3: ``(id, pos, neg)`` arrays of length k. Records without positives or without
-    negatives cannot form both sides (the reference fails on them); they are dropped
-    here and can be counted with :func:`unlinkable`."""
+    """K1–K3: ``(id, pos, neg)`` arrays of length k; ``classes`` is the class table (its ``class_col``). Records
+    without positives or without negatives cannot form both sides (the reference fails on them); they are
+    dropped here and can be counted with :func:`unlinkable`."""
+    n_classes, ids = class_ids(classes, class_col)
     lists = label_lists(labels, id_col, class_col)
     # a negative exists iff the record does not carry every class: decided on the labels, so the
     # filter never needs (or re-evaluates) the draw
-    lists = lists.filter((F.size("labels") > 0) & (F.size("labels") < n_classes))
-    drawn = lists.withColumn("_neg", negative_draw(n_classes, k, seed, id_col))
+    lists = lists.filter((F.size("labels") > 0) & (F.size("labels") < n_classes)).withColumn("_ids", ids)
+    drawn = lists.withColumn("_neg", negative_draw(F.col("_ids"), n_classes, k, seed, id_col))
     return drawn.select(id_col, positives(drawn, k).alias("pos"), cyclic_repeat(F.col("_neg"), k).alias("neg"))
 
 
@@ -83,16 +86,16 @@ def flatten_links(lists: DataFrame, k: int, id_col: str = "row_id") -> DataFrame
     # ``posexplode_outer``: the lists are never empty here, and an outer explode gets no inferred
     # ``size(list) > 0`` filter, which would be pushed below the projection and re-evaluate the
     # seeded draw inside it.
-    pos = lists.select(id_col, F.posexplode_outer("pos").alias("slot", "class_idx")).withColumn("label", F.lit(1))
-    neg = (lists.select(id_col, F.posexplode_outer("neg").alias("slot", "class_idx"))
-                .withColumn("slot", F.col("slot") + F.lit(k)).withColumn("label", F.lit(0)))
-    return pos.unionByName(neg)
+    both = lists.select(id_col, F.posexplode_outer(F.concat("pos", "neg")).alias("slot", "class_idx"))
+    return both.withColumn("label", F.when(F.col("slot") < k, 1).otherwise(0))
 
 
-def all_links(records: DataFrame, n_classes: int, id_col: str = "row_id") -> DataFrame:
-    """Every record with every class, record-major. Generated per record from a
-    class-index sequence (the class count is small and checked by the caller), so no join."""
-    return records.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))).alias("class_idx"))
+def all_links(records: DataFrame, classes: DataFrame, id_col: str = "row_id",
+              class_col: str = "class_idx") -> DataFrame:
+    """Every record with every class, record-major. That product is what the operator returns; it
+    is generated per record from the array of class ids, without a join."""
+    _, ids = class_ids(classes, class_col)
+    return records.select(id_col, ids.alias("_ids")).select(id_col, F.explode("_ids").alias("class_idx"))
 
 
 def class_side(class_rows: DataFrame, labels_orig: DataFrame, labels_expanded: DataFrame,

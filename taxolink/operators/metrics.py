@@ -24,38 +24,51 @@ def link_cross_entropy(p: Column, label: Column) -> Column:
     return -F.log(F.greatest(p_true, F.lit(EPS)))
 
 
-def batch_mean_loss(links: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """A2: mean cross-entropy per batch, then mean over batches: ``(n_batches, n_links, loss)``."""
-    per = links.groupBy(batch_col).agg(F.avg("ce").alias("_l"), F.count(F.lit(1)).alias("_n"))
-    return per.agg(F.count(F.lit(1)).alias("n_batches"), F.sum("_n").alias("n_links"), F.avg("_l").alias("loss"))
+def batch_mean_loss(links: DataFrame, batch_col: str = "batch_id", group_cols: Sequence[str] = (),
+                    loss: Column | None = None) -> DataFrame:
+    """A2: mean cross-entropy per batch (or another per-batch ``loss`` aggregate), then mean over batches:
+    ``(group…, n_batches, n_links, loss)``."""
+    g = list(group_cols)
+    per = links.groupBy(*g, batch_col).agg((F.avg("ce") if loss is None else loss).alias("_l"),
+                                           F.count(F.lit(1)).alias("_n"))
+    return per.groupBy(*g).agg(F.count(F.lit(1)).alias("n_batches"), F.sum("_n").alias("n_links"),
+                               F.avg("_l").alias("loss"))
 
 
-def macro_f1(df: DataFrame, truth: str, pred: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """A3: macro-F1 over the classes present in truth or prediction (per group); 0 when undefined.
+def class_f1(df: DataFrame, truth: str, pred: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Per (group and) class present in truth or prediction: ``(group…, _c, f1, support)``.
 
-    Each row adds to its true class (TP or FN) and its predicted class (FP when wrong);
-    per class F1 = 2TP / (2TP + FP + FN).
+    One pass counts the (truth, prediction) pairs; each pair then adds to its true class (TP or FN) and its
+    predicted class (FP when wrong); per class F1 = 2TP / (2TP + FP + FN), 0 when undefined.
     """
     g = list(group_cols)
-    hit = F.col(truth) == F.col(pred)
-    t = df.select(*g, F.col(truth).alias("_c"), hit.alias("_hit"), F.lit(True).alias("_t"))
-    p = df.select(*g, F.col(pred).alias("_c"), hit.alias("_hit"), F.lit(False).alias("_t"))
-    per = (t.unionByName(p).groupBy(*g, "_c").agg(
-        F.count_if(F.col("_t") & F.col("_hit")).alias("tp"),
-        F.count_if(F.col("_t") & ~F.col("_hit")).alias("fn"),
-        F.count_if(~F.col("_t") & ~F.col("_hit")).alias("fp")))
+    pairs = df.groupBy(*g, F.col(truth).alias("_t"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    hit, zero = F.col("_t") == F.col("_p"), F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("_t").alias("_c"), F.when(hit, F.col("_n")).otherwise(zero).alias("tp"),
+                 F.when(hit, zero).otherwise(F.col("_n")).alias("fn"), zero.alias("fp")),
+        F.struct(F.col("_p").alias("_c"), zero.alias("tp"), zero.alias("fn"),
+                 F.when(hit, zero).otherwise(F.col("_n")).alias("fp")))
+    per = (pairs.select(*g, F.inline(sides)).groupBy(*g, "_c")
+           .agg(F.sum("tp").alias("tp"), F.sum("fn").alias("fn"), F.sum("fp").alias("fp")))
     denom = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    per = per.withColumn("f1", F.when(denom > 0, 2.0 * F.col("tp") / denom).otherwise(F.lit(0.0)))
-    return per.groupBy(*g).agg(F.avg("f1").alias("macro_f1")) if g else per.agg(F.avg("f1").alias("macro_f1"))
+    return per.select(*g, "_c", F.when(denom > 0, 2.0 * F.col("tp") / denom).otherwise(F.lit(0.0)).alias("f1"),
+                      (F.col("tp") + F.col("fn")).alias("support"))
+
+
+def macro_f1(df: DataFrame, truth: str, pred: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """A3: macro-F1 over the classes present in truth or prediction (per group); 0 when undefined."""
+    return class_f1(df, truth, pred, group_cols).groupBy(*group_cols).agg(F.avg("f1").alias("macro_f1"))
 
 
-def batch_weighted_f1(df: DataFrame, truth: str, pred: str, batch_col: str = "batch_id") -> DataFrame:
-    """A4: Σ(batch macro-F1 × batch links) / Σ links (not the global macro-F1)."""
-    per = macro_f1(df, truth, pred, [batch_col])
-    sizes = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("_n"))
-    j = per.join(sizes, batch_col)
-    return j.agg(F.count(F.lit(1)).alias("n_batches"),
-                 (F.sum(F.col("macro_f1") * F.col("_n")) / F.sum("_n")).alias("epoch_f1"))
+def batch_weighted_f1(df: DataFrame, truth: str, pred: str, batch_col: str = "batch_id",
+                      group_cols: Sequence[str] = ()) -> DataFrame:
+    """A4: Σ(batch macro-F1 × batch links) / Σ links (not the global macro-F1), per group."""
+    g = list(group_cols)
+    per = class_f1(df, truth, pred, [*g, batch_col]).groupBy(*g, batch_col).agg(
+        F.avg("f1").alias("macro_f1"), F.sum("support").alias("_n"))
+    return per.groupBy(*g).agg(F.count(F.lit(1)).alias("n_batches"),
+                               (F.sum(F.col("macro_f1") * F.col("_n")) / F.sum("_n")).alias("epoch_f1"))
 
 
 def predicted_class(p0: Column, p1: Column) -> Column:
@@ -85,69 +98,57 @@ def table_scorer(scores: DataFrame, id_col: str = "row_id") -> Scorer:
     return score
 
 
-def _top(df: DataFrame, part: Sequence[str], k_col: str, id_col: str) -> DataFrame:
-    w = Window.partitionBy(*part).orderBy(F.col("p").desc(), F.col("class_idx").asc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col(k_col)).drop("_rn")
-
-
 def beam_search(records: DataFrame, roots: DataFrame, edges: DataFrame, scorer: Scorer,
-                triples: Sequence[tuple[int, int, int]], max_depth: int,
-                id_col: str = "row_id", carry: Sequence[str] = ()) -> DataFrame:
+                triples: Sequence[tuple[int, int, int]], id_col: str = "row_id") -> DataFrame:
     """Visited nodes ``(id, k0, k1, k2, class_idx)`` for each beam triple.
 
     Level 0: top k0 roots by score; level 1: top k1 children of each chosen root; deeper
-    levels: top k2 children of each node chosen on the level above, down to the leaves.
-    Only frontier pairs are scored; ties go to the lower class index. ``edges`` is the
-    parent → child table ``(parent, child)`` (small, size-checked broadcast); ``max_depth``
-    bounds the loop (hierarchy depth).
-
-    Each level's choice (ids only) is written once to the shared scratch folder, so later
-    levels and the final union read it instead of re-deriving every level above; levels end
-    early when a level chooses nothing. ``carry`` columns of ``records`` travel with the
-    frontier for scorers that need them (keep them small: the frontier is records × triples × k).
+    levels: top k2 children of each node chosen on the level above, until a level is empty.
+    Only frontier pairs are scored, each once for all triples: a node's children rank the same for every triple
+    that chose it, so a row carries the list of triples that keep it. Ties go to the lower class
+    index. ``edges`` is the parent → child table ``(parent, child)``.
+
+    Each level's choice is written once to the shared scratch folder, so later levels and the final union read
+    it instead of re-deriving every level above. A hierarchy with a cycle raises.
     """
-    from taxolink.operators.sizing import small_side
-    carry = list(carry)
-    trip = F.explode(F.array(*[F.struct(F.lit(a).alias("k0"), F.lit(b).alias("k1"), F.lit(c).alias("k2"))
-                               for a, b, c in triples])).alias("_t")
-    keys = [id_col, "k0", "k1", "k2"]
-    base = records.select(id_col, *carry, trip).select(id_col, "_t.k0", "_t.k1", "_t.k2", *carry)
-    root_ids = bounded_ids(roots, "node")
-    frontier = scorer(base.select(*keys, *carry, F.explode(F.array(*[F.lit(r) for r in root_ids])).alias("class_idx")))
-    chosen = write_and_read(_top(frontier, keys, "k0", id_col).select(*keys, *carry, "class_idx"), "beam")
-    visited = chosen.select(*keys, "class_idx")
-    ch = small_side(edges.select(F.col("parent"), F.col("child")))
-    for level in range(1, max_depth + 1):
-        nxt = (chosen.join(ch, chosen.class_idx == ch.parent)
-                     .select(*keys, *carry, "parent", F.col("child").alias("class_idx")))
-        scored = scorer(nxt)
-        k_col = "k1" if level == 1 else "k2"
-        # each level is written once (shared scratch folder): later levels and the final union
-        # read it instead of re-deriving every level above
-        chosen = write_and_read(_top(scored, [*keys, "parent"], k_col, id_col).select(*keys, *carry, "class_idx"),
-                                "beam")
-        visited = visited.unionByName(chosen.select(*keys, "class_idx"))
-        if chosen.limit(1).count() == 0:
-            break
-    return visited.distinct()
-
-
-def bounded_ids(df: DataFrame, col: str, max_n: int = 10_000) -> list:
-    """Read a small id list (e.g. the roots of a class hierarchy) with a hard size bound."""
-    rows = df.select(col).distinct().orderBy(col).limit(max_n + 1).collect()
-    if len(rows) > max_n:
-        raise ValueError(f"more than {max_n} ids in {col}: not a small side")
-    return [r[0] for r in rows]
-
-
-def topk_accuracy(visited: DataFrame, true_labels: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """A record is right if any visited node is one of its original labels;
-    mean over records, per beam triple: ``(k0, k1, k2, accuracy)``."""
+    beams = F.array(*[F.struct(F.lit(a).alias("k0"), F.lit(b).alias("k1"), F.lit(c).alias("k2")) for a, b, c in triples])
+
+    def choose(scored: DataFrame, part: Sequence[str], kept: Column, width: str) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(F.col("p").desc(), F.col("class_idx").asc())
+        most = max(t[("k0", "k1", "k2").index(width)] for t in triples)
+        ranked = scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
+        ranked = ranked.withColumn("_beams", F.filter(kept, lambda t: t[width] >= F.col("_rn"))).filter(F.size("_beams") > 0)
+        # a node below two chosen parents is one row with the triples of both
+        return write_and_read(ranked.groupBy(id_col, "class_idx").agg(
+            F.array_distinct(F.flatten(F.collect_list("_beams"))).alias("_beams")), "beam")
+
+    root_ids = roots.agg(F.sort_array(F.collect_set("node")).alias("ids")).scalar()
+    pairs = records.select(id_col, root_ids.alias("_roots")).select(id_col, F.explode("_roots").alias("class_idx"))
+    chosen = choose(scorer(pairs), [id_col], beams, "k0")
+    levels = [chosen]
+    limit = edges.count() + 1
+    while not levels[-1].isEmpty():
+        if len(levels) > limit:
+            raise ValueError("the hierarchy below the roots has a cycle")
+        below = (levels[-1].join(edges.select("parent", "child"), F.col("class_idx") == F.col("parent"))
+                 .select(id_col, "parent", F.col("child").alias("class_idx"), "_beams"))
+        levels.append(choose(scorer(below), [id_col, "parent"], F.col("_beams"), "k1" if len(levels) == 1 else "k2"))
+    visited = levels[0]
+    for level in levels[1:]:
+        visited = visited.unionByName(level)
+    return (visited.select(id_col, "class_idx", F.explode("_beams").alias("_t"))
+            .select(id_col, "_t.k0", "_t.k1", "_t.k2", "class_idx").distinct())
+
+
+def topk_accuracy(visited: DataFrame, true_labels: DataFrame, records: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """A record is right if any visited node is one of its original labels; mean over all
+    ``records``, visited or not, per beam triple: ``(k0, k1, k2, accuracy)``."""
     keys = [id_col, "k0", "k1", "k2"]
-    hits = visited.join(true_labels.select(id_col, "class_idx"), [id_col, "class_idx"], "left_semi") \
-                  .select(*keys).distinct().withColumn("_hit", F.lit(1))
-    per = visited.select(*keys).distinct().join(hits, keys, "left")
-    return per.groupBy("k0", "k1", "k2").agg(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")).alias("accuracy"))
+    n = records.select(id_col).distinct().count()
+    truth = true_labels.select(F.col(id_col).alias("_id"), F.col("class_idx").alias("_class")).distinct()
+    hit = visited.join(truth, (F.col(id_col) == F.col("_id")) & (F.col("class_idx") == F.col("_class")), "left")
+    per = hit.groupBy(*keys).agg(F.max(F.col("_class").isNotNull().cast("int")).alias("_hit"))
+    return per.groupBy("k0", "k1", "k2").agg((F.sum("_hit") / F.lit(max(n, 1))).alias("accuracy"))
 
 
 # ---------------------------------------------------------------- epoch history

@@ -25,17 +25,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolink.operators.sizing import small_side
 from taxolink.session import write_and_read
 
 _POS_BITS = 33
+#: Input bytes per range; more ranges than the shuffle setting are cut when the input is larger.
+RANGE_BYTES = 256 << 20
+
+
+def range_count(df: DataFrame) -> int:
+    """Ranges for an input: the shuffle setting, or one per :data:`RANGE_BYTES` of the files it reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # sources without statistics report a huge default
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // RANGE_BYTES)
 
 
 def exact_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                     out_col: str = "rn", num_partitions: int | None = None) -> DataFrame:
-    """Add ``out_col`` = 1-based row number inside ``group_cols`` ordered by ``order_cols``."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+                     out_col: str = "rn", num_partitions: int | None = None,
+                     size_col: str | None = None) -> DataFrame:
+    """Add ``out_col`` = 1-based row number inside ``group_cols`` ordered by ``order_cols``.
+
+    With ``size_col`` the group's number of rows comes along; the table of offsets holds it anyway.
+    """
+    n = num_partitions or range_count(df)
     group_cols = list(group_cols)
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     sort_exprs = [F.col(g) for g in group_cols] + order_exprs
@@ -54,16 +66,19 @@ def exact_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     stats = (ranged.groupBy("_pid", *group_cols)
                    .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt")))
     before = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
+    whole = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
     stats = stats.withColumn(
         "_off",
         F.coalesce(F.sum("_cnt").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    stats = stats.withColumn("_size", F.sum("_cnt").over(whole))
 
     keys = ["_pid", *group_cols]
-    # stats has at most #partitions + #groups rows: broadcast it when that is small (checked)
-    out = (ranged.join(small_side(stats.select(*keys, "_first", "_off")), keys, "inner")
-                 .withColumn(out_col, F.col("_off") + F.col("_pos") - F.col("_first") + 1)
-                 .drop("_mid", "_pid", "_pos", "_first", "_off"))
-    return out
+    # stats has at most #partitions + #groups rows; written, so that Spark knows its size when it picks the join
+    stats = write_and_read(stats.select(*keys, "_first", "_off", "_size"), "rank-offsets")
+    out = ranged.join(stats, keys, "inner").withColumn(out_col, F.col("_off") + F.col("_pos") - F.col("_first") + 1)
+    if size_col:
+        out = out.withColumn(size_col, F.col("_size"))
+    return out.drop("_mid", "_pid", "_pos", "_first", "_off", "_size")
 
 
 def group_sizes(df: DataFrame, group_cols: Sequence[str], out_col: str = "cnt") -> DataFrame:

@@ -1,7 +1,7 @@
 """Link scoring.
 
-Vectors are ``array<double>`` columns. Class vectors are few (one per class)
-and are joined by a size-checked broadcast; record vectors are joined by key.
+Vectors are ``array<double>`` columns. Class vectors (one per class) and record vectors are joined by
+key; text vectors are long tables.
 The pair head (linear 2d→d, tanh, linear d→2, softmax) runs as an Arrow-batched
 pandas UDF: one NumPy matrix product per batch instead of per-row Python.
 """
@@ -10,31 +10,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxolink.functions.arrays import abs_diff_and_product
 from taxolink.functions.mathx import softmax2_p1
-from taxolink.operators.sizing import small_side
+from taxolink.operators.ranking import exact_row_number
+from taxolink.operators.textprep import RESERVED, words
+from taxolink.session import write_and_read
 
 
-def class_vectors(vectors: DataFrame, label_col: str, vec_col: str) -> DataFrame:
-    """Per-class mean vector (class centroid): ``(class_idx, cvec)``. Partial + final average
-    per (class, position), so a class holding most rows is still averaged by many tasks."""
-    ex = vectors.select(F.col(label_col).alias("class_idx"),
-                        F.posexplode(vec_col).alias("pos", "x"))
-    means = ex.groupBy("class_idx", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy("class_idx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("cvec"))
+def class_vectors(vectors: DataFrame, label_col: str, vec_col: str, dim: int) -> DataFrame:
+    """Per-class mean vector (class centroid): ``(class_idx, cvec)``. Partial + final averages per component, so a
+    class holding most rows is still averaged by many tasks."""
+    means = [F.avg(F.get(F.col(vec_col), i).cast("double")).alias(f"_m{i}") for i in range(dim)]
+    per = vectors.groupBy(F.col(label_col).alias("class_idx")).agg(*means)
+    return per.select("class_idx", F.array(*[F.col(f"_m{i}") for i in range(dim)]).alias("cvec"))
 
 
 def gather(links: DataFrame, rec_vectors: DataFrame, cls_vectors: DataFrame,
            id_col: str = "row_id") -> DataFrame:
-    """Attach the record vector (join on the record key) and the class vector
-    (size-checked broadcast) to every link."""
+    """Attach the record vector and the class vector to every link (Spark picks the joins from the sides' sizes)."""
     return (links.join(rec_vectors.select(id_col, "rvec"), id_col)
-                 .join(small_side(cls_vectors.select("class_idx", "cvec")), "class_idx"))
+                 .join(cls_vectors.select("class_idx", "cvec"), "class_idx"))
 
 
 def pair_features(a: str = "rvec", b: str = "cvec") -> Column:
@@ -113,17 +112,22 @@ def apply_pair_head(model, links: DataFrame) -> DataFrame:
     return out.withColumn("p", F.get(vector_to_array("probability"), 1)).drop("features", "rawPrediction", "probability")
 
 
-def fit_text_model(corpus: DataFrame, text_col: str = "text", num_features: int = 1 << 18):
-    """M6 / M7: text → vector model (tokens → hashed term counts → IDF → L2 norm), fitted on the
-    whole corpus (records of all splits and class rows)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    stages = [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[\p{L}\p{N}]+", gaps=False),
-              HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-              IDF(inputCol="_tf", outputCol="_tfidf"),
-              Normalizer(inputCol="_tfidf", outputCol="tvec", p=2.0)]
-    return Pipeline(stages=stages).fit(corpus)
-
-
-def encode_texts(model, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop("_tok", "_tf", "_tfidf")
+def text_vectors(corpus: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
+    """M6 / M7: L2-normed TF-IDF vectors in long form, ``(id…, term_id, weight)``, fitted on the whole corpus (records
+    of all splits and class rows).
+
+    Every word of every text counts. Term ids are the corpus vocabulary's frequency ranks, so no two words share a
+    dimension; idf = ln((N + 1) / (df + 1)). Terms are counted once and staged; the one join with the vocabulary is keyed
+    by the word, at most one row per (text, word), and AQE splits the most frequent words.
+    """
+    n = corpus.count()
+    terms = write_and_read(corpus.select(*id_cols, F.explode(words(F.col(text_col))).alias("token"))
+                           .groupBy(*id_cols, "token").agg(F.count(F.lit(1)).alias("tf")), "text-terms")
+    voc = terms.groupBy("token").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
+    voc = exact_row_number(voc.withColumn("_neg", -F.col("cnt")), [], ["_neg", "token"], out_col="_rn")
+    voc = voc.select(F.col("token").alias("_token"), (F.col("_rn") - 1 + len(RESERVED)).alias("term_id"),
+                     F.log(F.lit(n + 1.0) / (F.col("df") + 1.0)).alias("_idf"))
+    raw = terms.join(voc, F.col("token") == F.col("_token")).withColumn("_w", F.col("tf") * F.col("_idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*id_cols)))
+    return raw.withColumn("_norm", norm).select(
+        *id_cols, "term_id", F.when(F.col("_norm") > 0, F.col("_w") / F.col("_norm")).otherwise(0.0).alias("weight"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from taxolink.functions.keys import order_key
 from taxolink.functions.mathx import floor_frac
 from taxolink.functions.time import after_days, zoned_year_start
-from taxolink.operators.ranking import exact_row_number, group_sizes
+from taxolink.operators.ranking import exact_row_number
 
 SPLITS = ("train", "val", "test")
 MASKS = tuple(f"is_{s}" for s in SPLITS)
@@ -61,18 +61,17 @@ def class_cap(train_codes: DataFrame, id_col: str, code_col: str, cap: int = 500
 
     ``row_number() <= cap`` is planned as a partial WindowGroupLimit before the
     shuffle, so a group holding a third of all rows ships at most ``cap`` rows per
-    map task. Returns the distinct kept ids.
+    map task. Spark plans that limit up to a threshold only; larger caps are ranked by
+    :func:`exact_row_number`. Returns the distinct kept ids.
     """
-    spark = train_codes.sparkSession
-    conf = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(conf, "1000")) < cap:
-        # the partial limit is only planned for k up to this threshold; above it a hot group
-        # would be sorted whole in one task
-        spark.conf.set(conf, str(cap))
-    w = Window.partitionBy(code_col).orderBy(order_key(seed, F.col(code_col), F.col(id_col)), id_col)
-    return (train_codes.withColumn("_rn", F.row_number().over(w))
-                       .filter(F.col("_rn") <= cap)
-                       .select(id_col).distinct())
+    keyed = train_codes.withColumn("_k", order_key(seed, F.col(code_col), F.col(id_col)))
+    limit = int(train_codes.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if cap <= limit:
+        w = Window.partitionBy(code_col).orderBy("_k", id_col)
+        ranked = keyed.withColumn("_rn", F.row_number().over(w))
+    else:
+        ranked = exact_row_number(keyed, [code_col], ["_k", id_col], out_col="_rn")
+    return ranked.filter(F.col("_rn") <= cap).select(id_col).distinct()
 
 
 def stratified_split(pool_labels: DataFrame, id_col: str = "row_id", class_col: str = "class_idx",
@@ -86,10 +85,8 @@ def stratified_split(pool_labels: DataFrame, id_col: str = "row_id", class_col:
     """
     keyed = pool_labels.select(id_col, class_col).withColumn(
         "_k", order_key(seed, F.col(class_col), F.col(id_col)))
-    ranked = exact_row_number(keyed, [class_col], ["_k", id_col], out_col="_rn")
-    sizes = group_sizes(pool_labels.select(id_col, class_col), [class_col], "_cnt")
-    dealt = (ranked.join(sizes, class_col)
-                   .withColumn("_ntr", floor_frac("_cnt", train_frac))
+    ranked = exact_row_number(keyed, [class_col], ["_k", id_col], out_col="_rn", size_col="_cnt")
+    dealt = (ranked.withColumn("_ntr", floor_frac("_cnt", train_frac))
                    .withColumn("_nva", floor_frac("_cnt", val_frac)))
     return (dealt.groupBy(id_col).agg(
         F.bool_or(F.col("_rn") <= F.col("_ntr")).alias("is_train"),

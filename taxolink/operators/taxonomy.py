@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolink.functions.text import relation_ids
-from taxolink.operators.sizing import small_side
 from taxolink.session import write_and_read
 
 ROOT = -1
@@ -42,12 +41,14 @@ def keep_valid(parents: DataFrame, valid: DataFrame, valid_col: str = "node") ->
     a node left without parents gets ``[-1]``."""
     ids = valid.select(F.col(valid_col).alias("node")).distinct()
     nodes = parents.join(ids, "node", "left_semi")
-    exploded = nodes.select("node", F.posexplode("parents").alias("pos", "parent"))
-    kept = exploded.join(ids.select(F.col("node").alias("parent")), "parent", "left_semi")
-    lists = kept.groupBy("node").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "parent"))), lambda s: s["parent"]).alias("_p"))
-    return (nodes.select("node").join(lists, "node", "left")
-                 .select("node", F.coalesce("_p", F.array(F.lit(ROOT).cast("long"))).alias("parents")))
+    # the outer explode keeps nodes without parents, so no join has to bring them back
+    exploded = nodes.select("node", F.posexplode_outer("parents").alias("pos", "parent"))
+    known = ids.select(F.col("node").alias("_valid"))
+    marked = exploded.join(known, F.col("parent") == F.col("_valid"), "left")
+    kept = F.collect_list(F.when(F.col("_valid").isNotNull(), F.struct("pos", "parent")))  # nulls are left out
+    lists = marked.groupBy("node").agg(F.transform(F.array_sort(kept), lambda s: s["parent"]).alias("_p"))
+    return lists.select("node", F.when(F.size("_p") > 0, F.col("_p"))
+                                 .otherwise(F.array(F.lit(ROOT).cast("long"))).alias("parents"))
 
 
 def edges_of(parents: DataFrame) -> DataFrame:
@@ -63,10 +64,8 @@ def roots_of(parents: DataFrame) -> DataFrame:
 def path_edges(parents: DataFrame) -> DataFrame:
     """Edges that lead towards a root: a node listing -1 is a root, its other edges are dropped
     (the dense child → parents form turns all of its parents into -1)."""
-    e = edges_of(parents)
-    root_children = roots_of(parents).select(F.col("node").alias("child"))
-    return (e.join(root_children, "child", "left_anti")
-             .select("child", "parent").distinct())
+    below = parents.filter(~F.array_contains("parents", ROOT))
+    return below.select(F.col("node").alias("child"), F.explode("parents").alias("parent")).distinct()
 
 
 def problems(parents: DataFrame) -> DataFrame:
@@ -142,8 +141,8 @@ def ancestors(parents: DataFrame, fail_on_cycle: bool = True, max_rounds: int |
     """
     parents = _materialize(parents)
     edges = _materialize(path_edges(parents).filter(F.col("parent") != ROOT))
-    closure = _materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")))
-    delta = closure
+    # each round writes its new pairs only; the closure is the union of what the rounds wrote
+    delta = closure = _materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")))
     limit = max_rounds if max_rounds is not None else parents.count() + 1
     rounds = 0
     while delta.limit(1).count() > 0:
@@ -153,7 +152,7 @@ def ancestors(parents: DataFrame, fail_on_cycle: bool = True, max_rounds: int |
         step = (delta.join(edges, delta.ancestor == edges.child)
                      .select(delta.node, F.col("parent").alias("ancestor")).distinct())
         delta = _materialize(step.join(closure, ["node", "ancestor"], "left_anti"))
-        closure = _materialize(closure.unionByName(delta))
+        closure = closure.unionByName(delta)
     if fail_on_cycle and closure.filter(F.col("node") == F.col("ancestor")).limit(1).count() > 0:
         raise HierarchyError("cycle in hierarchy")
     return closure
@@ -163,7 +162,7 @@ def expand_labels(labels: DataFrame, closure: DataFrame, mask_ids: DataFrame | N
                   id_col: str = "row_id", class_col: str = "class_idx") -> DataFrame:
     """Add every ancestor of each label; labels outside the hierarchy stay alone.
     With ``mask_ids`` only those rows are expanded (rows in any mask)."""
-    clo = small_side(closure.select(F.col("node").alias(class_col), "ancestor"))
+    clo = closure.select(F.col("node").alias(class_col), "ancestor")
     target = labels if mask_ids is None else labels.join(mask_ids.select(id_col), id_col, "left_semi")
     up = target.join(clo, class_col).select(id_col, F.col("ancestor").alias(class_col))
     return labels.select(id_col, class_col).unionByName(up).distinct()
@@ -190,9 +189,9 @@ def index_edges(parents: DataFrame, index: DataFrame, id_col: str = "node",
     parent is mapped. ``parent_child``: every listed edge, -1 kept as the root key.
     """
     m = index.select(F.col(id_col).alias("_id"), F.col(idx_col).cast("long").alias("_ix"))
-    m = small_side(m.unionByName(m.sparkSession.createDataFrame([(ROOT, ROOT)], "_id long, _ix long")))
-    is_root = parents.select(F.col("node").alias("child"), F.array_contains("parents", ROOT).alias("_isroot"))
-    e = edges_of(parents).join(is_root, "child")
+    m = m.unionByName(m.sparkSession.createDataFrame([(ROOT, ROOT)], "_id long, _ix long"))
+    e = parents.select(F.col("node").alias("child"), F.array_contains("parents", ROOT).alias("_isroot"),
+                       F.posexplode("parents").alias("pos", "parent"))
     child_ix = m.select(F.col("_id").alias("child"), F.col("_ix").alias("src"))
     par_ix = m.select(F.col("_id").alias("parent"), F.col("_ix").alias("_pix"))
     mapped = e.join(child_ix, "child").join(par_ix, "parent")

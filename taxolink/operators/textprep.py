@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolink.functions.keys import hash_u32, hash_unit
-from taxolink.functions.text import truncate_text
 from taxolink.operators.ranking import exact_row_number
+from taxolink.operators.splits import batches
+from taxolink.session import write_and_read
 
 WORD = r"[\p{L}\p{N}]+"
 PAD_ID, UNK_ID, MASK_ID = 0, 1, 2
@@ -40,39 +41,41 @@ def build_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           max_chars: int = 512, max_len: int = 512, hot_words: int = 50_000) -> DataFrame:
-    """T1 + T2: text cut at ``max_chars`` characters, words → ids (unknown → 1), at most
-    ``max_len`` ids: ``(id, ids)``.
-
-    Word frequencies are heavily skewed (one word may be a third of all tokens), so the lookup
-    is split: ids are frequency ranks, hence the ``hot_words`` most frequent words are exactly
-    ``id < hot_words + 3`` – a side of proven size that is broadcast and joined first. The one
-    shuffle join with the rest of the vocabulary then sees no hot key: tokens already found carry
-    a unique key instead of their word.
+           max_len: int | None = None) -> DataFrame:
+    """Words of the whole text (null reads as ``nan``) → ids (unknown → 1): ``(id, ids)``, an empty list for a
+    text without words.
+    A limit on the number of ids applies only where ``max_len`` asks for it.
+
+    Words are looked up once per (text, word) with the places where they stand, not once per token. What is left of
+    a hot word (a row for each text that has it) is split by AQE's skew join: the vocabulary side is unique.
     """
-    toks = docs.select(id_col, F.posexplode(words(truncate_text(text_col, max_chars))).alias("pos", "token"))
-    words_only = vocab.filter(F.col("id") >= len(RESERVED)).select("token", F.col("id").alias("tid"))
-    hot = F.broadcast(words_only.filter(F.col("tid") < hot_words + len(RESERVED)))
-    cold = (words_only.filter(F.col("tid") >= hot_words + len(RESERVED))
-                      .select(F.col("token").alias("_ckey"), F.col("tid").alias("_ctid")))
-    first = toks.join(hot, "token", "left")
-    # one pass over the tokens: a token already found gets a unique key that matches no word,
-    # so it spreads evenly in the second (shuffle) join instead of landing on one null-key task
-    key = F.when(F.col("tid").isNull(), F.col("token")).otherwise(
-        F.concat(F.lit("\u0000"), F.col(id_col).cast("string"), F.lit("#"), F.col("pos").cast("string")))
-    second = first.withColumn("_key", key).join(cold, F.col("_key") == F.col("_ckey"), "left")
-    j = second.withColumn("tid", F.coalesce("tid", "_ctid", F.lit(UNK_ID).cast("long")))
-    lists = j.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "tid"))), lambda s: s["tid"]).alias("ids"))
-    return docs.select(id_col).join(lists, id_col, "left").select(
-        id_col, F.slice(F.coalesce("ids", F.array().cast("array<long>")), 1, max_len).alias("ids"))
-
-
-def pad(ids: Column, length: int) -> tuple[Column, Column]:
+    toks = docs.select(id_col, F.posexplode_outer(words(F.coalesce(F.col(text_col), F.lit("nan")))).alias("pos", "token"))
+    # a text without words has one row without a token; its place is null and drops out of the list
+    places = toks.groupBy(id_col, "token").agg(F.collect_list("pos").alias("places"))
+    known = vocab.filter(F.col("id") >= len(RESERVED)).select(F.col("token").alias("_token"), F.col("id").alias("_tid"))
+    found = places.join(known, F.col("token") == F.col("_token"), "left")
+    tid = F.coalesce("_tid", F.lit(UNK_ID).cast("long"))
+    at = F.transform("places", lambda p: F.struct(p.alias("pos"), tid.alias("tid")))
+    lists = found.groupBy(id_col).agg(F.flatten(F.collect_list(at)).alias("_at"))
+    ids = F.transform(F.array_sort("_at"), lambda s: s["tid"])
+    return lists.select(id_col, (ids if max_len is None else F.slice(ids, 1, max_len)).alias("ids"))
+
+
+def longest_per_batch(encoded: DataFrame, id_col: str, batch_size: int) -> DataFrame:
+    """Encoded texts in batches by id with ``longest``, the most ids of a text in the batch: what each is
+    padded to."""
+    numbered = batches(encoded.withColumn("_n", F.size("ids")), id_col, batch_size, shuffle=False)
+    numbered = write_and_read(numbered, "text-batches")
+    most = numbered.groupBy("batch_id").agg(F.max("_n").alias("longest"))
+    return numbered.join(most, "batch_id").drop("_n", "row_index")
+
+
+def pad(ids: Column, length: Column | int) -> tuple[Column, Column]:
     """Pad to ``length`` with the pad id; attention mask 1 for tokens, 0 for padding."""
     n = F.size(ids)
-    padded = F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("long"), F.lit(length) - n))
-    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
+    length = F.lit(length) if isinstance(length, int) else length
+    padded = F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("long"), length - n))
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), length - n))
     return padded, mask
 
 
@@ -92,6 +95,7 @@ def mask_tokens(ids: Column, row_key: Column, vocab_size: int, rate: float = 0.1
         return (F.when(v < 0.8, F.lit(MASK_ID).cast("long"))
                  .when(v < 0.9, rnd.cast("long")).otherwise(x))
 
-    masked = F.transform(ids, lambda x, i: F.when(chosen(i), replaced(x, i)).otherwise(x))
-    target = F.transform(ids, lambda x, i: F.when(chosen(i), x).otherwise(F.lit(IGNORE).cast("long")))
-    return masked, target
+    # one draw per token; both arrays come from it
+    drawn = F.transform(ids, lambda x, i: F.when(chosen(i), F.struct(replaced(x, i).alias("m"), x.alias("t")))
+                        .otherwise(F.struct(x.alias("m"), F.lit(IGNORE).cast("long").alias("t"))))
+    return drawn["m"], drawn["t"]

@@ -196,23 +196,26 @@ def _prime_of(c_expr: str) -> str:
             f"(SELECT 1 FROM range(2, n) dv(q) WHERE n % q = 0 AND q * q <= n))")
 
 
-def _link_ctes(lab: str, c_expr: str, k: int) -> str:
-    """CTEs ``ll`` → ``fin(row_id, pos, neg)``: cyclic positives and permutation-drawn negatives."""
-    return f"""nc AS (SELECT {c_expr} AS c),
+def _link_ctes(lab: str, classes: str, k: int) -> str:
+    """CTEs ``ll`` → ``fin(row_id, pos, neg)``: cyclic positives, and negatives drawn by a walk over the positions of the
+    class table ``classes`` (its ``class_idx`` ascending)."""
+    return f"""ids AS (SELECT list_sort(list(DISTINCT CAST(class_idx AS BIGINT))) AS cl FROM {classes}),
+nc AS (SELECT len(cl) AS c FROM ids),
 np AS (SELECT {_prime_of('(SELECT c FROM nc)')} AS p),
 ll AS (SELECT row_id, list_sort(list(DISTINCT class_idx)) AS l FROM {lab} GROUP BY row_id),
 par AS (SELECT row_id, l, (SELECT c FROM nc) AS c, (SELECT p FROM np) AS p,
                1 + {_u32("'a'", 'row_id')} % ((SELECT p FROM np) - 1) AS a,
                {_u32("'b'", 'row_id')} % (SELECT p FROM np) AS b FROM ll),
-walk AS (SELECT row_id, l, list_filter(list_transform(range(least({k} + p - c + len(l), p)), lambda j: (a * j + b) % p),
-                                       lambda x: x < c AND NOT list_contains(l, x)) AS ok FROM par),
+walk AS (SELECT row_id, l, list_filter(list_transform(
+                  list_filter(list_transform(range(least({k} + p - c + len(l), p)), lambda j: (a * j + b) % p), lambda x: x < c),
+                  lambda x: ids.cl[x + 1]), lambda y: NOT list_contains(l, y)) AS ok FROM par, ids),
 lst AS (SELECT row_id, l, list_slice(ok, 1, {k}) AS ng FROM walk),
 fin AS (SELECT row_id, list_transform(range({k}), lambda i: l[(i % len(l)) + 1]) AS pos,
                list_transform(range({k}), lambda i: ng[(i % len(ng)) + 1]) AS neg
         FROM lst WHERE len(l) > 0 AND len(ng) > 0)"""
 
 
-_BRAND_LINKS = _with(CLS, CODES, LAB, _link_ctes("lab", "(SELECT count(*) FROM cls)", S.K_LINKS))
+_BRAND_LINKS = _with(CLS, CODES, LAB, _link_ctes("lab", "cls", S.K_LINKS))
 ORACLE["pos_links"] = _BRAND_LINKS + "SELECT row_id, array_to_string(pos, ',') AS pos_links FROM fin"
 ORACLE["neg_links"] = _BRAND_LINKS + "SELECT row_id, array_to_string(neg, ',') AS neg_links FROM fin"
 ORACLE["links_flat"] = _BRAND_LINKS + f"""
@@ -225,8 +228,8 @@ SELECT row_id, CAST(label AS BIGINT) AS label, CAST(sum(n) AS BIGINT) AS n_links
 FROM per GROUP BY row_id, label"""
 
 ORACLE["all_links"] = """
-SELECT e.vec_id AS row_id, CAST(c AS BIGINT) AS class_idx
-FROM embeddings e, range((SELECT count(DISTINCT label) FROM embeddings)) r(c)"""
+SELECT e.vec_id AS row_id, CAST(c.label AS BIGINT) AS class_idx
+FROM embeddings e, (SELECT DISTINCT label FROM embeddings) c"""
 
 # ---------------------------------------------------------------- scoring
 
@@ -236,7 +239,7 @@ emb AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v FROM embedding
 cvp AS (SELECT label AS class_idx, i, avg(CAST(embedding[i + 1] AS DOUBLE)) AS m
         FROM embeddings, range({_D}) r(i) GROUP BY label, i),
 cv AS (SELECT CAST(class_idx AS BIGINT) AS class_idx, list(m ORDER BY i) AS cvec FROM cvp GROUP BY class_idx)"""
-_EMB_LINKS = EMB + ",\n" + _link_ctes("elab", "(SELECT count(DISTINCT class_idx) FROM elab)", 1) + """,
+_EMB_LINKS = EMB + ",\n" + _link_ctes("elab", "elab", 1) + """,
 flat AS (SELECT row_id, 0 AS slot, pos[1] AS class_idx, 1 AS label FROM fin
          UNION ALL SELECT row_id, 1, neg[1], 0 FROM fin),
 g AS (SELECT f.row_id, f.slot, f.class_idx, f.label, e.v, c.cvec
@@ -332,7 +335,7 @@ SELECT row_id, CAST(k0 AS BIGINT) AS k0, CAST(k1 AS BIGINT) AS k1, CAST(k2 AS BI
        CAST(class_idx AS BIGINT) AS class_idx FROM vis"""
 
 ORACLE["topk_accuracy"] = "WITH " + BEAM + """,
-rec AS (SELECT DISTINCT row_id, k0, k1, k2 FROM vis),
+rec AS (SELECT elab.row_id, trip.k0, trip.k1, trip.k2 FROM elab, trip),
 hit AS (SELECT DISTINCT v.row_id, v.k0, v.k1, v.k2 FROM vis v JOIN elab l ON l.row_id = v.row_id AND l.class_idx = v.class_idx)
 SELECT CAST(r.k0 AS BIGINT) AS k0, CAST(r.k1 AS BIGINT) AS k1, CAST(r.k2 AS BIGINT) AS k2,
        round(avg(CASE WHEN h.row_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS accuracy
@@ -387,7 +390,7 @@ FROM cls c LEFT JOIN cat ON cat.id = TRY_CAST(regexp_extract(c.class_name, '(\d+
 
 ORACLE["reject_filter"] = f"""
 SELECT doc_id, CAST(length(split_part(text, chr(10), 1)) AS BIGINT) AS first_len FROM documents
-WHERE text IS NOT NULL AND NOT contains(split_part(text, chr(10), 1), '{S.WITHDRAWN_MARKER}')"""
+WHERE text IS NOT NULL AND NOT contains(text, '{S.WITHDRAWN_MARKER}')"""
 
 ORACLE["remap_unknown"] = _with(CODES) + f"""
 , rc AS (SELECT o.o_orderkey AS row_id, coalesce(c.code, 'NONE') AS code
@@ -452,7 +455,8 @@ SELECT CAST(year AS BIGINT) AS year FROM (VALUES {_YEARS}) v(year)
 WHERE year NOT IN (SELECT DISTINCT year(o_orderdate) FROM orders)"""
 
 ORACLE["csv_roundtrip"] = """
-SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"""
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment,
+       CASE WHEN c_custkey % 7 <> 0 THEN c_name || ' "é, ü"' || chr(10) || c_mktsegment END AS c_note FROM customer"""
 
 ORACLE["bundle_roundtrip"] = _with(CLS, CODES, LAB) + "SELECT row_id, CAST(class_idx AS BIGINT) AS class_idx FROM lab"
 
@@ -468,17 +472,19 @@ UNION ALL
 SELECT token, CAST(id AS BIGINT), CAST(cnt AS BIGINT) FROM (VALUES ('<pad>', 0, 0), ('<unk>', 1, 0), ('<mask>', 2, 0)) v(token, id, cnt)"""
 
 ENCODE = VOCAB + r""",
-tw AS (SELECT doc_id, regexp_extract_all(substr(coalesce(text, 'nan'), 1, 512), '[\p{L}\p{N}]+') AS tl FROM documents),
+tw AS (SELECT doc_id, regexp_extract_all(coalesce(text, 'nan'), '[\p{L}\p{N}]+') AS tl FROM documents),
 tk AS (SELECT doc_id, i, tl[i + 1] AS token FROM (SELECT doc_id, tl, unnest(range(len(tl))) AS i FROM tw)),
 ti AS (SELECT tk.doc_id, tk.i, coalesce(v.id, 1) AS tid FROM tk LEFT JOIN voc v ON v.token = tk.token),
 il AS (SELECT doc_id, list(tid ORDER BY i) AS ids FROM ti GROUP BY doc_id),
-enc AS (SELECT d.doc_id, list_slice(coalesce(il.ids, []), 1, 512) AS ids FROM documents d LEFT JOIN il USING (doc_id))"""
+enc AS (SELECT d.doc_id, coalesce(il.ids, []) AS ids FROM documents d LEFT JOIN il USING (doc_id))"""
 
-ORACLE["encode_pad"] = _with(ENCODE) + """, mx AS (SELECT max(len(ids)) AS L FROM enc)
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(mx.L AS BIGINT) AS padded_len,
-       array_to_string(list_concat(ids, list_transform(range(mx.L - len(ids)), lambda x: 0)), ',') AS ids,
+ORACLE["encode_pad"] = _with(ENCODE) + f""",
+nb AS (SELECT doc_id, ids, (row_number() OVER (ORDER BY doc_id) - 1) // {S.BATCH_SIZE} AS batch_id FROM enc),
+mx AS (SELECT doc_id, ids, batch_id, max(len(ids)) OVER (PARTITION BY batch_id) AS L FROM nb)
+SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(L AS BIGINT) AS padded_len,
+       array_to_string(list_concat(ids, list_transform(range(L - len(ids)), lambda x: 0)), ',') AS ids,
        CAST(len(ids) AS BIGINT) AS mask_sum
-FROM enc, mx"""
+FROM mx"""
 
 
 def _unit_in_lambda(tag, pos: str) -> str:
@@ -503,3 +509,78 @@ m AS (SELECT run_id, 'val_acc' AS key, epoch, val_acc AS value FROM h
       UNION ALL SELECT run_id, 'loss', epoch, loss FROM h)
 SELECT run_id, key, key || ' :' || string_agg(CAST(value AS VARCHAR), ' ' ORDER BY epoch) AS line
 FROM m GROUP BY run_id, key"""
+
+# ---------------------------------------------------------------- links on expanded labels
+
+ORACLE["neg_links_short"] = _with(CLS, CODES, LAB, _link_ctes("lab", "cls", S.K_SHORT)) + (
+    "SELECT row_id, array_to_string(neg, ',') AS neg_links FROM fin")
+
+NATIONS = """nod AS (
+  SELECT CAST(100 + n_nationkey AS BIGINT) AS class_idx FROM nation UNION SELECT CAST(r_regionkey AS BIGINT) FROM region),
+olab AS (SELECT DISTINCT l_orderkey AS row_id, CAST(100 + s_nationkey AS BIGINT) AS class_idx
+         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+wide AS (SELECT row_id, class_idx FROM olab
+         UNION SELECT row_id, CAST(n_regionkey AS BIGINT) FROM olab JOIN nation ON class_idx = 100 + n_nationkey)"""
+
+ORACLE["expanded_links"] = _with(NATIONS, _link_ctes("wide", "nod", S.K_SHORT)) + f"""
+SELECT row_id, CAST(i AS BIGINT) AS slot, CAST(pos[i + 1] AS BIGINT) AS class_idx, CAST(1 AS BIGINT) AS label
+FROM fin, range({S.K_SHORT}) r(i)
+UNION ALL
+SELECT row_id, CAST(i + {S.K_SHORT} AS BIGINT), CAST(neg[i + 1] AS BIGINT), CAST(0 AS BIGINT) FROM fin, range({S.K_SHORT}) r(i)"""
+
+ORACLE["class_side"] = """
+SELECT CAST(100 + n_nationkey AS BIGINT) AS row_id, CAST(100 + n_nationkey AS VARCHAR) AS o_labels,
+       CAST(n_regionkey AS VARCHAR) || ',' || CAST(100 + n_nationkey AS VARCHAR) AS h_labels FROM nation
+UNION ALL
+SELECT CAST(r_regionkey AS BIGINT), CAST(r_regionkey AS VARCHAR), CAST(r_regionkey AS VARCHAR) FROM region"""
+
+# ---------------------------------------------------------------- text vectors, fitted head, evaluation
+
+ORACLE["text_vectors"] = r"""
+WITH c AS (SELECT 'record' AS kind, doc_id AS id, text FROM documents
+           UNION ALL SELECT 'class', item_id, text FROM benchmark),
+w AS (SELECT kind, id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS token FROM c),
+t AS (SELECT kind, id, token, count(*) AS tf FROM w GROUP BY ALL),
+v AS (SELECT token, row_number() OVER (ORDER BY sum(tf) DESC, token) - 1 + 3 AS term_id,
+             ln(((SELECT count(*) FROM c) + 1.0) / (count(*) + 1.0)) AS idf FROM t GROUP BY token),
+x AS (SELECT kind, id, term_id, tf * idf AS w FROM t JOIN v USING (token)),
+n AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY kind, id)) AS norm FROM x)
+SELECT kind, id, CAST(term_id AS BIGINT) AS term_id, round(CASE WHEN norm > 0 THEN w / norm ELSE 0.0 END, 5) AS weight FROM n"""
+
+MASKS = f"""mr AS (SELECT row_id, class_idx, row_number() OVER (PARTITION BY class_idx ORDER BY {_md5('class_idx', 'row_id')}, row_id) AS rn,
+             count(*) OVER (PARTITION BY class_idx) AS cnt FROM elab),
+md AS (SELECT row_id, rn, CAST(floor(cnt * {S.TRAIN_FRAC}::DOUBLE) AS BIGINT) AS ntr,
+             CAST(floor(cnt * {S.VAL_FRAC}::DOUBLE) AS BIGINT) AS nva FROM mr)"""
+
+ORACLE["pair_head_fit"] = "WITH " + _EMB_LINKS + ", " + MASKS + """
+SELECT CAST(count(*) AS BIGINT) AS n_links, true AS better_than_none
+FROM flat WHERE row_id IN (SELECT row_id FROM md WHERE rn <= ntr)"""
+
+ORACLE["evaluate_split"] = "WITH " + _EMB_LINKS + _HEAD.replace("SELECT row_id, slot, class_idx, label, 1.0", f"SELECT row_id, slot, class_idx, label, list_sum(list_slice(feat, 1, {_D})) / {_D} AS tl, 1.0") + ", " + MASKS + f""",
+sp AS (SELECT row_id, 'val' AS split FROM md WHERE rn > ntr AND rn <= ntr + nva
+       UNION ALL SELECT row_id, 'test' FROM md WHERE rn > ntr + nva),
+sb AS (SELECT row_id, split, (row_number() OVER (PARTITION BY split ORDER BY row_id) - 1) // {S.BATCH_SIZE} AS batch_id FROM sp),
+j AS (SELECT sb.split, sb.batch_id, sb.split || '#' || sb.batch_id AS g, label, tl,
+             -ln(greatest(CASE WHEN label = 1 THEN p ELSE 1.0 - p END, 1e-12)) AS ce,
+             CASE WHEN p > 1.0 - p THEN 1 ELSE 0 END AS pred FROM sc JOIN sb USING (row_id)),
+lb AS (SELECT split, batch_id, avg(ce) + {S.TEXT_LOSS_WEIGHT} * avg(tl) AS l FROM j GROUP BY split, batch_id),
+fb AS {_f1_sql('j', 'label', 'pred', 'g')},
+bn AS (SELECT split, g, count(*) AS n FROM j GROUP BY split, g)
+SELECT split, 'loss' AS metric, round(avg(l), 5) AS value FROM lb GROUP BY split
+UNION ALL
+SELECT split, 'epoch_f1', round(sum(f1 * n) / sum(n), 5) FROM fb JOIN bn USING (g) GROUP BY split"""
+
+# ---------------------------------------------------------------- dataset variants
+
+_RANDOM = _with(CLS, CODES, LAB, SPLIT) + ", rnd AS (" + ORACLE["stratified_split"].split(SPLIT, 1)[1].strip().removeprefix(",").strip().replace(
+    "pool AS", "WITH pool AS", 1) + ")"
+
+ORACLE["split_sizes"] = _RANDOM + """
+SELECT 'temporal' AS variant, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val,
+       count(*) FILTER (WHERE split = 'test') AS n_test FROM spl
+UNION ALL
+SELECT 'random', count(*) FILTER (WHERE is_train), count(*) FILTER (WHERE is_val), count(*) FILTER (WHERE is_test) FROM rnd"""
+
+ORACLE["reset_masks"] = _RANDOM + """
+SELECT o.o_orderkey AS row_id, coalesce(is_train, false) AS is_train, coalesce(is_val, false) AS is_val,
+       coalesce(is_test, false) AS is_test FROM orders o LEFT JOIN rnd ON rnd.row_id = o.o_orderkey"""

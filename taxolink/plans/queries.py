@@ -28,7 +28,6 @@ from taxolink.operators import textprep as TX
 from taxolink.operators import splits as SP
 from taxolink.operators import taxonomy as H
 from taxolink.operators.ranking import exact_row_number
-from taxolink.operators.sizing import small_side
 from taxolink.plans import standins as S
 from taxolink.session import scratch_path, write_and_read
 from taxolink.sources import bundle as BD
@@ -199,19 +198,14 @@ def expand_labels(spark, d):
 @query("graph_listing")
 def graph_listing(spark, d):
     """Node labels and child → parent edges of the nation → region tree."""
-    parents = S.tree_parents(spark, d).filter(F.col("node") < 1000)
+    parents = S.tree_parents(spark, d, suppliers=False)
     return H.graph_listing(parents, S.tree_names(spark, d))
 
 
 # ---------------------------------------------------------------- link candidates
 
-def _n_classes(spark, d) -> int:
-    """Size of the class catalogue (a small table; read once per query)."""
-    return S.classes(spark, d).count()
-
-
-def _brand_links(spark, d) -> DataFrame:
-    return LK.link_lists(S.labels(spark, d), _n_classes(spark, d), S.K_LINKS, S.SEED)
+def _brand_links(spark, d, k: int = S.K_LINKS) -> DataFrame:
+    return LK.link_lists(S.labels(spark, d), S.classes(spark, d), k, S.SEED)
 
 
 @query("pos_links")
@@ -228,6 +222,45 @@ def neg_links(spark, d):
         "row_id", F.array_join(F.transform("neg", lambda x: x.cast("string")), ",").alias("neg_links"))
 
 
+@query("neg_links_short")
+def neg_links_short(spark, d):
+    """K2 with fewer draws than there are classes: the draw is cut at k."""
+    return _brand_links(spark, d, S.K_SHORT).select(
+        "row_id", F.array_join(F.transform("neg", lambda x: x.cast("string")), ",").alias("neg_links"))
+
+
+def _nation_labels(spark, d):
+    """Labels of orders in the nation → region tree (the nations of an order's suppliers), the tree's closure, and its
+    nodes as the class table. Node ids are not dense: regions 0.., nations 100.. ."""
+    li = S.read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    sup = S.read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    lab = (li.join(sup, li["l_suppkey"] == sup["s_suppkey"])
+           .select(F.col("l_orderkey").alias("row_id"), (F.col("s_nationkey") + 100).cast("int").alias("class_idx")).distinct())
+    tree = S.tree_parents(spark, d, suppliers=False)
+    return lab, H.ancestors(tree), tree.select(F.col("node").cast("int").alias("class_idx"))
+
+
+@query("expanded_links")
+def expanded_links(spark, d):
+    """H10 → K1, K2 → K3, K4: links on labels expanded with their ancestors, every (record, slot, class, label) row."""
+    lab, closure, nodes = _nation_labels(spark, d)
+    wide = write_and_read(H.expand_labels(lab, closure.select(F.col("node").cast("int").alias("node"),
+                                                              F.col("ancestor").cast("int").alias("ancestor"))), "expanded")
+    return LK.flatten_links(LK.link_lists(wide, nodes, S.K_SHORT, S.SEED), S.K_SHORT)
+
+
+@query("class_side")
+def class_side(spark, d):
+    """K6: class rows (tree nodes) with their own and their expanded labels, no links."""
+    _, closure, nodes = _nation_labels(spark, d)
+    own = nodes.select(F.col("class_idx").cast("long").alias("row_id"), "class_idx")
+    wide = H.expand_labels(own, closure.select(F.col("node").cast("int").alias("node"),
+                                               F.col("ancestor").cast("int").alias("ancestor")))
+    out = LK.class_side(own, own, wide)
+    return out.select("row_id", sorted_int_list_text("o_labels").alias("o_labels"),
+                      sorted_int_list_text("h_labels").alias("h_labels"))
+
+
 @query("links_flat")
 def links_flat(spark, d):
     """K3, K4: flat (record, slot, class, label) links, positives first; reported per record and
@@ -246,19 +279,21 @@ def links_flat(spark, d):
 def all_links(spark, d):
     """Every embedding record with every class."""
     lab = S.embedding_labels(spark, d)
-    n = len(M.bounded_ids(lab, "class_idx"))
-    return LK.all_links(lab.select("row_id"), n)
+    return LK.all_links(lab.select("row_id"), lab)
 
 
 # ---------------------------------------------------------------- scoring
 
+def _centroids(spark, d) -> DataFrame:
+    """Class vectors, written once: every use reads the small table and Spark knows its size."""
+    return write_and_read(SC.class_vectors(S.read(spark, d, "embeddings"), "label", "embedding", S.EMBED_DIM), "centroids")
+
+
 def _emb_links(spark, d) -> DataFrame:
     """One positive and one sampled negative link per embedding record, with both vectors."""
     lab = S.embedding_labels(spark, d)
-    n = len(M.bounded_ids(lab, "class_idx"))
-    flat = LK.flatten_links(LK.link_lists(lab, n, 1, S.SEED), 1)
-    cv = SC.class_vectors(S.read(spark, d, "embeddings"), "label", "embedding")
-    return SC.gather(flat, S.record_vectors(spark, d), cv)
+    flat = LK.flatten_links(LK.link_lists(lab, lab, 1, S.SEED), 1)
+    return SC.gather(flat, S.record_vectors(spark, d), _centroids(spark, d))
 
 
 @query("pair_features")
@@ -287,10 +322,10 @@ def link_scores(spark, d):
 def link_loss(spark, d):
     """A2, M8: mean link cross-entropy per batch of records, then mean over batches."""
     sc = _emb_scores(spark, d)
-    recs = sc.select("row_id").distinct()
+    recs = S.embedding_labels(spark, d).select("row_id").distinct()
     b = SP.batches(recs, "row_id", S.BATCH_SIZE, shuffle=False).select("row_id", "batch_id")
     links = sc.join(b, "row_id").withColumn("ce", M.link_cross_entropy(F.col("p"), F.col("label")))
-    out = M.batch_mean_loss(links)
+    out = M.batch_mean_loss(links, loss=SC.total_loss(F.col("ce")))
     return out.select("n_batches", "n_links", F.round("loss", 6).alias("loss"))
 
 
@@ -334,21 +369,19 @@ def th_metrics(spark, d):
 
 def _beam(spark, d) -> DataFrame:
     rv = S.record_vectors(spark, d)
-    cv = SC.class_vectors(S.read(spark, d, "embeddings"), "label", "embedding")
-
-    cvb = small_side(cv)
+    cv = _centroids(spark, d)
 
     def scorer(frontier):
-        # the frontier holds ids only (record × triple × chosen nodes); record vectors are joined
-        # by key once per level and class vectors come from a size-checked broadcast
-        j = frontier.join(rv, "row_id").join(cvb, "class_idx")
+        # the frontier holds ids only (record × chosen nodes, all triples in one row); record vectors are joined
+        # by key once per level, class vectors come from the staged table
+        j = frontier.join(rv, "row_id").join(cv, "class_idx")
         dot = F.aggregate(F.zip_with("rvec", "cvec", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
         return j.withColumn("p", F.round(dot, 4)).drop("rvec", "cvec")
 
     tree = S.class_tree(spark)
     roots = H.roots_of(tree)
     edges = H.parent_child_edges(tree).filter(F.col("parent") != H.ROOT)
-    return M.beam_search(rv.select("row_id"), roots, edges, scorer, S.BEAM_TRIPLES, max_depth=3)
+    return M.beam_search(rv.select("row_id"), roots, edges, scorer, S.BEAM_TRIPLES)
 
 
 @query("beam_topk")
@@ -360,7 +393,8 @@ def beam_topk(spark, d):
 @query("topk_accuracy")
 def topk_accuracy(spark, d):
     """Share of records whose beam hits an original label, per triple."""
-    acc = M.topk_accuracy(_beam(spark, d), S.embedding_labels(spark, d))
+    lab = S.embedding_labels(spark, d)
+    acc = M.topk_accuracy(_beam(spark, d), lab, lab)
     return acc.select("k0", "k1", "k2", F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -448,10 +482,10 @@ def append_classes(spark, d):
 
 @query("reject_filter")
 def reject_filter(spark, d):
-    """Drop documents whose first line is missing or holds the withdrawn marker."""
+    """Drop documents whose text is missing or holds the withdrawn marker anywhere."""
     docs = S.read(spark, d, "documents")
     first = F.get(F.split("text", "\n"), 0)
-    kept = docs.filter(first.isNotNull() & ~contains_marker(first, S.WITHDRAWN_MARKER))
+    kept = docs.filter(F.col("text").isNotNull() & ~contains_marker("text", S.WITHDRAWN_MARKER))
     return kept.select("doc_id", F.length(F.coalesce(first, F.lit("NONE"))).alias("first_len"))
 
 
@@ -551,11 +585,14 @@ def feed_gaps(spark, d):
 
 @query("csv_roundtrip")
 def csv_roundtrip(spark, d):
-    """A table written as CSV and read back with its schema."""
+    """A table written as ISO-8859-1 CSV and read back with its schema; one column has quotes, commas, line
+    breaks, accents and nulls."""
     cust = S.read(spark, d, "customer")
+    note = F.concat(F.col("c_name"), F.lit(' "é, ü"\n'), F.col("c_mktsegment"))
+    cust = cust.withColumn("c_note", F.when(F.col("c_custkey") % 7 != 0, note))
     path = scratch_path(spark, "csv")
-    CT.write_csv(cust, path)
-    return CT.read_csv(spark, path, cust.schema, encoding="UTF-8")
+    CT.write_csv(cust, path, encoding="ISO-8859-1")
+    return CT.read_csv(spark, path, cust.schema, encoding="ISO-8859-1")
 
 
 @query("bundle_roundtrip")
@@ -563,6 +600,11 @@ def bundle_roundtrip(spark, d):
     """The label table materialised as part of a bundle and loaded back."""
     root = scratch_path(spark, "bundle")
     BD.materialize(spark, f"{root}/labels", lambda: S.labels(spark, d), recompute=True)
+
+    def never():
+        raise AssertionError("the finished table must be loaded, not built again")
+
+    BD.materialize(spark, f"{root}/labels", never)
     BD.save_bundle({"classes": S.classes(spark, d)}, root)
     return BD.load_bundle(spark, root, ["labels", "classes"])["labels"]
 
@@ -584,62 +626,92 @@ def vocab(spark, d):
 
 @query("encode_pad")
 def encode_pad(spark, d):
-    """Texts cut at 512 characters, encoded, padded to the longest with a mask."""
+    """Whole texts encoded, padded to the longest of their batch with a mask."""
     docs, voc = _vocab_and_codes(spark, d)
-    enc = write_and_read(TX.encode(docs, voc), "encoded")      # read twice below: encode once
-    longest = enc.agg(F.max(F.size("ids"))).first()[0] or 0
-    padded, mask = TX.pad(F.col("ids"), int(longest))
-    return enc.select("doc_id", F.size("ids").alias("n_tokens"), F.size(padded).alias("padded_len"),
+    enc = TX.longest_per_batch(TX.encode(docs, voc), "doc_id", S.BATCH_SIZE)
+    padded, mask = TX.pad(F.col("ids"), F.col("longest"))
+    return enc.select("doc_id", "batch_id", F.size("ids").alias("n_tokens"), F.size(padded).alias("padded_len"),
                       F.array_join(F.transform(padded, lambda x: x.cast("string")), ",").alias("ids"),
                       F.aggregate(mask, F.lit(0), lambda a, b: a + b).alias("mask_sum"))
 
 
 @query("mask_tokens")
 def mask_tokens(spark, d):
-    """Masked-text corpus (15 % of tokens; 80 / 10 / 10 mask, random, keep)."""
+    """Masked-text corpus over whole texts (15 % of tokens; 80 / 10 / 10 mask, random, keep)."""
     docs, voc = _vocab_and_codes(spark, d)
     enc = TX.encode(docs, voc)
-    vsize = voc.count()
-    masked, target = TX.mask_tokens(F.col("ids"), F.col("doc_id"), vsize, S.MASK_RATE, S.SEED)
+    masked, target = TX.mask_tokens(F.col("ids"), F.col("doc_id"), voc.count(), S.MASK_RATE, S.SEED)
     return enc.select("doc_id", F.size(F.filter(target, lambda x: x != TX.IGNORE)).alias("n_chosen"),
                       F.array_join(F.transform(masked, lambda x: x.cast("string")), ",").alias("masked"))
 
 
-# ---------------------------------------------------------------- Spark ML re-aims (rows-only)
+# ---------------------------------------------------------------- text vectors, fitted head, evaluation
 
 @query("text_vectors")
 def text_vectors(spark, d):
-    """M6, M7: text model fitted on all record and class texts, applied to documents."""
-    docs = S.read(spark, d, "documents").select("doc_id", "text")
-    cls = S.read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    model = SC.fit_text_model(docs.unionByName(cls))
-    vec = model.transform(docs)
-    return vec.select("doc_id", F.size("_tok").alias("n_words"), "tvec")
+    """M6, M7: TF-IDF vectors of record texts (documents) and class texts (benchmark items), fitted on both."""
+    docs = S.read(spark, d, "documents").select(F.lit("record").alias("kind"), F.col("doc_id").alias("id"), "text")
+    cls = S.read(spark, d, "benchmark").select(F.lit("class").alias("kind"), F.col("item_id").alias("id"), "text")
+    vec = SC.text_vectors(docs.unionByName(cls), ["kind", "id"])
+    return vec.select("kind", "id", "term_id", F.round("weight", 5).alias("weight"))
+
+
+def _random_masks(spark, d) -> DataFrame:
+    """Per-class random split of the embedding records."""
+    return SP.stratified_split(S.embedding_labels(spark, d), "row_id", "class_idx", S.TRAIN_FRAC, S.VAL_FRAC, S.SEED)
 
 
 @query("pair_head_fit")
 def pair_head_fit(spark, d):
-    """M5: logistic-regression pair head fitted on labelled links, applied to them."""
-    links = _emb_links(spark, d)
-    model = SC.fit_pair_head(links)
-    out = SC.apply_pair_head(model, links)
-    return out.select("row_id", "slot", "class_idx", "label", F.round("p", 4).alias("p"))
+    """M5: logistic-regression pair head fitted on the links of training records: links used, and whether its mean
+    loss on them is below that of a head that knows nothing (ln 2)."""
+    links = _emb_links(spark, d).join(_random_masks(spark, d).filter("is_train").select("row_id"), "row_id", "left_semi")
+    links = write_and_read(links, "train-links")
+    out = SC.apply_pair_head(SC.fit_pair_head(links), links)
+    ce = M.link_cross_entropy(F.col("p"), F.col("label"))
+    return out.agg(F.count(F.lit(1)).alias("n_links"), (F.avg(ce) < F.log(F.lit(2.0))).alias("better_than_none"))
 
 
 @query("evaluate_split")
 def evaluate_split(spark, d):
-    """A10: loss and batch-weighted F1 of the fitted head over batches of records."""
-    links = _emb_links(spark, d)
-    scored = SC.apply_pair_head(SC.fit_pair_head(links), links)
-    recs = scored.select("row_id").distinct()
-    b = SP.batches(recs, "row_id", S.BATCH_SIZE, shuffle=False).select("row_id", "batch_id")
-    j = (scored.join(b, "row_id")
-               .withColumn("ce", M.link_cross_entropy(F.col("p"), F.col("label")))
-               .withColumn("pred", M.predicted_class(F.lit(1.0) - F.col("p"), F.col("p"))))
-    loss = M.batch_mean_loss(j).select(F.lit("loss").alias("metric"), F.round("loss", 6).alias("value"))
-    f1 = M.batch_weighted_f1(j, "label", "pred").select(F.lit("epoch_f1").alias("metric"),
-                                                         F.round("epoch_f1", 6).alias("value"))
-    return loss.unionByName(f1)
+    """A10, M8, A2, A4: the fixed head on validation and test records: mean batch loss (links, plus the weighted text loss)
+    and batch-weighted F1 per split. The text loss stands in as the mean difference of the two vectors."""
+    links = _emb_scores(spark, d)
+    apart = F.aggregate(F.zip_with("rvec", "cvec", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, b: a + b) / S.EMBED_DIM
+    scored = links.select("row_id", "slot", "label", "p", apart.alias("text_loss"))
+    masks = write_and_read(_random_masks(spark, d), "masks")
+    split = masks.select("row_id", F.explode(F.array_compact(F.array(
+        F.when(F.col("is_val"), "val"), F.when(F.col("is_test"), "test")))).alias("split"))
+    b = SP.batches(split, "row_id", S.BATCH_SIZE, shuffle=False, group_col="split").select("row_id", "split", "batch_id")
+    j = write_and_read(scored.join(b, "row_id")
+                       .withColumn("ce", M.link_cross_entropy(F.col("p"), F.col("label")))
+                       .withColumn("pred", M.predicted_class(F.lit(1.0) - F.col("p"), F.col("p"))), "scored-links")
+    loss = M.batch_mean_loss(j, group_cols=["split"],
+                             loss=SC.total_loss(F.col("ce"), F.col("text_loss"), S.TEXT_LOSS_WEIGHT))
+    f1 = M.batch_weighted_f1(j, "label", "pred", group_cols=["split"])
+    return (loss.select("split", F.lit("loss").alias("metric"), F.round("loss", 5).alias("value"))
+            .unionByName(f1.select("split", F.lit("epoch_f1").alias("metric"), F.round("epoch_f1", 5).alias("value"))))
+
+
+# ---------------------------------------------------------------- dataset variants
+
+def _variant(spark, d, name: str) -> DataFrame:
+    return SP.dataset_variant(name, S.records(spark, d), S.labels(spark, d), S.TEMPORAL_WINDOWS, seed=S.SEED,
+                              train_frac=S.TRAIN_FRAC, val_frac=S.VAL_FRAC)
+
+
+@query("split_sizes")
+def split_sizes(spark, d):
+    """Rows per mask of the temporal and the random dataset variant."""
+    parts = [SP.split_sizes(_variant(spark, d, v)).withColumn("variant", F.lit(v)) for v in ("temporal", "random")]
+    return parts[0].unionByName(parts[1]).select("variant", "n_train", "n_val", "n_test")
+
+
+@query("reset_masks")
+def reset_masks(spark, d):
+    """The temporal masks of all records cleared and set from the random variant."""
+    recs = SP.temporal_split(S.records(spark, d).select("row_id", "ts"), F.lit(True), "ts", S.TEMPORAL_WINDOWS, S.WINDOW_ZONE)
+    return SP.reset_masks(recs, _variant(spark, d, "random"), "row_id").select("row_id", "is_train", "is_val", "is_test")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

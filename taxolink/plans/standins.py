@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from taxolink.functions.text import first_int
 from taxolink.operators import labels as L
-from taxolink.operators.sizing import small_side
 from taxolink.session import table_path
 
 # Fixed values of the stand-in set-up (shared with the SQL oracles).
@@ -27,7 +26,8 @@ CLASS_CAP = 500
 TRAIN_FRAC, VAL_FRAC = 0.70, 0.10
 SAMPLE_N = 100
 BATCH_SIZE = 32
-K_LINKS = 120
+K_LINKS, K_SHORT = 120, 5
+TEXT_LOSS_WEIGHT = 0.1
 THRESHOLD = 0.5
 BEAM_TRIPLES = ((1, 1, 1), (3, 2, 1), (5, 2, 2))
 # Small class tree over the embedding labels 0..9: child -> parent (-1 = root).
@@ -98,7 +98,7 @@ def dag_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     types = (part.select("p_type").distinct()
                  .withColumn("tid", (F.dense_rank().over(Window.orderBy("p_type")) - 1 + TYPE_ID_BASE).cast("long")))
-    p = part.join(small_side(types), "p_type")
+    p = part.join(types, "p_type")
     brand_id = first_int("p_brand").cast("long")
     band_id = (F.floor(F.col("p_size") / 10) + BAND_ID_BASE).cast("long")
     parts = p.select((F.col("p_partkey") + PART_ID_BASE).alias("node"), F.col("p_partkey").cast("string").alias("name"),
@@ -125,15 +125,15 @@ def dag_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.keep_valid(H.parse_parents(cat, "node", "relation"), valid)
 
 
-def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier → nation → region as a parents table."""
+def tree_parents(spark: SparkSession, sf_dir: str, suppliers: bool = True) -> DataFrame:
+    """Supplier → nation → region as a parents table; nation → region alone without ``suppliers``."""
     sup = read(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") + 1000).alias("node"), F.array((F.col("s_nationkey") + 100).cast("long")).alias("parents"))
     nat = read(spark, sf_dir, "nation").select(
         (F.col("n_nationkey") + 100).cast("long").alias("node"), F.array(F.col("n_regionkey").cast("long")).alias("parents"))
     reg = read(spark, sf_dir, "region").select(
         F.col("r_regionkey").cast("long").alias("node"), F.array(F.lit(-1).cast("long")).alias("parents"))
-    return sup.unionByName(nat).unionByName(reg)
+    return (sup.unionByName(nat) if suppliers else nat).unionByName(reg)
 
 
 def tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:

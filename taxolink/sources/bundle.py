@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,18 +19,16 @@ def load_bundle(spark: SparkSession, root: str, names) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{root.rstrip('/')}/{n}") for n in names}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018  (a listing, no data read)
-        return True
-    except AnalysisException:
-        return False
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was finished: its success marker is there (a part-written target has none)."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return bool(marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker))
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                 recompute: bool = False) -> DataFrame:
-    """Recompute when forced or when the output is missing, else read it back."""
-    if recompute or not _exists(spark, path):
+    """Recompute when forced or when the output is missing or unfinished, else read it back."""
+    if recompute or not _complete(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

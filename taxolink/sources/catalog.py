@@ -13,11 +13,12 @@ CATALOG_B_COLUMNS = ("CWE-ID", "Name", "Description", "Extended Description",
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | None = None,
-             encoding: str = "ISO-8859-1") -> DataFrame:
+             encoding: str = "ISO-8859-1", multi_line: bool = True) -> DataFrame:
     """Header, comma, quoted fields with doubled quotes and line breaks.
-    Without ``schema`` every column is a string named by the header (no inference pass)."""
+    Without ``schema`` every column is a string named by the header (no inference pass). A file with line breaks inside
+    fields cannot be split; ``multi_line=False`` reads files without them in splits."""
     r = (spark.read.option("header", True).option("encoding", encoding)
-              .option("multiLine", True).option("escape", '"').option("quote", '"'))
+              .option("multiLine", multi_line).option("escape", '"').option("quote", '"'))
     return r.schema(schema).csv(path) if schema is not None else r.csv(path)
 
 
@@ -27,7 +28,7 @@ def catalog_b(raw: DataFrame) -> DataFrame:
                       *[F.col(f"`{c}`") for c in CATALOG_B_COLUMNS[1:]])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", encoding: str = "UTF-8") -> None:
     """Header, no index; array / map / struct columns are written as JSON text."""
     cols = []
     for f in df.schema.fields:
@@ -35,4 +36,5 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
             cols.append(F.to_json(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
-    df.select(*cols).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (df.select(*cols).write.mode(mode).option("header", True).option("escape", '"')
+     .option("encoding", encoding).csv(path))

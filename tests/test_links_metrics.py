@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from taxolink.operators import links as LK
@@ -13,9 +14,13 @@ from taxolink.sources.fixtures import CLASS_PARENTS
 from conftest import rows
 
 
+def _classes(spark, ids):
+    return spark.createDataFrame([(i,) for i in ids], "class_idx int")
+
+
 def test_positive_cycle_g10(spark):
     lab = spark.createDataFrame([(1, 2), (1, 5)], "row_id long, class_idx int")
-    lists = LK.link_lists(lab, n_classes=8, k=5, seed=42)
+    lists = LK.link_lists(lab, _classes(spark, range(8)), k=5, seed=42)
     r = lists.first()
     assert r["pos"] == [2, 5, 2, 5, 2]
 
@@ -28,7 +33,7 @@ def test_negative_draw_properties(spark):
             data.append((rec, c))
     lab = spark.createDataFrame(data, "row_id long, class_idx int")
     k = 12
-    lists = LK.link_lists(lab, n_classes=30, k=k, seed=42)
+    lists = LK.link_lists(lab, _classes(spark, range(30)), k=k, seed=42)
     truth = {}
     for rec, c in data:
         truth.setdefault(rec, set()).add(c)
@@ -39,7 +44,7 @@ def test_negative_draw_properties(spark):
         assert not distinct & truth[r["row_id"]]
         assert all(0 <= x < 30 for x in distinct)
         assert len(distinct) == min(k, 30 - len(truth[r["row_id"]]))
-    again = {r["row_id"]: r["neg"] for r in LK.link_lists(lab, 30, k, 42).collect()}
+    again = {r["row_id"]: r["neg"] for r in LK.link_lists(lab, _classes(spark, range(30)), k, 42).collect()}
     assert again == {r["row_id"]: r["neg"] for r in lists.collect()}
     flat = LK.flatten_links(lists, k)
     per = {r["row_id"]: r["count"] for r in flat.groupBy("row_id").count().collect()}
@@ -48,7 +53,7 @@ def test_negative_draw_properties(spark):
 
 def test_negative_draw_small_catalogue(spark):
     lab = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (2, 2)], "row_id long, class_idx int")
-    lists = {r["row_id"]: r for r in LK.link_lists(lab, n_classes=3, k=4, seed=7).collect()}
+    lists = {r["row_id"]: r for r in LK.link_lists(lab, _classes(spark, range(3)), k=4, seed=7).collect()}
     assert set(lists[1]["neg"]) == {1, 2}
     assert 2 not in lists                                  # all classes are labels: no negative possible
     assert rows(LK.unlinkable(lab, 3)) == [(2,)]
@@ -56,7 +61,7 @@ def test_negative_draw_small_catalogue(spark):
 
 def test_all_links_g5(spark):
     recs = spark.createDataFrame([(0,), (1,)], "row_id long")
-    assert rows(LK.all_links(recs, 3)) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
+    assert rows(LK.all_links(recs, _classes(spark, range(3)))) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
 
 
 def _scores_g4(spark):
@@ -70,14 +75,36 @@ def test_beam_and_topk_g4(spark):
     scores = _scores_g4(spark)
     recs = scores.select("row_id").distinct()
     edges = H.parent_child_edges(tree).filter("parent <> -1")
-    vis = M.beam_search(recs, H.roots_of(tree), edges, M.table_scorer(scores), [(1, 1, 1)], max_depth=3)
+    vis = M.beam_search(recs, H.roots_of(tree), edges, M.table_scorer(scores), [(1, 1, 1)])
     beams = {}
     for r in vis.collect():
         beams.setdefault(r["row_id"], set()).add(r["class_idx"])
     assert beams == {0: {1, 0}, 1: {1, 0}, 2: {3}}
     truth = spark.createDataFrame([(0, 0), (1, 1), (2, 3)], "row_id long, class_idx long")
-    acc = M.topk_accuracy(vis, truth).first()
+    acc = M.topk_accuracy(vis, truth, recs).first()
     assert acc["accuracy"] == 1.0
+    more = recs.unionByName(spark.createDataFrame([(9,)], "row_id long"))   # a record that visited nothing counts
+    assert M.topk_accuracy(vis, truth, more).first()["accuracy"] == 0.75
+
+
+def test_beam_goes_down_to_the_leaves_and_stops_at_cycles(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "parent long, child long")
+    sc = spark.createDataFrame([(1, c, 1.0) for c in range(7)], "row_id long, class_idx long, p double")
+    recs, roots = sc.select("row_id").distinct(), spark.createDataFrame([(0,)], "node long")
+    vis = M.beam_search(recs, roots, chain, M.table_scorer(sc), [(1, 1, 1)])
+    assert sorted(r["class_idx"] for r in vis.collect()) == list(range(7))
+    loop = chain.unionByName(spark.createDataFrame([(6, 0)], "parent long, child long"))
+    with pytest.raises(ValueError):
+        M.beam_search(recs, roots, loop, M.table_scorer(sc), [(1, 1, 1)])
+
+
+def test_links_use_the_ids_of_the_class_table(spark):
+    lab = spark.createDataFrame([(1, 5), (2, 0), (2, 9)], "row_id long, class_idx int")
+    lists = {r["row_id"]: r for r in LK.link_lists(lab, _classes(spark, [9, 0, 5]), k=4, seed=3).collect()}
+    assert lists[1]["pos"] == [5, 5, 5, 5] and set(lists[1]["neg"]) == {0, 9}
+    assert lists[2]["pos"] == [0, 9, 0, 9] and set(lists[2]["neg"]) == {5}
+    recs = spark.createDataFrame([(7,)], "row_id long")
+    assert rows(LK.all_links(recs, _classes(spark, [9, 0, 5]))) == [(7, 0), (7, 5), (7, 9)]
 
 
 def test_topk_accuracy_monotone_in_k(spark):
@@ -89,8 +116,8 @@ def test_topk_accuracy_monotone_in_k(spark):
     truth = spark.createDataFrame([(r, random.randrange(8)) for r in range(60)], "row_id long, class_idx long")
     edges = H.parent_child_edges(tree).filter("parent <> -1")
     vis = M.beam_search(sc.select("row_id").distinct(), H.roots_of(tree), edges, M.table_scorer(sc),
-                        [(1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 2, 1), (3, 2, 2)], max_depth=3)
-    acc = {(r["k0"], r["k1"], r["k2"]): r["accuracy"] for r in M.topk_accuracy(vis, truth).collect()}
+                        [(1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 2, 1), (3, 2, 2)])
+    acc = {(r["k0"], r["k1"], r["k2"]): r["accuracy"] for r in M.topk_accuracy(vis, truth, truth).collect()}
     assert acc[(1, 1, 1)] <= acc[(2, 1, 1)] <= acc[(3, 1, 1)] <= acc[(3, 2, 1)] <= acc[(3, 2, 2)]
     nodes = {r["class_idx"] for r in vis.collect()}
     assert nodes <= set(range(8))

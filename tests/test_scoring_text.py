@@ -26,7 +26,7 @@ def test_head_matches_numpy(spark):
 
 def test_class_vectors_are_means(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 5.0])], "label int, v array<double>")
-    got = {r["class_idx"]: r["cvec"] for r in SC.class_vectors(df, "label", "v").collect()}
+    got = {r["class_idx"]: r["cvec"] for r in SC.class_vectors(df, "label", "v", 2).collect()}
     assert got == {0: [2.0, 3.0], 1: [5.0, 5.0]}
 
 
@@ -57,10 +57,20 @@ def test_mask_rate_and_targets(spark):
     assert 0.7 < n_mask / len(chosen) < 0.9
 
 
-def test_encode_hot_and_cold_paths_agree(spark):
-    docs = spark.createDataFrame([(1, "b a b c d e"), (2, "a b zz"), (3, "e e e a")], "doc_id long, text string")
-    voc = TX.build_vocab(docs)
-    all_hot = {r["doc_id"]: r["ids"] for r in TX.encode(docs, voc).collect()}
-    mostly_cold = {r["doc_id"]: r["ids"] for r in TX.encode(docs, voc, hot_words=1).collect()}
-    none_hot = {r["doc_id"]: r["ids"] for r in TX.encode(docs, voc, hot_words=0).collect()}
-    assert all_hot == mostly_cold == none_hot
+def test_encode_reads_whole_texts_and_keeps_empty_ones(spark):
+    docs = spark.createDataFrame([(1, "w " * 3000 + "last"), (2, "a b zz"), (3, ""), (4, "...")], "doc_id long, text string")
+    voc = TX.build_vocab(docs.filter("doc_id <> 2"))
+    ids = {r["token"]: r["id"] for r in voc.collect()}
+    enc = {r["doc_id"]: r["ids"] for r in TX.encode(docs, voc).collect()}
+    assert enc[1] == [ids["w"]] * 3000 + [ids["last"]]
+    assert enc[2] == [TX.UNK_ID] * 3 and enc[3] == [] and enc[4] == []
+    assert {r["doc_id"]: r["ids"] for r in TX.encode(docs, voc, max_len=2).collect()}[1] == [ids["w"]] * 2
+
+
+def test_text_vectors_have_unit_length(spark):
+    docs = spark.createDataFrame([(1, "a a b"), (2, "b c"), (3, ""), (4, None)], "id long, text string")
+    per = {}
+    for r in SC.text_vectors(docs, ["id"]).collect():
+        per.setdefault(r["id"], []).append(r["weight"])
+    assert set(per) == {1, 2}
+    assert all(math.isclose(sum(w * w for w in ws), 1.0) for ws in per.values())
