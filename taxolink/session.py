@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -70,10 +71,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_WATCHERS: list[list[tuple[str, str]]] = []
+
+
+@contextmanager
+def written_plans():
+    """Collect ``(name, physical plan)`` of every intermediate table written inside the block."""
+    seen: list[tuple[str, str]] = []
+    _WATCHERS.append(seen)
+    try:
+        yield seen
+    finally:
+        _WATCHERS.remove(seen)
+
+
 def write_and_read(df, name: str):
     """Write ``df`` once as Parquet into the run folder and read it back: one computation,
     columnar storage, and lineage cut (a lost executor re-reads files)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for seen in _WATCHERS:
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

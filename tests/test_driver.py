@@ -1,5 +1,7 @@
 """End to end: every driver query against its DuckDB oracle on the sf0.001 tables, plus plan checks."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -7,6 +9,7 @@ import __spark_entry__ as E
 from conftest import SMOKE_DIR
 from taxolink.plans.oracle import all_oracles
 from taxolink.plans.queries import all_queries
+from taxolink.session import written_plans
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -55,11 +58,25 @@ def test_query_matches_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_plan_has_no_cartesian_or_row_udf(spark, name):
-    df = E.queries()[name](spark, SMOKE_DIR)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan
+    """In the final plan and in those of all intermediate tables."""
+    with written_plans() as hidden:
+        df = E.queries()[name](spark, SMOKE_DIR)
+    for plan in [df._jdf.queryExecution().executedPlan().toString(), *(p for _, p in hidden)]:
+        assert "CartesianProduct" not in plan
+        assert "BroadcastNestedLoopJoin" not in plan
+        assert "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name,table,most", [
+    ("macro_f1", "documents", 1), ("beam_topk", "embeddings", 6), ("evaluate_split", "embeddings", 6),
+    ("text_vectors", "documents", 2)])
+def test_sources_are_scanned_no_more_than_needed(spark, name, table, most):
+    """Scans of a source over the final plan and all intermediate tables (the beam: centroids, its records, and the
+    record vectors once per level)."""
+    with written_plans() as hidden:
+        df = E.queries()[name](spark, SMOKE_DIR)
+    plans = [df._jdf.queryExecution().executedPlan().toString(), *(p for _, p in hidden)]
+    assert sum(len(re.findall(rf"FileScan parquet .*{table}\.parquet", p)) for p in plans) <= most
 
 
 def test_class_cap_uses_partial_group_limit(spark):
