@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import pyarrow as pa
 from taxolink.llm.words import span_hashes, text_chunks, word_spans
 
 #: Distinct pieces kept by a Python worker before it starts afresh.
-KEEP = 1 << 20
+KEEP = 2 << 20
 #: Bytes of text handled at a time.
 CHUNK_BYTES = 2 << 20
 #: White space outside ASCII, as one class.
@@ -57,24 +58,25 @@ class PieceEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _learn(self, at: np.ndarray, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Encode new pieces; ``at`` is where their (ascending) hashes go among the known ones."""
-        ids = []
-        for lo in range(0, len(pieces), 4096):  # the library's result objects are large
-            ids += [np.array(e.ids, np.uint32) for e in
-                    self.tokenizer.encode_batch(pieces[lo:lo + 4096], add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(count.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, max(self.used + total, 2 * len(self.flat)))
-        self.flat[self.used:self.used + total] = np.concatenate(ids)
-        first = self.used + np.cumsum(count, dtype=np.int64) - count
-        self.used += total
-        odd = np.fromiter((_OTHER_SPACE.search(p) is not None for p in pieces), bool, len(pieces))
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, raw: bytes, starts: list[int], ends: list[int]) -> None:
+        """Encode the new pieces ``raw[start:end]``; ``at`` is where their (ascending) hashes go among the known ones."""
+        counts, odd, first = [], [], self.used
+        for lo in range(0, len(starts), 4096):  # the library's result objects are large
+            pieces = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[lo:lo + 4096], ends[lo:lo + 4096])]
+            ids = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+            count = np.fromiter(map(len, ids), np.int32, len(ids))
+            total = int(count.sum())
+            if self.used + total > len(self.flat):
+                self.flat = np.resize(self.flat, max(self.used + total, 2 * len(self.flat)))
+            self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.used += total
+            counts.append(count)
+            odd.append(np.fromiter((_OTHER_SPACE.search(p) is not None for p in pieces), bool, len(pieces)))
+        count = np.concatenate(counts)
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.first = np.insert(self.first, at, first)
+        self.first = np.insert(self.first, at, first + np.cumsum(count, dtype=np.int64) - count)
         self.count = np.insert(self.count, at, count)
-        self.odd = np.insert(self.odd, at, odd)
+        self.odd = np.insert(self.odd, at, np.concatenate(odd))
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of one chunk, and per text the number of ids before it (one entry more)."""
@@ -110,8 +112,8 @@ class PieceEncoder:
         inner = at < len(self.hashes)
         new[inner] = self.hashes[at[inner]] != distinct[inner]
         if new.any():
-            self._learn(at[new], distinct[new],
-                        [buf[starts[i]:ends[i]].tobytes().decode("utf-8", "replace") for i in where[new]])
+            where = where[new]
+            self._learn(at[new], distinct[new], buf.tobytes(), starts[where].tolist(), ends[where].tolist())
             at = np.searchsorted(self.hashes, distinct)
         entry = at[inverse]
         length = self.count[entry].astype(np.int64)
