@@ -50,7 +50,7 @@ GROUP, GROUP_SHINGLES = 512, 1 << 18
 HOT = 64
 ALIKE = 3
 #: Shingles of queries that meet a group's members in one block.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
 #: Class ids are sent to all executors up to this many rows (32 MB), else they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 21
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -92,7 +92,7 @@ class _Sizes:
 
     def shared(self, n: int) -> int:
         """L: kept tokens beyond those that may be missing."""
-        return min(self.least(n), n // 20 + 3)
+        return min(self.least(n), n // 32 + 16)
 
     def kept(self, n: int) -> int:
         return n - self.least(n) + self.shared(n)
@@ -102,7 +102,7 @@ class _Sizes:
         def least(x: Column) -> Column:
             return F.floor((x * self.num + self.den - 1) / self.den)
         small = least(n)
-        return F.least(least(small), F.floor(small / 20) + 3).cast("long")
+        return F.least(least(small), F.floor(small / 32) + 16).cast("long")
 
 
 def signatures(docs: DataFrame, n: int, sizes: _Sizes) -> DataFrame:
