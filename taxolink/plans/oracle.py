@@ -405,12 +405,15 @@ SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '
        event_type FROM events"""
 
 ORACLE["nested_feed"] = f"""
-WITH f AS (SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id),
-r AS (SELECT conv_id, array_to_string(list_sort(list_distinct(list(role))), '|') AS labels
-      FROM conversations GROUP BY conv_id)
-SELECT 'CONV-' || CAST(conv_id AS VARCHAR) AS record_id, CAST(length(first_text) AS BIGINT) AS text_len, labels
-FROM f JOIN r USING (conv_id)
-WHERE first_text IS NOT NULL AND NOT contains(first_text, '{S.WITHDRAWN_MARKER}')"""
+WITH f AS (SELECT conv_id, arg_min(text, turn) AS first_text,
+                  array_to_string(list_sort(list_distinct(list(role))), '|') AS roles FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, CASE WHEN conv_id % 4 = 1 THEN '** {S.WITHDRAWN_MARKER} ** ' ELSE '' END || first_text AS text,
+             CASE WHEN conv_id % 3 = 0 THEN 'NONE' ELSE roles END AS labels,
+             strftime(TIMESTAMP '2001-03-04 05:06:00' + to_hours(conv_id) + to_minutes(conv_id % 60), '%Y-%m-%d %H:%M') AS published
+      FROM f WHERE conv_id % 5 <> 0)
+SELECT layout, 'CONV-' || CAST(conv_id AS VARCHAR) AS record_id, CAST(length(text) AS BIGINT) AS text_len, labels, published, feed_type
+FROM r, (VALUES ('lines', ''), ('volumes', 'CVE')) v(layout, feed_type)
+WHERE text IS NOT NULL AND NOT contains(text, '{S.WITHDRAWN_MARKER}')"""
 
 _Q = "'"
 ORACLE["parse_label_list"] = _with(CODES) + f""", rc AS (SELECT row_id, list_sort(list(code)) AS l FROM codes GROUP BY row_id),
@@ -447,7 +450,8 @@ ORACLE["profile"] = "\nUNION ALL\n".join(
 
 ORACLE["map_columns"] = """
 SELECT c_custkey, upper(c_name) AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
-       upper(c_mktsegment) AS c_mktsegment FROM customer"""
+       upper(c_mktsegment) AS c_mktsegment, upper(replace(c_name, '#', '|')) AS words,
+       '{"k":"' || upper(c_mktsegment) || '"}' AS by_key FROM customer"""
 
 _YEARS = ", ".join(f"({y})" for y in S.EXPECTED_YEARS)
 ORACLE["feed_gaps"] = f"""
@@ -458,6 +462,12 @@ ORACLE["csv_roundtrip"] = """
 SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment,
        CASE WHEN c_custkey % 7 <> 0 THEN c_name || ' "é, ü"' || chr(10) || c_mktsegment END AS c_note FROM customer"""
 
+ORACLE["catalog_b"] = """
+SELECT CAST(p_partkey AS BIGINT) AS node,
+       p_name || ' ' || p_type || ', "é"' || chr(10) || p_brand || ' ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'nan' END || ' ' ||
+       CASE WHEN p_size % 3 <> 0 THEN '::SCOPE:' || p_size ELSE 'nan' END AS ctext,
+       CASE WHEN p_size % 5 <> 0 THEN CAST(p_size AS VARCHAR) ELSE '-1' END AS parents FROM part"""
+
 ORACLE["bundle_roundtrip"] = _with(CLS, CODES, LAB) + "SELECT row_id, CAST(class_idx AS BIGINT) AS class_idx FROM lab"
 
 # ---------------------------------------------------------------- text

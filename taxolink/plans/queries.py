@@ -516,25 +516,55 @@ def json_fields(spark, d):
                      "event_type")
 
 
-@query("nested_feed")
-def nested_feed(spark, d):
-    """S1 (JSON lines), P1–P5, P8, P9: conversations written as nested feed items and read back."""
+def _feed_items(spark, d) -> DataFrame:
+    """Conversations as nested feed items: ``(conv_id, item…)``. Every 5th has no description, every 4th after the first
+    holds the withdrawn marker in its first one, every 3rd has an empty first problem-type entry; all have a second
+    entry, which does not count; published times differ."""
     conv = S.read(spark, d, "conversations")
     per = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     lv = lambda v: F.struct(F.lit("en").alias("lang"), v.alias("value"))
-    item = per.select(
+    c = F.col("conv_id")
+    mark = F.when(c % 4 == 1, F.lit(f"** {S.WITHDRAWN_MARKER} ** ")).otherwise(F.lit(""))
+    texts = F.when(c % 5 == 0, F.array().cast("array<struct<lang:string,value:string>>")).otherwise(
+        F.transform("t", lambda x, i: lv(F.concat(F.when(i == 0, mark).otherwise(F.lit("")), x["text"]))))
+    roles = F.when(c % 3 == 0, F.array().cast("array<struct<lang:string,value:string>>")).otherwise(
+        F.array_sort(F.array_distinct(F.transform("t", lambda x: lv(x["role"])))))
+    entries = F.array(F.struct(roles.alias("description")), F.struct(F.array(lv(F.lit("SECOND"))).alias("description")))
+    when = F.make_dt_interval(F.lit(0), c.cast("int"), (c % 60).cast("int"))
+    published = F.date_format(F.lit("2001-03-04 05:06:00").cast("timestamp") + when, "yyyy-MM-dd'T'HH:mm'Z'")
+    return per.select(
+        "conv_id",
         F.struct(
-            F.struct(F.concat(F.lit("CONV-"), F.col("conv_id").cast("string")).alias("ID")).alias("CVE_data_meta"),
-            F.struct(F.array(F.struct(
-                F.array_sort(F.array_distinct(F.transform("t", lambda x: lv(x["role"])))).alias("description")
-            )).alias("problemtype_data")).alias("problemtype"),
-            F.struct(F.transform("t", lambda x: lv(x["text"])).alias("description_data")).alias("description"),
-        ).alias("cve"),
-        F.lit("2024-01-01T00:00Z").alias("publishedDate"))
-    path = scratch_path(spark, "feed")
-    item.write.mode("overwrite").json(path)
-    recs = FD.process_feed(FD.read_feed(spark, [path], json_lines=True), marker=S.WITHDRAWN_MARKER)
-    return recs.select("record_id", F.length("text").alias("text_len"), F.array_join("labels", "|").alias("labels"))
+            F.struct(F.concat(F.lit("CONV-"), c.cast("string")).alias("ID")).alias("CVE_data_meta"),
+            F.struct(entries.alias("problemtype_data")).alias("problemtype"),
+            F.struct(texts.alias("description_data")).alias("description")).alias("cve"),
+        published.alias("publishedDate"))
+
+
+def _feed_records(items: DataFrame, layout: str, keep=()) -> DataFrame:
+    recs = FD.process_feed(items, marker=S.WITHDRAWN_MARKER, keep=keep)
+    return recs.select(F.lit(layout).alias("layout"), "record_id", F.length("text").alias("text_len"),
+                       F.array_join("labels", "|").alias("labels"),
+                       F.date_format("published_ts", "yyyy-MM-dd HH:mm").alias("published"),
+                       F.col(keep[0]).alias("feed_type") if keep else F.lit("").alias("feed_type"))
+
+
+@query("nested_feed")
+def nested_feed(spark, d):
+    """Conversations written as nested feed items, both as JSON lines and as one multi-line
+    object per volume of 50, and read back."""
+    items = write_and_read(_feed_items(spark, d), "feed-items")
+    lines = scratch_path(spark, "feed-lines")
+    items.drop("conv_id").write.json(lines)
+    volumes = items.groupBy(F.floor(F.col("conv_id") / 50).alias("volume")).agg(
+        F.collect_list(F.struct("cve", "publishedDate")).alias("CVE_Items"))
+    whole = F.struct(F.lit("CVE").alias("CVE_data_type"), F.size("CVE_Items").cast("string").alias("CVE_data_numberOfCVEs"),
+                     "CVE_Items")
+    files = scratch_path(spark, "feed-volumes")
+    # pretty-printed: an object spans lines, so a volume is one file that is read whole
+    volumes.select("volume", F.to_json(whole, {"pretty": "true"}).alias("value")).write.partitionBy("volume").text(files)
+    return _feed_records(FD.read_feed(spark, [lines], json_lines=True), "lines").unionByName(
+        _feed_records(FD.read_feed(spark, [f"{files}/*/*"]), "volumes", ["CVE_data_type"]))
 
 
 @query("parse_label_list")
@@ -571,9 +601,11 @@ def profile(spark, d):
 
 @query("map_columns")
 def map_columns(spark, d):
-    """A function applied to the string columns only."""
+    """A function applied to the string columns only, inside arrays and map values too."""
     cust = S.read(spark, d, "customer")
-    return SH.apply_columns(cust, F.upper, leaf_types=(T.StringType,))
+    cust = cust.withColumn("words", F.split("c_name", "#")).withColumn("by_key", F.create_map(F.lit("k"), "c_mktsegment"))
+    out = SH.apply_columns(cust, F.upper, leaf_types=(T.StringType,))
+    return out.withColumn("words", F.array_join("words", "|")).withColumn("by_key", F.to_json("by_key"))
 
 
 @query("feed_gaps")
@@ -595,6 +627,28 @@ def csv_roundtrip(spark, d):
     return CT.read_csv(spark, path, cust.schema, encoding="ISO-8859-1")
 
 
+@query("catalog_b")
+def catalog_b(spark, d):
+    """Parts written as a catalogue-B file (ISO-8859-1, quotes, line breaks, missing fields, a column
+    that is not used) and read back by header: class text and parsed parents per entry."""
+    part = S.read(spark, d, "part")
+    size = F.col("p_size").cast("string")
+    path = scratch_path(spark, "catalog-b")
+    CT.write_csv(part.select(
+        F.col("p_partkey").cast("string").alias("CWE-ID"), F.col("p_name").alias("Name"), F.lit("x").alias("Weakness Abstraction"),
+        F.concat(F.col("p_type"), F.lit(', "é"\n'), F.col("p_brand")).alias("Description"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("Extended Description"),
+        F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("::SCOPE:"), size)).alias("Common Consequences"),
+        F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("::NATURE:ChildOf:CWE ID:"), size, F.lit(":VIEW ID:1000::"))
+               ).alias("Related Weaknesses")), path, encoding="ISO-8859-1")
+    cat = CT.catalog_b(CT.read_csv(spark, path))
+    text = SH.class_text("Name", "Description", "Extended Description", "Common Consequences")
+    first = SH.first_match_text(cat.withColumn("ctext", text), "CWE-ID", "ctext", "CWE-ID")
+    parents = H.parse_parents(cat, "CWE-ID", "Related Weaknesses")
+    return parents.join(first, F.col("node") == F.col("CWE-ID")).select(
+        "node", "ctext", F.array_join(F.transform("parents", lambda x: x.cast("string")), ",").alias("parents"))
+
+
 @query("bundle_roundtrip")
 def bundle_roundtrip(spark, d):
     """The label table materialised as part of a bundle and loaded back."""

@@ -52,8 +52,9 @@ def read_feed(spark: SparkSession, paths: list[str], json_lines: bool = False) -
     return yearly.select("CVE_data_type", F.inline("CVE_Items"))
 
 
-def process_feed(items: DataFrame, marker: str = WITHDRAWN_MARKER, ts_format: str = TS_FORMAT) -> DataFrame:
-    """``(record_id, published_ts, text, labels)``.
+def process_feed(items: DataFrame, marker: str = WITHDRAWN_MARKER, ts_format: str = TS_FORMAT,
+                 keep: Iterable[str] = ()) -> DataFrame:
+    """``(record_id, published_ts, text, labels)``, then the outer columns named in ``keep``.
 
     The first description is the text; records whose first description is missing or
     contains ``marker`` (case-sensitive) are withdrawn. Labels are the values of the first
@@ -68,7 +69,8 @@ def process_feed(items: DataFrame, marker: str = WITHDRAWN_MARKER, ts_format: st
         F.col("cve.CVE_data_meta.ID").alias("record_id"),
         parse_zoned_ts("publishedDate", ts_format).alias("published_ts"),
         F.coalesce(first_desc, F.lit("NONE")).alias("text"),
-        labels.alias("labels"))
+        labels.alias("labels"),
+        *keep)
 
 
 def remap_unknown(col, sentinels=("NVD-CWE-Other", "NVD-CWE-noinfo")) -> F.Column:
