@@ -39,13 +39,19 @@ ENDS = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd"
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 SCORED = frozenset(["p", "pre", "td", "blockquote", "li", "dd", "h2", "h3"])
 
-#: Fixed word lists for class, id and role.
-UNWANTED = re.compile(
-    r"(^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|byline-?share|comments?|consent|cookies?|disqus|footer|gdpr|"
-    r"login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|paywall|popup|promo\w*|recommend\w*|"
-    r"related|replies|respond|share|sharing|sidebar|signup|site-?header|skip|social|sponsor\w*|subscribe|tags|"
-    r"toolbar|widget|complementary|contentinfo|search|alert|alertdialog|reader-?comments?|comment-?\w*)($|[\s_-])")
+#: Fixed word lists for class, id and role names. A name is split at hyphens, underscores and case changes; it is
+#: unwanted if it has an unwanted word, unless it only says how a page is laid out ("with-sidebar", "comments-open").
+UNWANTED = frozenset(
+    "ad ads adsense advert adverts advertisement advertising alert alertdialog announcement announcements banner breadcrumb "
+    "breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer gdpr "
+    "login masthead menu modal nav navbar navigation newsletter notice notices notification notifications overlay pager "
+    "pagination paywall popup promo promotion promoted recommendation recommendations recommended related replies respond "
+    "responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toast "
+    "toolbar topbar widget widgets".split())
+LAYOUT = frozenset("with has no without open closed enabled disabled not".split())
+SITE_HEADERS = frozenset(["header", "site-header", "page-header", "siteheader", "pageheader", "top-header"])
 WANTED = re.compile(r"(^|[\s_-])(article|content|entry|main|post|story|text|body)($|[\s_-])")
+WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
 
 MIN_CHARS = 25
@@ -54,7 +60,7 @@ MIN_CHARS = 25
 class Node:
     __slots__ = ("tag", "names", "kids", "parent", "score", "hidden")
 
-    def __init__(self, tag: str, names: str, parent: Node | None, hidden: bool = False):
+    def __init__(self, tag: str, names: list[str], parent: Node | None, hidden: bool = False):
         self.tag, self.names, self.parent, self.hidden = tag, names, parent, hidden
         self.kids: list[Node | str] = []
         self.score = 0.0
@@ -67,15 +73,16 @@ class TreeBuilder(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.open = Node("html", "", None)
+        self.root = self.open = Node("html", [], None)
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
             return
         self._imply_ends(tag)
         given = dict(attrs)
-        names = " ".join(str(given.get(k) or "") for k in ("class", "id", "role")).lower()
-        hidden = "hidden" in given or given.get("aria-hidden") == "true"
+        names = [n for k in ("class", "id", "role") for n in (given.get(k) or "").split()]
+        style = (given.get("style") or "").replace(" ", "").lower()
+        hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style
         node = Node(tag, names, self.open, hidden)
         self.open.kids.append(node)
         if tag not in VOID:
@@ -128,10 +135,13 @@ def _unwanted(node: Node) -> bool:
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         return up is None
-    if not node.names or node.tag in ("article", "main"):
+    if node.tag == "main":
         return False
-    return bool(UNWANTED.search(node.names)) and not (WANTED.search(node.names)
-                                                      and not re.search(r"comment|\bads?\b|sidebar", node.names))
+    for name in node.names:
+        words = {w.lower() for w in WORDS.findall(name)}
+        if words & UNWANTED and not words & LAYOUT or name.lower() in SITE_HEADERS:
+            return True
+    return False
 
 
 def _prune(node: Node) -> None:
@@ -208,7 +218,7 @@ def score_tree(root: Node) -> list[Node]:
                 level += 1
             at = at.parent
     for node in seen.values():
-        if node.tag in ("article", "main") or WANTED.search(node.names):
+        if node.tag in ("article", "main") or any(map(WANTED.search, node.names)):
             node.score += 25
         node.score *= 1.0 - link_density(node)
     return sorted(seen.values(), key=lambda n: -n.score)
@@ -232,11 +242,15 @@ def _chosen(root: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     floor = max(10.0, best.score * 0.2)
+    marked = best.tag in ("article", "main")  # the page says what its article is: only its like belong to it
     kept = []
     for kid in best.parent.kids:
         if isinstance(kid, str):
             continue
-        if kid is best or kid.score >= floor:
+        if marked:
+            if kid is best or kid.tag == best.tag and kid.names == best.names and kid.score >= floor:
+                kept.append(kid)
+        elif kid is best or kid.score >= floor:
             kept.append(kid)
         elif kid.tag == "p" or kid.tag in HEADINGS:
             text, density = _plain(kid), link_density(kid)

@@ -18,6 +18,9 @@ CUT = [
     f'<div class="comments"><div class="comment"><p>{LONG} I disagree</p></div></div>',
     f'<section id="comments"><p>{LONG} reader</p></section>', f'<div role="navigation"><p>{LONG} nav</p></div>',
     f'<div class="newsletter-signup"><p>{LONG} mail</p></div>', "<noscript>enable scripts, please</noscript>",
+    f'<p class="notice">{LONG} maintenance tonight.</p>', f'<div class="siteFooter"><p>{LONG} imprint</p></div>',
+    f'<div id="header"><p>{LONG} site</p></div>', f'<div style="display: none"><p>{LONG} hidden</p></div>',
+    f'<div class="article-comments"><p>{LONG} me too</p></div>', f'<div class="related-articles"><p>{LONG} next</p></div>',
     '<ul class="menu"><li>One, two, three, four, five, six, seven, eight</li></ul>',
 ]
 
@@ -42,6 +45,16 @@ def test_blocks_space_references_and_unclosed_tags():
         "A <b> €", f"{LONG} more text", "Next © one two", "first", "second third", "said", "tail text"]
 
 
+@pytest.mark.parametrize("names", ["content with-sidebar", "post comments-open", "no-ads story", "loaded shared header-image"])
+def test_names_that_only_sound_unwanted_stay(names):
+    assert extract_text(page(f'<div class="{names}"><p>{LONG}</p></div><p>Bye</p>')) == LONG
+
+
+def test_text_beside_a_marked_article_goes():
+    html = page(f"<p>Follow us everywhere, please do.</p><article><p>{LONG}</p></article><p>{LONG} elsewhere</p>")
+    assert extract_text(html) == LONG
+
+
 def test_siblings_of_the_best_container_are_kept():
     html = page(f"<div class=wrap><div class=story><p>{LONG}</p><p>{LONG} b</p></div><p>{LONG} sibling</p>"
                 f"<div class=links><p><a href=x>{LONG} link</a></p></div></div>")
