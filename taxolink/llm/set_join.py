@@ -19,7 +19,7 @@ class from the start. The steps:
    a side that is not such, or else by that second search.
 5. *Open.* Qualifying groups are opened: the query's whole set is compared with the group's whole union first
    (the bound again, now on all tokens), and with each member's set if that passes. These comparisons run in blocks of
-   bounded size, one group's members with a block of its queries.
+   bounded size, one group's members with a block of its queries. Members of one group are compared with each other.
 
 Out come the number of links per class and a spanning forest of each block's links; :mod:`components` joins the
 forests. Pairs within a large group of near copies are compared, not emitted.
@@ -35,6 +35,7 @@ gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,8 @@ ALIKE = 3
 BLOCK_SHINGLES = 1 << 18
 #: Class ids are sent to all executors up to this many rows (32 MB), else they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 21
+#: Largest bitmap of shared tokens (32 MB).
+FILTER_BITS = 1 << 28
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -142,7 +145,9 @@ def _open_groups(sizes: _Sizes):
                 root[x] = x = root[root[x]]
             return x
 
-        for q in queries.itertuples():
+        # the group's own members meet in its first block
+        asking = [queries, members] if pdf["block"].iloc[0] == 0 and len(members) > 1 else [queries]
+        for q in chain.from_iterable(x.itertuples() for x in asking):
             mine = np.frombuffer(q.tokens, np.int64)
             lo = np.searchsorted(tokens, mine, "left")
             width = np.searchsorted(tokens, mine, "right") - lo
@@ -174,73 +179,69 @@ def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, n: int,
     ``signed`` are the documents' signatures, ``classes`` the distinct sets ``(set_id, first_doc, copies)``.
     """
     some = signed.filter("n_shingles > 0 and doc_id is not null")
-    kept = some.select("set_id", "n_shingles", F.explode("kept").alias("token"))
+    kept = some.select("set_id", F.explode("kept").alias("token"))
     shared = write_and_read(
         kept.groupBy("token").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"), F.count(F.lit(1)).alias("df"))
         .filter("x < y").select(F.col("token").alias("shared_token"), "df"), "join-shared")
-    rows = write_and_read(
-        kept.join(shared, F.col("token") == F.col("shared_token"))
-        .select("token", "set_id", "n_shingles", "df").distinct(), "join-tokens")
-
-    # groups of the classes that share enough kept tokens
-    groups = (rows.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_shared"),
-                                         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"))
-              .withColumn("required", sizes.required(F.col("n"))).filter("n_shared >= required"))
-    middle = F.element_at("by_df", F.floor((F.col("n_shared") + 1) / 2).cast("int"))["df"]
+    slim = _likely_shared(some.select("set_id", "n_shingles", "kept"), shared)
+    # a class's shared tokens, once however many copies it has; those that share too few have no link
+    groups = (slim.join(shared, F.col("token") == F.col("shared_token")).groupBy("set_id")
+              .agg(F.first("n_shingles").alias("n"), F.sort_array(F.collect_set(F.struct("df", "token"))).alias("by_df"))
+              .withColumn("required", sizes.required(F.col("n"))).filter(F.size("by_df") >= F.col("required")))
+    middle = F.element_at("by_df", F.floor((F.size("by_df") + 1) / 2).cast("int"))["df"]
     alike = F.filter("by_df", lambda x: (x["df"] * ALIKE >= F.col("middle")) & (x["df"] <= F.col("middle") * ALIKE))
     groups = (groups.withColumn("middle", middle)
               .withColumn("key", F.array_min(F.transform(alike, lambda x: x["token"])))
-              .select("set_id", "n", "required", "key"))
+              .select("set_id", "n", "required", "key", F.transform("by_df", lambda x: x["token"]).alias("tokens")))
     groups = write_and_read(groups, "join-groups")
     large = groups.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_SHINGLES))
                                       .alias("parts")).filter(F.col("parts") > 1)
     cut = F.coalesce(F.col("parts"), F.lit(1))
-    groups = (groups.join(large, "key", "left")
-              .withColumn("gid", F.xxhash64("key", F.pmod(F.xxhash64("set_id"), cut)))
-              .join(classes.select("set_id", "first_doc", "copies"), "set_id")
-              .select("set_id", "gid", "n", "required", "first_doc", "copies"))
-    groups = write_and_read(groups, "join-groups")
+    groups = write_and_read(
+        groups.join(large, "key", "left").withColumn("gid", F.xxhash64("key", F.pmod(F.xxhash64("set_id"), cut)))
+        .select("set_id", "gid", "n", "required", "tokens"), "join-groups")
 
-    own = rows.join(groups.select("set_id", "gid", "required"), "set_id").select("token", "set_id", "gid", "required")
-    own = write_and_read(own, "join-own")
+    own = groups.select("set_id", "gid", "required", F.explode("tokens").alias("token"))
     matrix = write_and_read(own.select("token", "gid").distinct(), "join-matrix")
     hot = write_and_read(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("in_groups"))
                          .filter(F.col("in_groups") > HOT).select(F.col("token").alias("hot_token")), "join-hot")
-    marked = own.join(hot, F.col("token") == F.col("hot_token"), "left")
-    state = marked.groupBy("set_id").agg(F.first("required").alias("required"), F.count("hot_token").alias("n_hot"))
-    state = state.select("set_id", (F.col("required") - F.col("n_hot")).alias("need"),
-                         (F.col("required") <= F.col("n_hot")).alias("hard"))
-    groups = write_and_read(groups.join(state, "set_id"), "join-groups")
+    n_hot = (own.join(hot, F.col("token") == F.col("hot_token")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_hot"))
+             .withColumnRenamed("set_id", "hot_id"))
+    need = F.col("required") - F.coalesce("n_hot", F.lit(0))
+    info = write_and_read(
+        groups.select("set_id", "gid", "n", "required").join(n_hot, F.col("set_id") == F.col("hot_id"), "left")
+        .join(classes.select("set_id", "first_doc", "copies"), "set_id")
+        .select("set_id", "gid", "n", "required", need.alias("need"), (need <= 0).alias("hard"), "first_doc", "copies"),
+        "join-classes")
 
     # token-group overlap; hard classes among themselves with all tokens
     plain = own.join(hot, F.col("token") == F.col("hot_token"), "left_anti")
     per_group = matrix.withColumnsRenamed({"token": "m_token", "gid": "m_gid"})
-    easy = (plain.join(per_group, F.col("token") == F.col("m_token")).groupBy("set_id", "m_gid")
-            .agg(F.count(F.lit(1)).alias("overlap")))
-    hard_ids = groups.filter("hard").select("set_id")
-    hard_own = write_and_read(own.join(hard_ids, "set_id", "left_semi"), "join-hard")
+    easy = (plain.join(per_group, (F.col("token") == F.col("m_token")) & (F.col("gid") != F.col("m_gid")))
+            .groupBy("set_id", "m_gid").agg(F.count(F.lit(1)).alias("overlap")))
+    hard_own = write_and_read(own.join(info.filter("hard").select("set_id"), "set_id", "left_semi"), "join-hard")
     hard_matrix = hard_own.select(F.col("token").alias("m_token"), F.col("gid").alias("m_gid")).distinct()
-    stuck = (hard_own.join(hard_matrix, F.col("token") == F.col("m_token")).groupBy("set_id", "m_gid")
-             .agg(F.count(F.lit(1)).alias("overlap")))
-    per = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("members"), F.max("hard").alias("some_hard"))
-    per = per.withColumnsRenamed({"gid": "p_gid"})
-    who = groups.select("set_id", F.col("gid").alias("own_gid"), "n", "need", "required", "hard", "copies")
+    stuck = (hard_own.join(hard_matrix, (F.col("token") == F.col("m_token")) & (F.col("gid") != F.col("m_gid")))
+             .groupBy("set_id", "m_gid").agg(F.count(F.lit(1)).alias("overlap")))
+    per = info.groupBy(F.col("gid").alias("p_gid")).agg(F.count(F.lit(1)).alias("members"), F.max("hard").alias("some_hard"))
+    who = info.select("set_id", F.col("gid").alias("own_gid"), "n", "need", "required", "hard", "copies")
     easy = easy.join(who, "set_id").filter("not hard and overlap >= need")
     stuck = stuck.join(who, "set_id").filter("hard and overlap >= required")
     wanted = (easy.unionByName(stuck).join(per, F.col("m_gid") == F.col("p_gid"))
-              .filter("(own_gid <> m_gid or members > 1) and (own_gid <= m_gid or (some_hard and not hard))")
+              .filter("own_gid <= m_gid or (some_hard and not hard)")
               .select("set_id", F.col("m_gid").alias("gid"), "own_gid", "n", "hard", "copies"))
     wanted = write_and_read(wanted, "join-wanted")
 
-    # whole sets of all classes that take part
-    blocks = (wanted.groupBy("gid").agg(F.sum("n").alias("total"))
-              .withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES)).drop("total"))
-    blocks = write_and_read(blocks, "join-blocks")
-    members = groups.join(blocks, "gid").select("set_id", "gid", "first_doc", "hard", "copies", "blocks")
-    need = write_and_read(
-        groups.select("set_id", "first_doc").join(
-            wanted.select("set_id").union(members.select("set_id")).distinct(), "set_id", "left_semi"), "join-need")
-    whole = whole_sets(docs, need, n)
+    # whole sets of all classes that take part: queries, and members of groups that are asked or have several members
+    asked_n = wanted.groupBy("gid").agg(F.sum("n").alias("total"))
+    blocks = write_and_read(
+        per.join(asked_n, F.col("p_gid") == F.col("gid"), "left").filter("members > 1 or total is not null")
+        .select(F.col("p_gid").alias("gid"),
+                F.greatest(F.lit(1), F.ceil(F.coalesce("total", F.lit(0)) / BLOCK_SHINGLES)).alias("blocks")), "join-blocks")
+    members = info.join(blocks, "gid").select("set_id", "gid", "hard", "copies", "blocks")
+    taking_part = wanted.select("set_id").union(members.select("set_id")).distinct()
+    whole = whole_sets(docs, write_and_read(info.select("set_id", "first_doc").join(taking_part, "set_id", "left_semi"),
+                                            "join-need"), n)
 
     sides = ["set_id", "gid", "block", "own_gid", "hard", "copies", "query"]
     asked = (wanted.join(blocks, "gid")
@@ -252,6 +253,36 @@ def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, n: int,
     return units.groupBy("gid", "block").applyInPandas(_open_groups(sizes), "a long, b long, n_links long")
 
 
+def _likely_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(token, set_id, n_shingles)`` for the kept tokens that are shared, and few others: most tokens have one class only
+    and need not be shuffled again.
+
+    A bitmap with 16 bits or more per shared token, of at most :data:`FILTER_BITS` bits, is built by an aggregation and sent to
+    all executors; a token passes when its bit is set. Beyond the size bound more tokens pass; the join that follows is exact.
+    """
+    bits = min(FILTER_BITS, 1 << max(15, (16 * shared.count()).bit_length()))
+    at = F.pmod("shared_token", F.lit(bits)) + 1
+    parts = shared.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")).collect()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        bitmap[(r["b"] - 1) * 4096:r["b"] * 4096] = np.frombuffer(r["bitmap"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.column(2)
+            tokens = kept.flatten().to_numpy(zero_copy_only=False)
+            p = tokens % bits
+            some = (sent.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(kept.offsets)))[some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[some]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))],
+                names=["token", "set_id", "n_shingles"])
+
+    return rows.mapInArrow(run, "token long, set_id long, n_shingles long")
+
+
 def _side(ids: DataFrame) -> DataFrame:
     """A written table of ids as a join side: broadcast up to a checked size, so that texts need no shuffle."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
