@@ -52,7 +52,7 @@ HOT = 64
 ALIKE = 3
 #: Shingles of queries that meet a group's members in one block.
 BLOCK_SHINGLES = 1 << 18
-#: Class ids are sent to all executors up to this many rows (32 MB), else they are joined by a shuffle.
+#: Ids are sent to all executors up to this many rows of 16 bytes (32 MB), else they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 21
 #: Largest bitmap of shared tokens (32 MB).
 FILTER_BITS = 1 << 28
@@ -232,24 +232,23 @@ def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, n: int,
               .select("set_id", F.col("m_gid").alias("gid"), "own_gid", "n", "hard", "copies"))
     wanted = write_and_read(wanted, "join-wanted")
 
-    # whole sets of all classes that take part: queries, and members of groups that are asked or have several members
+    # blocks of groups that are asked or have several members
     asked_n = wanted.groupBy("gid").agg(F.sum("n").alias("total"))
     blocks = write_and_read(
         per.join(asked_n, F.col("p_gid") == F.col("gid"), "left").filter("members > 1 or total is not null")
         .select(F.col("p_gid").alias("gid"),
                 F.greatest(F.lit(1), F.ceil(F.coalesce("total", F.lit(0)) / BLOCK_SHINGLES)).alias("blocks")), "join-blocks")
-    members = info.join(blocks, "gid").select("set_id", "gid", "hard", "copies", "blocks")
-    taking_part = wanted.select("set_id").union(members.select("set_id")).distinct()
-    whole = whole_sets(docs, write_and_read(info.select("set_id", "first_doc").join(taking_part, "set_id", "left_semi"),
-                                            "join-need"), n)
-
-    sides = ["set_id", "gid", "block", "own_gid", "hard", "copies", "query"]
+    place = ["gid", "block", "own_gid", "hard", "copies", "query"]
     asked = (wanted.join(blocks, "gid")
              .withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
-             .withColumn("query", F.lit(True)).select(*sides))
-    offered = (members.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-               .withColumn("own_gid", F.col("gid")).withColumn("query", F.lit(False)).select(*sides))
-    units = asked.unionByName(offered).join(whole, "set_id")
+             .withColumn("query", F.lit(True)).select("set_id", *place))
+    offered = (info.join(blocks, "gid")
+               .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+               .withColumn("own_gid", F.col("gid")).withColumn("query", F.lit(False)).select("set_id", *place))
+    # per class the blocks it takes part in: its set is made once and goes straight to them
+    places = asked.unionByName(offered).groupBy("set_id").agg(F.collect_list(F.struct(*place)).alias("places"))
+    need = write_and_read(places.join(info.select("set_id", "first_doc"), "set_id"), "join-need")
+    units = _placed_sets(docs, need, n)
     return units.groupBy("gid", "block").applyInPandas(_open_groups(sizes), "a long, b long, n_links long")
 
 
@@ -283,27 +282,46 @@ def _likely_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token long, set_id long, n_shingles long")
 
 
-def _side(ids: DataFrame) -> DataFrame:
+def _side(ids: DataFrame, weight: Column | int = 1) -> DataFrame:
     """A written table of ids as a join side: broadcast up to a checked size, so that texts need no shuffle."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return F.broadcast(ids) if (ids.agg(F.sum(F.lit(weight))).first()[0] or 0) <= BROADCAST_ROWS else ids
 
 
-def whole_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
-    """``(set_id, tokens)`` for the classes in ``need`` ``(set_id, first_doc)``, from their documents' texts."""
+def _placed_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
+    """The whole sets of the classes in ``need`` ``(set_id, places, first_doc)``, from their documents' texts: a row per place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted, ids, tokens = batch.column(0).to_pylist(), [], []
+            wanted = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(2)
+            offsets, places = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0], lists.flatten()
+            rows, tokens, held = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                count = np.array([offsets[i + 1] - offsets[i] for i in rows], np.int64)  # noqa: B023
+                at = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in rows])  # noqa: B023
+                which = pa.array(np.repeat(np.arange(len(rows)), count))
+                taken = places.take(pa.array(at))  # noqa: B023
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(wanted[rows]).take(which), *taken.flatten(), pa.array(tokens, pa.binary()).take(which)],  # noqa: B023
+                    names=["set_id", *(f.name for f in taken.type), "tokens"])
+
             for i, found in shingle_sets(batch, n):
-                if set_id(found) == wanted[i]:  # rows that share an id may hold other texts
-                    ids.append(wanted[i])
-                    tokens.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())],
-                                             names=["set_id", "tokens"])
+                if set_id(found) != wanted[i]:  # rows that share an id may hold other texts
+                    continue
+                rows.append(i)
+                tokens.append(found.tobytes())
+                held += len(tokens[-1]) * int(offsets[i + 1] - offsets[i])
+                if held > 1 << 22:
+                    yield flush()
+                    rows, tokens, held = [], [], 0
+            if rows:
+                yield flush()
 
     need = need.withColumnRenamed("set_id", "need_id")
     texts = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-             .join(_side(need), F.col("doc_id") == F.col("first_doc")).select(F.col("need_id").alias("set_id"), "text"))
-    return write_and_read(texts.mapInArrow(run, "set_id long, tokens binary"), "join-sets")
+             .join(_side(need, F.size("places") * 4 + 4), F.col("doc_id") == F.col("first_doc")).select(F.col("need_id").alias("set_id"), "text", "places"))
+    return texts.mapInArrow(run, "set_id long, gid long, block long, own_gid long, hard boolean, copies long, query boolean, "
+                                 "tokens binary")
 
 
 def similar_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
