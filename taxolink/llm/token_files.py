@@ -68,26 +68,37 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def write_file(uri: str, doc_ids: list[int | None], arrays: list[np.ndarray], dictionary: bytes, width: int,
-               level: int = 3) -> int:
-    """Write one file; returns its tokens."""
-    shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    packer = zstandard.ZstdCompressor(level=level, dict_data=shared)
-    frames = [packer.compress(serialize(a, width)) for a in arrays]
-    index = np.zeros(len(arrays), INDEX)
-    index["doc_id"] = [d or 0 for d in doc_ids]
-    index["null"] = [d is None for d in doc_ids]
-    tokens = np.cumsum([len(a) for a in arrays])
-    index["first"][1:] = tokens[:-1]
-    index["end"] = np.cumsum([len(f) for f in frames])
-    fs, path = _file_system(uri)
-    with fs.open_output_stream(path) as out:
-        out.write(MAGIC)
-        out.write(HEADER.pack(len(arrays), int(tokens[-1]), width, 0, hashlib.sha256(dictionary).digest()))
-        out.write(index.tobytes())
-        for f in frames:
-            out.write(f)
-    return int(tokens[-1])
+class TokenFileWriter:
+    """Collects one file's documents as compressed frames; :meth:`write` writes the file."""
+
+    def __init__(self, dictionary: bytes, width: int, level: int = 3):
+        self.digest, self.width = hashlib.sha256(dictionary).digest(), width
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        self.packer = zstandard.ZstdCompressor(level=level, dict_data=shared)
+        self.ids: list[int | None] = []
+        self.frames: list[bytes] = []
+        self.counts: list[int] = []
+        self.tokens = 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.frames.append(self.packer.compress(serialize(ids, self.width)))
+        self.counts.append(len(ids))
+        self.tokens += len(ids)
+
+    def write(self, uri: str) -> None:
+        index = np.zeros(len(self.ids), INDEX)
+        index["doc_id"] = [d or 0 for d in self.ids]
+        index["null"] = [d is None for d in self.ids]
+        index["first"] = np.cumsum([0, *self.counts[:-1]])
+        index["end"] = np.cumsum([len(f) for f in self.frames])
+        fs, path = _file_system(uri)
+        with fs.open_output_stream(path) as out:
+            out.write(MAGIC)
+            out.write(HEADER.pack(len(self.ids), self.tokens, self.width, 0, self.digest))
+            out.write(index.tobytes())
+            for f in self.frames:
+                out.write(f)
 
 
 class TokenFile:
@@ -129,13 +140,13 @@ def read_dictionary(folder: str) -> bytes:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, width: int = 2,
-                      spaced: bool = False, partitions: int | None = None, file_docs: int = 8192,
-                      file_tokens: int = 1 << 20) -> DataFrame:
+                      spaced: bool = False, partitions: int | None = None, file_docs: int = 1 << 17,
+                      file_tokens: int = 1 << 24) -> DataFrame:
     """Write documents ``(doc_id, text)`` as token files; returns the manifest.
 
     The manifest has ``file`` (URI), ``part``, ``chunk`` (their order), ``docs`` and ``tokens``. Texts are shuffled once, by
     ranges of document ids; a task writes its range in files of ``file_docs`` documents, or once they have ``file_tokens`` ids, so it
-    holds one file's ids at a time.
+    holds one file's compressed frames at a time.
     """
     spark = docs.sparkSession
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -163,30 +174,25 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         from pyspark import TaskContext
         part, attempt, chunk = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
         encoder, shared = worker_encoder(tokenizer_path, spaced), read_dictionary(folder)
-        ids, arrays, held = [], [], 0
+        file = TokenFileWriter(shared, width)
 
         def flush() -> pa.RecordBatch:
             uri = f"{folder}/part-{part:05d}-{chunk:05d}-{attempt}.ztok"
-            tokens = write_file(uri, ids, arrays, shared, width)
-            out = pa.RecordBatch.from_pylist(
-                [{"file": uri, "part": part, "chunk": chunk, "docs": len(ids), "tokens": tokens}],
+            file.write(uri)
+            return pa.RecordBatch.from_pylist(
+                [{"file": uri, "part": part, "chunk": chunk, "docs": len(file.ids), "tokens": file.tokens}],
                 schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("chunk", pa.int32()),
                                   ("docs", pa.int64()), ("tokens", pa.int64())]))
-            ids.clear()
-            arrays.clear()
-            return out
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for i, a in encoded_rows(encoder, batch, end_id):
-                ids.append(names[i])
-                arrays.append(a)
-                held += len(a)
-                if len(ids) >= file_docs or held >= file_tokens:
+            for i, ids in encoded_rows(encoder, batch, end_id):
+                file.add(names[i], ids)
+                if len(file.ids) >= file_docs or file.tokens >= file_tokens:
                     yield flush()
                     chunk += 1
-                    held = 0
-        if ids:
+                    file = TokenFileWriter(shared, width)
+        if file.ids:
             yield flush()
 
     ordered = (rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first())

@@ -38,6 +38,16 @@ def test_matches_brute_force(spark, monkeypatch, seed, n, num):
     assert got == similar(docs, n, num, 100)
 
 
+def test_links_beyond_all_size_bounds(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "FILTER_BITS", 1 << 15)   # a bitmap that is full of other tokens
+    monkeypatch.setattr(set_join, "BROADCAST_ROWS", -1)     # every join of texts by shuffle
+    docs = _docs(5, families=20)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links)
+           for r in set_join.similar_documents(df, 4, 70, 100).collect()}
+    assert got == similar(docs, 4, 70, 100)
+
+
 def test_production_parameters_on_documents(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in df.collect()]
