@@ -250,6 +250,8 @@ def keep_sampled(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             total, count = _scores(batch, m.ratios)
             ids = batch.column(names.index("doc_id")).cast(pa.int64())
-            yield batch.filter(pa.array(_keys(ids, total, count, m.prior, m.seed) >= m.cut))
+            kept = batch.filter(pa.array(_keys(ids, total, count, m.prior, m.seed) >= m.cut))
+            for lo in range(0, kept.num_rows, 512):  # whole texts go back: in small batches
+                yield kept.slice(lo, 512)
 
     return docs.mapInArrow(run, docs.schema)

@@ -361,12 +361,16 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """
     first = similar_documents(docs, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     first = write_and_read(first.distinct(), "join-kept")
-    stay = docs.join(side := _side(first), docs["doc_id"] == side["kept_id"], "left_semi")
+    side = _side(first)
+    stay = (docs.join(side, docs["doc_id"] == side["kept_id"], "left")
+            .filter(side["kept_id"].isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns]))
     twice = write_and_read(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
                            .filter("n_rows > 1").select(F.col("doc_id").alias("kept_id")), "join-twice")
+    if twice.isEmpty():  # ids are unique
+        return stay
     twice = _side(twice)
     single = stay.join(twice, stay["doc_id"] == twice["kept_id"], "left_anti")
     several = stay.join(twice, stay["doc_id"] == twice["kept_id"], "left_semi")
     row = F.struct(*docs.columns)
     several = several.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
-    return single.unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return single.unionByName(several)
