@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolink.llm.words import enter
 from taxolink.session import write_and_read
 
 #: The dynamic program's budget, in words: what step 1 leaves for step 2 on top of its rounding rest.
@@ -117,6 +118,7 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, dp_words: int
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     """Copies per length of one source: every document ``whole`` times, ``extra`` documents once more."""
+    enter("mixing")
     pdf = pdf.sort_values("size", kind="stable").reset_index(drop=True)
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     whole = int(target // size) if size else 0

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolink.llm.words import SPACE, mix, span_hashes, text_chunks, word_spans
+from taxolink.llm.words import SPACE, enter, mix, span_hashes, text_chunks, word_spans
 from taxolink.session import write_and_read
 
 BUCKETS = 1 << 16  # per family
@@ -76,6 +76,7 @@ def ngrams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.nda
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """``(bucket, raw, target)`` over documents ``(text, good)``: one row per bucket and task, then summed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("resampling")
         raw, target = (np.zeros(FAMILIES * BUCKETS, np.int64) for _ in range(2))
         for batch in batches:
             good = pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False)
@@ -142,6 +143,7 @@ def score_documents(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("resampling")
         for batch in batches:
             total, count = _scores(batch, sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(count)],
@@ -246,6 +248,7 @@ def keep_sampled(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("resampling")
         m = sent.value
         for batch in batches:
             total, count = _scores(batch, m.ratios)

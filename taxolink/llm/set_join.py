@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolink.llm.components import connected_components
-from taxolink.llm.words import mix, ngram_hashes, span_hashes, text_chunks, word_spans
+from taxolink.llm.words import enter, mix, ngram_hashes, span_hashes, text_chunks, word_spans
 from taxolink.session import write_and_read
 
 GROUP, GROUP_SHINGLES = 512, 1 << 18
@@ -110,6 +110,7 @@ class _Sizes:
 
 def signatures(docs: DataFrame, n: int, sizes: _Sizes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("set_join")
         for batch in batches:
             counts, ids, kept = [], [], []
             for _, tokens in shingle_sets(batch, n):
@@ -127,6 +128,7 @@ def signatures(docs: DataFrame, n: int, sizes: _Sizes) -> DataFrame:
 def _open_groups(sizes: _Sizes):
     """Compare one group's members with a block of queries; links per class and a spanning forest."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        enter("set_join")
         pdf = pdf.drop_duplicates(["set_id", "query"])
         members, queries = pdf[~pdf["query"]], pdf[pdf["query"]]
         ids, hard = members["set_id"].to_numpy(), members["hard"].to_numpy()
@@ -269,6 +271,7 @@ def _likely_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("set_join")
         for batch in batches:
             kept = batch.column(2)
             tokens = kept.flatten().to_numpy(zero_copy_only=False)
@@ -290,6 +293,7 @@ def _side(ids: DataFrame, weight: Column | int = 1) -> DataFrame:
 def _placed_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
     """The whole sets of the classes in ``need`` ``(set_id, places, first_doc)``, from their documents' texts: a row per place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("set_join")
         for batch in batches:
             wanted = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(2)

@@ -22,10 +22,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from taxolink.llm.words import span_hashes, text_chunks, word_spans
+from taxolink.llm.words import enter, span_hashes, text_chunks, word_spans
 
 #: Distinct pieces kept by a Python worker before it starts afresh.
-KEEP = 2 << 20
+KEEP = 5 << 18
 #: Bytes of text handled at a time.
 CHUNK_BYTES = 2 << 20
 #: White space outside ASCII, as one class.
@@ -137,6 +137,7 @@ _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 def worker_encoder(path: str, spaced: bool) -> PieceEncoder:
     """This Python worker's encoder: the pieces it has learnt serve its later tasks too."""
+    enter("tokens", _ENCODERS.clear)
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = PieceEncoder(path, spaced)
     return _ENCODERS[path, spaced]

@@ -11,7 +11,10 @@ inside a multi-byte UTF-8 character. Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,25 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_KEPT: dict = {"owner": None, "free": []}
+
+
+def enter(owner: str, free: Callable[[], None] | None = None) -> None:
+    """Called by an operator's function when a task starts.
+
+    Python workers serve the tasks of many operators. What one keeps between its tasks (``free`` lets go of it) is
+    dropped when another's task starts, and unused memory goes back to the system.
+    """
+    if _KEPT["owner"] != owner:
+        for drop in _KEPT["free"]:
+            drop()
+        _KEPT["owner"], _KEPT["free"] = owner, [free] if free else []
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a hash: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(33))
