@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import hashlib
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -134,12 +137,16 @@ def test_dataset_variants(spark):
     assert (s["n_train"], s["n_val"], s["n_test"]) == (20, 2, 8)
 
 
-def test_class_cap_keeps_partial_limit_for_large_caps(spark):
-    df = spark.createDataFrame([(i, "A") for i in range(30)], "row_id long, code string")
-    out = SP.class_cap(df, "row_id", "code", cap=5000)
+def test_class_cap_beyond_the_partial_limit_uses_exact_ranks(spark):
+    df = spark.createDataFrame([(i, "A") for i in range(1500)] + [(i, "B") for i in range(1490, 1510)],
+                               "row_id long, code string")
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    out = SP.class_cap(df, "row_id", "code", cap=1200)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-    assert out.count() == 30
+    assert not re.search(r"\+- Window \[row_number", plan)   # no task sorts a whole group
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == before
+    keys = sorted((hashlib.md5(f"42#A#{i}".encode()).hexdigest(), i) for i in range(1500))
+    assert rows(out) == sorted((i,) for i in {i for _, i in keys[:1200]} | set(range(1490, 1510)))
 
 
 def test_exact_row_number_random_groups(spark):
