@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolink.llm.sides import checked_side
 from taxolink.llm.words import enter
 from taxolink.session import write_and_read
 
@@ -178,7 +179,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     copies = (mix(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
               .filter("mix_copies > 0").withColumnRenamed("doc_id", "mix_doc_id"))
-    copies = write_and_read(copies, "mix-copies")
+    copies = checked_side(write_and_read(copies, "mix-copies"))
     chosen = docs.join(copies, docs["doc_id"] == copies["mix_doc_id"])
     return (chosen.select(*[docs[c] for c in docs.columns],
                           F.explode(F.sequence(F.lit(1), copies["mix_copies"])).alias("_copy_of_document"))

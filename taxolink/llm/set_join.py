@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolink.llm.components import connected_components
+from taxolink.llm.sides import checked_side
 from taxolink.llm.words import enter, mix, ngram_hashes, span_hashes, text_chunks, word_spans
 from taxolink.session import write_and_read
 
@@ -52,8 +53,6 @@ HOT = 64
 ALIKE = 3
 #: Shingles of queries that meet a group's members in one block.
 BLOCK_SHINGLES = 1 << 18
-#: Ids are sent to all executors up to this many rows of 16 bytes (32 MB), else they are joined by a shuffle.
-BROADCAST_ROWS = 1 << 21
 #: Largest bitmap of shared tokens (32 MB).
 FILTER_BITS = 1 << 28
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -285,11 +284,6 @@ def _likely_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token long, set_id long, n_shingles long")
 
 
-def _side(ids: DataFrame, weight: Column | int = 1) -> DataFrame:
-    """A written table of ids as a join side: broadcast up to a checked size, so that texts need no shuffle."""
-    return F.broadcast(ids) if (ids.agg(F.sum(F.lit(weight))).first()[0] or 0) <= BROADCAST_ROWS else ids
-
-
 def _placed_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
     """The whole sets of the classes in ``need`` ``(set_id, places, first_doc)``, from their documents' texts: a row per place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +317,7 @@ def _placed_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
 
     need = need.withColumnRenamed("set_id", "need_id")
     texts = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-             .join(_side(need, F.size("places") * 4 + 4), F.col("doc_id") == F.col("first_doc")).select(F.col("need_id").alias("set_id"), "text", "places"))
+             .join(checked_side(need, F.size("places") * 4 + 4), F.col("doc_id") == F.col("first_doc")).select(F.col("need_id").alias("set_id"), "text", "places"))
     return texts.mapInArrow(run, "set_id long, gid long, block long, own_gid long, hard boolean, copies long, query boolean, "
                                  "tokens binary")
 
@@ -365,14 +359,14 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """
     first = similar_documents(docs, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     first = write_and_read(first.distinct(), "join-kept")
-    side = _side(first)
+    side = checked_side(first)
     stay = (docs.join(side, docs["doc_id"] == side["kept_id"], "left")
             .filter(side["kept_id"].isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns]))
     twice = write_and_read(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
                            .filter("n_rows > 1").select(F.col("doc_id").alias("kept_id")), "join-twice")
     if twice.isEmpty():  # ids are unique
         return stay
-    twice = _side(twice)
+    twice = checked_side(twice)
     single = stay.join(twice, stay["doc_id"] == twice["kept_id"], "left_anti")
     several = stay.join(twice, stay["doc_id"] == twice["kept_id"], "left_semi")
     row = F.struct(*docs.columns)

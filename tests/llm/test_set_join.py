@@ -3,7 +3,7 @@ import random
 import pytest
 from brute import similar
 
-from taxolink.llm import set_join
+from taxolink.llm import set_join, sides
 from taxolink.llm.components import connected_components
 
 
@@ -40,7 +40,7 @@ def test_matches_brute_force(spark, monkeypatch, seed, n, num):
 
 def test_links_beyond_all_size_bounds(spark, monkeypatch):
     monkeypatch.setattr(set_join, "FILTER_BITS", 1 << 15)   # a bitmap that is full of other tokens
-    monkeypatch.setattr(set_join, "BROADCAST_ROWS", -1)     # every join of texts by shuffle
+    monkeypatch.setattr(sides, "BROADCAST_ROWS", -1)     # every join of texts by shuffle
     docs = _docs(5, families=20)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links)
