@@ -37,6 +37,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd"
         "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
         "option": ({"option"}, {"select"})}
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Elements that stand in a head; any other tag, and text, ends an open head.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SCORED = frozenset(["p", "pre", "td", "blockquote", "li", "dd", "h2", "h3"])
 
 #: Fixed word lists for class, id and role names. A name is split at hyphens, underscores and case changes; it is
@@ -75,9 +77,20 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.open = Node("html", [], None)
 
+    def _end_head(self, whole: bool = False):
+        """Leave an open head whose end tag is omitted; with ``whole`` also from inside its elements."""
+        at = self.open
+        while whole and at.parent is not None and at.tag != "head":
+            at = at.parent
+        if at.tag == "head":
+            self.open = at.parent
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
+            self._end_head(whole=tag == "body")
             return
+        if tag not in IN_HEAD:
+            self._end_head()
         self._imply_ends(tag)
         given = dict(attrs)
         names = [n for k in ("class", "id", "role") for n in (given.get(k) or "").split()]
@@ -124,6 +137,8 @@ class TreeBuilder(HTMLParser):
             self.open = at.parent
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         self.open.kids.append(data)
 
 

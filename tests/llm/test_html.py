@@ -62,6 +62,18 @@ def test_siblings_of_the_best_container_are_kept():
     assert f"{LONG} sibling" in text and "link" not in text
 
 
+@pytest.mark.parametrize("left_out", [
+    ["</head>"], ["</head>", "<body>"], ["</body>", "</html>"], ["</head>", "</body>", "</html>"],
+    ["</head>", "<body>", "</body>", "</html>"], ["<html>", "<head>", "</head>", "<body>", "</body>", "</html>"]])
+@pytest.mark.parametrize("body", [f"<article><h1>Title</h1><p>{LONG}</p></article>", f"<p>{LONG}</p>", LONG])
+def test_end_tags_of_head_body_and_html_left_out(left_out, body):
+    html = page(body, '<meta name=x><link rel=y><style>p{}</style><noscript><style>q{}</style></noscript>')
+    expected = extract_text(html)
+    for tag in left_out:
+        html = html.replace(tag, "")
+    assert extract_text(html) == expected and LONG in expected
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("   ", ""), ("plain words", "plain words"), ("<p>tiny</p>", "tiny"), ("<script>x</script>", ""),
     ("<p>broken < tag &amp", "broken < tag &"), ("<div><div><div>", ""), ("</p></div>odd", "odd")])
