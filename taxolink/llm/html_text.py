@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP = frozenset("script style noscript template head title nav footer aside form iframe object svg canvas button "
                  "select textarea input dialog menu audio video map".split())
-BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 "
-                  "h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul"
-                  .split())
+#: Sections of a page that are cut whole; they are blocks like any other while the tree is built.
+SECTIONS = frozenset("nav aside footer form dialog menu".split())
+BLOCK = SECTIONS | frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 "
+                             "h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead "
+                             "tr ul".split())
 CLOSES_P = BLOCK - {"html", "body", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 #: An opening tag ends these open elements, up to the nearest of the given borders.
-ENDS = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
+ENDS = {"li": ({"li"}, {"ul", "ol"} | DROP), "dd": ({"dd", "dt"}, {"dl"} | DROP), "dt": ({"dd", "dt"}, {"dl"} | DROP),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
         "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
         "option": ({"option"}, {"select"})}
@@ -108,7 +110,7 @@ class TreeBuilder(HTMLParser):
 
     def _imply_ends(self, tag):
         if tag in CLOSES_P:
-            self._close({"p"}, BLOCK - {"p"})
+            self._close({"p"}, (BLOCK | DROP) - {"p"})
         if tag in HEADINGS and self.open.tag in HEADINGS:
             self.open = self.open.parent
         if tag in ENDS:
@@ -130,7 +132,7 @@ class TreeBuilder(HTMLParser):
             return
         at = self.open
         while at.parent is not None and at.tag != tag:
-            if tag not in BLOCK and at.tag in BLOCK:  # an inline end tag does not close blocks
+            if tag not in BLOCK and tag not in DROP and at.tag in BLOCK:  # an inline end tag does not close blocks
                 return
             at = at.parent
         if at.parent is not None:

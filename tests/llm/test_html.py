@@ -74,6 +74,22 @@ def test_end_tags_of_head_body_and_html_left_out(left_out, body):
     assert extract_text(html) == expected and LONG in expected
 
 
+@pytest.mark.parametrize("tag", ["nav", "aside", "footer", "form", "dialog", "menu", "button", "object", "noscript"])
+@pytest.mark.parametrize("inside", ["<p>Menu", "<li>Menu", "<div>Menu", "<ul><li>Menu", "<p>Menu <input><div><p>more"])
+def test_unclosed_blocks_inside_unwanted_sections(tag, inside):
+    cut = f"<{tag}>{inside}</{tag}>"
+    assert extract_text(page(f"{cut}<article><p>{LONG}</p></article>")) == LONG
+    assert extract_text(page(f"<article><p>{LONG}</p>{cut}<p>{LONG} two</p></article>")) == f"{LONG}\n{LONG} two"
+    listed = f"<ul><li>{LONG}{cut}<li>{LONG} two</ul>"
+    assert extract_text(page(f"<article>{listed}</article>")) == f"{LONG}\n{LONG} two"
+
+
+@pytest.mark.parametrize("tag", ["nav", "aside", "footer", "dialog", "menu"])
+def test_unwanted_section_ends_an_open_paragraph(tag):
+    html = page(f"<article><p>{LONG}<{tag}><p>Menu</{tag}>tail text<p>{LONG} two</article>")
+    assert extract_text(html) == f"{LONG}\ntail text\n{LONG} two"
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("   ", ""), ("plain words", "plain words"), ("<p>tiny</p>", "tiny"), ("<script>x</script>", ""),
     ("<p>broken < tag &amp", "broken < tag &"), ("<div><div><div>", ""), ("</p></div>odd", "odd")])
