@@ -1,8 +1,13 @@
 """Main-text extraction from HTML by scoring the element tree.
 
 A tolerant parser builds the tree (implied paragraph and list ends, void elements, raw-text elements).
-Elements that never hold article text, and those whose class, id or role names a menu, notice, advert, form,
-sidebar or comment area, are cut. Every paragraph-like block of enough text then passes points to its parent
+Elements that never hold article text, and those whose class, id or role names a menu, notice, advert,
+sidebar or comment area, are cut. A name cuts no inline element, no ``article`` (but a comment inside one) or
+``main``, and nothing that holds more than half of the page's prose, unless another ``article``, ``main`` or element
+named like them holds a fifth of it, or the name is that of a thread and the rest of the page has 80 characters of
+prose. A form under the same conditions, or with an article in it, is a plain container. If fewer than 80
+characters are left, the page is read again without the cuts by name, and that text is taken if it is more than
+twice as long. Every paragraph-like block of enough text then passes points to its parent
 (all of them) and its further ancestors (a shrinking part): one, plus its commas, plus one per 100
 characters up to three. A container's points are discounted by its link density. The best container is kept,
 with siblings that score well or read like prose.
@@ -38,6 +43,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol"} | DROP), "dd": ({"dd", "dt"}, {"dl"} | DROP)
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
         "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
         "option": ({"option"}, {"select"})}
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small "
+                   "span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: Elements that stand in a head; any other tag, and text, ends an open head.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -52,6 +59,11 @@ UNWANTED = frozenset(
     "pagination paywall popup promo promotion promoted recommendation recommendations recommended related replies respond "
     "responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toast "
     "toolbar topbar widget widgets".split())
+#: With one of these words a name tells the subject of a section ("related-work", "social-history").
+TOPIC = frozenset("work works research literature study studies method methods theory theories concept concepts history science "
+                  "sciences algorithm algorithms analysis".split())
+#: Names of readers' threads, which can be longer than the article above them.
+THREAD = frozenset("comment comments commentlist disqus replies respond responses".split())
 LAYOUT = frozenset("with has no without open closed enabled disabled not".split())
 SITE_HEADERS = frozenset(["header", "site-header", "page-header", "siteheader", "pageheader", "top-header"])
 WANTED = re.compile(r"(^|[\s_-])(article|content|entry|main|post|story|text|body)($|[\s_-])")
@@ -59,15 +71,18 @@ WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
 
 MIN_CHARS = 25
+#: An extracted text with fewer characters is little: the page is read again without the cuts by name.
+MIN_ARTICLE = 80
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids", "parent", "score", "hidden")
+    __slots__ = ("tag", "names", "kids", "parent", "score", "hidden", "prose")
 
     def __init__(self, tag: str, names: list[str], parent: Node | None, hidden: bool = False):
         self.tag, self.names, self.parent, self.hidden = tag, names, parent, hidden
         self.kids: list[Node | str] = []
         self.score = 0.0
+        self.prose = 0
 
 
 class TreeBuilder(HTMLParser):
@@ -144,31 +159,125 @@ class TreeBuilder(HTMLParser):
         self.open.kids.append(data)
 
 
-def _unwanted(node: Node) -> bool:
-    if node.hidden or node.tag in DROP:
+def _cut_by_tag(node: Node) -> bool:
+    if node.hidden or node.tag in DROP and node.tag != "form":
         return True
     if node.tag == "header":  # a page's header goes; an article's own heading stays
         up = node.parent
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         return up is None
-    if node.tag == "main":
-        return False
+    return False
+
+
+def _unwanted_words(node: Node) -> set[str]:
+    """The unwanted words among an element's names; of a site header's names, ``header``."""
+    found: set[str] = set()
     for name in node.names:
         words = {w.lower() for w in WORDS.findall(name)}
-        if words & UNWANTED and not words & LAYOUT or name.lower() in SITE_HEADERS:
-            return True
-    return False
+        if not words & (LAYOUT | TOPIC):
+            found |= words & UNWANTED
+        if name.lower() in SITE_HEADERS:
+            found.add("header")
+    return found
 
 
 def _prune(node: Node) -> None:
+    """Cut what goes by its tag or is hidden. Forms are left to :func:`_prune_named`."""
     stack = [node]
     while stack:
         at = stack.pop()
-        at.kids = [k for k in at.kids if isinstance(k, str) or not _unwanted(k)]
+        at.kids = [k for k in at.kids if isinstance(k, str) or not _cut_by_tag(k)]
         stack.extend(k for k in at.kids if not isinstance(k, str))
 
 
+def _measure(root: Node) -> None:
+    """Give every element its prose: characters outside links, in blocks of at least :data:`MIN_CHARS`, in and below it."""
+    nodes: list[Node] = []
+    own: dict[int, list[int]] = {}
+    stack: list[tuple[Node, Node, bool]] = [(root, root, False)]
+    while stack:
+        at, block, linked = stack.pop()
+        nodes.append(at)
+        at.prose = 0
+        linked = linked or at.tag == "a"
+        if at.tag in BLOCK:
+            block = at
+        chars = own.setdefault(id(block), [0, 0])
+        for kid in at.kids:
+            if isinstance(kid, str):
+                n = len(SPACE.sub(" ", kid.strip()))
+                chars[0] += n
+                chars[1] += 0 if linked else n
+            else:
+                stack.append((kid, block, linked))
+    for at in reversed(nodes):  # kids come after their parents in nodes
+        every, free = own.get(id(at), (0, 0))
+        at.prose += free if every >= MIN_CHARS else 0
+        if at.parent is not None:
+            at.parent.prose += at.prose
+
+
+def _prune_named(root: Node, names: bool = True) -> list[tuple[Node, list[Node | str]]]:
+    """Cut forms and, with ``names``, elements with unwanted names; the changed elements with the kids they had.
+
+    Stay: inline elements; main and article elements (but comments in an article); what holds more than half of the
+    page's prose, unless the article is evidently elsewhere. A form goes by its tag, under the same half.
+    """
+    _measure(root)
+    marked = [n for n in _walk(root) if n.prose and (n.tag in ("article", "main") or n.tag in BLOCK and any(
+        map(WANTED.search, n.names)) and not _unwanted_words(n))]
+
+    def above(node: Node, tags: tuple[str, ...]) -> bool:
+        up = node.parent
+        while up is not None and up.tag not in tags:
+            up = up.parent
+        return up is not None
+
+    def beside(node: Node) -> int:
+        """Most prose of one marked element that neither holds ``node`` nor lies in it."""
+        near = set(map(id, _walk(node)))
+        up = node.parent
+        while up is not None:
+            near.add(id(up))
+            up = up.parent
+        return max((n.prose for n in marked if id(n) not in near), default=0)
+
+    def stays(node: Node, words: set[str]) -> bool:
+        if node.prose * 2 <= root.prose:
+            return False
+        if words & THREAD:  # a thread can be longer than its article
+            return root.prose - node.prose < MIN_ARTICLE
+        return beside(node) * 5 < root.prose
+
+    cuts: list[tuple[Node, list[Node | str]]] = []
+    stack = [root]
+    while stack:
+        at = stack.pop()
+        kids: list[Node | str] = []
+        for kid in at.kids:
+            if not isinstance(kid, str):
+                if kid.tag == "form" and not stays(kid, set()) and not any(
+                        n.tag in ("article", "main") and n.prose for n in _walk(kid)):
+                    continue
+                words = _unwanted_words(kid) if names and kid.names else set()
+                if words:
+                    if kid.tag in ("article", "main"):
+                        cut = kid.tag == "article" and bool(words & THREAD) and above(kid, ("article",))
+                    elif kid.tag in INLINE and not any(n.tag in BLOCK for n in _walk(kid)):
+                        cut = False
+                    else:
+                        cut = not stays(kid, words)
+                    if cut:
+                        continue
+                stack.append(kid)
+            kids.append(kid)
+        if len(kids) < len(at.kids):
+            cuts.append((at, at.kids))
+            at.kids = kids
+    return cuts
+
+
 def _walk(node: Node) -> Iterator[Node]:
     stack = [node]
     while stack:
@@ -298,6 +407,10 @@ def _blocks(node: Node) -> Iterator[str]:
             stack.extend(reversed(at.kids))
 
 
+def _chosen_text(root: Node) -> str:
+    return "\n".join(b for node in _chosen(root) for b in _blocks(node))
+
+
 def extract_text(html: str | None) -> str:
     """Main text of one page."""
     if not html:
@@ -305,8 +418,20 @@ def extract_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    _prune(builder.root)
-    return "\n".join(b for node in _chosen(builder.root) for b in _blocks(node))
+    root = builder.root
+    _prune(root)
+    cuts = _prune_named(root)
+    text = _chosen_text(root)
+    if cuts and len(text) < MIN_ARTICLE:
+        for node, kids in cuts:
+            node.kids = kids
+        _prune_named(root, names=False)
+        for node in _walk(root):
+            node.score = 0.0
+        whole = _chosen_text(root)
+        if len(whole) > 2 * len(text):
+            return whole
+    return text
 
 
 def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -90,6 +90,48 @@ def test_unwanted_section_ends_an_open_paragraph(tag):
     assert extract_text(html) == f"{LONG}\ntail text\n{LONG} two"
 
 
+ARTICLE = f"<h1>Title here</h1><p>{LONG}</p><p>{LONG} two</p>"
+TEXT = f"Title here\n{LONG}\n{LONG} two"
+
+
+@pytest.mark.parametrize("box", [
+    '<form id="aspnetForm"><input type=hidden>{}<select><option>x</select></form>',
+    '<form><div class="search-box">Search <input></div><article>{}</article></form>',
+    '<article class="post category-announcements">{}</article>', '<article class="tag-social-media">{}</article>',
+    '<div id="search-page">{}</div>', '<div id="search-page"><div class="subscribe-wrap"><article>{}</article></div></div>',
+    '<div class="social-page"><p>By the staff of the search page, today.</p>{}</div><p>Some imprint of the company here</p>',
+    '<main class="page-widget">{}</main>'])
+def test_unwanted_names_and_forms_around_the_article_stay(box):
+    cut = f'<nav><p>Menu</nav><div class="sidebar"><p>{LONG} side</p></div>'
+    assert TEXT in extract_text(page(cut + box.format(ARTICLE)))
+    assert f"{LONG} side" not in extract_text(page(cut + box.format(ARTICLE)))
+
+
+def test_inline_elements_and_topics_stay():
+    html = page(f'<article><p>{LONG} One <span class="search-hit">word</span> more, a <a class="related" href=x>link</a>.</p>'
+                f'<section id="related-work"><h2>Related work</h2><p>{LONG} others</p></section></article>')
+    assert extract_text(html) == f"{LONG} One word more, a link.\nRelated work\n{LONG} others"
+
+
+def test_page_is_read_without_name_cuts_when_little_is_left():
+    prose = [f"{LONG} {LONG} {LONG} {LONG} {LONG} {i}" for i in range(4)]
+    halves = "".join(f'<div class="social-{side}"><p>{a}</p><p>{b}</p><form>Login</form></div>'
+                     for side, a, b in (("left", *prose[:2]), ("right", *prose[2:])))
+    assert extract_text(page(f"<div>{halves}<p>Bye</p></div>")) == "\n".join(prose)
+
+
+@pytest.mark.parametrize("box", ["<article>{}</article>", '<div class="content">{}</div>', "<div>{}</div>"])
+@pytest.mark.parametrize("thread", ['<div class="comments">{}</div>', '<section id="respond"><div class="replies">{}</div></section>'])
+def test_a_thread_longer_than_its_article_goes(box, thread):
+    long_thread = thread.format("".join(f'<div class="comment"><p>{LONG} reader {i}</p></div>' for i in range(20)))
+    assert extract_text(page(box.format(ARTICLE) + long_thread)) == TEXT
+    assert extract_text(page(box.format(ARTICLE + long_thread))) == TEXT
+
+
+def test_a_comment_marked_as_article_inside_the_article_goes():
+    assert extract_text(page(f'<article>{ARTICLE}<article class="comment"><p>{LONG} reader</p></article></article>')) == TEXT
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("   ", ""), ("plain words", "plain words"), ("<p>tiny</p>", "tiny"), ("<script>x</script>", ""),
     ("<p>broken < tag &amp", "broken < tag &"), ("<div><div><div>", ""), ("</p></div>odd", "odd")])
