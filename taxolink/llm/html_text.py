@@ -10,7 +10,8 @@ characters are left, the page is read again without the cuts by name, and that t
 twice as long. Every paragraph-like block of enough text then passes points to its parent
 (all of them) and its further ancestors (a shrinking part): one, plus its commas, plus one per 100
 characters up to three. A container's points are discounted by its link density. The best container is kept,
-with siblings that score well or read like prose.
+with siblings that score well or read like prose, and the link-free lists, quotes, tables and short sections
+among these. Beside an ``article`` or ``main`` only those with its tag and classes (ids differ) count.
 
 Output text: character references decoded, white space inside a block turned into one space, blocks
 trimmed and joined in page order by one newline. ``<br>`` is white space. Nothing is capped.
@@ -46,6 +47,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol"} | DROP), "dd": ({"dd", "dt"}, {"dl"} | DROP)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+PROSE = HEADINGS | {"p"}
+#: Blocks of an article that are kept without points, if free of links, among the kept siblings.
+SHORT = PROSE | frozenset("ul ol dl blockquote pre table figure details section div".split())
 #: Elements that stand in a head; any other tag, and text, ends an open head.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 SCORED = frozenset(["p", "pre", "td", "blockquote", "li", "dd", "h2", "h3"])
@@ -76,10 +80,11 @@ MIN_ARTICLE = 80
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids", "parent", "score", "hidden", "prose")
+    __slots__ = ("tag", "names", "classes", "kids", "parent", "score", "hidden", "prose")
 
-    def __init__(self, tag: str, names: list[str], parent: Node | None, hidden: bool = False):
-        self.tag, self.names, self.parent, self.hidden = tag, names, parent, hidden
+    def __init__(self, tag: str, names: list[str], parent: Node | None, hidden: bool = False,
+                 classes: frozenset[str] = frozenset()):
+        self.tag, self.names, self.parent, self.hidden, self.classes = tag, names, parent, hidden, classes
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.prose = 0
@@ -113,7 +118,7 @@ class TreeBuilder(HTMLParser):
         names = [n for k in ("class", "id", "role") for n in (given.get(k) or "").split()]
         style = (given.get("style") or "").replace(" ", "").lower()
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style
-        node = Node(tag, names, self.open, hidden)
+        node = Node(tag, names, self.open, hidden, frozenset((given.get("class") or "").split()))
         self.open.kids.append(node)
         if tag not in VOID:
             self.open = node
@@ -369,20 +374,35 @@ def _chosen(root: Node) -> list[Node]:
         return [best]
     floor = max(10.0, best.score * 0.2)
     marked = best.tag in ("article", "main")  # the page says what its article is: only its like belong to it
-    kept = []
-    for kid in best.parent.kids:
-        if isinstance(kid, str):
-            continue
-        if marked:
-            if kid is best or kid.tag == best.tag and kid.names == best.names and kid.score >= floor:
-                kept.append(kid)
-        elif kid is best or kid.score >= floor:
-            kept.append(kid)
-        elif kid.tag == "p" or kid.tag in HEADINGS:
-            text, density = _plain(kid), link_density(kid)
-            if len(text) > 80 and density < 0.25 or text and density == 0 and text[-1] in ".!?":
-                kept.append(kid)
-    return kept
+    kids = [k for k in best.parent.kids if not isinstance(k, str)]
+
+    def like(kid: Node, other: Node) -> bool:
+        return kid.tag == other.tag and kid.classes == other.classes
+
+    if marked:
+        return [k for k in kids if k is best or like(k, best) and k.score >= floor]
+    kept = [k is best or k.score >= floor or k.tag in PROSE and _reads_like_prose(k) for k in kids]
+    first = kept.index(True)
+    last = len(kept) - 1 - kept[::-1].index(True)
+    short = [k.tag in SHORT and _linkless(k) for k in kids]
+    for i in range(first, last):
+        kept[i] = kept[i] or short[i]
+    # the closing sections of an article in sibling elements: the like of the best, if it has a class or a second one
+    if best.classes or sum(k for kid, k in zip(kids, kept) if like(kid, best)) > 1:
+        for i in range(last + 1, len(kids)):
+            if not short[i] or not like(kids[i], best):
+                break
+            kept[i] = True
+    return [kid for kid, k in zip(kids, kept) if k]
+
+
+def _linkless(node: Node) -> bool:
+    return bool(_plain(node)) and link_density(node) == 0
+
+
+def _reads_like_prose(node: Node) -> bool:
+    text, density = _plain(node), link_density(node)
+    return len(text) > 80 and density < 0.25 or bool(text) and density == 0 and text[-1] in ".!?"
 
 
 def _blocks(node: Node) -> Iterator[str]:

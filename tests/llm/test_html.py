@@ -132,6 +132,29 @@ def test_a_comment_marked_as_article_inside_the_article_goes():
     assert extract_text(page(f'<article>{ARTICLE}<article class="comment"><p>{LONG} reader</p></article></article>')) == TEXT
 
 
+def test_parts_of_a_marked_article_with_ids_of_their_own_are_kept():
+    html = page(f'<div><article id="p1" class="part x"><p>{LONG}</p></article><article class="x part" id=p2><p>{LONG} two</p>'
+                f'</article><article class="teaser"><p>{LONG} next</p></article></div>')
+    assert extract_text(html) == f"{LONG}\n{LONG} two"
+
+
+@pytest.mark.parametrize("short,text", [
+    ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<blockquote>A quote</blockquote>", "A quote"), ("<pre>x = 1</pre>", "x = 1"),
+    ("<table><tr><td>1<td>2</table>", "1\n2"), ("<section><p>Short</p></section>", "Short"), ("<p>Short</p>", "Short")])
+def test_short_blocks_among_the_kept_siblings_stay(short, text):
+    part = "<div class=part>" + f"<p>{LONG} {LONG} {LONG} {LONG}</p>" * 3 + "</div>"
+    links = "<ul><li><a href=x>elsewhere</a></ul>"
+    prose = "\n".join([" ".join([LONG] * 4)] * 3)
+    html = page(f"<div>{short}{part}{links}{short}{part}{short}</div>")
+    assert extract_text(html) == f"{prose}\n{text}\n{prose}"
+
+
+def test_short_closing_section_like_the_others_stays():
+    part = "<div class=part>" + f"<p>{LONG} {LONG} {LONG} {LONG}</p>" * 3 + "</div>"
+    html = page(f"<div>{part}<div class=part><p>So it ended</p></div><div class=imprint>Imprint</div></div>")
+    assert extract_text(html).endswith(f"{LONG}\nSo it ended")
+
+
 @pytest.mark.parametrize("html,text", [
     (None, ""), ("", ""), ("   ", ""), ("plain words", "plain words"), ("<p>tiny</p>", "tiny"), ("<script>x</script>", ""),
     ("<p>broken < tag &amp", "broken < tag &"), ("<div><div><div>", ""), ("</p></div>odd", "odd")])
