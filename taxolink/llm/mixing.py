@@ -130,15 +130,17 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source_key", "size", "n", "whole", "extra"]]
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-        seed: int = 17) -> DataFrame:
-    """Copies to take of every document: ``(doc_id, source, size, source_size, target, copies, taken)``.
+def _checksum() -> Column:
+    """Of a document's source and text: tells rows with the same or without an id apart."""
+    return F.xxhash64(F.col("source").cast("string"), F.col("text").cast("string"))
 
-    ``docs`` needs ``doc_id``, ``source`` and ``text``; the texts are read once, for their word counts. All
-    later steps work on narrow rows written to the shared folder.
-    """
+
+def _planned(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
+             seed: int = 17) -> DataFrame:
+    """The rows of :func:`mix` with ``checksum``."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+                       _checksum().alias("checksum"))
     rows = write_and_read(rows.withColumn("source_key", key), "mix-sizes")
     hist = rows.groupBy("source", "source_key", "size").agg(F.count(F.lit(1)).alias("n"))
     hist = write_and_read(hist, "mix-lengths")
@@ -161,26 +163,52 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     below = (placed.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n")))
              .groupBy("source_key", "size", "bin").agg(F.count(F.lit(1)).alias("in_bin"))
              .withColumn("below", F.coalesce(F.sum("in_bin").over(before), F.lit(0))))
-    rank = F.row_number().over(Window.partitionBy("source_key", "size", "bin").orderBy("order", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source_key", "size", "bin").orderBy("order", "doc_id", "checksum"))
     once_more = (F.when(F.col("extra") == 0, False).when(F.col("extra") >= F.col("n"), True)
                  .when(F.col("below") >= F.col("extra"), False)
                  .otherwise(F.col("below") + F.col("rank") <= F.col("extra")))
     out = (placed.withColumn("rank", rank).join(below, ["source_key", "size", "bin"], "left")
            .withColumn("copies", (F.col("whole") + F.when(once_more, 1).otherwise(0)).cast("int")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies",
-                      (F.col("copies") * F.col("size")).alias("taken"))
+                      (F.col("copies") * F.col("size")).alias("taken"), "checksum")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
+        seed: int = 17) -> DataFrame:
+    """Copies to take of every document: ``(doc_id, source, size, source_size, target, copies, taken)``.
+
+    ``docs`` needs ``doc_id``, ``source`` and ``text``; the texts are read once, for their word counts. All
+    later steps work on narrow rows written to the shared folder.
+    """
+    return _planned(docs, weights, share, most, seed).drop("checksum")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all columns of ``docs``.
 
-    Documents are matched to their plan by ``doc_id``; rows that share an id are taken alike (the largest
-    number of copies), rows with a null id or not taken are dropped.
+    Documents are matched to their plan by ``doc_id`` (null matches null) and a checksum of source and text, so every
+    planned row comes out as often as planned, and rows not taken are dropped. Rows alike in all three are dealt
+    their common number of copies; which of them gets one more is not defined.
     """
-    copies = (mix(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
-              .filter("mix_copies > 0").withColumnRenamed("doc_id", "mix_doc_id"))
-    copies = checked_side(write_and_read(copies, "mix-copies"))
-    chosen = docs.join(copies, docs["doc_id"] == copies["mix_doc_id"])
-    return (chosen.select(*[docs[c] for c in docs.columns],
-                          F.explode(F.sequence(F.lit(1), copies["mix_copies"])).alias("_copy_of_document"))
-            .drop("_copy_of_document"))
+    copies = (_planned(docs, **how).groupBy("doc_id", "checksum")
+              .agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n")).filter("all > 0")
+              .select(F.col("doc_id").alias("mix_doc_id"), F.col("checksum").alias("mix_checksum"),
+                      F.expr("all div n").cast("int").alias("mix_each"), (F.col("all") % F.col("n")).cast("int").alias("mix_more")))
+    copies = write_and_read(copies, "mix-copies")
+    one = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_document"), docs["doc_id"].alias("_id"),
+                      _checksum().alias("_sum"))
+
+    def chosen(side: DataFrame) -> DataFrame:
+        side = checked_side(side, 2)
+        return one.join(side, one["_id"].eqNullSafe(side["mix_doc_id"]) & (one["_sum"] == side["mix_checksum"]))
+
+    def times(rows: DataFrame, n: Column) -> DataFrame:
+        return rows.filter(n > 0).select("_document", F.explode(F.sequence(F.lit(1), n)).alias("_copy")).select("_document.*")
+
+    out = times(chosen(copies.filter("mix_more = 0")), F.col("mix_each"))
+    shared = copies.filter("mix_more > 0")
+    if not shared.isEmpty():  # rows alike, and not all of them once more: they alone are numbered
+        turn = F.row_number().over(Window.partitionBy("mix_doc_id", "mix_checksum").orderBy("mix_doc_id"))
+        rows = chosen(shared).withColumn("_turn", turn)
+        out = out.unionByName(times(rows, F.col("mix_each") + F.when(F.col("_turn") <= F.col("mix_more"), 1).otherwise(0)))
+    return out

@@ -55,6 +55,24 @@ def test_documents_come_as_often_as_taken(spark):
     assert seen == {i: n for i, n in copies.items() if n}
 
 
+@pytest.mark.parametrize("ids", ["null", "same", "some", "alike"])
+def test_rows_without_or_with_the_same_id_come_as_often_as_planned(spark, ids):
+    r = random.Random(5)
+    docs = [({"null": None, "same": 7, "some": r.choice([None, 1, i]), "alike": 7}[ids], r.choice(["a", "b", None]),
+             " ".join(["w"] * 3 if ids == "alike" else r.choices("uvw", k=r.randint(1, 40)))) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+
+    def words(rows):
+        out = {}
+        for source, n in rows:
+            out[source] = out.get(source, 0) + n
+        return out
+
+    planned = words((x.source, x.taken) for x in mixing.mix(df).collect())
+    assert words((x.source, len(x.text.split())) for x in mixing.mixed_documents(df).collect()) == planned
+    assert sum(planned.values()) > 0
+
+
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a", "x y z")] * 9 + [(2, "b", "q")], "doc_id long, source string, text string")
     assert mixing.mix(df).count() == 10
