@@ -7,7 +7,8 @@ exact document lengths (one row per source and length, never the documents):
 1. lengths in descending order take documents in proportion to the budget, carrying the rounding error on
    (so the mix keeps the source's length distribution), until only a small remaining budget is left;
 2. a bounded-knapsack dynamic program over the documents still free fills that remaining budget exactly,
-   or as closely from below as the lengths allow.
+   or as closely as the lengths allow, from below or, if that is nearer, from above (a source of a few very long
+   documents goes to it whole).
 
 That gives a number of documents per length. Which ones is decided by a seeded hash: per (source, length)
 the documents with the smallest hashes are taken. Hash bins of about :data:`BIN_ROWS` documents keep that
@@ -33,6 +34,8 @@ from taxolink.session import write_and_read
 #: The dynamic program's budget, in words: what step 1 leaves for step 2 on top of its rounding rest.
 DP_WORDS = 1 << 14
 BIN_ROWS = 512
+#: A source of no more documents, which need no more bits, is fitted by the dynamic program alone.
+FEW_DOCS, FEW_BITS = 64, 1 << 28
 
 
 def word_count(text: Column) -> Column:
@@ -68,17 +71,41 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
                       F.least(F.col("most"), F.col("weight") * F.lit(level)).cast("double").alias("target"))
 
 
-def fit_counts(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_WORDS) -> list[int]:
+def _reachable(lengths: list[int], free: list[int], order: list[int], most: int,
+               goal: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Items by binary splitting, and after each the sums up to ``most`` as bits; ends early at ``goal``."""
+    items = []
+    for i in order:
+        if lengths[i] <= most:
+            n, block = min(free[i], most // lengths[i]), 1
+            while n > 0:
+                items.append((i, min(block, n)))
+                n -= block
+                block *= 2
+    mask = (1 << (most + 1)) - 1
+    reach = [1]
+    for i, n in items:
+        reach.append(reach[-1] | (reach[-1] << (lengths[i] * n)) & mask)
+        if reach[-1] >> goal & 1:
+            break
+    return items, reach
+
+
+def fit_counts(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_WORDS,
+               above: bool = False) -> list[int]:
     """How many documents of each length to take so that their words add up to ``budget`` or just below.
 
-    ``lengths`` are distinct and positive. Memory: one bit per word of the remaining budget and free item,
-    independent of the number of documents.
+    With ``above``, a sum above the budget is taken if it is nearer; few documents (:data:`FEW_DOCS`) are then all left
+    to the dynamic program. ``lengths`` are distinct and positive. Memory: one bit per word of the remaining budget
+    (twice that with ``above``) and free item, independent of the number of documents.
     """
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     total = sum(x * c for x, c in zip(lengths, counts))
     take = [0] * len(lengths)
     if budget >= total:
         return list(counts)
+    if above and dp_words < total and sum(counts) <= FEW_DOCS and 2 * total * sum(counts) <= FEW_BITS:
+        dp_words = total
     # step 1: in proportion, leaving dp_words for step 2
     aim, seen, used = max(0, budget - dp_words), 0, 0
     for i in order:
@@ -92,23 +119,16 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, dp_words: int
             more = min(counts[i] - take[i], max(0, budget - used - dp_words) // lengths[i])
             take[i] += more
             used += more * lengths[i]
-    # step 2: reachable sums as bits; counts by binary splitting
+    # step 2: reachable sums as bits
     rest = budget - used
-    items = []
-    for i in order:
-        if lengths[i] <= rest:
-            n, block = min(counts[i] - take[i], rest // lengths[i]), 1
-            while n > 0:
-                items.append((i, min(block, n)))
-                n -= block
-                block *= 2
-    mask = (1 << (rest + 1)) - 1
-    reach = [1]
-    for i, n in items:
-        reach.append(reach[-1] | (reach[-1] << (lengths[i] * n)) & mask)
-        if reach[-1] >> rest & 1:
-            break
+    free = [c - t for c, t in zip(counts, take)]
+    items, reach = _reachable(lengths, free, order, rest, rest)
     at = reach[-1].bit_length() - 1
+    if above and at < rest:
+        more, over = _reachable(lengths, free, order, 2 * rest - at - 1, rest)
+        higher = over[-1] >> (rest + 1)
+        if higher:  # nearer than the best sum below, as sums go up to that distance
+            items, reach, at = more, over, rest + (higher & -higher).bit_length()
     for k in range(len(reach) - 1, 0, -1):
         if not reach[k - 1] >> at & 1:
             i, n = items[k - 1]
@@ -126,7 +146,7 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     budget = round(target - whole * size) if size else 0
     some = pdf["size"] > 0
     pdf["whole"], pdf["extra"] = whole, 0
-    pdf.loc[some, "extra"] = fit_counts(pdf.loc[some, "size"].tolist(), pdf.loc[some, "n"].tolist(), budget)
+    pdf.loc[some, "extra"] = fit_counts(pdf.loc[some, "size"].tolist(), pdf.loc[some, "n"].tolist(), budget, above=True)
     return pdf[["source_key", "size", "n", "whole", "extra"]]
 
 

@@ -102,3 +102,26 @@ def test_fit_of_large_budgets_stays_below_and_close(counts, part):
     used = sum(x * t for x, t in zip(lengths, take))
     assert all(0 <= t <= counts[x] for x, t in zip(lengths, take))
     assert budget - max(lengths) <= used <= budget
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 6), min_size=1, max_size=6), st.integers(0, 400))
+def test_fit_from_both_sides_is_the_nearest_subset_sum(counts, budget):
+    lengths = sorted(counts)
+    take = mixing.fit_counts(lengths, [counts[x] for x in lengths], budget, dp_words=100000, above=True)
+    assert all(0 <= t <= counts[x] for x, t in zip(lengths, take))
+    sums = {0}
+    for x in lengths:
+        for _ in range(counts[x]):
+            sums |= {s + x for s in sums}
+    assert abs(sum(x * t for x, t in zip(lengths, take)) - budget) == min(abs(s - budget) for s in sums)
+
+
+@pytest.mark.parametrize("lengths,target,taken", [
+    ([30000], 29000, 30000), ([30000], 14000, 0), ([30000], 16000, 30000), ([30000], 59000, 60000), ([30000], 44000, 30000),
+    ([20000, 30000], 29000, 30000), ([50000, 60000, 70000], 131000, 130000), ([30000], 60000, 60000)])
+def test_few_very_long_documents_come_as_near_as_they_can(lengths, target, taken):
+    pdf = mixing.pd.DataFrame({"source_key": "=a", "size": lengths, "n": 1, "source_size": sum(lengths), "target": float(target)})
+    plan = mixing._plan(pdf)
+    assert ((plan["whole"] + plan["extra"]) * plan["size"]).sum() == taken
+    assert (plan["whole"] + plan["extra"]).max() <= 2
