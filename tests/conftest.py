@@ -5,8 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SMOKE_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -15,9 +13,3 @@ def spark(tmp_path_factory):
                     checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield s
     release_scratch(s)
-
-
-def rows(df, *cols):
-    """Sorted list of tuples of the given columns."""
-    cols = cols or tuple(df.columns)
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())

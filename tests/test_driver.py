@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SMOKE_DIR
+from helpers import SMOKE_DIR
 from taxolink.plans.oracle import all_oracles
 from taxolink.plans.queries import all_queries
 from taxolink.session import written_plans

@@ -13,7 +13,7 @@ from taxolink.operators import splits as SP
 from taxolink.operators.ranking import exact_row_number
 from taxolink.sources.fixtures import dummy_dataset
 
-from conftest import rows
+from helpers import rows
 
 
 def test_dummy_masks_g1(spark):

@@ -11,7 +11,7 @@ from taxolink.operators import metrics as M
 from taxolink.operators import taxonomy as H
 from taxolink.sources.fixtures import CLASS_PARENTS
 
-from conftest import rows
+from helpers import rows
 
 
 def _classes(spark, ids):

@@ -1,12 +1,14 @@
 """Session without a shared folder, and the run folder's life."""
 
 import os
+import pathlib
+import re
 import subprocess
 import sys
 
 import pytest
 
-from conftest import SMOKE_DIR
+from helpers import SMOKE_DIR
 from taxolink.session import release_scratch, scratch_root, write_and_read
 from taxolink.sources import bundle as BD
 
@@ -68,3 +70,9 @@ def test_scratch_tables_sit_in_one_run_folder(spark, name):
     df = write_and_read(spark.range(5), name)
     assert df.count() == 5 and all(scratch_root(spark).split("://")[-1] in f for f in df.inputFiles())
     assert release_scratch(spark) and not release_scratch(spark)
+
+
+def test_no_test_module_imports_a_conftest_by_name():
+    here = pathlib.Path(__file__).parent
+    for f in here.rglob("*.py"):
+        assert not re.search(r"^\s*(from|import)\s+conftest\b", f.read_text(), re.M), f

@@ -11,7 +11,7 @@ from taxolink.sources import feeds as FD
 from taxolink.sources import pages as PG
 from taxolink.streaming.feed_stream import start_feed_ingest
 
-from conftest import rows
+from helpers import rows
 
 
 def item(rid, desc, pts, date):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from taxolink.operators import taxonomy as H
 from taxolink.sources.fixtures import dummy_dataset
 
-from conftest import rows
+from helpers import rows
 
 
 def parents_df(spark, mapping):
