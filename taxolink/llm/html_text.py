@@ -5,13 +5,16 @@ Elements that never hold article text, and those whose class, id or role names a
 sidebar or comment area, are cut. A name cuts no inline element, no ``article`` (but a comment inside one) or
 ``main``, and nothing that holds more than half of the page's prose, unless another ``article``, ``main`` or element
 named like them holds a fifth of it, or the name is that of a thread and the rest of the page has 80 characters of
-prose. A form under the same conditions, or with an article in it, is a plain container. If fewer than 80
-characters are left, the page is read again without the cuts by name, and that text is taken if it is more than
-twice as long. Every paragraph-like block of enough text then passes points to its parent
+prose. Where an ``article`` or ``main`` has text, nothing with an unwanted name outside it stays. On a page with less than 80
+characters of prose every character outside links counts as prose. A form under the same conditions, or with an article in it, is a plain container. If fewer than 80
+characters are left and none of them in an ``article`` or ``main``, the page is read again without the cuts by name, and
+that text is taken if it is more than twice as long. Every paragraph-like block of enough text then passes points to its parent
 (all of them) and its further ancestors (a shrinking part): one, plus its commas, plus one per 100
 characters up to three. A container's points are discounted by its link density. The best container is kept,
 with siblings that score well or read like prose, and the link-free lists, quotes, tables and short sections
-among these. Beside an ``article`` or ``main`` only those with its tag and classes (ids differ) count.
+among these. Beside an ``article`` or ``main`` only those with its tag and classes (ids differ) count. Containers of one tag and
+class that share the points evenly (half of the best or more) are kept together, and so are headings directly before the
+first kept element, unless it has an ``h1``. Of containers with equal points the first on the page is the best.
 
 Output text: character references decoded, white space inside a block turned into one space, blocks
 trimmed and joined in page order by one newline. ``<br>`` is white space. Nothing is capped.
@@ -221,15 +224,35 @@ def _measure(root: Node) -> None:
         at.prose += free if every >= MIN_CHARS else 0
         if at.parent is not None:
             at.parent.prose += at.prose
+    if root.prose < MIN_ARTICLE:  # a page of little prose: every character outside links counts
+        for at in reversed(nodes):
+            at.prose = own.get(id(at), (0, 0))[1] + sum(k.prose for k in at.kids if not isinstance(k, str))
+
+
+def _articles(root: Node) -> list[Node]:
+    """The article and main elements with text that no element with an unwanted name holds."""
+    found: list[Node] = []
+    stack = [root]
+    while stack:
+        at = stack.pop()
+        if at.tag in ("article", "main"):
+            if _plain(at):
+                found.append(at)
+        elif at.names and _unwanted_words(at):
+            continue
+        stack.extend(k for k in at.kids if not isinstance(k, str))
+    return found
 
 
 def _prune_named(root: Node, names: bool = True) -> list[tuple[Node, list[Node | str]]]:
     """Cut forms and, with ``names``, elements with unwanted names; the changed elements with the kids they had.
 
     Stay: inline elements; main and article elements (but comments in an article); what holds more than half of the
-    page's prose, unless the article is evidently elsewhere. A form goes by its tag, under the same half.
+    page's prose, unless the article is evidently elsewhere: where an article or main element has text, nothing with an
+    unwanted name outside it stays. A form goes by its tag, under the same half.
     """
     _measure(root)
+    articles = _articles(root)
     marked = [n for n in _walk(root) if n.prose and (n.tag in ("article", "main") or n.tag in BLOCK and any(
         map(WANTED.search, n.names)) and not _unwanted_words(n))]
 
@@ -248,7 +271,17 @@ def _prune_named(root: Node, names: bool = True) -> list[tuple[Node, list[Node |
             up = up.parent
         return max((n.prose for n in marked if id(n) not in near), default=0)
 
+    inside = {id(n) for a in articles for n in _walk(a)}
+    around: set[int] = set()
+    for a in articles:
+        up = a.parent
+        while up is not None and id(up) not in around:
+            around.add(id(up))
+            up = up.parent
+
     def stays(node: Node, words: set[str]) -> bool:
+        if articles and id(node) not in inside and id(node) not in around:
+            return False
         if node.prose * 2 <= root.prose:
             return False
         if words & THREAD:  # a thread can be longer than its article
@@ -370,30 +403,75 @@ def _chosen(root: Node) -> list[Node]:
         if up.tag in ("article", "main"):
             best = up
         up = up.parent
+    marked = best.tag in ("article", "main")  # the page says what its article is: only its like belong to it
+    peak = _peaks(root)
+    floor = best.score * 0.2
+    if not marked:
+        best = _climb(best, peak)
     if best.parent is None:
         return [best]
-    floor = max(10.0, best.score * 0.2)
-    marked = best.tag in ("article", "main")  # the page says what its article is: only its like belong to it
     kids = [k for k in best.parent.kids if not isinstance(k, str)]
 
-    def like(kid: Node, other: Node) -> bool:
-        return kid.tag == other.tag and kid.classes == other.classes
-
     if marked:
-        return [k for k in kids if k is best or like(k, best) and k.score >= floor]
-    kept = [k is best or k.score >= floor or k.tag in PROSE and _reads_like_prose(k) for k in kids]
+        return [k for k in kids if k is best or _like(k, best) and k.score >= floor]
+    kept = [k is best or k.score >= floor or _like(k, best) and peak[id(k)] >= floor
+            or k.tag in PROSE and _reads_like_prose(k) for k in kids]
     first = kept.index(True)
     last = len(kept) - 1 - kept[::-1].index(True)
     short = [k.tag in SHORT and _linkless(k) for k in kids]
     for i in range(first, last):
         kept[i] = kept[i] or short[i]
     # the closing sections of an article in sibling elements: the like of the best, if it has a class or a second one
-    if best.classes or sum(k for kid, k in zip(kids, kept) if like(kid, best)) > 1:
+    if best.classes or sum(k for kid, k in zip(kids, kept) if _like(kid, best)) > 1:
         for i in range(last + 1, len(kids)):
-            if not short[i] or not like(kids[i], best):
+            if not short[i] or not _like(kids[i], best):
                 break
             kept[i] = True
-    return [kid for kid, k in zip(kids, kept) if k]
+    return _headline(best.parent, kids, kept) + [kid for kid, k in zip(kids, kept) if k]
+
+
+def _like(kid: Node, other: Node) -> bool:
+    return kid.tag == other.tag and kid.classes == other.classes
+
+
+def _peaks(root: Node) -> dict[int, float]:
+    """Per element the best score in and below it."""
+    peak: dict[int, float] = {}
+    for node in reversed(list(_walk(root))):  # kids come after their parents
+        peak[id(node)] = max([node.score, *(peak[id(k)] for k in node.kids if not isinstance(k, str))])
+    return peak
+
+
+def _climb(best: Node, peak: dict[int, float]) -> Node:
+    """The container whose like share the points evenly: paragraphs in wrappers of their own count as one article."""
+    top, at = best, best
+    while at.parent is not None:
+        if any(not isinstance(k, str) and k is not at and _like(k, at) and peak[id(k)] * 2 >= best.score
+               and link_density(k) < 0.25 for k in at.parent.kids):
+            top = at
+        at = at.parent
+    return top
+
+
+def _headline(parent: Node, kids: list[Node], kept: list[bool]) -> list[Node]:
+    """Headings directly before the first kept element, or before the element that it begins."""
+    first = kept.index(True)
+    if any(n.tag == "h1" for kid, k in zip(kids, kept) if k for n in _walk(kid)):
+        return []
+    out: list[Node] = []
+    before: list[Node | str] = parent.kids[:next(i for i, k in enumerate(parent.kids) if k is kids[first])]
+    while True:
+        while before:
+            at = before.pop()
+            if not (at.strip() if isinstance(at, str) else _plain(at)):
+                continue
+            if isinstance(at, str) or at.tag not in HEADINGS or not _linkless(at):
+                return out[::-1]
+            out.append(at)
+        if out or parent.parent is None:
+            return out[::-1]
+        before = parent.parent.kids[:next(i for i, k in enumerate(parent.parent.kids) if k is parent)]
+        parent = parent.parent
 
 
 def _linkless(node: Node) -> bool:
@@ -442,7 +520,7 @@ def extract_text(html: str | None) -> str:
     _prune(root)
     cuts = _prune_named(root)
     text = _chosen_text(root)
-    if cuts and len(text) < MIN_ARTICLE:
+    if cuts and len(text) < MIN_ARTICLE and not (text and _articles(root)):
         for node, kids in cuts:
             node.kids = kids
         _prune_named(root, names=False)

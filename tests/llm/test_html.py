@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 import pytest
 
 from taxolink.llm.html_text import extract_pages, extract_text
@@ -177,3 +179,72 @@ def test_pages_table(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(
         [(1, "u", 5, LONG, len(LONG)), (None, None, None, "", 0), (1, "u", 2 ** 60 + 1, "", 0)], key=str)
     assert extract_pages(df.limit(0)).count() == 0
+
+
+UNWANTED_NAMES = ["ad", "advert", "cookie-consent", "comments", "newsletter-signup", "sidebar", "related-articles", "promo"]
+
+
+@pytest.mark.parametrize("name", UNWANTED_NAMES)
+@pytest.mark.parametrize("box", ["article", "main"])
+@pytest.mark.parametrize("body", ["<h1>Reorea. Nd.</h1><p>Short.", "<p>One, two.</p><p>Three.</p>", "Bare text"])
+def test_a_short_article_beside_a_long_unwanted_element(name, box, body):
+    cut = f'<div class="{name}"><p>{LONG}</p><p>{LONG} again, and again, and again</p></div>'
+    want = extract_text(page(f"<{box}>{body}</{box}>"))
+    assert want.split("\n")[0] in ("Reorea. Nd.", "One, two.", "Bare text")
+    for html in (cut + f"<{box}>{body}</{box}>", f"<{box}>{body}</{box}>" + cut, cut + f"<{box}>{body}</{box}>" + cut):
+        assert extract_text(page(html)) == want
+
+
+def test_paragraphs_in_wrappers_of_their_own():
+    para = "Words follow words in this paragraph without many marks between them and it goes on for a while " * 2
+    paras = [f"{para}{n}" for n in ("one", "two", "three", "four")]
+    for wrap in ("<div><p>{}</p></div>", "<div>{}</div>", "<div><div><p>{}</p></div></div>", "<section><p>{}</p></section>",
+                 '<div class="row"><div class="col"><p>{}</p></div></div>'):
+        for box in ("{}", "<div>{}</div>", '<div class="content">{}</div>'):
+            html = page("<nav><a href=x>Home</a></nav>" + box.format("".join(wrap.format(p) for p in paras))
+                        + "<footer>imprint</footer>")
+            assert extract_text(html).split("\n") == paras, (wrap, box)
+
+
+def test_a_headline_beside_the_container():
+    box = f"<div class=text><p>{LONG}</p><p>{LONG} b</p></div>"
+    for html in (f"<h1>Title</h1>{box}", f"<h1>Title</h1><img src=x>{box}", f"<h1>Title</h1><div><div>{box}</div></div>"):
+        assert extract_text(page("<nav><a href=x>Home</a></nav>" + html)) == f"Title\n{LONG}\n{LONG} b"
+    assert extract_text(page(f"<h1>Site</h1><p><a href=x>{LONG}</a></p>{box}")) == f"{LONG}\n{LONG} b"
+
+
+class Article(HTMLParser):
+    """Plain text of the article element of the supplied pages: blocks, line breaks and references only."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_every_supplied_page_gives_its_article(size):
+    import duckdb
+    pages = duckdb.sql(f"SELECT page_id, html FROM '/root/testdata/sf{size}/pages.parquet'").fetchall()
+    assert pages
+    for page_id, html in pages:
+        plain = Article()
+        plain.feed(html)
+        plain.close()
+        blocks = [" ".join(b.split()) for b in plain.blocks]
+        assert extract_text(html) == "\n".join(b for b in blocks if b), page_id
