@@ -14,11 +14,14 @@ from taxolink.llm import (
     mixing,
     packing,
     resampling,
+    sentence_pieces,
     set_join,
     sharding,
+    spelling,
     token_files,
     vector_dedup,
     vector_search,
+    whitening,
 )
 from taxolink.session import table_path
 
@@ -112,6 +115,26 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", "n_chars")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 11: all vectors whitened on their 16 leading components."""
+    rows, model = whitening.whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=16)
+    out = whitening.component_rows(rows, model)
+    return out.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"),
+                      "whitened", "explained", "identity_error")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 12: words of all documents with their near words, forms and roots."""
+    out = spelling.spelling_variants(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 13: all documents encoded with an end id and decoded again; digests of both."""
+    return sentence_pieces.digests(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                   public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -136,7 +159,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run, "op1_chat": op1_chat, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_vector_search": op4_vector_search,
             "op5_vector_dedup": op5_vector_dedup, "op6_packing": op6_packing,
             "op7_token_files": op7_token_files, "op8_set_join": op8_set_join,
-            "op9_sharding": op9_sharding, "op10_html": op10_html}
+            "op9_sharding": op9_sharding, "op10_html": op10_html, "op11_whitening": op11_whitening,
+            "op12_spelling": op12_spelling, "op13_sentence_pieces": op13_sentence_pieces}
 
 
 def llm_oracles() -> dict[str, str]:

@@ -15,7 +15,7 @@ def _name(n):
 def test_one_query_per_operator_and_the_pipeline():
     names = list(entry.queries())
     assert "pipeline" in names
-    assert [sum(bool(re.match(rf"op{n}_", q)) for q in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(bool(re.match(rf"op{n}_", q)) for q in names) for n in range(1, 14)] == [1] * 13
 
 
 def test_chat_matches_sql(spark, sf_dir):
@@ -35,7 +35,7 @@ def test_native_operators_have_no_python_in_their_plans(spark, sf_dir, n):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_no_cross_join(spark, sf_dir, n):
     plan = entry.queries()[_name(n)](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
