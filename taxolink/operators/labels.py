@@ -66,3 +66,28 @@ def class_summary(labels: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.min("row_id").alias("min_row"),
         F.max("row_id").alias("max_row"))
+
+
+def member_words(labels: DataFrame) -> DataFrame:
+    """Member sets as sparse bitmaps, ``(class_idx, word, bits)``: bit ``row_id % 64`` of word ``row_id / 64`` (rounded down).
+
+    Built by a partial + final ``bit_or``: up to 64 members in a row, no list per class, repeated labels are harmless. A
+    hot class is spread over its words.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("row_id").bitwiseAND(F.lit(63)).cast("int"))
+    return (labels.groupBy("class_idx", F.shiftright("row_id", 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
+
+
+def class_overlap(words: DataFrame) -> DataFrame:
+    """U4, U5, J8 on member sets: ``(class_a, class_b, n_a, n_b, n_both, n_either, n_only_a)`` for all pairs of classes with a member
+    in common, counted on bits; a word meets at most the classes of 64 rows."""
+    sizes = words.groupBy("class_idx").agg(F.sum(F.bit_count("bits")).cast("long").alias("n"))
+    a = words.select(F.col("class_idx").alias("class_a"), "word", F.col("bits").alias("bits_a"))
+    b = words.select(F.col("class_idx").alias("class_b"), "word", F.col("bits").alias("bits_b"))
+    both = F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))
+    pairs = (a.join(b, "word").filter("class_a < class_b").groupBy("class_a", "class_b")
+             .agg(F.sum(both).cast("long").alias("n_both")).filter("n_both > 0"))
+    out = (pairs.join(sizes.select(F.col("class_idx").alias("class_a"), F.col("n").alias("n_a")), "class_a")
+           .join(sizes.select(F.col("class_idx").alias("class_b"), F.col("n").alias("n_b")), "class_b"))
+    return out.select("class_a", "class_b", "n_a", "n_b", "n_both", (F.col("n_a") + F.col("n_b") - F.col("n_both")).alias("n_either"),
+                      (F.col("n_a") - F.col("n_both")).alias("n_only_a"))

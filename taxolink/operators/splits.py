@@ -6,15 +6,17 @@ class rows); they may overlap (D3), so a split is never one enum column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolink.functions.keys import order_key
+from taxolink.functions.keys import hash_u32, order_key
 from taxolink.functions.mathx import floor_frac
 from taxolink.functions.time import after_days, zoned_year_start
 from taxolink.operators.ranking import exact_row_number
+from taxolink.session import write_and_read
 
 SPLITS = ("train", "val", "test")
 MASKS = tuple(f"is_{s}" for s in SPLITS)
@@ -145,3 +147,42 @@ def dataset_variant(variant: str, records: DataFrame, labels: DataFrame,
         pool = temporal.filter(any_mask()).select("row_id", "class_idx")
         return stratified_split(pool, "row_id", "class_idx", train_frac, val_frac, seed)
     raise ValueError(f"unknown dataset variant {variant!r}")
+
+
+def permuted(index: Column, n: int, *key, rounds: int = 4) -> Column:
+    """A keyed permutation of 0..n-1 as an expression of one row: no sort, no shuffle.
+
+    A Feistel network on an a × b grid just above n (one coordinate is moved by a hash of the other, in turns) is a
+    permutation of the grid; a place outside 0..n-1 is permuted again until it is inside. At most a·b − n < a places are outside, so
+    that few turns are needed; their number is bounded by that count, or by 64 for grids so large that 64 turns never are.
+    """
+    if n <= 1:
+        return F.lit(0).cast("long") * index
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def once(x: Column) -> Column:
+        left, right = F.floor(x / F.lit(b)).cast("long"), x % F.lit(b)
+        for k in range(rounds):
+            if k % 2 == 0:
+                left = (left + hash_u32(*key, F.lit(k), right)) % F.lit(a)
+            else:
+                right = (right + hash_u32(*key, F.lit(k), left)) % F.lit(b)
+        return left * F.lit(b) + right
+
+    start = once(index.cast("long"))
+    turns = min(a * b - n, 64)
+    if not turns:
+        return start
+    return F.aggregate(F.sequence(F.lit(1), F.lit(turns)), start, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+
+def epoch_batches(rows: DataFrame, id_col: str, batch_size: int, epochs: int, seed: int = 42) -> DataFrame:
+    """Every row's batch in every epoch, ``(id, epoch, position, batch_id)``; the rows are numbered once, each epoch's order
+    is a keyed permutation of these numbers. ``ceil(n / B)`` batches an epoch (:func:`n_batches`)."""
+    numbered = exact_row_number(rows.select(id_col), [], [id_col], out_col="_rn")
+    numbered = write_and_read(numbered, "epoch-rows")
+    n = numbered.count()
+    out = numbered.select(id_col, "_rn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))).alias("epoch"))
+    out = out.withColumn("position", permuted(F.col("_rn") - 1, n, seed, F.col("epoch")))
+    return out.select(id_col, "epoch", "position", F.floor(F.col("position") / F.lit(batch_size)).cast("long").alias("batch_id"))

@@ -371,7 +371,8 @@ SELECT doc_id, substr(coalesce(text, 'nan'), 1, 512) AS text512,
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(ORACLE)
+    from taxolink.plans.linking_sql import SQL
+    return ORACLE | SQL
 
 
 # ---------------------------------------------------------------- records, shape, sources

@@ -769,4 +769,5 @@ def reset_masks(spark, d):
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from taxolink.plans import linking  # noqa: F401 (registers its queries)
     return dict(QUERIES)

@@ -164,3 +164,24 @@ def class_tree(spark: SparkSession) -> DataFrame:
     """The small class tree over the embedding labels, as a parents table."""
     rows = [(c, [p]) for c, p in CLASS_TREE]
     return spark.createDataFrame(rows, "node long, parents array<long>")
+
+
+# ---------------------------------------------------------------- item tree, date windows, trained head
+
+# Benchmark items 0..ITEM_ROOTS-1 are roots; the others hang in fours below the items in order.
+ITEM_ROOTS, ITEM_FANOUT = 5, 4
+HEAD_HIDDEN, HEAD_EPOCHS, HEAD_STEPS, HEAD_RATE = 16, 4, 4, 0.5
+HEAD_SCALE = 8.0  # vectors times the root of their length: entries near one
+
+
+def item_parent(item: F.Column) -> F.Column:
+    up = F.floor((item - ITEM_ROOTS) / ITEM_FANOUT).cast("long")
+    return F.when(item < ITEM_ROOTS, F.lit(-1).cast("long")).otherwise(up)
+
+
+def date_windows(customers: DataFrame) -> DataFrame:
+    """A window per customer, 1 to 400 days long, overlapping over ten years: ``(window_id, lo, hi, priority)``."""
+    key = F.col("c_custkey")
+    lo = F.lit("1992-01-01").cast("timestamp") + F.make_dt_interval((key * 7 % 3650).cast("int"), (key % 24).cast("int"))
+    hi = lo + F.make_dt_interval((1 + key * 13 % 400).cast("int"))
+    return customers.select(key.alias("window_id"), lo.alias("lo"), hi.alias("hi"), (key * 31 % 97).alias("priority"))
