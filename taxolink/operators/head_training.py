@@ -95,9 +95,9 @@ def gradient_sums(links: DataFrame, head: Head) -> tuple[int, float, np.ndarray]
                          "loss": [sum(table.column("loss").to_pylist())], "gradient": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
     parts = links.select("features", F.col("label").cast("double"), F.spark_partition_id().alias("part")).mapInArrow(partial, _PARTS)
-    sums = parts.groupBy(F.pmod("part", F.lit(FAN)).alias("fan")).applyInArrow(added, _PARTS).orderBy("part").collect()
+    sums = parts.groupBy(F.pmod("part", F.lit(FAN)).alias("fan")).applyInArrow(added, _PARTS).collect()
     total = np.zeros(size)
-    for r in sums:
+    for r in sorted(sums, key=lambda r: r["part"]):
         total += np.array(r["gradient"])
     return sum(r["n"] for r in sums), sum(r["loss"] for r in sums), total
 

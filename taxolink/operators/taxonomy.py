@@ -15,7 +15,7 @@ a lost executor recomputes one round only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolink.functions.text import relation_ids
@@ -90,17 +90,19 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 
 def depth_paths(parents: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """H4: ``(node, depth, n_paths)``; a root has depth 0; otherwise every path to a root counts.
+    """H4: ``(node, depth, n_paths, mantissa, exponent)``; a root has depth 0; otherwise every path to a root counts.
 
-    Rounds: frontier(depth d) ⋈ edges on parent → children at depth d+1 with summed
-    path counts. A node only reachable through a missing parent gets no depth (see
+    Diamonds multiply paths: ``n_paths`` is exact, a DECIMAL(38), and null beyond 38 digits; ``mantissa * 2**exponent`` (mantissa
+    from 0.5 to 1) tells the number beyond them too. Rounds: frontier(depth d) ⋈ edges on parent → children at depth d+1 with
+    summed path counts. A node only reachable through a missing parent gets no depth (see
     :func:`problems`). A cycle reachable from a root would never end; it raises after
     as many rounds as there are nodes.
     """
     parents = _materialize(parents)
     edges = _materialize(path_edges(parents).filter(F.col("parent") != ROOT))
     frontier = _materialize(roots_of(parents).select(
-        "node", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("n_paths")))
+        "node", F.lit(0).alias("depth"), F.lit(1).cast("decimal(38,0)").alias("n_paths"),
+        F.lit(0.5).alias("mantissa"), F.lit(1).alias("exponent")))
     limit = max_rounds if max_rounds is not None else parents.count() + 1
     found = [frontier]
     depth = 0
@@ -108,10 +110,16 @@ def depth_paths(parents: DataFrame, max_rounds: int | None = None) -> DataFrame:
         depth += 1
         if depth > limit:
             raise HierarchyError(f"hierarchy does not end after {limit} levels: cycle below a root")
-        nxt = (frontier.join(edges, frontier.node == edges.parent)
-                       .groupBy(F.col("child").alias("node"))
-                       .agg(F.sum("n_paths").alias("n_paths"))
-                       .select("node", F.lit(depth).alias("depth"), "n_paths"))
+        below = frontier.join(edges, frontier.node == edges.parent)
+        # mantissas are added at the scale of the child's largest exponent
+        top = F.max("exponent").over(Window.partitionBy("child"))
+        scaled = F.col("mantissa") * F.pow(F.lit(2.0), F.greatest(F.col("exponent") - F.col("top"), F.lit(-1000)))
+        nxt = (below.withColumn("top", top).groupBy(F.col("child").alias("node"))
+                    .agg(F.when(F.count("n_paths") == F.count(F.lit(1)), F.try_sum("n_paths")).alias("n_paths"),
+                         F.sum(scaled).alias("m"), F.max("top").alias("top")))
+        shift = F.floor(F.log2("m")).cast("int") + 1
+        nxt = nxt.select("node", F.lit(depth).alias("depth"), F.col("n_paths").cast("decimal(38,0)").alias("n_paths"),
+                         (F.col("m") / F.pow(F.lit(2.0), shift)).alias("mantissa"), (F.col("top") + shift).alias("exponent"))
         frontier = _materialize(nxt)
         found.append(frontier)
     out = found[0]
@@ -121,10 +129,9 @@ def depth_paths(parents: DataFrame, max_rounds: int | None = None) -> DataFrame:
 
 
 def depth_lists(paths: DataFrame) -> DataFrame:
-    """H4 list form: ``(node, depths)`` with one entry per path, sorted (for reports; its size
-    is the number of paths)."""
-    rep = paths.select("node", F.explode(F.array_repeat("depth", F.col("n_paths").cast("int"))).alias("d"))
-    return rep.groupBy("node").agg(F.sort_array(F.collect_list("d")).alias("depths"))
+    """H4 list form: ``(node, depths)``, the sorted list of a node's depths as run lengths ``(depth, n_paths)``: one entry
+    per depth, however many paths there are."""
+    return paths.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("depth", "n_paths"))).alias("depths"))
 
 
 def levels(paths: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from taxolink.operators import labels as L
 from taxolink.operators import metrics as M
 from taxolink.operators import scoring as SC
 from taxolink.operators import splits as SP
+from taxolink.operators import taxonomy as H
 from taxolink.operators import textbeam as TB
 from taxolink.operators import windows as WN
 from taxolink.plans import standins as S
@@ -72,3 +73,16 @@ def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
 def class_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlap, union and difference of the member sets of all pairs of classes."""
     return L.class_overlap(write_and_read(L.member_words(S.labels(spark, d)), "member-words"))
+
+
+@query("path_ladder")
+def path_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """H4 with more paths than a BIGINT holds: exact counts as text, and their binary exponent."""
+    paths = H.depth_paths(write_and_read(S.ladder_parents(S.read(spark, d, "part").select("p_size", "p_brand", "p_type")), "ladder"))
+    return paths.select("node", "depth", F.col("n_paths").cast("string").alias("n_paths"), "exponent")
+
+
+@query("dag_ancestors")
+def dag_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """Ancestor closure of the part → brand, type → size band DAG: two parents, shared ancestors."""
+    return H.ancestors(S.dag_parents(spark, d))

@@ -133,3 +133,30 @@ bo AS (SELECT a.class_idx AS class_a, b.class_idx AS class_b, count(*) AS n_both
 SELECT CAST(class_a AS BIGINT) AS class_a, CAST(class_b AS BIGINT) AS class_b, x.n AS n_a, y.n AS n_b, n_both,
        x.n + y.n - n_both AS n_either, x.n - n_both AS n_only_a
 FROM bo JOIN sz x ON x.class_idx = class_a JOIN sz y ON y.class_idx = class_b"""
+
+# ---------------------------------------------------------------- hierarchy, staged files
+
+SQL["path_ladder"] = """
+WITH nd AS (SELECT DISTINCT p_size // 5 AS band, p_brand || ' ' || p_type AS kind FROM part),
+ra AS (SELECT band, row_number() OVER (ORDER BY band) AS rung, count(*) AS k FROM nd GROUP BY band),
+ty AS (SELECT kind, row_number() OVER (ORDER BY kind) AS place FROM (SELECT DISTINCT kind FROM nd)),
+below AS (SELECT a.rung, coalesce(list_reduce(list(CAST(b.k AS HUGEINT)) FILTER (b.k IS NOT NULL), lambda x, y: x * y),
+                                  CAST(1 AS HUGEINT)) AS n
+          FROM ra a LEFT JOIN ra b ON b.rung < a.rung GROUP BY a.rung)
+SELECT CAST(rung * 1000 + place AS BIGINT) AS node, CAST(rung - 1 AS BIGINT) AS depth, CAST(n AS VARCHAR) AS n_paths,
+       CAST(floor(log2(CAST(n AS DOUBLE))) + 1 AS BIGINT) AS exponent
+FROM nd JOIN ra USING (band) JOIN ty USING (kind) JOIN below USING (rung)"""
+
+SQL["dag_ancestors"] = "WITH RECURSIVE " + O.DAG + """,
+pe AS (SELECT DISTINCT child, parent FROM edges WHERE parent <> -1 AND child NOT IN (SELECT child FROM edges WHERE parent = -1)),
+clo(node, ancestor) AS (SELECT child, parent FROM pe UNION SELECT clo.node, pe.parent FROM clo JOIN pe ON pe.child = clo.ancestor)
+SELECT CAST(node AS BIGINT) AS node, CAST(ancestor AS BIGINT) AS ancestor FROM clo"""
+
+SQL["feed_files"] = f"""
+WITH y AS (SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) <> {S.LEFT_OUT_YEAR} GROUP BY 1),
+e AS (SELECT year FROM (VALUES {", ".join(f"({y})" for y in S.EXPECTED_YEARS)}) v(year))
+SELECT CAST(coalesce(y.year, e.year) AS BIGINT) AS year,
+       CAST(CASE WHEN n IS NULL OR y.year = {S.CUT_YEAR} THEN 0 ELSE n END AS BIGINT) AS n_items,
+       CAST(CASE WHEN y.year = {S.CUT_YEAR} THEN n ELSE 0 END AS BIGINT) AS n_broken,
+       CASE WHEN n IS NULL THEN 'missing' WHEN y.year = {S.CUT_YEAR} THEN 'broken' WHEN e.year IS NULL THEN 'unexpected' ELSE 'ok' END AS status
+FROM y FULL JOIN e ON y.year = e.year"""

@@ -183,6 +183,8 @@ SELECT lab.row_id, clo.ancestor FROM lab JOIN clo ON clo.node = lab.label"""
 ORACLE["graph_listing"] = """
 SELECT 'node' AS kind, CAST(100 + n_nationkey AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst,
        'CWE-ID ' || CAST(100 + n_nationkey AS VARCHAR) || ':' || n_name AS label FROM nation
+UNION ALL SELECT 'node', 1000 + s_suppkey, NULL, 'CWE-ID ' || CAST(1000 + s_suppkey AS VARCHAR) || ':' || s_name FROM supplier
+UNION ALL SELECT 'edge', 1000 + s_suppkey, CAST(100 + s_nationkey AS BIGINT), NULL FROM supplier
 UNION ALL SELECT 'node', CAST(r_regionkey AS BIGINT), NULL, 'CWE-ID ' || CAST(r_regionkey AS VARCHAR) || ':' || r_name FROM region
 UNION ALL SELECT 'node', 1003, NULL, 'CWE-ID 1003:Root Node'
 UNION ALL SELECT 'edge', CAST(100 + n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT), NULL FROM nation
@@ -543,7 +545,11 @@ ORACLE["class_side"] = """
 SELECT CAST(100 + n_nationkey AS BIGINT) AS row_id, CAST(100 + n_nationkey AS VARCHAR) AS o_labels,
        CAST(n_regionkey AS VARCHAR) || ',' || CAST(100 + n_nationkey AS VARCHAR) AS h_labels FROM nation
 UNION ALL
-SELECT CAST(r_regionkey AS BIGINT), CAST(r_regionkey AS VARCHAR), CAST(r_regionkey AS VARCHAR) FROM region"""
+SELECT CAST(r_regionkey AS BIGINT), CAST(r_regionkey AS VARCHAR), CAST(r_regionkey AS VARCHAR) FROM region
+UNION ALL
+SELECT 1000 + s_suppkey, CAST(1000 + s_suppkey AS VARCHAR),
+       CAST(n_regionkey AS VARCHAR) || ',' || CAST(100 + n_nationkey AS VARCHAR) || ',' || CAST(1000 + s_suppkey AS VARCHAR)
+FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
 # ---------------------------------------------------------------- text vectors, fitted head, evaluation
 

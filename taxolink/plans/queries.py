@@ -170,7 +170,7 @@ def edges_indexed(spark, d):
 @query("depth_paths")
 def depth_paths(spark, d):
     """H4: number of root paths per node and depth."""
-    return H.depth_paths(S.dag_parents(spark, d))
+    return H.depth_paths(S.dag_parents(spark, d)).select("node", "depth", F.col("n_paths").cast("long").alias("n_paths"))
 
 
 @query("levels")
@@ -197,9 +197,8 @@ def expand_labels(spark, d):
 
 @query("graph_listing")
 def graph_listing(spark, d):
-    """Node labels and child → parent edges of the nation → region tree."""
-    parents = S.tree_parents(spark, d, suppliers=False)
-    return H.graph_listing(parents, S.tree_names(spark, d))
+    """Node labels and child → parent edges of the supplier → nation → region tree."""
+    return H.graph_listing(S.tree_parents(spark, d), S.tree_names(spark, d))
 
 
 # ---------------------------------------------------------------- link candidates
@@ -251,11 +250,10 @@ def expanded_links(spark, d):
 
 @query("class_side")
 def class_side(spark, d):
-    """K6: class rows (tree nodes) with their own and their expanded labels, no links."""
-    _, closure, nodes = _nation_labels(spark, d)
-    own = nodes.select(F.col("class_idx").cast("long").alias("row_id"), "class_idx")
-    wide = H.expand_labels(own, closure.select(F.col("node").cast("int").alias("node"),
-                                               F.col("ancestor").cast("int").alias("ancestor")))
+    """K6: class rows (all nodes of the supplier → nation → region tree) with their own and their expanded labels, no links."""
+    tree = write_and_read(S.tree_parents(spark, d), "tree")
+    own = tree.select(F.col("node").alias("row_id"), F.col("node").alias("class_idx"))
+    wide = H.expand_labels(own, H.ancestors(tree))
     out = LK.class_side(own, own, wide)
     return out.select("row_id", sorted_int_list_text("o_labels").alias("o_labels"),
                       sorted_int_list_text("h_labels").alias("h_labels"))
@@ -615,6 +613,18 @@ def feed_gaps(spark, d):
     return FD.feed_gaps(spark, years, S.EXPECTED_YEARS)
 
 
+@query("feed_files")
+def feed_files(spark, d):
+    """Orders written as yearly feed files, one year left out and one cut off: what is there against what is expected."""
+    o = S.read(spark, d, "orders").withColumn("year", F.year("o_orderdate")).filter(F.col("year") != S.LEFT_OUT_YEAR)
+    item = F.to_json(F.struct(F.struct(F.struct(F.col("o_orderkey").cast("string").alias("ID")).alias("CVE_data_meta")).alias("cve"),
+                              F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm'Z'").alias("publishedDate")))
+    cut = F.when(F.col("year") == S.CUT_YEAR, F.substring(item, 1, 20)).otherwise(item)
+    root = scratch_path(spark, "feed-years")
+    o.select(cut.alias("value"), "year").write.partitionBy("year").text(root)
+    return FD.staged_files(spark, root, S.EXPECTED_YEARS, r"year=(\d{4})", json_lines=True).select("year", "n_items", "n_broken", "status")
+
+
 @query("csv_roundtrip")
 def csv_roundtrip(spark, d):
     """A table written as ISO-8859-1 CSV and read back with its schema; one column has quotes, commas, line

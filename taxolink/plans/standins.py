@@ -33,6 +33,7 @@ BEAM_TRIPLES = ((1, 1, 1), (3, 2, 1), (5, 2, 2))
 # Small class tree over the embedding labels 0..9: child -> parent (-1 = root).
 CLASS_TREE = ((0, -1), (1, -1), (2, -1), (3, 0), (4, 0), (5, 1), (6, 1), (7, 2), (8, 3), (9, 3))
 EXPECTED_YEARS = tuple(range(1993, 2003))
+LEFT_OUT_YEAR, CUT_YEAR = 1996, 1998
 WITHDRAWN_MARKER = "License"
 MASK_RATE = 0.15
 
@@ -141,7 +142,8 @@ def tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                F.col("n_name").alias("name"))
     reg = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("node"),
                                                F.col("r_name").alias("name"))
-    return nat.unionByName(reg)
+    sup = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000).alias("node"), F.col("s_name").alias("name"))
+    return sup.unionByName(nat).unionByName(reg)
 
 
 # ---------------------------------------------------------------- vector stand-ins
@@ -185,3 +187,16 @@ def date_windows(customers: DataFrame) -> DataFrame:
     lo = F.lit("1992-01-01").cast("timestamp") + F.make_dt_interval((key * 7 % 3650).cast("int"), (key % 24).cast("int"))
     hi = lo + F.make_dt_interval((1 + key * 13 % 400).cast("int"))
     return customers.select(key.alias("window_id"), lo.alias("lo"), hi.alias("hi"), (key * 31 % 97).alias("priority"))
+
+
+def ladder_parents(parts: DataFrame) -> DataFrame:
+    """A ladder from the parts: a node per (size band of five, brand, type), below all nodes of the next lower band that occurs; path
+    counts multiply from band to band. ``(node, parents)``."""
+    from pyspark.sql import Window
+    nodes = parts.select(F.floor(F.col("p_size") / 5).cast("long").alias("band"),
+                         F.concat_ws(" ", "p_brand", "p_type").alias("kind")).distinct()
+    ranks = nodes.select("band").distinct().withColumn("rung", F.row_number().over(Window.orderBy("band")).cast("long"))
+    kinds = nodes.select("kind").distinct().withColumn("at", F.row_number().over(Window.orderBy("kind")).cast("long"))
+    nodes = nodes.join(ranks, "band").join(kinds, "kind").select("rung", (F.col("rung") * 1000 + F.col("at")).alias("node"))
+    rungs = nodes.groupBy((F.col("rung") + 1).alias("rung")).agg(F.sort_array(F.collect_list("node")).alias("up"))
+    return nodes.join(rungs, "rung", "left").select("node", F.coalesce("up", F.array(F.lit(-1).cast("long"))).alias("parents"))

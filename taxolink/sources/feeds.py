@@ -95,3 +95,39 @@ def staged_years(spark: SparkSession, root: str, year_regex: str = r"(\d{4})\.js
     """Years of the feed files present under ``root`` (file listing, contents not read)."""
     files = spark.read.format("binaryFile").load(root).select("path")
     return files.select(F.regexp_extract("path", year_regex, 1).try_cast("long").alias("year")).dropna()
+
+
+def staged_files(spark: SparkSession, root: str, years: Iterable[int], year_regex: str = r"(\d{4})\.json",
+                 json_lines: bool = False) -> DataFrame:
+    """What is staged under ``root`` against the expected years: ``(year, n_files, n_items, n_broken, status)``.
+
+    The listing comes from file metadata and the year from the path; items (lines with a record) are counted per file, and what cannot be read counts as
+    broken (a line, or a whole file in the layout of one object). Status: ``missing`` (no file), ``broken``, ``unexpected``
+    (a year that is not expected), else ``ok``; a file without items is ``ok`` with none, one without bytes
+    is not listed by Spark and counts as missing. Files without a year are left out.
+    """
+    shape = ITEM_SCHEMA if json_lines else FEED_SCHEMA
+    read = (spark.read.schema(T.StructType([*shape.fields, T.StructField("_broken", T.StringType())]))
+            .option("columnNameOfCorruptRecord", "_broken").option("multiLine", not json_lines)
+            .option("recursiveFileLookup", True).json(root))
+    items = F.col("cve").isNotNull().cast("long") if json_lines else F.coalesce(F.size("CVE_Items"), F.lit(0)).cast("long")
+    per = (read.select(F.col("_metadata.file_path").alias("path"), F.col("_broken").isNotNull().alias("broken"), items.alias("items"))
+           .groupBy("path").agg(F.sum(F.when(F.col("broken"), F.lit(0).cast("long")).otherwise(F.col("items"))).alias("n_items"),
+                                F.count_if("broken").alias("n_broken")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+
+    def plain(c):  # the two readers write one file's path with different numbers of slashes
+        return F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+
+    per = per.select(plain(F.col("path")).alias("path"), "n_items", "n_broken")
+    found = (files.select(plain(F.col("path")).alias("path")).join(per, "path", "left")
+             .withColumn("year", F.regexp_extract("path", year_regex, 1).try_cast("long")).dropna(subset=["year"])
+             .groupBy("year").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_items"), F.lit(0)).alias("n_items"),
+                                  F.coalesce(F.sum("n_broken"), F.lit(0)).alias("n_broken")))
+    expected = spark.createDataFrame([(int(y), True) for y in years], "year long, expected boolean")
+    zero = F.lit(0).cast("long")
+    status = (F.when(F.col("n_files").isNull(), "missing").when(F.col("n_broken") > 0, "broken")
+              .when(F.col("expected").isNull(), "unexpected").otherwise("ok"))
+    return found.join(expected, "year", "full").select(
+        "year", F.coalesce("n_files", zero).alias("n_files"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("n_broken", zero).alias("n_broken"), status.alias("status"))

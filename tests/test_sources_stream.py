@@ -159,3 +159,20 @@ def test_stream_default_checkpoint_is_per_source_and_sink(spark, tmp_path):
     q2.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "o1")).count() == 2
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 2
+
+
+def test_staged_files_missing_broken_empty_and_unexpected(spark, tmp_path):
+    item = '{"cve": {"CVE_data_meta": {"ID": "R-1"}}, "publishedDate": "2020-01-01T00:00Z"}'
+    for year, body in {2001: f'{{"CVE_data_type": "CVE", "CVE_Items": [{item}, {item}]}}', 2002: '{"CVE_data_type": "CVE", "CVE_Items": [{"cve"',
+                       2004: '{"CVE_data_type": "CVE", "CVE_Items": []}', 2009: f'{{"CVE_Items": [{item}]}}'}.items():
+        (tmp_path / f"nvdcve-1.1-{year}.json").write_text(body)
+    (tmp_path / "notes.json").write_text("{}")
+    (tmp_path / "nvdcve-1.1-2005.json").write_text("")
+    got = rows(FD.staged_files(spark, str(tmp_path), range(2001, 2006)), "year", "n_files", "n_items", "n_broken", "status")
+    assert got == [(2001, 1, 2, 0, "ok"), (2002, 1, 0, 1, "broken"), (2003, 0, 0, 0, "missing"), (2004, 1, 0, 0, "ok"),
+                   (2005, 0, 0, 0, "missing"), (2009, 1, 1, 0, "unexpected")]
+    lines = tmp_path / "lines"
+    (lines / "2001.json").mkdir(parents=True)
+    (lines / "2001.json" / "part-0").write_text(f"{item}\n{item[:30]}\n{item}\n")
+    got = rows(FD.staged_files(spark, str(lines), [2001], r"(\d{4})\.json/", json_lines=True), "year", "n_files", "n_items", "n_broken", "status")
+    assert got == [(2001, 1, 2, 1, "broken")]

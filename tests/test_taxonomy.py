@@ -16,10 +16,39 @@ def parents_df(spark, mapping):
 def depth_map(paths):
     out = {}
     for r in H.depth_lists(paths).collect():
-        out[r["node"]] = r["depths"]
+        out[r["node"]] = [d for d, n in r["depths"] for _ in range(int(n))]
     return out
 
 
+@pytest.mark.parametrize("diamonds", [3, 30])
+def test_a_ladder_of_diamonds_doubles_the_paths(spark, diamonds):
+    tree = {0: [-1]}
+    for i in range(diamonds):
+        tree |= {3 * i + 1: [3 * i], 3 * i + 2: [3 * i], 3 * i + 3: [3 * i + 1, 3 * i + 2]}
+    paths = H.depth_paths(parents_df(spark, tree))
+    top = paths.filter(F.col("node") == 3 * diamonds).collect()
+    assert [(r.depth, int(r.n_paths), r.mantissa, r.exponent) for r in top] == [(2 * diamonds, 2 ** diamonds, 0.5, diamonds + 1)]
+    runs = {r.node: r.depths for r in H.depth_lists(paths).collect()}
+    assert [tuple(x) for x in runs[3 * diamonds]] == [(2 * diamonds, 2 ** diamonds)]
+
+
+def test_path_counts_beyond_38_digits_and_across_exponents(spark):
+    width, rungs = 1000, 14  # 1000 ** 13 paths to the last rung
+    tree = {i: [-1] for i in range(width)}
+    for r in range(1, rungs):
+        tree |= {r * width + i: [(r - 1) * width + j for j in range(width)] for i in range(1 if r == rungs - 1 else 20)}
+        if r < rungs - 1:
+            tree |= {r * width + i: [(r - 1) * width] for i in range(20, width)}
+    want = {0: dict.fromkeys(range(width), 1)}
+    for r in range(1, rungs):
+        want[r] = {n - r * width: sum(want[r - 1][p - (r - 1) * width] for p in ps) for n, ps in tree.items() if n // width == r}
+    got = H.depth_paths(parents_df(spark, tree)).filter(f"depth = {rungs - 1}").collect()
+    assert len(got) == 1
+    exact = want[rungs - 1][0]
+    assert got[0].n_paths == (exact if exact < 10 ** 38 else None)
+    assert abs(got[0].mantissa * 2.0 ** got[0].exponent / exact - 1) < 1e-12 and 0.5 <= got[0].mantissa < 1
+
+
 def test_diamond_depths_g3(spark):
     p = parents_df(spark, {0: [1, 3], 1: [-1], 2: [-1], 3: [1, 2]})
     assert depth_map(H.depth_paths(p)) == {0: [1, 2, 2], 1: [0], 2: [0], 3: [1, 1]}
