@@ -197,11 +197,12 @@ def pattern_ranges(patterns: list[Pattern]) -> list[tuple[int, int, int, int, in
     return out
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, spaced: bool) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, spaced: bool,
+                     special: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, task, nth)``: pieces, numbered per task and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = worker_encoder(tokenizer_path, spaced), TaskContext.get().partitionId()
+        encoder, task = worker_encoder(tokenizer_path, spaced, special), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
             row, cols = [], [[], [], [], [], []]
@@ -225,10 +226,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
-         spaced: bool = True) -> DataFrame:
+         spaced: bool = True, special: bool = False) -> DataFrame:
     """Pack documents ``(doc_id, text)``; one row per piece with its sequence and its place in it."""
     spark = docs.sparkSession
-    pieces = write_and_read(tokenized_pieces(docs, tokenizer_path, capacity, end_id, spaced), "pack-pieces")
+    pieces = write_and_read(tokenized_pieces(docs, tokenizer_path, capacity, end_id, spaced, special), "pack-pieces")
     by_task = pieces.groupBy("length", "task").agg(F.max("nth").alias("n")).withColumn("n", F.col("n") + 1)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = write_and_read(by_task.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -83,14 +83,16 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 6: all documents packed into sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"),
-                        public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0, spaced=True)
+                        public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0, spaced=True,
+                        special=True)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 7: all documents written as token files and read back."""
     folder = token_files.new_folder(spark)
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents", "doc_id", "text"),
-                                             public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
+                                             public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1,
+                                             special=True)
     return token_files.token_file_digests(folder, manifest)
 
 

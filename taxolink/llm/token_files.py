@@ -43,11 +43,13 @@ MAGIC = b"ZTOK\x00\x00\x00\x01"
 HEADER = struct.Struct("<QQII32s")
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("first", "<u8"), ("end", "<u8")])
 
-#: Documents that train the dictionary, and its size.
-SAMPLE_DOCS, DICTIONARY_BYTES = 2000, 64 << 10
+#: Documents that train the dictionary, the bytes taken of each (cut in the task; the dictionary only helps compression), its size.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 64 << 10, 64 << 10
 
 
 def serialize(ids: np.ndarray, width: int) -> bytes:
+    if width == 2 and len(ids) and int(ids.max()) >= 1 << 16:
+        raise ValueError(f"id {int(ids.max())} does not fit two bytes: write with width 4")
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
@@ -141,7 +143,7 @@ def read_dictionary(folder: str) -> bytes:
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, width: int = 2,
                       spaced: bool = False, partitions: int | None = None, file_docs: int = 1 << 17,
-                      file_tokens: int = 1 << 24) -> DataFrame:
+                      file_tokens: int = 1 << 24, special: bool = False) -> DataFrame:
     """Write documents ``(doc_id, text)`` as token files; returns the manifest.
 
     The manifest has ``file`` (URI), ``part``, ``chunk`` (their order), ``docs`` and ``tokens``. Texts are shuffled once, by
@@ -153,10 +155,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer_path, spaced)
+        encoder = worker_encoder(tokenizer_path, spaced, special)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([serialize(ids, width) for _, ids in encoded_rows(encoder, batch, end_id)], pa.binary())],
+                [pa.array([serialize(ids, width)[:SAMPLE_BYTES] for _, ids in encoded_rows(encoder, batch, end_id)], pa.binary())],
                 names=["ids"])
 
     # the ids with the smallest hashes, so the sample and the dictionary are the same on each run
@@ -164,7 +166,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     chosen = write_and_read(first.distinct(), "token-sample")
     some = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text")
     samples = [bytes(r[0]) for r in some.mapInArrow(sampled, "ids binary").limit(SAMPLE_DOCS).collect()]
-    dictionary = train_dictionary(sorted(s[:64 << 10] for s in samples)) if samples else b""
+    dictionary = train_dictionary(sorted(samples)) if samples else b""
     fs, path = _file_system(folder)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/dictionary.zdict") as f:
@@ -173,7 +175,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, attempt, chunk = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
-        encoder, shared = worker_encoder(tokenizer_path, spaced), read_dictionary(folder)
+        encoder, shared = worker_encoder(tokenizer_path, spaced, special), read_dictionary(folder)
         file = TokenFileWriter(shared, width)
 
         def flush() -> pa.RecordBatch:
@@ -246,5 +248,7 @@ def token_file_digests(folder: str, manifest: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A fresh folder for a data set under the shared folder."""
-    return scratch_path(spark, "token-files")
+    """A fresh folder for a data set under the shared folder, as a full URI: a path without a scheme means to the workers what
+    it means to Spark."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "token-files"))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()

@@ -35,14 +35,18 @@ _OTHER_SPACE = re.compile("[\u0085   -     　\x1c-\x1f]")
 class PieceEncoder:
     """Encode Arrow texts with a ``tokenizers`` file; ``spaced`` if its pieces carry their white space.
 
-    Pieces that differ in ASCII case only are one piece when the file's normalizer folds case.
+    Pieces that differ in ASCII case only are one piece when the file's normalizer folds case. Control strings (the file's
+    added tokens) inside a text are ordinary text, or with ``special`` their tokens, as in the library's plain call; texts
+    that hold one are then encoded whole.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings inside a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.added = [t for t in added if t]
         self.spaced = spaced
         self.folded = "Lowercase" in repr(self.tokenizer.normalizer)
         self._reset()
@@ -58,6 +62,13 @@ class PieceEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def _holding_added(self, buf: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts with the string of an added token, whatever its case."""
+        raw = buf.tobytes().lower()
+        if not any(t in raw for t in self.added):
+            return []
+        return [i for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())) if any(t in raw[a:b] for t in self.added)]
+
     def _learn(self, at: np.ndarray, hashes: np.ndarray, raw: bytes, starts: list[int], ends: list[int]) -> None:
         """Encode the new pieces ``raw[start:end]``; ``at`` is where their (ascending) hashes go among the known ones."""
         counts, odd, first = [], [], self.used
@@ -122,8 +133,10 @@ class PieceEncoder:
         ids = self.flat[np.repeat(self.first[entry] - upto[:-1], length) + np.arange(upto[-1])]
         borders = upto[before]
         odd = np.flatnonzero(self.odd[entry])
-        if len(odd):
-            texts = np.unique(np.searchsorted(before, odd, side="right") - 1)
+        texts = np.unique(np.searchsorted(before, odd, side="right") - 1)
+        if self.added:
+            texts = np.union1d(texts, self._holding_added(buf, offsets)).astype(np.int64)
+        if len(texts):
             per = np.split(ids, borders[1:-1])
             for t in texts:
                 per[t] = self.whole(buf[offsets[t]:offsets[t + 1]].tobytes().decode("utf-8", "replace"))
@@ -132,15 +145,16 @@ class PieceEncoder:
         return ids, borders
 
 
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
 
-def worker_encoder(path: str, spaced: bool) -> PieceEncoder:
+def worker_encoder(path: str, spaced: bool, special: bool = False) -> PieceEncoder:
     """This Python worker's encoder: the pieces it has learnt serve its later tasks too."""
     enter("tokens", _ENCODERS.clear)
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = PieceEncoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    key = path, spaced, special
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(*key)
+    return _ENCODERS[key]
 
 
 def encoded_rows(encoder: PieceEncoder, batch: pa.RecordBatch, end_id: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -6,7 +6,8 @@ it is close enough to: for unit vectors x in cell h and y in cell g with angle(x
 the plane between the centers is at most sin(a), that is ``x . (h - g) / |h - g| <= sin(a)``. With these visits no pair is
 lost, and each pair is compared once: inside its cell, or as a visitor in the smaller of the two cells.
 
-Cells are cut into blocks of about :data:`BLOCK` classes; a task multiplies two blocks. It returns the links of each class and
+Cells are cut into blocks of about :data:`BLOCK` classes; a task multiplies two blocks. Pairs within 1e-9 of the threshold are decided
+by their own cosine on the original vectors. It returns the links of each class and
 a spanning forest of the links, not the pairs. Components are joined by :mod:`taxolink.llm.components`.
 
 Centers are fitted on at most :data:`SAMPLE` vectors on the driver; that bounds their number too.
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolink.llm.components import connected_components
-from taxolink.llm.vectors import common_width, matrix, sample, spherical_kmeans, unit, usable
+from taxolink.llm.vectors import common_width, cosine, matrix, sample, spherical_kmeans, unit, usable
 from taxolink.session import write_and_read
 
 SAMPLE, MAX_CELLS, CELL_ROWS, BLOCK = 32768, 2048, 4096, 4096
-#: Rows of a block multiplied at a time.
-STRIP = 512
+#: Rows of a block multiplied at a time; distance from the threshold within which a pair's cosine is computed by itself.
+STRIP, EDGE = 512, 1e-9
 
 
 def place(x: np.ndarray, centers: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,16 +83,23 @@ def _compare(threshold: float, width: int):
         ids = column("id").to_numpy(zero_copy_only=False)
         copies = column("copies").to_numpy(zero_copy_only=False)
         second = column("second").to_numpy(zero_copy_only=False).astype(bool)
-        x = unit(matrix(column("vector"), width)) if len(ids) else np.zeros((0, width))
+        raw = matrix(column("vector"), width)
+        x = unit(raw)
         same = not second.any()
         a, b = (slice(None), slice(None)) if same else (~second, second)
         left, right = ids[a], ids[b]
-        xa, xb = x[a], x[b]
+        xa, xb, raw_a, raw_b = x[a], x[b], raw[a], raw[b]
         linked = np.empty((len(xa), len(xb)), bool)
         of_left, of_right = np.zeros(len(xa), np.int64), np.zeros(len(xb), np.int64)
         for lo in range(0, len(xa), STRIP):
             strip = linked[lo:lo + STRIP]
-            np.greater_equal(xa[lo:lo + STRIP] @ xb.T, threshold, out=strip)
+            dots = xa[lo:lo + STRIP] @ xb.T
+            np.greater_equal(dots, threshold, out=strip)
+            # near the threshold the pair's own cosine decides: it does not depend on the block it is in
+            i, j = np.nonzero(np.abs(dots - threshold) < EDGE)
+            for at in range(0, len(i), 1 << 16):
+                r, c = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                strip[r, c] = cosine(raw_a[lo + r], raw_b[c]) >= threshold
             if same:
                 strip[np.arange(len(strip)), lo + np.arange(len(strip))] = False
             i, j = np.nonzero(strip)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolink.llm.vectors import common_width, matrix, sample, spherical_kmeans, unit, usable
+from taxolink.llm.vectors import common_width, cosine, matrix, sample, spherical_kmeans, unit, usable
 from taxolink.session import write_and_read
 
 SAMPLE, BRANCH, LEAF_ROWS, BLOCK, PROBES = 32768, 8, 256, 4096, 256
@@ -96,12 +96,6 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return scores >= floor[:, None] - 1e-12
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise cosine in double precision; a pair's value does not depend on its neighbours in a batch."""
-    return (np.einsum("ij,ij->i", a, b)
-            / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))))
-
-
 def _exact(spark, classes: DataFrame, probes: np.ndarray, k: int, width: int) -> DataFrame:
     """``(probe, vector, score)``: the k + 1 nearest classes of every probe among all classes."""
     sent = spark.sparkContext.broadcast(probes)

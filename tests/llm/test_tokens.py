@@ -158,3 +158,25 @@ def test_token_files_of_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     manifest = token_files.write_token_files(df, WORDS, folder)
     assert manifest.count() == 0 and token_files.read_token_files(folder, manifest).count() == 0
+
+
+@pytest.mark.parametrize("path,spaced", [(BYTE, True), (WORDS, False)])
+def test_control_strings_as_in_the_plain_call(path, spaced):
+    plain = Tokenizer.from_file(path)
+    texts = ODD_TEXTS + ["x <|endoftext|> y", "<|ENDOFTEXT|> a", "<|startoftext|>hi<|endoftext|>", "no <|end", "<|endoftext|>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    encoder = PieceEncoder(path, spaced, special=True)
+    for _ in range(2):
+        got = [x.tolist() for _, x in encoded_rows(encoder, batch, 1)]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_ids_that_do_not_fit_their_width():
+    assert token_files.deserialize(token_files.serialize(np.array([65535]), 2), 2).tolist() == [65535]
+    assert token_files.deserialize(token_files.serialize(np.array([70000]), 4), 4).tolist() == [70000]
+    with pytest.raises(ValueError):
+        token_files.serialize(np.array([1, 70000]), 2)
+
+
+def test_folders_are_full_uris(spark):
+    assert token_files.new_folder(spark).startswith("file:/")

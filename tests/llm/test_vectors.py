@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from brute import Union, cosine, usable
 from pyspark.sql import functions as F
@@ -101,3 +102,23 @@ def test_search_ties_go_to_smaller_ids_and_few_candidates(spark):
     one = spark.createDataFrame([(0, [1.0, 0.0])], F32)
     assert vector_search.nearest(one, F.col("vec_id") == 0).count() == 0
     assert vector_search.nearest(one.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_pairs_at_the_threshold_are_decided_by_their_own_cosine(spark):
+    """Vectors whose cosines lie within rounding of 0.95: links are those of the row-wise cosine, whatever the block."""
+    from taxolink.llm.vectors import cosine as own
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(150):
+        a = rng.normal(size=8).astype(np.float32)
+        b = rng.normal(size=8)
+        b -= (a @ b) / (a @ a) * a
+        b = (0.95 * a / np.linalg.norm(a) + np.sqrt(1 - 0.95 ** 2) * b / np.linalg.norm(b)).astype(np.float32)
+        rows += [a, b]
+    x = np.array(rows, dtype=np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    i, j = np.triu_indices(len(x), 1)
+    linked = own(x[i], x[j]) >= 0.95
+    want = np.bincount(i[linked], minlength=len(x)) + np.bincount(j[linked], minlength=len(x))
+    got = {r.id: r.n_links for r in vector_dedup.near_duplicates(df, 0.95).collect()}
+    assert [got[k] for k in range(len(x))] == want.tolist()
