@@ -46,7 +46,8 @@ def probe_terms(frontier: DataFrame, record_vectors: DataFrame, index: DataFrame
            .select("row_id", "parent", "term_id", F.col("weight").alias("w"), (F.col("weight") * F.col("top")).alias("bound")))
     group = Window.partitionBy("row_id", "parent")
     order = group.orderBy(F.desc("bound"), "term_id").rowsBetween(Window.unboundedPreceding, -1)
-    hit = hit.withColumn("total", F.sum("bound").over(group)).withColumn("before", F.coalesce(F.sum("bound").over(order), F.lit(0.0)))
+    # the ordered window first: its sort serves the other two
+    hit = hit.withColumn("before", F.coalesce(F.sum("bound").over(order), F.lit(0.0))).withColumn("total", F.sum("bound").over(group))
     hit = hit.withColumn("strong", F.col("before") < STRONG * F.col("total"))
     rest = F.sum(F.when(F.col("strong"), 0.0).otherwise(F.col("bound"))).over(group)
     return hit.select("row_id", "parent", "term_id", "w", "strong", rest.alias("rest"))
