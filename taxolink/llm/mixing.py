@@ -11,8 +11,11 @@ exact document lengths (one row per source and length, never the documents):
    documents goes to it whole).
 
 That gives a number of documents per length. Which ones is decided by a seeded hash: per (source, length)
-the documents with the smallest hashes are taken. Hash bins of about :data:`BIN_ROWS` documents keep that
-ranking distributed however many documents share a source and a length.
+the documents with the smallest hashes are taken. Hash bins of about :data:`BIN_ROWS` documents are counted, and only the
+bin in which the number is reached is ranked, however many documents share a source and a length. What comes out
+is one cut-off hash per (source, length): every document is told from its own hash whether it is taken, so the texts
+are neither shuffled nor joined by id. That table grows with the number of different lengths, at most as the square root of
+a source's words.
 
 Defined results: a null text has size 0; documents of size 0 add no words, and follow their source's whole
 copies only; null sources form one source, ordered last; rows repeated with the same id are separate
@@ -34,6 +37,8 @@ from taxolink.session import write_and_read
 #: The dynamic program's budget, in words: what step 1 leaves for step 2 on top of its rounding rest.
 DP_WORDS = 1 << 14
 BIN_ROWS = 512
+#: Copies of one row that a task writes.
+BLOCK_COPIES = 4096
 #: A source of no more documents, which need no more bits, is fitted by the dynamic program alone.
 FEW_DOCS, FEW_BITS = 64, 1 << 28
 
@@ -150,18 +155,29 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source_key", "size", "n", "whole", "extra"]]
 
 
-def _checksum() -> Column:
-    """Of a document's source and text: tells rows with the same or without an id apart."""
-    return F.xxhash64(F.col("source").cast("string"), F.col("text").cast("string"))
+def _checksum(docs: DataFrame) -> Column:
+    """Of a whole row: tells rows with the same or without an id apart."""
+    parts = []
+    for f in docs.schema.fields:
+        col = docs[f.name]
+        parts += [F.to_json(F.struct(col)) if "map<" in f.dataType.simpleString() else col, col.isNull()]
+    return F.xxhash64(*parts)
 
 
-def _planned(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-             seed: int = 17) -> DataFrame:
-    """The rows of :func:`mix` with ``checksum``."""
+def _measured(docs: DataFrame, seed: int) -> DataFrame:
+    """``(_document, doc_id, source, source_key, size, checksum, order)`` per row; ``_document`` holds the row itself."""
+    source = docs["source"].cast("string")
+    return docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_document"), docs["doc_id"].alias("doc_id"), source.alias("source"),
+        F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("source_key"),
+        word_count(docs["text"]).alias("size"), _checksum(docs).alias("checksum")
+    ).withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "checksum"), 1))
+
+
+def _cutoffs(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """Per (source, length) its copies and cut-off: ``(source_key, size, n, source_size, target, whole, extra, cut_order,
+    cut_sum, alike, more)``. Of ``alike`` rows exactly at the cut-off, equal in every column, ``more`` come once more."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-                       _checksum().alias("checksum"))
-    rows = write_and_read(rows.withColumn("source_key", key), "mix-sizes")
     hist = rows.groupBy("source", "source_key", "size").agg(F.count(F.lit(1)).alias("n"))
     hist = write_and_read(hist, "mix-lengths")
     targets = write_and_read(
@@ -172,25 +188,49 @@ def _planned(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
             .applyInPandas(_plan, "source_key string, size long, n long, whole long, extra long"))
     plan = write_and_read(plan.join(targets, "source_key"), "mix-plan")
 
-    # documents with their seeded position: bins of about BIN_ROWS within (source, size)
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    bins = F.greatest(F.lit(1), (F.col("n") / BIN_ROWS).cast("long"))
-    unit = (F.shiftrightunsigned(order, 33) / F.lit(float(1 << 31)))
-    placed = (rows.join(plan, ["source_key", "size"])
-              .withColumn("order", order).withColumn("bin", F.floor(unit * bins).cast("long")))
-    placed = write_and_read(placed, "mix-placed")
-    before = Window.partitionBy("source_key", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    below = (placed.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n")))
-             .groupBy("source_key", "size", "bin").agg(F.count(F.lit(1)).alias("in_bin"))
-             .withColumn("below", F.coalesce(F.sum("in_bin").over(before), F.lit(0))))
-    rank = F.row_number().over(Window.partitionBy("source_key", "size", "bin").orderBy("order", "doc_id", "checksum"))
-    once_more = (F.when(F.col("extra") == 0, False).when(F.col("extra") >= F.col("n"), True)
-                 .when(F.col("below") >= F.col("extra"), False)
-                 .otherwise(F.col("below") + F.col("rank") <= F.col("extra")))
-    out = (placed.withColumn("rank", rank).join(below, ["source_key", "size", "bin"], "left")
-           .withColumn("copies", (F.col("whole") + F.when(once_more, 1).otherwise(0)).cast("int")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies",
-                      (F.col("copies") * F.col("size")).alias("taken"), "checksum")
+    # documents per bin of about BIN_ROWS hashes, and the bin in which the number wanted is reached
+    per = ["source_key", "size"]
+    part = plan.filter("extra > 0 and extra < n").select(*per, "extra", F.col("n").alias("of"))
+    bins = F.greatest(F.lit(1), (F.col("of") / BIN_ROWS).cast("long"))
+    binned = (rows.select(*per, "checksum", "order").join(checked_side(part, 4), per)
+              .withColumn("bin", F.floor(F.col("order") / F.lit(float(1 << 63)) * bins)))
+    upto = F.sum("in_bin").over(Window.partitionBy(*per).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    edge = (binned.groupBy(*per, "bin", "extra").agg(F.count(F.lit(1)).alias("in_bin"))
+            .withColumn("below", upto - F.col("in_bin"))
+            .filter("below < extra and extra <= below + in_bin").select(*per, "bin", "below"))
+    edge = write_and_read(edge, "mix-bins")
+    # inside that bin, the row at which it is reached
+    upto = F.sum("alike").over(Window.partitionBy(*per).orderBy("order", "checksum").rowsBetween(Window.unboundedPreceding, 0))
+    cut = (binned.join(checked_side(edge, 4), [*per, "bin"])
+           .groupBy(*per, "extra", "below", "order", "checksum").agg(F.count(F.lit(1)).alias("alike"))
+           .withColumn("more", F.col("extra") - F.col("below") - upto + F.col("alike"))
+           .filter("more > 0 and more <= alike")
+           .select(*per, F.col("order").alias("cut_order"), F.col("checksum").alias("cut_sum"), "alike", "more"))
+    return write_and_read(plan.join(cut, per, "left"), "mix-cutoffs")
+
+
+#: Rows at a cut-off that only some of their equals pass; all others are decided by their own hash.
+_TIED = "more < alike and order = cut_order and checksum = cut_sum"
+
+
+def _counted(rows: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with ``copies``, and the tied ones apart (None if there are none)."""
+    rows = rows.join(checked_side(cuts, 8), ["source_key", "size"])
+    once_more = F.expr("extra >= n or (extra > 0 and (order < cut_order or (order = cut_order and checksum <= cut_sum)))")
+    tied = F.coalesce(F.expr(_TIED), F.lit(False))
+    if cuts.filter("more < alike").isEmpty():
+        return rows.withColumn("copies", (F.col("whole") + F.when(once_more, 1).otherwise(0)).cast("int")), None
+    return (rows.filter(~tied).withColumn("copies", (F.col("whole") + F.when(once_more, 1).otherwise(0)).cast("int")),
+            rows.filter(tied))
+
+
+def _numbered(rows: DataFrame, n: Column) -> DataFrame:
+    """Every row ``n`` times with ``_nth`` from 1, in blocks that are spread over the tasks first."""
+    last = (n - 1) / BLOCK_COPIES
+    blocks = rows.filter(n > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last))))
+    start = F.col("_block") * BLOCK_COPIES
+    return (blocks.repartition("_block")
+            .withColumn("_nth", F.explode(F.sequence(start + 1, F.least(n.cast("long"), start + BLOCK_COPIES)))).drop("_block"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
@@ -200,35 +240,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     ``docs`` needs ``doc_id``, ``source`` and ``text``; the texts are read once, for their word counts. All
     later steps work on narrow rows written to the shared folder.
     """
-    return _planned(docs, weights, share, most, seed).drop("checksum")
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    rows = write_and_read(_measured(docs, seed).drop("_document"), "mix-sizes")
+    out, tied = _counted(rows, _cutoffs(rows, weights, share, most))
+    named = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    out = out.select(*named)
+    if tied is not None:  # equal rows: one stands for all, and some of its equals get one more
+        same = tied.groupBy("source_key", "size", "checksum").agg(
+            *[F.max(c).alias(c) for c in ("doc_id", "source", "source_size", "target", "whole", "alike", "more")])
+        once_more = F.when(F.col("_nth") <= F.col("more"), 1).otherwise(0)
+        same = _numbered(same, F.col("alike")).withColumn("copies", (F.col("whole") + once_more).cast("int"))
+        out = out.unionByName(same.select(*named))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
+                    seed: int = 17) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all columns of ``docs``.
 
-    Documents are matched to their plan by ``doc_id`` (null matches null) and a checksum of source and text, so every
-    planned row comes out as often as planned, and rows not taken are dropped. Rows alike in all three are dealt
-    their common number of copies; which of them gets one more is not defined.
+    Each row is told from its own hash how often it comes, so the rows are not shuffled; rows not taken are dropped. Of rows
+    equal in every column that only some pass, one is kept per task and repeated as often as all of them are taken.
     """
-    copies = (_planned(docs, **how).groupBy("doc_id", "checksum")
-              .agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n")).filter("all > 0")
-              .select(F.col("doc_id").alias("mix_doc_id"), F.col("checksum").alias("mix_checksum"),
-                      F.expr("all div n").cast("int").alias("mix_each"), (F.col("all") % F.col("n")).cast("int").alias("mix_more")))
-    copies = write_and_read(copies, "mix-copies")
-    one = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_document"), docs["doc_id"].alias("_id"),
-                      _checksum().alias("_sum"))
-
-    def chosen(side: DataFrame) -> DataFrame:
-        side = checked_side(side, 2)
-        return one.join(side, one["_id"].eqNullSafe(side["mix_doc_id"]) & (one["_sum"] == side["mix_checksum"]))
-
-    def times(rows: DataFrame, n: Column) -> DataFrame:
-        return rows.filter(n > 0).select("_document", F.explode(F.sequence(F.lit(1), n)).alias("_copy")).select("_document.*")
-
-    out = times(chosen(copies.filter("mix_more = 0")), F.col("mix_each"))
-    shared = copies.filter("mix_more > 0")
-    if not shared.isEmpty():  # rows alike, and not all of them once more: they alone are numbered
-        turn = F.row_number().over(Window.partitionBy("mix_doc_id", "mix_checksum").orderBy("mix_doc_id"))
-        rows = chosen(shared).withColumn("_turn", turn)
-        out = out.unionByName(times(rows, F.col("mix_each") + F.when(F.col("_turn") <= F.col("mix_more"), 1).otherwise(0)))
+    rows = write_and_read(_measured(docs, seed).drop("_document"), "mix-sizes")
+    out, tied = _counted(_measured(docs, seed), _cutoffs(rows, weights, share, most))
+    out = (out.filter("copies > 0").select("_document", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_nth"))
+           .select("_document.*"))
+    if tied is not None:
+        same = tied.groupBy("source_key", "size", "checksum").agg(
+            F.first("_document").alias("_document"), F.max(F.expr("alike * whole + more")).alias("all"))
+        out = out.unionByName(_numbered(same, F.col("all")).select("_document.*"))
     return out

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolink.llm.components import connected_components
-from taxolink.llm.sides import checked_side
+from taxolink.llm.sides import checked_side, rows_with_ids
 from taxolink.llm.words import enter, mix, ngram_hashes, span_hashes, text_chunks, word_spans
 from taxolink.session import write_and_read
 
@@ -315,9 +315,11 @@ def _placed_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
             if rows:
                 yield flush()
 
+    # only the texts that are needed meet the places
     need = need.withColumnRenamed("set_id", "need_id")
-    texts = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-             .join(checked_side(need, F.size("places") * 4 + 4), F.col("doc_id") == F.col("first_doc")).select(F.col("need_id").alias("set_id"), "text", "places"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = (rows_with_ids(texts, "doc_id", need.select("first_doc"))
+             .join(need, F.col("doc_id") == F.col("first_doc")).select(F.col("need_id").alias("set_id"), "text", "places"))
     return texts.mapInArrow(run, "set_id long, gid long, block long, own_gid long, hard boolean, copies long, query boolean, "
                                  "tokens binary")
 
@@ -359,9 +361,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """
     first = similar_documents(docs, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     first = write_and_read(first.distinct(), "join-kept")
-    side = checked_side(first)
-    stay = (docs.join(side, docs["doc_id"] == side["kept_id"], "left")
-            .filter(side["kept_id"].isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns]))
+    stay = rows_with_ids(docs, "doc_id", first, nulls=True)
     twice = write_and_read(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
                            .filter("n_rows > 1").select(F.col("doc_id").alias("kept_id")), "join-twice")
     if twice.isEmpty():  # ids are unique
