@@ -13,9 +13,9 @@ exact document lengths (one row per source and length, never the documents):
 That gives a number of documents per length. Which ones is decided by a seeded hash: per (source, length)
 the documents with the smallest hashes are taken. Hash bins of about :data:`BIN_ROWS` documents are counted, and only the
 bin in which the number is reached is ranked, however many documents share a source and a length. What comes out
-is one cut-off hash per (source, length): every document is told from its own hash whether it is taken, so the texts
-are neither shuffled nor joined by id. That table grows with the number of different lengths, at most as the square root of
-a source's words.
+is one cut-off hash per (source, length): every document is told from its own hash whether it is taken, never joined by id. That
+table grows with the number of different lengths, at most as the square root of a source's words; it is broadcast up to 32 MB
+(262,144 lengths), so that the texts are not shuffled, and joined by a shuffle on source and length beyond.
 
 Defined results: a null text has size 0; documents of size 0 add no words, and follow their source's whole
 copies only; null sources form one source, ordered last; rows repeated with the same id are separate
