@@ -10,7 +10,8 @@ Cells are cut into blocks of about :data:`BLOCK` classes; a task multiplies two
 by their own cosine on the original vectors. It returns the links of each class and
 a spanning forest of the links, not the pairs. Components are joined by :mod:`taxolink.llm.components`.
 
-Centers are fitted on at most :data:`SAMPLE` vectors on the driver; that bounds their number too.
+Centers are fitted on at most :data:`SAMPLE` vectors on the driver; that bounds their number too. There is one per
+:data:`CELL_ROWS` classes, and :data:`MIN_CELLS` at least (fewer only below 8 classes a center).
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing, and so do vectors
 of another length than most, and rows with a null id (component null); repeated rows are vectors of their own;
@@ -29,7 +30,7 @@ from taxolink.llm.components import connected_components
 from taxolink.llm.vectors import common_width, cosine, matrix, sample, spherical_kmeans, unit, usable
 from taxolink.session import write_and_read
 
-SAMPLE, MAX_CELLS, CELL_ROWS, BLOCK = 32768, 2048, 4096, 4096
+SAMPLE, MIN_CELLS, MAX_CELLS, CELL_ROWS, BLOCK = 32768, 8, 2048, 4096, 4096
 #: Rows of a block multiplied at a time; distance from the threshold within which a pair's cosine is computed by itself.
 STRIP, EDGE = 512, 1e-9
 
@@ -119,7 +120,7 @@ def class_links(classes: DataFrame, threshold: float, width: int) -> DataFrame:
     spark = classes.sparkSession
     n = classes.count()
     some = unit(sample(classes, "vector", "id", SAMPLE, width)) if n else np.zeros((0, width))
-    centers = spherical_kmeans(some, max(1, min(MAX_CELLS, n // CELL_ROWS, len(some) // 8))) if n else some
+    centers = spherical_kmeans(some, max(1, min(MAX_CELLS, max(MIN_CELLS, n // CELL_ROWS), len(some) // 8))) if n else some
     sent = spark.sparkContext.broadcast(centers)
 
     def cells(batches):

@@ -5,11 +5,13 @@ The tree is fitted on a bounded sample on the driver (:data:`SAMPLE` vectors; ea
 indexed by descending to a leaf. A query walks the tree with a priority queue of unopened nodes, nearest
 center first, and so meets leaves in the order of their promise. How many leaves a query visits is calibrated:
 for :data:`PROBES` queries the exact neighbours among all vectors are found by blocked products, and the number of
-visits is widened until the leaves visited hold the wanted share of them.
+visits is widened until the leaves visited hold the wanted share of them. A query goes on beyond that number while its
+leaves hold no more than k classes.
 
 Equal vectors are one class with its smallest ids, so a vector that a third of the rows share is compared once.
-Neighbouring leaves are stored together in buckets of about :data:`BLOCK` classes (a larger leaf in several blocks). A visit to
-a leaf opens its bucket; a task compares one block with the queries that open it and returns the best few per query.
+Neighbouring leaves are stored together in buckets of about :data:`BLOCK` classes (a larger leaf in several blocks). A query goes
+to a bucket once, with the list of its leaves there; a task sorts one block by leaf, compares each leaf's slice with
+the queries that visit that leaf, and returns the best few per query.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
 another length than most, nor rows with a null id; queries without candidates have no rows; repeated rows are candidates of
@@ -72,19 +74,23 @@ class Tree:
             level = deeper
         return at
 
-    def visits(self, q: np.ndarray, most: int) -> Iterator[list[int]]:
-        """Per unit row, the first ``most`` leaves in best-bin-first order."""
+    def visits(self, q: np.ndarray, most: int, members: dict[int, int] | None = None, enough: int = 0) -> Iterator[list[int]]:
+        """Per unit row, the first ``most`` leaves in best-bin-first order; with ``members`` (classes per leaf that holds any)
+        these leaves only, and more of them until they hold ``enough``."""
         nearness = q @ self.centers.T
         for row in nearness:
-            queue, out = [(0.0, 0)], []
-            while queue and len(out) < most:
+            queue, out, held = [(0.0, 0)], [], 0
+            while queue and (len(out) < most or held < enough):
                 _, node = heapq.heappop(queue)
                 kids = self.children[node]
                 if kids:
                     for k in kids:
                         heapq.heappush(queue, (-row[k], k))
-                else:
+                elif members is None:
                     out.append(node)
+                elif node in members:
+                    out.append(node)
+                    held += members[node]
             yield out
 
 
@@ -160,45 +166,55 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, recall: float = 0.98,
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))],
                                                  names=["vector", "id", "ids", "leaf"])
 
+    indexed = write_and_read(classes.select("vector", "id", "ids").mapInArrow(
+        index, "vector array<float>, id long, ids array<bigint>, leaf int"), "ann-index")
+    # leaves in tree order fill buckets of about BLOCK classes; a larger leaf is a bucket of several blocks. The tree
+    # bounds the number of leaves, and so these tables.
+    members = {r["leaf"]: r["members"] for r in
+               indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("members")).orderBy("leaf").collect()}
+    bucket_of, bucket, held = {}, 0, 0
+    for leaf, count in members.items():
+        if held and held + count > BLOCK:
+            bucket, held = bucket + 1, 0
+        held += count
+        bucket_of[leaf] = bucket
+    stored = spark.sparkContext.broadcast((members, bucket_of))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, bucket_of = stored.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                found = list(sent.value.visits(unit(matrix(part.column(0), width)), visits))
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                row, opened, lists = [], [], []
+                for i, found in enumerate(sent.value.visits(unit(matrix(part.column(0), width)), visits, members, k + 1)):
+                    here: dict[int, list[int]] = {}
+                    for leaf in found:
+                        here.setdefault(bucket_of[leaf], []).append(leaf)
+                    row += [i] * len(here)
+                    opened += here.keys()
+                    lists += here.values()
                 yield pa.RecordBatch.from_arrays(
-                    [*part.take(pa.array(row)).columns, pa.array([x for f in found for x in f], pa.int32())],
-                    names=["vector", "id", "leaf"])
+                    [*part.take(pa.array(row, pa.int64())).columns, pa.array(opened, pa.int32()),
+                     pa.array(lists, pa.list_(pa.int32()))], names=["vector", "id", "bucket", "leaves"])
 
-    indexed = write_and_read(classes.select("vector", "id", "ids").mapInArrow(
-        index, "vector array<float>, id long, ids array<bigint>, leaf int"), "ann-index")
-    asked = queries.select("vector", "id").mapInArrow(ask, "vector array<float>, id long, leaf int")
-    # leaves in tree order fill buckets of about BLOCK classes; a larger leaf is a bucket of several blocks. The tree
-    # bounds the number of leaves, and so these tables.
-    leaves = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("members")).orderBy("leaf").collect()
-    buckets, bucket, held = [], 0, 0
-    for r in leaves:
-        if held and held + r["members"] > BLOCK:
-            bucket, held = bucket + 1, 0
-        held += r["members"]
-        buckets.append((r["leaf"], bucket))
-    buckets = F.broadcast(spark.createDataFrame(buckets, "leaf int, bucket int"))
-    indexed = indexed.join(buckets, "leaf").drop("leaf")
-    asked = write_and_read(asked.join(buckets, "leaf").drop("leaf").distinct(), "ann-asked")
+    asked = write_and_read(queries.select("vector", "id").mapInArrow(
+        ask, "vector array<float>, id long, bucket int, leaves array<int>"), "ann-asked")
+    buckets = F.broadcast(spark.createDataFrame(list(bucket_of.items()), "leaf int, bucket int"))
+    indexed = indexed.join(buckets, "leaf")
     blocks = F.broadcast(write_and_read(
         indexed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "ann-blocks"))
     # queries of a bucket in parts, so that no task meets all queries of a popular one
     parts = F.broadcast(write_and_read(
         asked.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "ann-parts"))
-    members = (indexed.join(blocks, "bucket").join(parts, "bucket")
-               .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-               .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-               .select("bucket", "block", "part", "id", "vector", "ids"))
+    homes = (indexed.join(blocks, "bucket").join(parts, "bucket")
+             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+             .select("bucket", "block", "part", "id", "vector", "ids", F.array("leaf").alias("leaves")))
     asked = (asked.join(blocks, "bucket").join(parts, "bucket")
              .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("bucket", "block", "part", "id", "vector", F.lit(None).cast("array<bigint>").alias("ids")))
-    found = members.unionByName(asked).groupBy("bucket", "block", "part").applyInArrow(
+             .select("bucket", "block", "part", "id", "vector", F.lit(None).cast("array<bigint>").alias("ids"), "leaves"))
+    found = homes.unionByName(asked).groupBy("bucket", "block", "part").applyInArrow(
         _compare(k, width), "query long, id long, score double")
     best = (found.withColumn("nth", F.row_number().over(
         Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("nth") <= k + 1))
@@ -213,28 +229,44 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, recall: float = 0.98,
 
 
 def _compare(k: int, width: int):
-    """Best k + 1 ids per query of a block, by cosine on the original vectors, ties to smaller ids."""
+    """Best k + 1 ids per query of a block among the leaves it visits, by cosine on the original vectors, ties to smaller ids."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         asks = table.column("ids").is_null().to_numpy()
-        chosen = [table.filter(pa.array(m)).combine_chunks() for m in (~asks, asks)]
-        if not all(t.num_rows for t in chosen):
+        homes, asking = (table.filter(pa.array(m)).combine_chunks() for m in (~asks, asks))
+        if not homes.num_rows or not asking.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()),
                              "score": pa.array([], pa.float64())})
-        (x, ids), (q, names) = ((matrix(t.column("vector").chunk(0), width), t.column(c))
-                                for t, c in zip(chosen, ("ids", "id")))
-        ids, names = ids.to_pylist(), names.to_numpy()
+        leaf = homes.column("leaves").chunk(0).flatten().to_numpy()
+        by_leaf = np.argsort(leaf, kind="stable")
+        leaf, homes = leaf[by_leaf], homes.take(pa.array(by_leaf)).combine_chunks()
+        x, q = matrix(homes.column("vector").chunk(0), width), matrix(asking.column("vector").chunk(0), width)
+        ids, names = homes.column("ids").to_pylist(), asking.column("id").to_numpy()
         ux, uq = unit(x), unit(q)
+        lists = asking.column("leaves").chunk(0)
+        wants = lists.flatten().to_numpy()
+        by_want = np.argsort(wants, kind="stable")
+        who = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())[by_want]
+        wants = wants[by_want]
+        rows, cols = [np.array([], np.int64)], [np.array([], np.int64)]
+        for one in np.unique(leaf):
+            lo, hi = np.searchsorted(leaf, [one, one + 1])
+            visitors = who[slice(*np.searchsorted(wants, [one, one + 1]))]
+            for at in range(0, len(visitors), 512):
+                some = visitors[at:at + 512]
+                i, j = np.nonzero(_best(uq[some] @ ux[lo:hi].T, k + 1))
+                rows.append(some[i])
+                cols.append(lo + j)
+        row, col = np.concatenate(rows), np.concatenate(cols)
+        in_order = np.argsort(row, kind="stable")
+        row, col = row[in_order], col[in_order]
+        score = cosine(q[row], x[col])
         out_q, out_id, out_s = [], [], []
-        for lo in range(0, len(q), 512):
-            row, col = np.nonzero(_best(uq[lo:lo + 512] @ ux.T, k + 1))
-            score = cosine(q[lo + row], x[col])
-            for r in range(len(q[lo:lo + 512])):
-                a, b = np.searchsorted(row, [r, r + 1])
-                hits = sorted((-score[i], v) for i in range(a, b) for v in ids[col[i]])[:k + 1]
-                out_q += [int(names[lo + r])] * len(hits)
-                out_id += [v for _, v in hits]
-                out_s += [-s for s, _ in hits]
+        for r, (a, b) in enumerate(zip(np.searchsorted(row, np.arange(len(q))), np.searchsorted(row, np.arange(len(q)), "right"))):
+            hits = sorted((-score[i], v) for i in range(a, b) for v in ids[col[i]])[:k + 1]
+            out_q += [int(names[r])] * len(hits)
+            out_id += [v for _, v in hits]
+            out_s += [-s for s, _ in hits]
         return pa.table({"query": pa.array(out_q, pa.int64()), "id": pa.array(out_id, pa.int64()),
                          "score": pa.array(out_s, pa.float64())})
     return run

@@ -36,6 +36,7 @@ def _as_float32(rows):
 @pytest.mark.parametrize("cells", [1, 40])
 def test_dedup_matches_brute_force(spark, monkeypatch, cells):
     monkeypatch.setattr(vector_dedup, "CELL_ROWS", max(1, 400 // cells))
+    monkeypatch.setattr(vector_dedup, "MIN_CELLS", 1)
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
     monkeypatch.setattr(vector_dedup, "STRIP", 5)
     rows = _rows(4)
@@ -122,3 +123,74 @@ def test_pairs_at_the_threshold_are_decided_by_their_own_cosine(spark):
     want = np.bincount(i[linked], minlength=len(x)) + np.bincount(j[linked], minlength=len(x))
     got = {r.id: r.n_links for r in vector_dedup.near_duplicates(df, 0.95).collect()}
     assert [got[k] for k in range(len(x))] == want.tolist()
+
+
+def _supplied(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<float>")).collect()
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+
+
+def test_registered_search_over_the_supplied_table(spark, monkeypatch):
+    """Several leaves, most of them not compared; exact scores in order; at least 0.9 of the exact neighbours."""
+    from taxolink.llm.queries import op4_vector_search
+    from taxolink.llm.vectors import cosine as own
+    sf_dir, trees = "/root/testdata/sf0.01", []
+    fit = vector_search.calibrate
+    monkeypatch.setattr(vector_search, "calibrate", lambda spark, tree, *a: trees.append(tree) or fit(spark, tree, *a))
+    ids, x = _supplied(spark, sf_dir)
+    got = {}
+    for r in op4_vector_search(spark, sf_dir).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert trees[0].n_leaves >= 8
+    assert set(got) == {int(i) for i in ids if i % 50 == 0}
+    at = {int(i): n for n, i in enumerate(ids)}
+    hits = 0
+    for q, found in got.items():
+        exact = own(np.repeat(x[[at[q]]], len(x), axis=0), x)
+        near = sorted((-s, int(i)) for s, i in zip(exact, ids) if i != q)[:5]
+        assert [rank for rank, _, _ in sorted(found)] == [1, 2, 3, 4, 5]
+        assert [(-s, v) for _, v, s in sorted(found)] == sorted((-s, v) for _, v, s in found)
+        assert all(abs(s - exact[at[v]]) < 1e-12 for _, v, s in found)
+        hits += len({v for _, v, _ in found} & {i for _, i in near})
+    assert hits >= 0.9 * 5 * len(got)
+
+
+def test_search_goes_on_until_its_leaves_hold_enough(spark, monkeypatch):
+    """Leaves of one class each and a single visit wanted: all five neighbours come all the same."""
+    monkeypatch.setattr(vector_search, "LEAF_ROWS", 1)
+    monkeypatch.setattr(vector_search, "calibrate", lambda *a: 1)
+    rows = _rows(8, 100)
+    out = vector_search.nearest(spark.createDataFrame(rows, F32), F.col("vec_id") % 10 == 0, k=5).groupBy("query_id").count()
+    assert {r["count"] for r in out.collect()} == {5}
+
+
+def test_a_query_is_compared_with_its_leaves_only():
+    """A block of two leaves, one query per leaf: no query meets the other leaf's rows, however near."""
+    import pyarrow as pa
+    table = pa.table({
+        "id": pa.array([1, 2, 3, 10, 11], pa.int64()),
+        "vector": pa.array([[1, 0], [0, 1], [1, 1], [1, 0], [1, 0]], pa.list_(pa.float32())),
+        "ids": pa.array([[1], [2], [3], None, None], pa.list_(pa.int64())),
+        "leaves": pa.array([[7], [4], [4], [4], [7, 9]], pa.list_(pa.int32()))})
+    out = vector_search._compare(5, 2)((), table).to_pylist()
+    assert [(r["query"], r["id"]) for r in out] == [(10, 3), (10, 2), (11, 1)]
+
+
+def test_registered_dedup_over_the_supplied_table(spark, monkeypatch):
+    """The whole supplied table in several cells, against all pairs."""
+    from taxolink.llm.queries import op5_vector_dedup
+    from taxolink.llm.vectors import cosine as own
+    sf_dir, centers = "/root/testdata/sf0.1", []
+    fit = vector_dedup.spherical_kmeans
+    monkeypatch.setattr(vector_dedup, "spherical_kmeans", lambda *a: centers.append(fit(*a)) or centers[-1])
+    ids, x = _supplied(spark, sf_dir)
+    group, links = Union(), dict.fromkeys(ids.tolist(), 0)
+    for n in range(len(x)):
+        scores = own(np.repeat(x[[n]], len(x), axis=0), x)
+        for m in np.flatnonzero(scores >= 0.95):
+            if m != n:
+                links[int(ids[n])] += 1
+                group.join(int(ids[n]), int(ids[m]))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op5_vector_dedup(spark, sf_dir).collect()}
+    assert len(centers[0]) >= 8
+    assert got == {i: (n, group.find(i), group.find(i) == i) for i, n in links.items()}
