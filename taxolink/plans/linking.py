@@ -12,10 +12,12 @@ from taxolink.operators import scoring as SC
 from taxolink.operators import splits as SP
 from taxolink.operators import taxonomy as H
 from taxolink.operators import textbeam as TB
+from taxolink.operators import variants as V
 from taxolink.operators import windows as WN
 from taxolink.plans import standins as S
-from taxolink.plans.queries import _emb_links, _random_masks, query
-from taxolink.session import scratch_path, write_and_read
+from taxolink.plans.queries import _emb_links, _random_masks, append_classes, query
+from taxolink.session import scratch_path, table_path, write_and_read
+from taxolink.sources import bundle as BD
 
 
 @query("text_beam")
@@ -86,3 +88,38 @@ def path_ladder(spark: SparkSession, d: str) -> DataFrame:
 def dag_ancestors(spark: SparkSession, d: str) -> DataFrame:
     """Ancestor closure of the part → brand, type → size band DAG: two parents, shared ancestors."""
     return H.ancestors(S.dag_parents(spark, d))
+
+
+@query("variant_bundle")
+def variant_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """The random variant with masks, labels and hierarchy, written as one unit and loaded again; every
+    row of every part as ``(part, a, b, c, text)``."""
+    def build() -> dict[str, DataFrame]:
+        named = write_and_read(append_classes(spark, d), "variant-rows")
+        recs = S.records(spark, d).select("row_id", "ts").join(named.filter("not is_class").select("row_id", "text"), "row_id")
+        crow = named.filter("is_class").select("row_id", "text")
+        return V.variant_bundle("random", recs, S.labels(spark, d), S.classes(spark, d), crow, S.dag_parents(spark, d),
+                                S.TEMPORAL_WINDOWS, seed=S.SEED, train_frac=S.TRAIN_FRAC, val_frac=S.VAL_FRAC)
+
+    def never() -> dict[str, DataFrame]:
+        raise AssertionError("the finished bundle must be loaded, not built again")
+
+    root, inputs = scratch_path(spark, "variant"), [table_path(d, t) for t in ("orders", "lineitem", "part")]
+    BD.materialize_unit(spark, root, build, inputs, {"variant": "random"})
+    parts = BD.materialize_unit(spark, root, never, inputs, {"variant": "random"})
+    mask = F.when(F.col("is_train"), 1).otherwise(0) + F.when(F.col("is_val"), 2).otherwise(0) + F.when(F.col("is_test"), 4).otherwise(0)
+    shown = {"rows": ("row_id", mask, F.col("is_class").cast("int"), "text"),
+             "labels": ("row_id", "class_idx", F.lit(0), "row_kind"),
+             "classes": ("class_idx", F.lit(0), F.lit(0), "class_name"),
+             "edges": ("child", "parent", "pos", F.lit("")),
+             "edges_indexed": ("src", "dst", "pos", "form"),
+             "depths": ("node", "depth", "n_paths", F.lit("")),
+             "levels": ("node", "depth", F.lit(0), F.lit("")),
+             "ancestors": ("node", "ancestor", F.lit(0), F.lit(""))}
+    out = None
+    for name, cols in shown.items():
+        a, b, c, text = (F.col(x) if isinstance(x, str) else x for x in cols)
+        one = parts[name].select(F.lit(name).alias("part"), a.cast("long").alias("a"), b.cast("long").alias("b"),
+                                 c.cast("long").alias("c"), text.alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out

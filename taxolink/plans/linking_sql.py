@@ -160,3 +160,34 @@ SELECT CAST(coalesce(y.year, e.year) AS BIGINT) AS year,
        CAST(CASE WHEN y.year = {S.CUT_YEAR} THEN n ELSE 0 END AS BIGINT) AS n_broken,
        CASE WHEN n IS NULL THEN 'missing' WHEN y.year = {S.CUT_YEAR} THEN 'broken' WHEN e.year IS NULL THEN 'unexpected' ELSE 'ok' END AS status
 FROM y FULL JOIN e ON y.year = e.year"""
+
+# ---------------------------------------------------------------- dataset variant as one bundle
+
+_MASK = "CASE WHEN is_train THEN 1 ELSE 0 END + CASE WHEN is_val THEN 2 ELSE 0 END + CASE WHEN is_test THEN 4 ELSE 0 END"
+_PARTS = {
+    "rows": (f"row_id, {_MASK}, CASE WHEN is_class THEN 1 ELSE 0 END, text",
+             "(SELECT ac.*, is_train, is_val, is_test FROM ac LEFT JOIN rnd ON rnd.row_id = ac.row_id AND NOT is_class)"),
+    "labels": ("row_id, class_idx, 0, kind",
+               "(SELECT 'record' AS kind, row_id, class_idx FROM lab UNION ALL SELECT 'class', class_idx, class_idx FROM cls)"),
+    "classes": ("class_idx, 0, 0, class_name", "cls"),
+    "edges": ("child, parent, pos, ''", "edges"),
+    "edges_indexed": ("src, dst, pos, form", "ei"),
+    "depths": ("node, depth, count(*), ''", "rec GROUP BY node, depth"),
+    "levels": ("DISTINCT node, depth, 0, ''", "rec"),
+    "ancestors": ("node, ancestor, 0, ''", "clo")}
+
+
+def _part(name: str) -> str:
+    cols, table = _PARTS[name]
+    distinct, cols = ("DISTINCT ", cols.removeprefix("DISTINCT ")) if cols.startswith("DISTINCT ") else ("", cols)
+    return f"SELECT '{name}' AS part, a, b, c, text FROM (SELECT {distinct}{cols} FROM {table}) v(a, b, c, text)"
+
+
+SQL["variant_bundle"] = O._RANDOM.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ac AS ({O.ORACLE["append_classes"]}),
+{O.DAG},
+{O.PATHS},
+ei AS ({O.ORACLE["edges_indexed"]}),
+clo(node, ancestor) AS (SELECT child, parent FROM pe UNION SELECT clo.node, pe.parent FROM clo JOIN pe ON pe.child = clo.ancestor)
+SELECT part, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, text FROM (
+{" UNION ALL ".join(_part(p) for p in _PARTS)})"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,43 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
+MANIFEST = "version string, at timestamp, fingerprint string, parts array<string>"
+
+
+def fingerprint(spark: SparkSession, inputs: Sequence[str], params: dict | None = None) -> str:
+    """Digest of input tables and parameters. Of a table its files' names, lengths and times count, read as a listing (no
+    content) and summed by Spark, so that one row per table reaches the driver."""
+    seen = []
+    for path in inputs:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        seen.append(files.agg(F.count("path").cast("string"), F.sum("length").cast("string"),
+                              F.bit_xor(F.xxhash64("path", "length", "modificationTime")).cast("string")).first())
+    said = [sorted([str(p), *r] for p, r in zip(inputs, seen)), params or {}]
+    return hashlib.sha256(json.dumps(said, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def materialize_unit(spark: SparkSession, root: str, build: Callable[[], dict[str, DataFrame]], inputs: Sequence[str],
+                     params: dict | None = None, recompute: bool = False) -> dict[str, DataFrame]:
+    """S8 for outputs that belong together: all parts of a bundle are of one build, or all are built again.
+
+    A build goes to a folder of its own under ``root``; a manifest row with the fingerprint of the inputs and all part
+    names is added last. A build that was killed has no row and is never read. The newest row counts; all parts are built again
+    if its fingerprint differs, a part is missing or unfinished, or ``recompute`` asks for it. Earlier builds stay for their
+    readers.
+    """
+    root, now = root.rstrip("/"), fingerprint(spark, inputs, params)
+    if not recompute and _complete(spark, f"{root}/manifest"):
+        last = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").orderBy(F.desc("at"), "version").first()
+        if last and last["fingerprint"] == now and all(_complete(spark, f"{root}/{last['version']}/{p}") for p in last["parts"]):
+            return load_bundle(spark, f"{root}/{last['version']}", last["parts"])
+    version, parts = f"build-{uuid.uuid4().hex[:12]}", build()
+    save_bundle(parts, f"{root}/{version}", mode="errorifexists")
+    row = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"), F.lit(now).alias("fingerprint"),
+                                F.array(*[F.lit(p) for p in parts]).alias("parts"))
+    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return load_bundle(spark, f"{root}/{version}", parts)
+
+
 def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: dict[str, list[float]],
                 append: bool = True) -> DataFrame:
     """Named metric lists as ``(run_id, key, pos, value)`` rows, appended (or overwritten)."""
