@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from taxolink.operators import scoring as SC
@@ -74,3 +75,19 @@ def test_text_vectors_have_unit_length(spark):
         per.setdefault(r["id"], []).append(r["weight"])
     assert set(per) == {1, 2}
     assert all(math.isclose(sum(w * w for w in ws), 1.0) for ws in per.values())
+
+
+@pytest.mark.parametrize("head, chars", [(65536, 64), (5, 64), (65536, 3), (0, 64)])
+def test_words_outside_the_head_get_the_same_ids(spark, monkeypatch, head, chars):
+    """Ids by rank whatever part of the vocabulary is sent out; repeated and null ids, unknown and repeated words."""
+    monkeypatch.setattr(TX, "HEAD_WORDS", head)
+    monkeypatch.setattr(TX, "HEAD_CHARS", chars)
+    said = [(1, "a bb ccc dddd a"), (2, None), (3, ""), (None, "dddd nan bb"), (4, "ccc unseen ccc"), (4, "eeeee a"), (5, "--"),
+            (6, "a " * 3000 + "eeeee")]
+    docs = spark.createDataFrame(said, "doc_id long, text string")
+    voc = TX.build_vocab(docs.filter("text is null or not contains(text, 'unseen')").fillna("nan", ["text"])
+                         .unionByName(spark.createDataFrame([(9, "ccc bb")], docs.schema)))
+    ids = {r["token"]: r["id"] for r in voc.collect()}
+    want = sorted((str(i), [ids.get(w, TX.UNK_ID) for w in ("nan" if t is None else t).replace("-", " ").split()]) for i, t in said)
+    got = sorted((str(r.doc_id), r.ids) for r in TX.encode(docs, voc).collect())
+    assert got == want
