@@ -30,14 +30,16 @@ from taxolink.session import write_and_read
 _POS_BITS = 33
 #: Input bytes per range; more ranges than the shuffle setting are cut when the input is larger.
 RANGE_BYTES = 256 << 20
+#: The same where a task keeps its distinct rows in memory, many times the bytes of their files.
+HASH_BYTES = 16 << 20
 
 
-def range_count(df: DataFrame) -> int:
-    """Ranges for an input: the shuffle setting, or one per :data:`RANGE_BYTES` of the files it reads."""
+def range_count(df: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
+    """Ranges for an input: the shuffle setting, or one per ``range_bytes`` of the files it reads."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(s for s in sizes if s < 1 << 60)  # sources without statistics report a huge default
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // RANGE_BYTES)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // range_bytes)
 
 
 def exact_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolink.operators.ranking import HASH_BYTES, range_count
 from taxolink.functions.text import relation_ids
 from taxolink.session import write_and_read
 
@@ -168,11 +169,15 @@ def ancestors(parents: DataFrame, fail_on_cycle: bool = True, max_rounds: int |
 def expand_labels(labels: DataFrame, closure: DataFrame, mask_ids: DataFrame | None = None,
                   id_col: str = "row_id", class_col: str = "class_idx") -> DataFrame:
     """Add every ancestor of each label; labels outside the hierarchy stay alone.
-    With ``mask_ids`` only those rows are expanded (rows in any mask)."""
+    With ``mask_ids`` only those rows are expanded (rows in any mask).
+
+    Rows are dealt by record into as many tasks as the input's size asks for, and made distinct there only: before the
+    shuffle a task would keep in memory whatever its part of the input expands to. The result stays dealt by record."""
     clo = closure.select(F.col("node").alias(class_col), "ancestor")
     target = labels if mask_ids is None else labels.join(mask_ids.select(id_col), id_col, "left_semi")
     up = target.join(clo, class_col).select(id_col, F.col("ancestor").alias(class_col))
-    return labels.select(id_col, class_col).unionByName(up).distinct()
+    dealt = labels.select(id_col, class_col).unionByName(up).repartition(range_count(labels, HASH_BYTES), id_col)
+    return dealt.distinct()
 
 
 def parent_child_edges(parents: DataFrame) -> DataFrame:
