@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from taxolink.functions.arrays import abs_diff_and_product
 from taxolink.functions.mathx import softmax2_p1
-from taxolink.operators.ranking import exact_row_number
-from taxolink.operators.textprep import RESERVED, words
+from taxolink.operators.ranking import HASH_BYTES, exact_row_number, range_count
+from taxolink.operators.textprep import HEAD_CHARS, HEAD_WORDS, RESERVED, words
 from taxolink.session import write_and_read
 
 
@@ -117,17 +117,25 @@ def text_vectors(corpus: DataFrame, id_cols: list[str], text_col: str = "text")
     of all splits and class rows).
 
     Every word of every text counts. Term ids are the corpus vocabulary's frequency ranks, so no two words share a
-    dimension; idf = ln((N + 1) / (df + 1)). Terms are counted once and staged; the one join with the vocabulary is keyed
-    by the word, at most one row per (text, word), and AQE splits the most frequent words.
+    dimension; idf = ln((N + 1) / (df + 1)). Texts, not their many words, are dealt by id, into as many tasks as their size
+    asks for; a text's words are counted where it lies and staged. The vocabulary's frequent head (:data:`HEAD_WORDS` words
+    of up to :data:`HEAD_CHARS` characters) is a table small enough that no word has to move to meet it; only words outside
+    it meet the rest in a join keyed by the word. What moves once more are ids and weights, for the norm.
     """
     n = corpus.count()
-    terms = write_and_read(corpus.select(*id_cols, F.explode(words(F.col(text_col))).alias("token"))
+    dealt = corpus.repartition(range_count(corpus, HASH_BYTES), *id_cols)
+    terms = write_and_read(dealt.select(*id_cols, F.explode(words(F.col(text_col))).alias("token"))
                            .groupBy(*id_cols, "token").agg(F.count(F.lit(1)).alias("tf")), "text-terms")
     voc = terms.groupBy("token").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
     voc = exact_row_number(voc.withColumn("_neg", -F.col("cnt")), [], ["_neg", "token"], out_col="_rn")
     voc = voc.select(F.col("token").alias("_token"), (F.col("_rn") - 1 + len(RESERVED)).alias("term_id"),
                      F.log(F.lit(n + 1.0) / (F.col("df") + 1.0)).alias("_idf"))
-    raw = terms.join(voc, F.col("token") == F.col("_token")).withColumn("_w", F.col("tf") * F.col("_idf"))
+    in_head = (F.col("term_id") < len(RESERVED) + HEAD_WORDS) & (F.length("_token") <= HEAD_CHARS)
+    looked = terms.join(write_and_read(voc.filter(in_head), "text-head"), F.col("token") == F.col("_token"), "left")
+    rest = (looked.filter(F.col("_token").isNull()).select(*id_cols, "token", "tf")
+            .join(voc.filter(~in_head), F.col("token") == F.col("_token")))
+    raw = looked.filter(F.col("_token").isNotNull()).unionByName(rest)
+    raw = raw.select(*id_cols, "term_id", (F.col("tf") * F.col("_idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*id_cols)))
     return raw.withColumn("_norm", norm).select(
         *id_cols, "term_id", F.when(F.col("_norm") > 0, F.col("_w") / F.col("_norm")).otherwise(0.0).alias("weight"))
