@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,66 @@ def test_text_beam_edges(spark):
         assert TB.text_beam(some, none, cls, of, down.filter("false"), [(1, 1, 1)]).collect() == []
 
 
+def beam_case(spark, seed, terms, most=25):
+    """Records, one without words and one without id, a tree with two nodes of two parents, and what brute force finds."""
+    rng = random.Random(seed)
+    tree = [(c, -1 if c < 7 else (c - 7) // 3) for c in range(60)] + [(50, 3), (51, 2), (9, 3)]
+    rec, cls = random_vectors(rng, range(100, 160), terms, most), random_vectors(rng, range(60), terms, 15)
+    triples = [(1, 1, 1), (3, 2, 1), (9, 4, 2)]
+    nodes = spark.createDataFrame(tree, "child long, parent long")
+    ids = [*range(100, 161), None]
+    call = (spark.createDataFrame([(i,) for i in ids], "row_id long"), vectors(spark, "row_id", rec), vectors(spark, "class_idx", cls),
+            nodes.filter("parent = -1").select(F.col("child").alias("node")), nodes.filter("parent <> -1"), triples)
+    return call, brute_beam(ids, rec, cls, tree, triples)
+
+
+@pytest.mark.parametrize("name,bound", [("TREE", 100), ("WIDE", 10), ("_CELLS", 50)])
+def test_text_beam_by_joins_and_in_small_groups(spark, monkeypatch, name, bound):
+    """A hierarchy beyond the bounds is searched by joins, one within them in groups of records: the same rows."""
+    call, want = beam_case(spark, 4, list(range(30)))
+    monkeypatch.setattr(TB, name, bound)
+    with written_plans() as plans:
+        out = TB.text_beam(*call)
+    assert ("beam-probe" in [n for n, _ in plans]) == (name != "_CELLS")
+    got = [tuple(r[c] for c in ("row_id", "k0", "k1", "k2", "class_idx", "p")) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_text_beam_moves_the_vector_of_a_record_once(spark):
+    """A small hierarchy is walked in the record's row: one table of nodes, no table per level, no row per record and parent."""
+    call, want = beam_case(spark, 5, list(range(400)))
+    with written_plans() as plans:
+        assert set(tuple(r) for r in TB.text_beam(*call).collect()) == want
+    assert [n for n, _ in plans] == ["beam-down", "beam-index", "beam-visited"]
+    assert "Window" not in plans[-1][1] and "MapInArrow" in plans[-1][1]
+
+
+def test_text_beam_chunks_products(monkeypatch):
+    """Scores in chunks, also of edges without entries and with more than a chunk's; repeated terms of a class add up."""
+    down = pa.table({"parent": [-1, -1, -1, 3, 3], "child": [1, 2, 3, 1, 4]})
+    entries = pa.table({"parent": [-1, -1, -1, 3, -1, 3], "term_id": [7, 9, 7, 9, 8, 5], "child": [1, 1, 1, 1, 3, 4],
+                        "weight": [0.5, 0.25, 0.125, 0.25, 1.0, 0.75]})
+    tree = TB._Tree.of(down, entries)
+    assert tree.terms.tolist() == [5, 7, 8, 9] and tree.child.tolist() == [1, 2, 3, 1, 4]
+    open_ = np.array([[1.0, 2.0, 3.0, 4.0], [0.0, 0.0, 0.0, 1.0]])
+    row, edge = np.repeat([0, 1], 5), np.tile(np.arange(5), 2)
+    want = [2.25, 0, 3, 1, 0.75, 0.25, 0, 0, 0.25, 0]
+    for cells in (1, 2, 5, 100):
+        monkeypatch.setattr(TB, "_CELLS", cells)
+        assert TB._scores(tree, open_, row, edge).tolist() == want
+
+
+def test_text_beam_ladder_of_diamonds_has_a_row_per_node():
+    """Sixty levels of two nodes, each below both of the level above: 2 ** 60 ways, but two rows per level."""
+    edges = [(-1, 0), (-1, 1)] + [(2 * i + a, 2 * i + 2 + b) for i in range(59) for a in (0, 1) for b in (0, 1)]
+    down = pa.table({"parent": [p for p, _ in edges], "child": [c for _, c in edges]})
+    none = pa.table({"parent": pa.array([], pa.int64()), "term_id": pa.array([], pa.int64()), "child": pa.array([], pa.int64()),
+                     "weight": pa.array([], pa.float64())})
+    row, triple, child, p = TB._walk(TB._Tree.of(down, none), np.zeros((3, 1)), np.array([[1, 1, 1], [2, 2, 2]]))
+    assert len(row) == 3 * (60 + 120) and not p.any()
+    assert child[(row == 1) & (triple == 1)].tolist() == list(range(120)) and child[(row == 2) & (triple == 0)].tolist() == list(range(0, 120, 2))
+
+
 # ---------------------------------------------------------------- trained head
 
 
