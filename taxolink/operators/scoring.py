@@ -112,7 +112,7 @@ def apply_pair_head(model, links: DataFrame) -> DataFrame:
     return out.withColumn("p", F.get(vector_to_array("probability"), 1)).drop("features", "rawPrediction", "probability")
 
 
-def text_vectors(corpus: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
+def text_vectors(corpus: DataFrame, id_cols: list[str], text_col: str = "text", among: Column | None = None) -> DataFrame:
     """M6 / M7: L2-normed TF-IDF vectors in long form, ``(id…, term_id, weight)``, fitted on the whole corpus (records
     of all splits and class rows).
 
@@ -121,6 +121,9 @@ def text_vectors(corpus: DataFrame, id_cols: list[str], text_col: str = "text")
     asks for; a text's words are counted where it lies and staged. The vocabulary's frequent head (:data:`HEAD_WORDS` words
     of up to :data:`HEAD_CHARS` characters) is a table small enough that no word has to move to meet it; only words outside
     it meet the rest in a join keyed by the word. What moves once more are ids and weights, for the norm.
+
+    With ``among``, a condition on the ids, only terms that occur in a text which meets it are returned, with the weights that
+    they have in the whole vectors: norms are summed where the words lie, and only those terms move to meet them.
     """
     n = corpus.count()
     dealt = corpus.repartition(range_count(corpus, HASH_BYTES), *id_cols)
@@ -130,12 +133,22 @@ def text_vectors(corpus: DataFrame, id_cols: list[str], text_col: str = "text")
     voc = exact_row_number(voc.withColumn("_neg", -F.col("cnt")), [], ["_neg", "token"], out_col="_rn")
     voc = voc.select(F.col("token").alias("_token"), (F.col("_rn") - 1 + len(RESERVED)).alias("term_id"),
                      F.log(F.lit(n + 1.0) / (F.col("df") + 1.0)).alias("_idf"))
+    some = [] if among is None else ["_some"]
+    if some:
+        of = write_and_read(terms.filter(among).select("token").distinct(), "text-among")
+        voc = voc.join(of, F.col("_token") == F.col("token"), "left").withColumn("_some", F.col("token").isNotNull()).drop("token")
     in_head = (F.col("term_id") < len(RESERVED) + HEAD_WORDS) & (F.length("_token") <= HEAD_CHARS)
     looked = terms.join(write_and_read(voc.filter(in_head), "text-head"), F.col("token") == F.col("_token"), "left")
     rest = (looked.filter(F.col("_token").isNull()).select(*id_cols, "token", "tf")
             .join(voc.filter(~in_head), F.col("token") == F.col("_token")))
     raw = looked.filter(F.col("_token").isNotNull()).unionByName(rest)
-    raw = raw.select(*id_cols, "term_id", (F.col("tf") * F.col("_idf")).alias("_w"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*id_cols)))
-    return raw.withColumn("_norm", norm).select(
+    raw = raw.select(*id_cols, "term_id", (F.col("tf") * F.col("_idf")).alias("_w"), *some)
+    square = F.sum(F.col("_w") * F.col("_w"))
+    if some:
+        norms = raw.groupBy(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(id_cols)]).agg(F.sqrt(square).alias("_norm"))
+        same = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(id_cols)]
+        normed = raw.filter("_some").join(norms, same)
+    else:
+        normed = raw.withColumn("_norm", F.sqrt(square.over(Window.partitionBy(*id_cols))))
+    return normed.select(
         *id_cols, "term_id", F.when(F.col("_norm") > 0, F.col("_w") / F.col("_norm")).otherwise(0.0).alias("weight"))

@@ -26,7 +26,8 @@ def text_beam(spark: SparkSession, d: str) -> DataFrame:
     docs, items = S.read(spark, d, "documents"), S.read(spark, d, "benchmark")
     corpus = docs.select(F.lit("record").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(
         items.select(F.lit("class").alias("kind"), F.col("item_id").alias("id"), "text"))
-    vectors = write_and_read(SC.text_vectors(corpus, ["kind", "id"]), "beam-vectors")
+    # terms that no item has add nothing to a score; they count in the norms
+    vectors = write_and_read(SC.text_vectors(corpus, ["kind", "id"], among=F.col("kind") == "class"), "beam-vectors")
     of = vectors.filter("kind = 'record'").select(F.col("id").alias("row_id"), "term_id", "weight")
     cls = vectors.filter("kind = 'class'").select(F.col("id").alias("class_idx"), "term_id", "weight")
     tree = items.select(F.col("item_id").alias("node"), S.item_parent(F.col("item_id")).alias("parent"))

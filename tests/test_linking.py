@@ -1,6 +1,7 @@
 """Text beam, trained head, window tables, epoch permutations, member sets: against brute force."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -14,7 +15,8 @@ from taxolink.operators import labels as L
 from taxolink.operators import splits as SP
 from taxolink.operators import textbeam as TB
 from taxolink.operators import windows as WN
-from taxolink.session import scratch_path, written_plans
+from taxolink.plans import linking as LK
+from taxolink.session import scratch_path, scratch_root, written_plans
 
 # ---------------------------------------------------------------- text beam
 
@@ -127,6 +129,21 @@ def test_text_beam_moves_the_vector_of_a_record_once(spark):
     assert "Window" not in plans[-1][1] and "MapInArrow" in plans[-1][1]
 
 
+def test_text_beam_query_moves_only_terms_of_items(spark, tmp_path):
+    """Words that no item has are in no vector that is written, yet count in its norm."""
+    words = [f"w{i}" for i in range(40)]
+    spark.createDataFrame([(i, " ".join(["key", *words])) for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "key one"), (1, "two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = LK.text_beam(spark, str(tmp_path))
+    idf = {n: np.log(23 / (n + 1)) for n in (20, 21, 1)}
+    cosine = idf[21] / np.sqrt(idf[21] ** 2 + 40 * idf[20] ** 2) * idf[21] / np.sqrt(idf[21] ** 2 + idf[1] ** 2)
+    assert set(rows(got.filter("class_idx = 0").select("p"))) == {(round(cosine, 6),)}
+    assert got.count() == 20 * (1 + 2 + 2)
+    vectors = [d for d in os.listdir(scratch_root(spark).removeprefix("file:")) if d.startswith("beam-vectors")]
+    newest = max((os.path.join(scratch_root(spark).removeprefix("file:"), d) for d in vectors), key=os.path.getmtime)
+    assert spark.read.parquet(newest).filter("kind = 'record'").count() == 20
+
+
 def test_text_beam_chunks_products(monkeypatch):
     """Scores in chunks, also of edges without entries and with more than a chunk's; repeated terms of a class add up."""
     down = pa.table({"parent": [-1, -1, -1, 3, 3], "child": [1, 2, 3, 1, 4]})

@@ -118,3 +118,20 @@ def test_text_vectors_deal_texts_and_look_the_frequent_words_up(spark, monkeypat
     assert whole == sorted((i, order.index(w) + 3, round(n * idf[w] / norm[i], 12)) for i, c in counts.items() for w, n in c.items())
     monkeypatch.setattr(SC, "HEAD_WORDS", 2)
     assert found() == whole
+
+
+@pytest.mark.parametrize("head", [65536, 2, 0])
+def test_text_vectors_among_are_those_of_whole_texts(spark, monkeypatch, head):
+    """Only terms of the texts that meet the condition, weights and norms of the whole texts; null and repeated ids."""
+    monkeypatch.setattr(SC, "HEAD_WORDS", head)
+    texts = [("r", 1, "a a b c d"), ("r", 1, "a e"), ("r", None, "b f"), (None, 2, "b a x"), ("r", 3, None), ("r", 4, "zz a c"), ("r", 5, "q"),
+             ("c", 1, "a c c"), ("c", None, "f g"), ("c", 7, "")]
+    docs = spark.createDataFrame(texts, "kind string, id long, text string")
+    whole = [tuple(r) for r in SC.text_vectors(docs, ["kind", "id"]).collect()]
+    terms = {t for kind, _, t, _ in whole if kind == "c"}
+    want = sorted((str(k), str(i), t, round(w, 12)) for k, i, t, w in whole if t in terms)
+    got = SC.text_vectors(docs, ["kind", "id"], among=F.col("kind") == "c")
+    assert got.columns == ["kind", "id", "term_id", "weight"]
+    assert sorted((str(r.kind), str(r.id), r.term_id, round(r.weight, 12)) for r in got.collect()) == want
+    assert 0 < len(want) < len(whole)
+    assert SC.text_vectors(docs, ["kind", "id"], among=F.col("kind") == "none").collect() == []
