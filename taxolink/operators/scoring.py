@@ -119,8 +119,8 @@ def text_vectors(corpus: DataFrame, id_cols: list[str], text_col: str = "text",
     Every word of every text counts. Term ids are the corpus vocabulary's frequency ranks, so no two words share a
     dimension; idf = ln((N + 1) / (df + 1)). Texts, not their many words, are dealt by id, into as many tasks as their size
     asks for; a text's words are counted where it lies and staged. The vocabulary's frequent head (:data:`HEAD_WORDS` words
-    of up to :data:`HEAD_CHARS` characters) is a table small enough that no word has to move to meet it; only words outside
-    it meet the rest in a join keyed by the word. What moves once more are ids and weights, for the norm.
+    of up to :data:`HEAD_CHARS` characters) is sent out, so that no word has to move to meet it; only words outside it meet the
+    rest in a join keyed by the word. What moves once more are ids and weights, for the norm.
 
     With ``among``, a condition on the ids, only terms that occur in a text which meets it are returned, with the weights that
     they have in the whole vectors: norms are summed where the words lie, and only those terms move to meet them.
@@ -138,7 +138,9 @@ def text_vectors(corpus: DataFrame, id_cols: list[str], text_col: str = "text",
         of = write_and_read(terms.filter(among).select("token").distinct(), "text-among")
         voc = voc.join(of, F.col("_token") == F.col("token"), "left").withColumn("_some", F.col("token").isNotNull()).drop("token")
     in_head = (F.col("term_id") < len(RESERVED) + HEAD_WORDS) & (F.length("_token") <= HEAD_CHARS)
-    looked = terms.join(write_and_read(voc.filter(in_head), "text-head"), F.col("token") == F.col("_token"), "left")
+    # the head is bounded in rows and characters: sent out whatever the session's limit is, as in encode
+    head = F.broadcast(write_and_read(voc.filter(in_head), "text-head"))
+    looked = terms.join(head, F.col("token") == F.col("_token"), "left")
     rest = (looked.filter(F.col("_token").isNull()).select(*id_cols, "token", "tf")
             .join(voc.filter(~in_head), F.col("token") == F.col("_token")))
     raw = looked.filter(F.col("_token").isNotNull()).unionByName(rest)

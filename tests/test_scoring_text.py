@@ -135,3 +135,17 @@ def test_text_vectors_among_are_those_of_whole_texts(spark, monkeypatch, head):
     assert sorted((str(r.kind), str(r.id), r.term_id, round(r.weight, 12)) for r in got.collect()) == want
     assert 0 < len(want) < len(whole)
     assert SC.text_vectors(docs, ["kind", "id"], among=F.col("kind") == "none").collect() == []
+
+
+def test_text_vectors_move_no_frequent_word(spark):
+    """The bounded head of the vocabulary is sent out where the session broadcasts nothing by itself."""
+    docs = spark.createDataFrame([(1, "a a b"), (2, "b c")], "id long, text string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = SC.text_vectors(docs, ["id"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [token" in plan and out.count() == 4
+    finally:
+        spark.conf.set(key, was)
